@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module that defines a function of that name
 MODULES = {
     "op5_exact_dedup": "exact_dedup",
+    "op9_token_counts": "token_counts",
 }
 
 
