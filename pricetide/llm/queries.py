@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query name -> module that defines a function of that name
 MODULES = {
+    "op3_language_id": "language_id",
+    "op4_toxicity": "toxicity",
     "op5_exact_dedup": "exact_dedup",
     "op9_token_counts": "token_counts",
 }
