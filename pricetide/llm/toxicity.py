@@ -24,6 +24,8 @@ from pricetide.llm.common import fold, share
 SAMPLE, TERMS, BLOCK, NEIGHBOURS, BEGINNING = 20_000, 8192, 64, 15, 5
 #: A term is used from this many documents and this chi-square on.
 LEAST_DOCS, LEAST_CHI2 = 3, 25.0
+#: ... and from this many times as many labelled 1 as 0.
+LEAST_ODDS = 2
 NEAR = 0.05
 _words = re.compile(r"\w+").findall
 
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     both = chosen.agg(F.sum(F.expr("1 - toxic")).alias("all0"), F.sum("toxic").alias("all1"))  # one row
     chi2 = F.expr("(all0 + all1) * pow(n1 * (all0 - n0) - n0 * (all1 - n1), 2) / (all0 * all1 * (n0 + n1) * greatest(all0 + all1 - n0 - n1, 1))")
     best = counts.crossJoin(F.broadcast(both)).where("term = '' or all0 > 0 and all1 > 0").withColumn("chi2", F.when(F.col("term") == "", F.lit(1e300)).otherwise(chi2.cast("double")))
-    best = best.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS + 1).select("term", "n0", "n1").collect()
+    best = best.where((F.col("chi2") >= LEAST_CHI2) & ((F.col("term") == "") | (F.col("n1") >= LEAST_ODDS * F.col("n0")))).orderBy(F.desc("chi2"), "term").limit(TERMS + 1).select("term", "n0", "n1").collect()
     total = next(((r["n0"], r["n1"]) for r in best if not r["term"]), (0, 0))
     names = sorted((r["term"], r["n0"] + r["n1"]) for r in best if r["term"])
     vocabulary = {w: i for i, (w, _) in enumerate(names)}
