@@ -9,6 +9,7 @@ MODULES = {
     "op3_language_id": "language_id",
     "op4_toxicity": "toxicity",
     "op5_exact_dedup": "exact_dedup",
+    "op6_near_dedup": "near_dedup",
     "op9_token_counts": "token_counts",
 }
 
