@@ -11,6 +11,7 @@ MODULES = {
     "op5_exact_dedup": "exact_dedup",
     "op6_near_dedup": "near_dedup",
     "op9_token_counts": "token_counts",
+    "op10_nearest": "nearest",
 }
 
 
