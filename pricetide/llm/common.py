@@ -71,11 +71,11 @@ def running_sum(df: DataFrame, group: list[str], slice_col: str, order: list[str
     w = Window.partitionBy(*group).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_base", F.coalesce(F.sum("_t").over(w), F.lit(0))).drop("_t")
     keys = [*group, slice_col]
-    renamed = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_base")
+    renamed = spans.select(*[F.col(k).alias(f"_run{i}") for i, k in enumerate(keys)], "_base")
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    at = [df[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
+    at = [df[k].eqNullSafe(renamed[f"_run{i}"]) for i, k in enumerate(keys)]
     cond = at[0]
     for c in at[1:]:
         cond = cond & c
-    joined = df.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    joined = df.join(renamed, cond, "left").drop(*[f"_run{i}" for i in range(len(keys))])
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_base")

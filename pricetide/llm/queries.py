@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: query name -> module that defines a function of that name
 MODULES = {
+    "op2_mixing": "mixing",
     "op3_language_id": "language_id",
     "op4_toxicity": "toxicity",
     "op5_exact_dedup": "exact_dedup",
     "op6_near_dedup": "near_dedup",
+    "op7_packing": "packing",
     "op9_token_counts": "token_counts",
     "op10_nearest": "nearest",
 }
