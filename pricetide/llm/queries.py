@@ -12,6 +12,7 @@ MODULES = {
     "op5_exact_dedup": "exact_dedup",
     "op6_near_dedup": "near_dedup",
     "op7_packing": "packing",
+    "op8_sharding": "sharding",
     "op9_token_counts": "token_counts",
     "op10_nearest": "nearest",
 }
