@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that defines a function of that name
 MODULES = {
+    "op1_pii": "pii",
     "op2_mixing": "mixing",
     "op3_language_id": "language_id",
     "op4_toxicity": "toxicity",
