@@ -41,6 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+#: Name of the row number that joins decisions back to rows; no table is expected to have it.
+ROW = "__pricetide_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW: where each row stands in the stored table. Reads of one stored table deal rows alike."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ROW is not in ``gone`` (one column, ROW), with the columns of ``docs``."""
+    return keep_rows(numbered(docs), gone, "left_anti", gone.count(), ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_text(col: str = "doc_id") -> Column:
     return F.col(col).cast("string")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import keep_rows, materialize, nullable, scratch
+from pricetide.llm.common import ROW, materialize, nullable, scratch, without
 
 #: Bytes of the first digit, and how much wider each next one is.
 FIRST, WIDER = 64, 16
@@ -66,9 +66,7 @@ def exact_groups(docs: DataFrame, text: str = "text", with_uid: bool = False) ->
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; copies are few, so only where they stand is moved."""
-    gone = materialize(exact_groups(docs, with_uid=True).where("not kept").select(F.col("uid").alias("_uid")), "copies")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return keep_rows(numbered, gone, "left_anti", gone.count(), "_uid").select(*docs.columns)
+    return without(docs, materialize(exact_groups(docs, with_uid=True).where("not kept").select(F.col("uid").alias(ROW)), "copies"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

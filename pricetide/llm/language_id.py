@@ -165,7 +165,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose text has a language: ``und`` and scores under ``least`` go; the columns are those of ``docs``."""
     model = fit(docs.where(fold(4) != 2))
-    own = docs.columns
-    return identify(docs.withColumnRenamed("score", "_score") if "score" in own else docs, model, own).where(
-        (F.col("lang_pred") != UND) & (F.col("score") >= least)
-    ).select(*own)
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], F.col("text"))
+    found = identify(rows, model, own).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.llm.common import materialize, running_sum
+from pricetide.llm.common import ROW, materialize, numbered, running_sum
 
 BLOCK_BYTES = 1 << 18
 #: Sources at most, slots of a period (for weights made from sizes), power of a source's size that makes its weight.
@@ -117,10 +117,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows and columns of ``docs`` in the order of their slots: written, part files follow one another in that order."""
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    slots = materialize(mix(numbered, weights, block_bytes, ["_uid"]).select("_uid", "slot"), "slots")
-    placed = numbered.join(slots, "_uid")
-    return placed.repartitionByRange("slot", "_uid").sortWithinPartitions("slot", "_uid").select(*docs.columns)
+    slots = mix(numbered(docs), weights, block_bytes, [ROW]).select(ROW, F.col("slot").alias(f"{ROW}_slot"))
+    placed = numbered(docs).join(materialize(slots, "slots"), ROW)
+    order = [f"{ROW}_slot", ROW]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import keep_rows, materialize
+from pricetide.llm.common import ROW, keep_rows, materialize, without
 from pricetide.llm.shingles import _odd, distinct, groups, sequence_key
 
 COORDINATES, MATCHES = 64, 32
@@ -163,9 +163,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, matches: int
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, all others as they are, with the columns of ``docs``."""
-    gone = materialize(near_groups(docs, width, percent, with_uid=True).where("not kept").select(F.col("uid").alias("_uid")), "near-copies")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return keep_rows(numbered, gone, "left_anti", gone.count(), "_uid").select(*docs.columns)
+    groups_of = near_groups(docs, width, percent, with_uid=True)
+    return without(docs, materialize(groups_of.where("not kept").select(F.col("uid").alias(ROW)), "near-copies"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

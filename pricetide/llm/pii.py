@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import fold, materialize
+from pricetide.llm.common import ROW, fold, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base, one match after the other. Each begins where a run of its characters begins or the match before it ended, and
@@ -195,15 +195,18 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of its text replaced by ``[KIND]``; other columns as they are."""
-    spans = find_spans(docs).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(spans, F.col("_uid") == F.col("uid"), "left")
+    spans = find_spans(docs).groupBy(F.col("uid").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.monotonically_increasing_id().alias(ROW)).join(spans, ROW, "left")
     marks = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    text = f"_c{docs.columns.index('text')}"
     cut = F.expr(
-        "concat(aggregate(spans, struct('' as out, 0L as at), (a, s) -> struct(if(s.start < a.at, a.out, concat(a.out, "
-        f"substring(text, cast(a.at as int) + 1, cast(s.start - a.at as int)), array({marks})[s.kind])) as out, greatest(a.at, cast(s.end as long)) as at), "
-        "a -> concat(a.out, substring(text, cast(a.at as int) + 1))))"
+        "aggregate(_spans, struct(cast('' as string) as out, cast(0 as bigint) as at), (a, s) -> struct(if(s.start < a.at, a.out, concat(a.out, "
+        f"substring({text}, cast(a.at as int) + 1, cast(s.start - a.at as int)), array({marks})[s.kind])) as out, greatest(a.at, cast(s.end as bigint)) as at), "
+        f"a -> concat(a.out, substring({text}, cast(a.at as int) + 1)))"
     )
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    rows = rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut))
+    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
