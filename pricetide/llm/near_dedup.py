@@ -7,8 +7,10 @@ two documents that agree often enough meet under one of those (prefix filter ove
 confirmed on the full shingle sets.
 
 Documents with one word sequence are represented by one of them. Within a list, every member is first compared with the list's
-first of about its size; then only members that are still in different components are compared, so a group of thousands of near
-copies costs about a row for each member and not one for each pair.
+most typical one of about its size (the one whose postings most documents share). Then only members that are still in
+different components are compared: pair by pair in lists of up to SMALL members, and, where lists are longer, block against
+block over whatever such lists connect, by a product of incidence matrices inside the task, of which only links that join two
+components are returned. A group of thousands of near copies so costs rows in proportion to its members, not to its pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pricetide.llm.common import ROW, keep_rows, materialize, without
 from pricetide.llm.shingles import _odd, distinct, groups, sequence_key
 
 COORDINATES, MATCHES = 64, 32
+#: Members of a list whose pairs are made as rows; members of a block; shingles multiplied at once.
+SMALL, BLOCK, COLUMNS = 32, 256, 8192
 _TURNS = _odd(COORDINATES)
 
 
@@ -66,15 +70,18 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int)
 
 
 def prefixes(reps: DataFrame, matches: int) -> DataFrame:
-    """uid, n, key: the postings under which two documents that agree often enough are sure to meet."""
+    """uid, n, pop, key: the postings under which two documents that agree often enough are sure to meet.
+
+    ``pop`` adds up how many documents share each of the document's postings.
+    """
     posted = reps.select("uid", "n", F.posexplode("sig").alias("c", "v"))
     posted = posted.select("uid", "n", F.expr("shiftleft(cast(c as long), 32) | (v & 4294967295L)").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     met = posted.join(shared.hint("shuffle_hash"), "key")
     own = Window.partitionBy("uid")
-    met = met.withColumn("s", F.count(F.lit(1)).over(own)).where(F.col("s") >= matches)
+    met = met.withColumn("s", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("f").over(own)).where(F.col("s") >= matches)
     rank = F.row_number().over(own.orderBy("f", "key"))
-    return met.withColumn("r", rank).where(F.col("r") <= F.col("s") - matches + 1).select("uid", "n", "key")
+    return met.withColumn("r", rank).where(F.col("r") <= F.col("s") - matches + 1).select("uid", "n", "pop", "key")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -113,6 +120,74 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("root")).union(roots)
 
 
+def _links(left: pa.StructArray, right: pa.StructArray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between two blocks, as few as join the same components."""
+    ids, roots, sets = [], [], []
+    for part in (left, right):
+        ids.append(part.field("uid").to_numpy())
+        roots.append(part.field("root").to_numpy())
+        lists = part.field("hashes")
+        sets.append((lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())))
+    n, m = len(ids[0]), len(ids[1])
+    tokens, where = np.unique(np.concatenate([sets[0][0], sets[1][0]]), return_inverse=True)
+    cut = len(sets[0][0])
+    a, b = where[:cut], where[cut:]
+    both = np.flatnonzero((np.bincount(a, minlength=len(tokens)) > 0) & (np.bincount(b, minlength=len(tokens)) > 0))
+    place = np.full(len(tokens), -1)
+    place[both] = np.arange(len(both))
+    rows_a, rows_b = np.repeat(np.arange(n), sets[0][1]), np.repeat(np.arange(m), sets[1][1])
+    common = np.zeros((n, m), np.float32)  # counts below 2^24: exact
+    for at in range(0, len(both), COLUMNS):
+        x, y = np.zeros((n, COLUMNS), np.float32), np.zeros((m, COLUMNS), np.float32)
+        for grid, rows, tok in ((x, rows_a, place[a]), (y, rows_b, place[b])):
+            inside = (tok >= at) & (tok < at + COLUMNS)
+            grid[rows[inside], tok[inside] - at] = 1
+        common += x @ y.T
+    common = np.rint(common).astype(np.int64)
+    union = sets[0][1][:, None] + sets[1][1][None, :] - common
+    hit = (100 * common >= percent * union) & (roots[0][:, None] != roots[1][None, :])
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.get(x, x)) != x:
+            x = p
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        p, q = find(int(roots[0][i])), find(int(roots[1][j]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ids[0][i]), int(ids[1][j])))
+    return out
+
+
+def block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in lists of more than SMALL members; ``placed``: key, uid, root.
+
+    Lists that share members form a cluster. In each, the members outside its largest component meet all members, in blocks.
+    """
+    hubs = placed.groupBy("key").agg(F.min("uid").alias("a"))
+    clusters = components(placed.join(hubs, "key").where("uid <> a").select("a", F.col("uid").alias("b")))
+    members = placed.select("uid", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "uid")
+    by_root = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_root.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"))
+    members = members.join(sizes, "cluster").withColumn("blocks", F.expr(f"(total + {BLOCK - 1}) div {BLOCK}"))
+    members = members.withColumn("block", F.expr("pmod(xxhash64(uid), blocks)")).withColumn("open", F.col("root") != F.col("top.root"))
+    members = materialize(members.join(sets, "uid").select("cluster", "block", "blocks", "open", F.struct("uid", "root", "hashes").alias("m")), "members")
+    packed = members.groupBy("cluster", "block").agg(F.collect_list("m").alias("right"))  # about BLOCK members, by hash
+    asked = members.where("open").groupBy("cluster", F.col("block").alias("own"), "blocks").agg(F.collect_list("m").alias("left"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def meet(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                found = _links(b.column(0)[r].values, b.column(1)[r].values, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return asked.join(packed, ["cluster", "block"]).select("left", "right").mapInArrow(meet, "a long, b long")
+
+
 def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
     """uid -> root over representatives."""
     lists = materialize(prefixes(reps, matches), "prefixes")
@@ -120,18 +195,25 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches:
     sets = materialize(shingle_sets(docs, wanted, wanted.count(), width), "sets")
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     first = lists.withColumn("size", size)
-    pivots = first.groupBy("key", "size").agg(F.min("uid").alias("a"))
+    pivots = first.groupBy("key", "size").agg(F.max(F.struct("pop", "uid")).alias("p")).select("key", "size", F.col("p.uid").alias("a"))
     stars = first.join(pivots, ["key", "size"]).where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-    edges = materialize(confirmed(stars, sets, percent), "edges")
-    roots = materialize(components(edges), "roots")
+    stars = materialize(stars, "stars")
+    roots = components(confirmed(stars, sets, percent))
     placed = lists.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
-    other = placed.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "root")])
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+    placed = materialize(placed.join(mixed.where("lo < hi").select("key", "members"), "key"), "mixed")
+    small = placed.where(F.col("members") <= SMALL)
+    other = small.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "root")])
     close = F.expr(f"root <> root2 and uid < uid2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    pairs = placed.join(other, "key").where(close).select(F.col("uid").alias("a"), F.col("uid2").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = confirmed(pairs, sets, percent)
+    pairs = small.join(other, "key").where(close).select(F.col("uid").alias("a"), F.col("uid2").alias("b")).distinct()
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = confirmed(pairs.join(known, ["a", "b"], "left_anti"), sets, percent)
+    large = placed.where(F.col("members") > SMALL)
+    if not large.isEmpty():
+        more = more.union(block_links(large.select("key", "uid", "root"), sets, percent))
+    more = materialize(more, "links")
+    if more.isEmpty():
+        return roots
     return components(roots.select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
 
 
