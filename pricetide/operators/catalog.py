@@ -85,7 +85,8 @@ def match_fuzzy(incoming: DataFrame, products: DataFrame, common: int = COMMON_T
     """in_id with the product of most similar title among those that share a block: product_id, confidence, needs_review.
 
     Products whose brand differs from a set brand take no part; ratios below LIKELY_RATIO match nothing; ties go to the
-    smaller product_id. A pair whose lengths alone keep the ratio below LIKELY_RATIO is not compared.
+    smaller product_id. A pair whose lengths alone keep the ratio below LIKELY_RATIO is not compared. Titles that share no
+    token, or only one token that stands in more than ``common`` products, share no block.
     """
     mine = incoming.where(F.col("canonical_title") != "").select("in_id", F.lower("canonical_title").alias("title"), F.lower("brand").alias("brand"), "canonical_title")
     theirs = products.where(F.col("canonical_title") != "").select("product_id", F.lower("canonical_title").alias("p_title"), F.lower("brand").alias("p_brand"), "canonical_title")

@@ -1,0 +1,76 @@
+"""Streams give what the batch forms give on the same rows."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricetide.operators import compliance, metrics
+from pricetide.sources.tables import load
+from pricetide.streaming import jobs
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def log(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("log") / "rows")
+    rows = load(spark, SF, "log").withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("ok", F.expr("status = 'ok' AND seq % 50 < 40"))
+    rows.repartitionByRange(3, "seq").write.parquet(path)
+    return path
+
+
+def stream(spark, path):
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run(df, name, mode, folder):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_dashboard(spark, log, tmp_path):
+    found = run(jobs.stream_dashboard(stream(spark, log)), "dash", "complete", tmp_path)
+    want = metrics.provider_dashboard(spark.read.parquet(log))
+    cols = ["provider", "attempts", "success", "blocked", "errors"]
+    assert sorted(map(tuple, found.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_daily_spend(spark, log, tmp_path):
+    found = run(jobs.stream_daily_spend(stream(spark, log), 0.1), "spend", "update", tmp_path)
+    last = {r["day"]: (r["spend"], r["over_budget"]) for r in found.groupBy("day").agg(F.max("spend").alias("spend"), F.bool_or("over_budget").alias("over_budget")).collect()}
+    want = {r["day"]: (r["spend"], r["over_budget"]) for r in metrics.daily_spend(spark.read.parquet(log), 0.1).collect()}
+    assert last == want
+
+
+def test_circuits(spark, log, tmp_path):
+    found = run(jobs.stream_circuits(stream(spark, log).select("provider", "seq", "ok", "error")), "circuits", "update", tmp_path)
+    rows = found.withColumn("n", F.monotonically_increasing_id())
+    last = {r["provider"]: r["is_open"] for r in rows.groupBy("provider").agg(F.max_by("is_open", "n").alias("is_open")).collect()}
+    assert last == {r["provider"]: r["is_open"] for r in metrics.circuit_state(spark.read.parquet(log)).collect()}
+
+
+def test_admission(spark, log, tmp_path):
+    shape = lambda df: df.select(F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("domain"), F.col("seq").alias("request_id"), (F.col("seq") * 3).cast("double").alias("requested_at"), F.lit(4.0).alias("delay"), F.lit(3).alias("max_rpm"))
+    found = run(jobs.stream_admission(shape(stream(spark, log))), "admitted", "append", tmp_path)
+    want = compliance.admit_requests(shape(spark.read.parquet(log)))
+    assert sorted(map(tuple, found.select("request_id", "admitted").collect())) == sorted(map(tuple, want.select("request_id", "admitted").collect()))
+
+
+def test_fresh_fetches(spark, log, tmp_path):
+    rows = stream(spark, log).select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("created_at").alias("fetched_at"))
+    found = run(jobs.stream_fresh_fetches(rows, "60 days"), "fresh", "append", tmp_path)
+    assert found.count() == spark.read.parquet(log).select("user_id").distinct().count()
+
+
+def test_result_lines(spark, tmp_path):
+    path = str(tmp_path / "results")
+    load(spark, SF, "results").select("query", "retailer_key", "status").write.parquet(path)
+    q = jobs.stream_result_lines(stream(spark, path), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert {x["type"] for x in lines} == {"retailer", "summary"}
+    assert sum(x["type"] == "retailer" for x in lines) == spark.read.parquet(path).count()
