@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ SF = "/root/testdata/sf0.001"
 def log(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("log") / "rows")
     rows = load(spark, SF, "log").withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("ok", F.expr("status = 'ok' AND seq % 50 < 40"))
-    rows.repartitionByRange(3, "seq").write.parquet(path)
+    for k in range(3):  # one file after the other, as a log arrives
+        rows.where(f"seq div 400 = {k}" if k < 2 else "seq div 400 >= 2").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
     return path
 
 
