@@ -22,6 +22,7 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     rows = rows.withColumn("digit", F.substring("rest", 1, width))
     keys = [c for c in ("grp", "digit") if c in rows.columns]
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "uid")).alias("top")).where("n > 1")
+    groups = materialize(groups, "groups")  # a table of its own, so that the join can split a hot group's rows
     found = rows.join(groups.hint("shuffle_hash"), keys, "left")
     ended = F.octet_length("rest") < F.lit(width)
     done = F.col("n").isNull() | ended
