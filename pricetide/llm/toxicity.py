@@ -133,9 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
 
     counts = texts.mapInArrow(document_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = counts.where(F.expr(f"n0 + n1 >= {LEAST_DOCS}") | (F.col("term") == ""))
-    both = chosen.agg(F.sum(F.expr("1 - toxic")).alias("all0"), F.sum("toxic").alias("all1"))  # one row
+    all0, all1 = (n or 0 for n in chosen.agg(F.sum(F.expr("1 - toxic")), F.sum("toxic")).first())
     chi2 = F.expr("(all0 + all1) * pow(n1 * (all0 - n0) - n0 * (all1 - n1), 2) / (all0 * all1 * (n0 + n1) * greatest(all0 + all1 - n0 - n1, 1))")
-    best = counts.crossJoin(F.broadcast(both)).where("term = '' or all0 > 0 and all1 > 0").withColumn("chi2", F.when(F.col("term") == "", F.lit(1e300)).otherwise(chi2.cast("double")))
+    if not (all0 and all1):
+        counts = counts.where(F.col("term") == "")
+    counts = counts.withColumns({"all0": F.lit(all0).cast("double"), "all1": F.lit(all1).cast("double")})
+    best = counts.withColumn("chi2", F.when(F.col("term") == "", F.lit(1e300)).otherwise(chi2.cast("double")))
     best = best.where((F.col("chi2") >= LEAST_CHI2) & ((F.col("term") == "") | (F.col("n1") >= LEAST_ODDS * F.col("n0")))).orderBy(F.desc("chi2"), "term").limit(TERMS + 1).select("term", "n0", "n1").collect()
     total = next(((r["n0"], r["n1"]) for r in best if not r["term"]), (0, 0))
     names = sorted((r["term"], r["n0"] + r["n1"]) for r in best if r["term"])
