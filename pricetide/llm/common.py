@@ -18,15 +18,25 @@ BROADCAST_IDS = 1_000_000
 _own: list[str] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+def _root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pricetide-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = _own[0]
-    return f"{base.rstrip('/')}/pricetide/{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/pricetide/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it once the results that read them are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -45,9 +55,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 ROW = "__pricetide_row"
 
 
+def row_id(docs: DataFrame) -> Column:
+    """Where a row stands in the stored table ``docs``: the same number each time the table is read in this session.
+
+    How a table is split for reading otherwise depends on the cores that are there at the time, so an executor lost between
+    two reads would shift the numbers: the least number of splits is pinned once for the session.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+    return F.monotonically_increasing_id()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW: where each row stands in the stored table. Reads of one stored table deal rows alike."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """``docs`` with ROW."""
+    return docs.withColumn(ROW, row_id(docs))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import ROW, materialize, nullable, scratch, without
+from pricetide.llm.common import ROW, materialize, nullable, row_id, scratch, without
 
 #: Bytes of the first digit, and how much wider each next one is.
 FIRST, WIDER = 64, 16
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, text: str = "text", with_uid: bool = False) ->
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2(body, 256).alias("sha"), body.alias("rest"))
+    rows = docs.select("doc_id", row_id(docs).alias("uid"), F.sha2(body, 256).alias("sha"), body.alias("rest"))
     path, width, level, parts = scratch(spark, "radix"), FIRST, 0, []
     while True:
         at = f"{path}-{level}"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import ROW, fold, materialize
+from pricetide.llm.common import ROW, fold, materialize, row_id
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base, one match after the other. Each begins where a run of its characters begins or the match before it ended, and
@@ -56,7 +56,7 @@ def _found(text: Column, kind: str, pattern: str, needs: str, wide: bool) -> tup
 def candidates(docs: DataFrame) -> DataFrame:
     """uid, learn (for fitting, not held out), wide, kind, start, end, hit, before, after for every match of every pattern."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), (fold(5) != 0).alias("learn"), text.alias("text"))
+    rows = docs.select(row_id(docs).alias("uid"), (fold(5) != 0).alias("learn"), text.alias("text"))
     sets, names = [], []
     for wide, patterns, needs in ((False, BASE, BASE_NEEDS), (True, WIDE, NEEDS)):
         for k, kind in enumerate(KINDS):
@@ -197,7 +197,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of its text replaced by ``[KIND]``; other columns as they are."""
     spans = find_spans(docs).groupBy(F.col("uid").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
     own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*own, F.monotonically_increasing_id().alias(ROW)).join(spans, ROW, "left")
+    rows = docs.select(*own, row_id(docs).alias(ROW)).join(spans, ROW, "left")
     marks = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     text = f"_c{docs.columns.index('text')}"
     cut = F.expr(
@@ -224,7 +224,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("base"), entry))).alias("own"), F.array_sort(F.collect_list(entry)).alias("whole"),
     )
     said = lambda c: F.coalesce(F.concat_ws(",", F.transform(c, lambda s: s["said"])), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id").join(per, "uid", "left")
+    rows = docs.select(row_id(docs).alias("uid"), "doc_id").join(per, "uid", "left")
     return rows.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(said("own"), 256).alias("base_sha256"), said("whole").alias("spans"), F.coalesce("n_added", F.lit(0)).cast("long").alias("n_added"))
 
 

@@ -473,3 +473,24 @@ def test_pipeline_by_stage(spark, tmp_path):
         else:
             assert ids == {r["doc_id"] for r in kept}
         kept = [r for r in kept if r["doc_id"] in ids]
+
+
+def test_blocks_find_what_pairs_find(spark, docs, monkeypatch):
+    """Lists of any length go block against block: the same components."""
+    from pricetide.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "SMALL", 1)
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "confirmed", lambda pairs, sets, percent: pairs.where("false").select("a", "b"))
+    plain = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_groups(docs, width=4).collect()) == near(plain, 4)
+
+
+def test_scratch_is_deleted(spark):
+    from pricetide.llm import common
+
+    path = common.scratch(spark, "x")
+    kept = common.materialize(spark.range(3), "y")
+    assert kept.count() == 3 and path.startswith(common._root(spark))
+    common.clean_scratch(spark)
+    assert common.materialize(spark.range(3), "y").count() == 3
