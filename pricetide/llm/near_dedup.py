@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import ROW, keep_rows, materialize, without
+from pricetide.llm.common import ROW, keep_rows, materialize, row_id, without
 from pricetide.llm.shingles import _odd, distinct, groups, sequence_key
 
 COORDINATES, MATCHES = 64, 32
@@ -51,7 +51,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             seq = pa.array([sequence_key(t.as_py()) for t in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), seq, lists], ["uid", "doc_id", "n", "seq", "sig"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    rows = docs.select(row_id(docs).alias("uid"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(tasks, "uid long, doc_id long, n long, seq binary, sig array<int>")
 
 
@@ -65,7 +65,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(counts)), lists], ["uid", "hashes"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text")
+    rows = docs.select(row_id(docs).alias("uid"), "text")
     return keep_rows(rows, wanted, "left_semi", n_wanted, "uid").select("uid", "text").mapInArrow(tasks, "uid long, hashes array<long>")
 
 
@@ -196,12 +196,14 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches:
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     first = lists.withColumn("size", size)
     pivots = first.groupBy("key", "size").agg(F.max(F.struct("pop", "uid")).alias("p")).select("key", "size", F.col("p.uid").alias("a"))
-    stars = first.join(pivots, ["key", "size"]).where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+    stars = first.join(materialize(pivots, "pivots"), ["key", "size"]).where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
     stars = materialize(stars, "stars")
     roots = components(confirmed(stars, sets, percent))
     placed = lists.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    placed = materialize(placed.join(mixed.where("lo < hi").select("key", "members"), "key"), "mixed")
+    mixed = materialize(mixed.where("lo < hi").select("key", "members"), "mixed")  # tables of their own: hot lists can be split
+    placed = materialize(placed.join(mixed, "key"), "members")
     small = placed.where(F.col("members") <= SMALL)
     other = small.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "root")])
     close = F.expr(f"root <> root2 and uid < uid2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
@@ -234,8 +236,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, matches: int
     placed = rows.select("uid", "doc_id", "n", "seq").join(joined, "seq", "left")
     placed = materialize(placed.select("uid", "doc_id", "n", "root"), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min(order).alias("m"))
-    return placed.join(least, "root", "left").select(
+    grouped, alone = placed.where("root is not null"), placed.where("root is null")
+    least = materialize(grouped.groupBy("root").agg(F.min(order).alias("m")), "least")
+    m_type = least.schema["m"].dataType
+    whole = grouped.join(least, "root").unionByName(alone.withColumn("m", F.lit(None).cast(m_type)))
+    return whole.select(
         *(["uid"] if with_uid else []),
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("m").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id")).alias("component_id"),
