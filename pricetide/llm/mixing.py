@@ -22,7 +22,7 @@ BLOCK_BYTES = 1 << 18
 #: Sources at most, slots of a period (for weights made from sizes), power of a source's size that makes its weight.
 SOURCES, PERIOD, POWER = 256, 1000, 0.7
 #: Documents of a source that one window sorts (about).
-SLICE_ROWS = 50_000
+SLICE_ROWS = 10_000
 
 
 def whole_weights(shares: dict, period: int = PERIOD) -> dict:
