@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm.common import materialize, running_sum
 
-BUCKETS, BUDGET, SLICE_ROWS = 16, 1 << 18, 50_000
+BUCKETS, BUDGET, SLICE_ROWS = 16, 1 << 18, 10_000
 #: Lengths up to 2**PRECISION have bins of their own; above, a bin is 2**-PRECISION to 2**(1-PRECISION) of its length wide.
 PRECISION = 8
 
