@@ -89,7 +89,8 @@ class ShardStore:
             folder = f"{self.path}/shards/{uuid.uuid4().hex}"
             dealt = F.broadcast(self.spark.createDataFrame([(r["shard"], r["grp"]) for r in plan], "shard string, _group long"))
             rows = self._read([r["shard"] for r in plan]).join(dealt, "shard").drop("shard")
-            rows.repartition(len({r["grp"] for r in plan}), "_group").write.option("compression", "zstd").partitionBy("_group").parquet(folder)
+            groups = max(r["grp"] for r in plan) + 1
+            rows.repartitionById(groups, F.col("_group").cast("int")).write.option("compression", "zstd").partitionBy("_group").parquet(folder)
             left = live.join(dealt, "shard", "left_anti")
             made = self._files(folder, version + 1)
             made = made.withColumn("tier", F.greatest("tier", F.lit(full + 1)))  # merged runs climb, so this ends
