@@ -1,9 +1,10 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
-The space: words, and beginnings of longer words, that the labelled texts show to go with the label (a chi-square test
-chooses them, at most TERMS). The examples' vectors form an inverted index whose posting lists are cut in blocks of BLOCK
-examples with the largest weight of each block; a search visits blocks by falling upper bound and stops when no block left
-can reach the k-th best, so the neighbours are exact. Votes are weighted by distance and calibrated by an isotonic fit on
+The space: all words, and beginnings of longer words, that stand in LEAST_DOCS labelled texts. A term weighs its idf times the
+strength of its tie to the label, either way (the root of its chi-square, LEAST_TIE at least), so none is left out and all
+examples are in the index. Posting lists are cut in blocks of BLOCK examples with the largest weight of each block; a search
+adds up the terms of highest bound first, and where the block bounds of the other terms leave few examples that can reach the
+k-th best, it works these out in full, else it adds up the other terms as well: the neighbours are exact. Votes are weighted by distance and calibrated by an isotonic fit on
 leave-one-out votes of the examples.
 """
 
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from pricetide.llm.common import fold, share
 
-#: Labelled rows learned from (about), terms of the space, examples to a block, neighbours, letters of a beginning.
-SAMPLE, TERMS, BLOCK, NEIGHBOURS, BEGINNING = 20_000, 8192, 64, 15, 5
-#: A term is used from this many documents and this chi-square on.
-LEAST_DOCS, LEAST_CHI2 = 3, 25.0
-#: ... and from this many times as many labelled 1 as 0.
-LEAST_ODDS = 2
+#: Labelled rows learned from (about), examples to a block, neighbours, letters of a beginning.
+SAMPLE, BLOCK, NEIGHBOURS, BEGINNING = 20_000, 64, 15, 5
+#: Labelled texts in which a term of the space stands at least; least weight of a term by its tie to the label.
+LEAST_DOCS, LEAST_TIE = 2, 0.1
+#: Part of the bound left when a search looks whether it can stop; examples left that it then works out one by one.
+EARLY, FEW = 0.35, 128
 NEAR = 0.05
 _words = re.compile(r"\w+").findall
 
@@ -36,48 +37,82 @@ def terms(text: str | None) -> list[str]:
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples, by term and block."""
+    """Unit TF-IDF vectors of the examples, by term and block. The lists are made where they are used; ``counts`` travel for the weights."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, rate: float):
+    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, rate: float, counts: np.ndarray | None = None):
         self.idf, self.ids, self.labels, self.rate = idf, ids, labels.astype(float), rate
-        n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        lists: list[list] = [[] for _ in idf]
-        for i, (at, weights) in enumerate(rows):
-            for t, w in zip(at, weights, strict=True):
-                lists[t].append((i, w))
-        self.largest = np.zeros((len(idf), self.blocks))
-        self.lists = []
-        for t, found in enumerate(lists):
-            at = np.array([i for i, _ in found], np.int64)
-            w = np.array([x for _, x in found])
-            np.maximum.at(self.largest[t], at // BLOCK, w)
-            self.lists.append((at, w, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)))
-        self.size = n
+        self.size = len(rows)
+        self.ends = np.cumsum([0, *[len(at) for at, _ in rows]])
+        self.terms = np.concatenate([at for at, _ in rows] or [np.zeros(0)]).astype(np.int32)
+        self.values = np.concatenate([w for _, w in rows] or [np.zeros(0)])
+        self.counts = counts
         self.steps = (np.array([0.0]), np.array([rate]))
+        self._lists()
+
+    def _lists(self):
+        n, blocks = len(self.idf), -(-self.size // BLOCK)
+        order = np.argsort(self.terms, kind="stable")
+        self.where, self.weights = np.repeat(np.arange(self.size), np.diff(self.ends))[order], self.values[order]
+        self.cut = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=n))]).astype(np.int64)
+        runs = self.terms[order].astype(np.int64) * max(1, blocks) + self.where // BLOCK
+        first = np.flatnonzero(np.diff(runs, prepend=-1))
+        self.block, self.largest = runs[first] % max(1, blocks), np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.block_cut = np.searchsorted(first, self.cut)
+        self.top = np.zeros(n)
+        np.maximum.at(self.top, runs[first] // max(1, blocks), self.largest)
+        self.query = np.zeros(n)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if (k != "values" or self.counts is None) and k not in ("where", "weights", "cut", "block", "largest", "block_cut", "top", "query")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.counts is not None:
+            w = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
+            self.values = w / np.repeat(np.sqrt(np.add.reduceat(w * w, self.ends[:-1])), np.diff(self.ends))
+        self._lists()
+
+    @staticmethod
+    def _added(cut, where, values, at, weights, size):
+        """Sum of weight times value over the lists of the terms ``at``, by place."""
+        spans = [slice(a, b) for a, b in zip(cut[at].tolist(), cut[at + 1].tolist(), strict=True)]
+        each = np.repeat(weights, cut[at + 1] - cut[at]) * np.concatenate([values[x] for x in spans])
+        return np.bincount(np.concatenate([where[x] for x in spans]), each, size)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1):
         """(example, cosine) of the k nearest with cosine over 0, ties to the earlier example."""
         if not len(at) or not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.largest[at]
+        bound = weights * self.top[at]
         order = np.argsort(-bound, kind="stable")
-        best_at, best, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or len(best) >= k and bound[b] < kth - 1e-9:
+        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+        sums, few = np.zeros(self.size), None
+        until = int(np.searchsorted(-left, -EARLY * left[0]))
+        for part, rest in ((order[:until], order[until:]), (order[until:], order[:0])):
+            if not len(part):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(at, weights, strict=True):
-                where, values, cut = self.lists[t]
-                if (lo := cut[b]) < (hi := cut[b + 1]):
-                    sums[where[lo:hi] - b * BLOCK] += w * values[lo:hi]
-            if but // BLOCK == b:
-                sums[but % BLOCK] = 0
-            hit = np.flatnonzero(sums > 0)
-            best_at, best = np.append(best_at, hit + b * BLOCK), np.append(best, sums[hit])
-            top = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[top], best[top]
-            kth = best[-1] if len(best) >= k else 0.0
-        return best_at, np.minimum(best, 1.0)
+            sums += self._added(self.cut, self.where, self.weights, at[part], weights[part], self.size)
+            if but >= 0:
+                sums[but] = 0
+            if len(rest) and self.size > k and left[until] < (kth := np.partition(sums, -k)[-k]):
+                more = self._added(self.block_cut, self.block, self.largest, at[rest], weights[rest], -(-self.size // BLOCK))
+                may = np.flatnonzero(sums + np.minimum(np.repeat(more, BLOCK)[: self.size], left[until]) >= kth - 1e-9)
+                if len(may) <= FEW:
+                    few = may
+                    break
+        if few is None:
+            kth = np.partition(sums, -k)[-k] if self.size > k else 0.0
+            few = np.flatnonzero((sums > 0) & (sums >= kth - 1e-9))
+            best = sums[few]
+        else:
+            few = few[few != but]
+            self.query[at] = weights
+            spans = [slice(a, b) for a, b in zip(self.ends[few].tolist(), self.ends[few + 1].tolist(), strict=True)]
+            best = np.array([self.query[self.terms[x]] @ self.values[x] for x in spans])
+            self.query[at] = 0
+            few, best = few[best > 0], best[best > 0]
+        top = np.lexsort((few, -np.round(best, 12)))[:k]
+        return few[top], np.minimum(best[top], 1.0)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Places without a neighbour vote as the examples without any term do."""
@@ -132,38 +167,59 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array(sizes[:1], pa.int64()), pa.array(sizes[1:], pa.int64())], ["term", "n0", "n1"])
 
     counts = texts.mapInArrow(document_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.where(F.expr(f"n0 + n1 >= {LEAST_DOCS}") | (F.col("term") == ""))
-    all0, all1 = (n or 0 for n in chosen.agg(F.sum(F.expr("1 - toxic")), F.sum("toxic")).first())
-    chi2 = F.expr("(all0 + all1) * pow(n1 * (all0 - n0) - n0 * (all1 - n1), 2) / (all0 * all1 * (n0 + n1) * greatest(all0 + all1 - n0 - n1, 1))")
-    if not (all0 and all1):
-        counts = counts.where(F.col("term") == "")
-    counts = counts.withColumns({"all0": F.lit(all0).cast("double"), "all1": F.lit(all1).cast("double")})
-    best = counts.withColumn("chi2", F.when(F.col("term") == "", F.lit(1e300)).otherwise(chi2.cast("double")))
-    best = best.where((F.col("chi2") >= LEAST_CHI2) & ((F.col("term") == "") | (F.col("n1") >= LEAST_ODDS * F.col("n0")))).orderBy(F.desc("chi2"), "term").limit(TERMS + 1).select("term", "n0", "n1").collect()
-    total = next(((r["n0"], r["n1"]) for r in best if not r["term"]), (0, 0))
-    names = sorted((r["term"], r["n0"] + r["n1"]) for r in best if r["term"])
-    vocabulary = {w: i for i, (w, _) in enumerate(names)}
-    idf = np.array([math.log((1 + sum(total)) / n) for _, n in names])
+    counts = counts.where(F.expr(f"n0 + n1 >= {LEAST_DOCS}") | (F.col("term") == "")).toArrow()  # terms of about SAMPLE texts
+    n0, n1 = (counts[c].to_numpy().astype(float) for c in ("n0", "n1"))
+    names = np.array(counts["term"].to_pylist(), object)
+    order = np.argsort(names, kind="stable")
+    names, n0, n1 = names[order], n0[order], n1[order]
+    all0, all1 = (n0[0], n1[0]) if len(names) and names[0] == "" else (0.0, 0.0)
+    names, n0, n1 = names[1:].tolist(), n0[1:], n1[1:]
+    idf = np.log((1 + all0 + all1) / (n0 + n1))
+    if all0 and all1:
+        chi2 = (all0 + all1) * (n1 * (all0 - n0) - n0 * (all1 - n1)) ** 2 / (all0 * all1 * (n0 + n1) * np.maximum(all0 + all1 - n0 - n1, 1))
+        idf = idf * np.maximum(np.sqrt(chi2), LEAST_TIE)
+    space = docs.sparkSession.sparkContext.broadcast(names)
+    held: dict[str, int] = {}
 
     def vectors(batches):
+        if not held:
+            held.update({w: i for i, w in enumerate(space.value)})
         for b in batches:
-            found = []
-            for i, text, y in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                at, w = vector(Counter(filter(vocabulary.__contains__, terms(text.as_py()))), vocabulary, idf)
-                found.append({"doc_id": i, "toxic": y, "at": at.tolist(), "w": w.tolist()})
-            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("at", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))]))
-
-    rows = sorted(texts.mapInArrow(vectors, "doc_id long, toxic int, at array<long>, w array<double>").collect(), key=lambda r: (r["at"], r["doc_id"]))
-    zero = [r["toxic"] for r in rows if not r["at"]]
-    rows = [r for r in rows if r["at"]]
+            found = [sorted((held[w], n) for w, n in Counter(filter(held.__contains__, terms(text.as_py()))).items()) for text in b.column("text")]
+            made = [pa.array([np.array([x[i] for x in row], kind).tobytes() for row in found], pa.binary()) for i, kind in ((0, ">i4"), (1, "<i4"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *made], ["doc_id", "toxic", "at", "n"])
+
+    made = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, at binary, n binary").toArrow()
+    space.destroy()
+    rows = sorted(zip(*[made[c].to_pylist() for c in ("at", "doc_id", "toxic", "n")], strict=True), key=lambda r: r[:2])
+    zero = [r[2] for r in rows if not r[0]]
+    rows = [r for r in rows if r[0]]
     rate = (sum(zero) + 0.02) / (len(zero) + 1) if zero or rows else 0.02
-    index = Index(idf, [(np.array(r["at"], np.int64), np.array(r["w"])) for r in rows], np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), rate)
+    counts = np.concatenate([np.frombuffer(r[3], "<i4") for r in rows] or [np.zeros(0, np.int32)])
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    vectors_of = ((np.frombuffer(r[0], ">i4").astype(np.int64), np.frombuffer(r[3], "<i4")) for r in rows)
+    weighed = ((at, (1 + np.log(n.astype(float))) * idf[at]) for at, n in vectors_of)
+    index = Index(idf, [(at, w / math.sqrt(float(w @ w))) for at, w in weighed], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), rate, counts)
     if rows:
-        votes = [index.vote(*index.nearest(np.array(r["at"], np.int64), np.array(r["w"]), but=i)) for i, r in enumerate(rows)]
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def alone(batches):
+            own = shared.value
+            for b in batches:
+                found = []
+                for i in b.column(0).to_pylist():
+                    span = slice(own.ends[i], own.ends[i + 1])
+                    found.append(own.vote(*own.nearest(own.terms[span].astype(np.int64), own.values[span], but=i)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+
+        voted = docs.sparkSession.range(0, len(rows), 1, -(-len(rows) // 500)).mapInArrow(alone, "id long, vote double").toArrow()
+        shared.destroy()
+        votes = np.zeros(len(rows))
+        votes[voted["id"].to_numpy()] = voted["vote"].to_numpy()
         x = np.array([*votes, index.vote(np.zeros(0, np.int64), np.zeros(0))])
-        y = np.array([*[r["toxic"] for r in rows], rate], float)
+        y = np.array([*[r[2] for r in rows], rate], float)
         index.steps = isotonic(x, y, np.array([*[1.0] * len(rows), max(1.0, len(zero))]))
-    return vocabulary, index
+    return {w: i for i, w in enumerate(names)}, index
 
 
 def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep: list[str] | None = None) -> DataFrame:
@@ -172,7 +228,7 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep:
     Null, empty and unknown texts have no neighbour and get the calibrated rate of examples without any term. Whole texts are
     read; ties of cosine go to the earlier example.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms and about SAMPLE examples
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms and vectors of about SAMPLE examples
     kept = docs.select(*[F.col(c) for c in (keep or ["doc_id"])], F.col("text").alias("_whole_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double, predicted int, evidence array<long>"
 

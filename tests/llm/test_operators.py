@@ -223,6 +223,41 @@ def test_toxicity(spark, docs, odd, none):
     assert tx.score_documents(none, model).count() == 0
 
 
+def test_toxicity_of_words_that_clean_texts_have_too(spark):
+    """Neither word passes for toxic (40 of 100 texts that have it are), both together are; no labelled text is left out."""
+    from pricetide.llm import toxicity as tx
+
+    def text(i):
+        said = "mist kerl" if i % 25 == 0 else "mist" if i % 25 in (1, 2) else "kerl" if i % 25 in (3, 4) else ""
+        return f"das {said} wort{i % 7} satz{i % 11} ende{i % 13}"
+
+    table = spark.createDataFrame([(i, text(i)) for i in range(1500)], "doc_id long, text string")
+    labels = table.selectExpr("doc_id", "cast(doc_id % 25 = 0 as int) as toxic")
+    vocabulary, index = tx.fit(table, labels.where("doc_id < 1000"))
+    assert {"mist", "kerl", "das", "wort1"} <= vocabulary.keys() and sorted(index.ids) == list(range(1000))
+    rows = tx.score_documents(table.where("doc_id >= 1000"), (vocabulary, index)).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 25 == 0) for r in rows)
+
+
+def test_block_max_search_prunes_exactly(monkeypatch):
+    from pricetide.llm import toxicity as tx
+
+    monkeypatch.setattr(tx, "FEW", 40)
+    rng = np.random.default_rng(6)
+    vocabulary, idf = {f"t{i}": i for i in range(400)}, rng.random(400) ** 4 * 9 + 0.1
+    rows = [tx.vector(Counter(rng.choice(list(vocabulary), 30).tolist()), vocabulary, idf) for _ in range(900)]
+    index = tx.Index(idf, rows, np.arange(900), rng.integers(0, 2, 900), 0.1)
+    dense = np.zeros((900, 400))
+    for i, (at, w) in enumerate(rows):
+        dense[i, at] = w
+    for i in range(100):
+        cosines = dense @ dense[i]
+        cosines[i] = 0
+        want = np.lexsort((np.arange(900), -np.round(cosines, 12)))[:15]
+        found, cosine = index.nearest(*rows[i], but=i)
+        assert list(found) == list(want) and np.allclose(cosine, cosines[want])
+
+
 # ---- 5 exact copies
 
 
