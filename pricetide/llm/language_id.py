@@ -1,23 +1,25 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 2- and 3-grams per language are summed by Spark over a bounded, labelled sample; the log-probability matrix
-(BUCKETS x languages, a fixed size) is broadcast, and batches are scored in numpy by gathering matrix rows at the hashed
+(BUCKETS x languages) is broadcast in groups of GROUP languages, and batches are scored in numpy by gathering matrix rows at the hashed
 positions and adding them up per document. Whole texts are scored; long ones in stretches.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetide.llm.common import fold, share
 
 BUCKETS = 1 << 15
 SIZES = (2, 3)
-#: Labelled documents learned from per language (about), and the most languages.
-SAMPLE, LANGUAGES = 3000, 64
+#: Labelled documents learned from per language (about), and languages counted, sent and scored at once.
+SAMPLE, GROUP = 3000, 64
 #: Code points handled at once; pseudo-count; n-grams after which more text adds no more confidence.
 STRETCH, ALPHA, ENOUGH = 1 << 20, 0.5, 60
 UND = "und"
@@ -82,15 +84,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray] |
     ``docs`` needs text, lang and doc_id. About ``sample`` rows per language are used, chosen by a hash of the id.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; raise LANGUAGES")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return None
-    names = sorted(r["lang"] for r in sizes)
+    names = sorted(sizes)
+    table = np.empty((len(names), BUCKETS))
+    for a in range(0, len(names), GROUP):
+        group = names[a : a + GROUP]
+        table[a : a + GROUP] = _log_probabilities(labelled, {s: sizes[s] for s in group}, sample)
+    return names, table
+
+
+def _log_probabilities(labelled: DataFrame, sizes: dict[str, int], sample: int) -> np.ndarray:
+    """The rows of the matrix for the languages of ``sizes``, in its order."""
+    names = list(sizes)
     chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & share(sample, r["count"], "doc_id"))
+    for lang, size in sizes.items():
+        chosen = chosen | ((F.col("lang") == lang) & share(sample, size, "doc_id"))
     index = {name: i for i, name in enumerate(names)}
 
     def tasks(batches):
@@ -110,10 +120,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray] |
     counts = np.zeros(len(names) * BUCKETS)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     counts = counts.reshape(len(names), BUCKETS) + ALPHA
-    return names, np.log(counts / counts.sum(1, keepdims=True))
+    return np.log(counts / counts.sum(1, keepdims=True))
 
 
-def score(texts: list, names: list[str], table: np.ndarray):
+def score(texts: list, names: list[str], table):
     """(predicted language, score) of each text."""
     sums, grams_of, letters = np.zeros((len(texts), len(names))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for owner, starts, points, own in stretches(texts):
@@ -139,13 +149,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep:
     go to the first language by name. Only text and the kept columns are read.
     """
     names, table = model or ([], np.zeros((0, BUCKETS)))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = [docs.sparkSession.sparkContext.broadcast(table[a : a + GROUP]) for a in range(0, len(names), GROUP)]
     kept = docs.select(*[F.col(c) for c in (keep or ["doc_id"])], F.col("text").alias("_whole_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", lang_pred string, score double"
 
     def tasks(batches):
         for b in batches:
-            langs, sure = score(b.column(b.num_columns - 1).to_pylist(), names, shared.value)
+            langs, sure = score(b.column(b.num_columns - 1).to_pylist(), names, [row for part in shared for row in part.value])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     return kept.mapInArrow(tasks, schema)
@@ -162,10 +172,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@F.pandas_udf(T.BooleanType())
+def _has_letter(texts: pd.Series) -> pd.Series:
+    """Whether a text has a letter, as ``score`` counts them."""
+    return texts.map(lambda t: any(map(str.isalpha, t or ""))).astype(bool)
+
+
 def reject_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose text has a language: ``und`` and scores under ``least`` go; the columns are those of ``docs``."""
+    """Rows of ``docs`` whose text has a language: ``und`` and scores under ``least`` go; the columns are those of ``docs``.
+
+    When nothing was learned (no row has a usable lang), texts that have a letter stay.
+    """
     model = fit(docs.where(fold(4) != 2))
     own = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], F.col("text"))
-    found = identify(rows, model, own).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    if model is None:
+        found = rows.where(_has_letter("text"))
+    else:
+        found = identify(rows, model, own).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
     return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])

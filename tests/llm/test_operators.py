@@ -183,6 +183,25 @@ def test_language_scores_are_those_of_one_pass(monkeypatch):
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
 
 
+def test_more_languages_than_a_group(spark):
+    from pricetide.llm import language_id as li
+
+    def text(k):
+        a, b = divmod(k, 10)
+        return " ".join(f"{chr(0x61 + a)}{chr(0x430 + b)}{chr(0x3B1 + a)}" for _ in range(30))
+
+    table = spark.createDataFrame([(i, text(i % 70), f"l{i % 70:02}") for i in range(700)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in li.with_language(table).collect()}
+    assert all(found[i] == f"l{i % 70:02}" for i in range(700))
+
+
+def test_without_languages_texts_with_letters_stay(spark):
+    from pricetide.llm import language_id as li
+
+    table = spark.createDataFrame([(1, "some words", None), (2, "12 !!", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in li.reject_unidentified(table).collect()) == [1, 4]
+
+
 # ---- 4 toxicity
 
 
