@@ -148,7 +148,7 @@ def envelope_pages(spark, sf_dir):
 
 @query("SELECT url, 200 AS http_status, sha256(html) AS content_hash, length(left(html, 500000)) AS kept, length(html) AS content_chars FROM pages")
 def snapshots(spark, sf_dir):
-    made = envelopes.build_snapshots(envelopes.to_envelope(table(spark, sf_dir, "pages")))
+    made = envelopes.build_snapshots(envelopes.to_envelope(table(spark, sf_dir, "pages"), whole=True))
     return made.select("url", "http_status", "content_hash", F.length("content").alias("kept"), "content_chars")
 
 

@@ -17,8 +17,11 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet", schema=Non
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def to_envelope(pages: DataFrame, mode: str = "plain") -> DataFrame:
-    """url, html -> the fetch envelope; a column of the envelope that ``pages`` has already stays as it is."""
+def to_envelope(pages: DataFrame, mode: str = "plain", whole: bool = False) -> DataFrame:
+    """url, html -> the fetch envelope; a column of the envelope that ``pages`` has already stays as it is.
+
+    html is cut to HTML_LIMIT unless ``whole``, which snapshots need: their hash is that of the whole content.
+    """
     made = {
         "title": page_title(F.col("html")),
         "text": html_to_text(F.col("html"), mode),
@@ -26,7 +29,8 @@ def to_envelope(pages: DataFrame, mode: str = "plain") -> DataFrame:
         "http_status": F.lit(200),
     }
     out = pages.withColumns({k: v for k, v in made.items() if k not in pages.columns})
-    return out.withColumn("char_count", F.length("text")).withColumn("html", F.left("html", F.lit(HTML_LIMIT)))
+    out = out.withColumn("char_count", F.length("text"))
+    return out if whole else out.withColumn("html", F.left("html", F.lit(HTML_LIMIT)))
 
 
 def build_snapshots(envelopes: DataFrame, day: str | None = None) -> DataFrame:

@@ -46,3 +46,15 @@ def test_snapshots_are_appended_by_day(spark, tmp_path):
         envelopes.write_snapshots(rows, str(tmp_path / "s"))
     back = envelopes.read_pages(spark, str(tmp_path / "s"))
     assert back.count() == 2 and {str(r["fetch_date"]) for r in back.collect()} == {"2024-01-02"}
+
+
+def test_snapshots_of_long_pages_hash_the_whole_page(spark, tmp_path):
+    from hashlib import sha256
+
+    from pricetide.queries import QUERIES
+
+    html = {"u": "<p>" + "x" * 600_000 + "a", "v": "<p>" + "x" * 600_000 + "b", "w": "<p>short"}
+    spark.createDataFrame(list(html.items()), "url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = {r["url"]: r for r in QUERIES["snapshots"](spark, str(tmp_path)).collect()}
+    for url, text in html.items():
+        assert (rows[url]["content_hash"], rows[url]["kept"], rows[url]["content_chars"]) == (sha256(text.encode()).hexdigest(), min(len(text), 500_000), len(text))
