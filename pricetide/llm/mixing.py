@@ -5,7 +5,8 @@ weights, is released at slot floor(i T / w) and due by slot ceil((i + 1) T / w);
 of earliest deadline. As the weights are whole numbers the schedule repeats every T slots, so one period of it (T entries,
 fixed by a parameter and not by the data) places any number of blocks, and at no time is a source a whole block away from its
 share. When a source ends, the others go on in the proportion of their weights: a new phase, counted from its own first slot.
-No document is left out or repeated.
+Beyond SOURCES sources the lightest share one pool: it takes part like a source, and its slots go to the blocks of its sources
+by deadline, worked out as a table. No document is left out or repeated.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import types as T
 from pricetide.llm.common import ROW, materialize, numbered, running_sum
 
 BLOCK_BYTES = 1 << 18
-#: Sources at most, slots of a period (for weights made from sizes), power of a source's size that makes its weight.
+#: Sources scheduled on the driver (the last one is the pool if there are more), slots of a period (for weights made from sizes), power of a source's size that makes its weight.
 SOURCES, PERIOD, POWER = 256, 1000, 0.7
 #: Documents of a source that one window sorts (about).
 SLICE_ROWS = 10_000
+#: Name of the pool among the sources; no source is a tuple.
+POOL = ("pool",)
 
 
 def whole_weights(shares: dict, period: int = PERIOD) -> dict:
@@ -82,31 +85,51 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     ``weights`` are whole numbers by source; without them a source weighs the POWER of its bytes. A source without a given
     weight weighs 1. Null is a source of its own. Null and empty texts have 0 bytes and fall in the block of the row before.
     A text longer than a block fills the blocks it covers and stands in the first. Ties and repeated rows each have their own
-    place. More than SOURCES sources are refused. An empty table gives an empty result.
+    place. With more than SOURCES sources,
+    release, deadline and slot of those in the pool are the pool's. An empty table gives an empty result.
     """
     keep = keep or ["doc_id", "source"]
     sized = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("source").alias("_source"), F.xxhash64("doc_id").alias("_h"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     sized = materialize(sized, "sized")
-    sizes = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes")).limit(SOURCES + 1).collect()
-    if len(sizes) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources; pool the small ones")
-    blocks = {r["_source"]: max(1, -(-r["bytes"] // block_bytes)) for r in sizes}
+    spark = docs.sparkSession
+    sizes = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"))
     if weights is None:
-        weights = whole_weights({r["_source"]: max(1, r["bytes"]) ** POWER for r in sizes}) if sizes else {}
+        sizes = sizes.withColumn("weight", F.pow(F.greatest(F.lit(1), "bytes"), F.lit(POWER)))
     else:
-        weights = {s: int(weights.get(s, 1)) for s in blocks}
-    plan = phases(weights, blocks)
+        given = spark.createDataFrame([(s, int(w)) for s, w in weights.items()], "_g string, weight long")
+        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    sizes = materialize(sizes.withColumn("blocks", F.greatest(F.lit(1), F.expr(f"(bytes + {block_bytes - 1}) div {block_bytes}"))), "sources")
+    head = sizes.orderBy(F.desc("weight"), "_source").limit(SOURCES + 1).collect()
+    pooled = len(head) > SOURCES
+    head = head[: SOURCES - 1] if pooled else head
+    blocks, shares = {r["_source"]: r["blocks"] for r in head}, {r["_source"]: r["weight"] for r in head}
+    names = spark.createDataFrame([(r["_source"],) for r in head], "_s string")
+    if pooled:
+        tail = materialize(sizes.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_s")), "left_anti"), "tail")
+        blocks[POOL], shares[POOL] = tail.agg(F.sum("blocks"), F.sum("weight")).first()
+    if weights is None:
+        shares = whole_weights(shares) if shares else {}
+    plan = phases(shares, blocks)
     entry = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "slot", "weight", "period")] + [T.StructField("slots", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_phases", T.ArrayType(entry))])
-    table = docs.sparkSession.createDataFrame([(s, found) for s, found in plan.items()], schema)  # SOURCES rows at most
-    n = max(1, -(-sum(r["rows"] for r in sizes) // SLICE_ROWS))
+    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_last", T.LongType()), T.StructField("_phases", T.ArrayType(entry))])
+    table = spark.createDataFrame([(s, blocks[s] - 1, found) for s, found in plan.items() if s is not POOL], schema)  # SOURCES rows at most
+    total_rows = sizes.agg(F.sum("rows")).first()[0] or 0
+    n = max(1, -(-total_rows // SLICE_ROWS))
     sliced = sized.withColumn("_slice", F.pmod("_h", F.lit(n)))
     placed = running_sum(sliced, ["_source"], "_slice", ["_h", *[f"_k{i}" for i in range(len(keep))], "n_bytes"], "n_bytes", "_start")
-    last = F.element_at(F.create_map(*[F.lit(x) for s, b in blocks.items() if s is not None for x in (s, b - 1)]), F.col("_source")) if any(s is not None for s in blocks) else F.lit(None).cast("long")
-    last = F.when(F.col("_source").isNull(), F.lit(blocks.get(None, 1) - 1)).otherwise(last)
-    placed = placed.withColumn("block", F.least(F.expr(f"_start div {block_bytes}"), last))
-    found = placed.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s")))
-    found = found.withColumn("_p", F.expr("element_at(filter(_phases, p -> p.block <= block), -1)")).withColumn("_i", F.expr("block - _p.block"))
+    placed = placed.withColumn("block", F.expr(f"_start div {block_bytes}"))
+    found = placed.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s")), "left" if pooled else "inner").drop("_s")
+    if pooled:
+        dealt = _dealt(tail, blocks[POOL]).select(F.col("_source").alias("_t"), F.col("block").alias("_b"), "_at")
+        ends = tail.select(F.col("_source").alias("_e"), (F.col("blocks") - 1).alias("_end"))
+        rest = found.where("_last is null").drop("_last", "_phases").join(ends, F.col("_source").eqNullSafe(F.col("_e")))
+        rest = rest.withColumn("block", F.least("block", "_end")).join(dealt, F.col("_source").eqNullSafe(F.col("_t")) & (F.col("block") == F.col("_b")))
+        shared = spark.createDataFrame([(None, None, plan[POOL])], schema).select("_phases")
+        rest = rest.drop("_e", "_end", "_t", "_b").crossJoin(F.broadcast(shared))
+        found = found.where("_last is not null").withColumn("block", F.least("block", "_last")).withColumn("_at", F.col("block")).drop("_last").unionByName(rest)
+    else:
+        found = found.withColumn("block", F.least("block", "_last")).withColumn("_at", F.col("block"))
+    found = found.withColumn("_p", F.expr("element_at(filter(_phases, p -> p.block <= _at), -1)")).withColumn("_i", F.expr("_at - _p.block"))
     return found.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "block",
         F.expr("_p.slot + _i * _p.period div _p.weight").alias("release"),
@@ -115,6 +138,15 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     )
 
 
+def _dealt(tail: DataFrame, total: int) -> DataFrame:
+    """_source, block and _at, the block of the pool it fills: blocks in order of their deadlines (block + 1) / weight."""
+    each = tail.select("_source", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    each = each.select("_source", "block", ((F.col("block") + 1) / F.col("weight")).alias("_due"), F.xxhash64("_source").alias("_h"), F.lit(1).alias("_one"))
+    order = ["_due", "_h", "_source"]
+    ranged = each.repartitionByRange(max(1, -(-total // SLICE_ROWS)), *order).withColumn("_part", F.spark_partition_id())
+    return running_sum(materialize(ranged, "pool"), [], "_part", order, "_one", "_at")
+
+
 def mixed_order(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows and columns of ``docs`` in the order of their slots: written, part files follow one another in that order."""
     slots = mix(numbered(docs), weights, block_bytes, [ROW]).select(ROW, F.col("slot").alias(f"{ROW}_slot"))

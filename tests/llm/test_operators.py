@@ -144,6 +144,21 @@ def test_mixing_follows_given_weights(spark):
         assert abs(first[:t].count("a") - t / 4) < 1
 
 
+def test_any_number_of_sources(spark):
+    from pricetide.llm.mixing import mix
+
+    docs = spark.range(1800).selectExpr("id as doc_id", "repeat('x', 100) as text", "if(id % 2 = 0, 'hot', if(id % 299 = 1, null, concat('s', id % 299))) as source")
+    for weights in (None, {"hot": 300}):
+        rows = mix(docs, weights, block_bytes=200).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(1800))
+        slots = defaultdict(set)
+        for r in rows:
+            assert r["release"] <= r["slot"] < r["deadline"]
+            slots[r["slot"]].add((r["source"], r["block"]))
+        assert all(len(s) == 1 for s in slots.values()) and set(slots) == set(range(len(slots)))
+        assert len({r["source"] for r in rows}) == 300
+
+
 def test_mixed_order_keeps_rows(spark, odd):
     from pricetide.llm.mixing import mixed_order
 
