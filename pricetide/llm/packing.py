@@ -1,9 +1,10 @@
 """Packing by optimal length buckets.
 
-A histogram of all lengths (at most a few thousand bins, whatever the input) goes to the driver, where dynamic programming
-chooses the BUCKETS upper bounds that make padding least. In a bucket of bound L a batch takes as many documents as fit the
-token budget when each is padded to L. Documents are numbered within their bucket by slices, so that no bucket, however
-full, is sorted in one task.
+The histogram of all lengths goes to the driver, where dynamic programming chooses the BUCKETS upper bounds that make padding
+least. It has a bin for each length that occurs, so the bounds are the best there are; lengths that differ add up, so a
+corpus of b bytes has at most sqrt(2 b) of them (14 million for 100 TB, were each there once). In a bucket of bound L a batch
+takes as many documents as fit the token budget when each is padded to L. Documents are numbered within their bucket by
+slices, so that no bucket, however full, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -13,35 +14,50 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import materialize, running_sum
+from pricetide.llm.common import materialize, row_id, running_sum
 
 BUCKETS, BUDGET, SLICE_ROWS = 16, 1 << 18, 10_000
-#: Lengths up to 2**PRECISION have bins of their own; above, a bin is 2**-PRECISION to 2**(1-PRECISION) of its length wide.
-PRECISION = 8
 
 
-def bin_of(length: str) -> Column:
-    step = F.expr(f"cast(greatest(0, floor(log2(greatest({length}, 1))) - {PRECISION - 1}) as int)")
-    return F.struct(step.alias("step"), F.expr(f"shiftright({length}, cast(greatest(0, floor(log2(greatest({length}, 1))) - {PRECISION - 1}) as int))").alias("at"))
+def _cheapest(cost: np.ndarray, largest: np.ndarray, docs: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each last bin j the least ``cost[i]`` + padding of bins i + 1..j in one bucket, and its i (-1 for none).
 
+    The best i never falls as j rises, so each j need only look between those of its neighbours: the middle ones of all open
+    stretches are worked out at once, then the middles of the halves.
+    """
+    n = len(largest)
+    best, cut = cost.copy(), np.full(n, -1)
+    choice, lo, hi = np.zeros(n, np.int64), np.array([1]), np.array([n - 1])
+    while len(lo):
+        mid = (lo + hi) // 2
+        left = np.where(lo > 1, choice[lo - 1], 0)
+        right = np.minimum(mid - 1, np.where(hi < n - 1, choice[np.minimum(hi + 1, n - 1)], n))
+        right = np.maximum(right, left)
+        size = right - left + 1
+        first = np.cumsum(size) - size
+        i = np.arange(size.sum()) - np.repeat(first - left, size)
+        j = np.repeat(mid, size)
+        ways = cost[i] + largest[j] * (docs[j + 1] - docs[i + 1]) - (total[j + 1] - total[i + 1])
+        least = np.minimum.reduceat(ways, first)
+        at = np.flatnonzero(ways == np.repeat(least, size))
+        choice[mid] = i[at[np.searchsorted(at, first)]]
+        better = least < best[mid]
+        best[mid[better]], cut[mid[better]] = least[better], choice[mid[better]]
+        lo, hi = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi])
+        open_ = lo <= hi
+        lo, hi = lo[open_], hi[open_]
+    return best, cut
 
-def best_bounds(largest: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds, at most ``buckets`` of them, with the least padding; bins rise in ``largest``.
 
-    cost[j] after k rounds: least padding of bins up to j in k buckets, of which the last ends at j.
-    """
+def best_bounds(largest: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
+    """Upper bounds, at most ``buckets`` of them, with the least padding of ``count`` documents of each length, lengths rising."""
     n = len(largest)
-    docs, tokens = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(total)])
-    cost = largest * docs[1:] - tokens[1:]
-    cuts = []
+    if float(largest[-1]) * float(count.sum()) >= 2.0**62:  # beyond whole numbers of 64 bits
+        largest, count = largest.astype(float), count.astype(float)
+    docs, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(largest * count)])
+    cost, cuts = largest * docs[1:] - total[1:], []
     for _ in range(min(buckets, n) - 1):
-        new, cut = cost.copy(), np.full(n, -1)
-        for j in range(1, n):
-            ways = cost[:j] + largest[j] * (docs[j + 1] - docs[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            i = int(ways.argmin())
-            if ways[i] < new[j]:
-                new[j], cut[j] = ways[i], i
-        cost = new
+        cost, cut = _cheapest(cost, largest, docs, total)
         cuts.append(cut)
     bounds, j = [], n - 1
     for cut in reversed(cuts):
@@ -54,11 +70,11 @@ def best_bounds(largest: np.ndarray, count: np.ndarray, total: np.ndarray, bucke
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, keep: list[str] | None = None, stored_order: bool = False) -> DataFrame:
     """Every row's ``keep`` columns (default doc_id) with n_tokens, bucket, bound, batch, place and padding.
 
-    ``length`` defaults to the bytes of the text, a byte-level model's tokens; null and empty texts have length 0 and are
-    packed as well. A document over the budget is a batch of its own. ``batch`` numbers the batches of a bucket from 0,
-    ``place`` the documents of a batch. Documents follow one another in a bucket by a hash of doc_id, or with
-    ``stored_order`` as they stand in the files of ``docs``. Ties and repeated rows each have a place of their own. An empty
-    table gives an empty result.
+    ``length`` is a document's number of tokens; it defaults to the bytes of the text, a byte-level model's tokens. Null and
+    empty texts have length 0 and are packed as well. A document over the budget is a batch of its own. ``batch`` numbers the
+    batches of a bucket from 0, ``place`` the documents of a batch. Documents follow one another in a bucket by a hash of
+    where they stand, or with ``stored_order`` as they stand in the files of ``docs``. Ties, repeated rows and ids that repeat
+    or are null each have a place of their own. An empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
     length = F.octet_length("text") if length is None else length
@@ -70,11 +86,10 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     except AnalysisException:  # not read from files
         at = []
     if not at:
-        rows = docs.select(*kept, n, F.lit("").alias("_f"), F.xxhash64("doc_id").alias("_h"))
+        rows = docs.select(*kept, n, F.lit("").alias("_f"), F.xxhash64(row_id(docs)).alias("_h"))
     rows = materialize(rows, "lengths")
-    found = rows.groupBy(bin_of("n_tokens").alias("bin")).agg(F.max("n_tokens").alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
-    bins = found.orderBy("largest").toArrow()
-    columns = [bins[c].to_numpy().astype(np.float64) for c in ("largest", "n", "tokens")]
+    bins = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    columns = [bins[c].to_numpy().astype(np.int64) for c in ("n_tokens", "n")]
     bounds = best_bounds(*columns, buckets) if len(bins) else [0]
     slices = max(1, -(-int(columns[1].sum()) // SLICE_ROWS))
     slice_of = F.struct("_f", F.expr(f"_h div {SLICE_ROWS}") if at else F.pmod("_h", F.lit(slices)))
