@@ -2,8 +2,9 @@
 
 Codebooks of full-dimensional vectors are learned on a bounded sample, each on what the ones before leave over. Every vector
 is encoded by a beam search over all codebooks and kept with the norm of its decoded form. A query makes one lookup table per
-codebook; table sums over the stored norm rank a block of vectors, and the best of each block are scored again on the original
-vectors in double precision. Blocks of vectors meet blocks of queries; only the few best of each meeting move on.
+codebook; table sums over the stored norm rank the codes of all vectors, block by block, and the AGAIN best of a query are
+scored again on the original vectors in double precision. Queries go in rounds of bounded size that are broadcast; a task
+scans its blocks of codes and hands on the few best of each query, so original vectors only move for those.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import materialize, share
+from pricetide.llm.common import BROADCAST_IDS, materialize, nullable, row_id, scratch, share
 
 #: Vectors learned from (about), codebooks, entries of each (at most 256), kept beams.
 SAMPLE, BOOKS, ENTRIES, BEAM = 8192, 8, 256, 8
-#: Vectors and queries of a block, and the share of a block that is scored again.
-BLOCK, QUERIES, AGAIN = 4096, 512, 256
+#: Vectors of a block, queries of a round (about), candidates of a query that are scored again.
+BLOCK, QUERIES, AGAIN = 16_384, 8192, 64
 
 
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
@@ -68,16 +69,24 @@ def learn(sample: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, seed:
     return out
 
 
-def unit(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part: not null, no null or non-finite part, not all zero."""
-    parts = F.col("embedding").cast("array<double>")
+def taking_part(vectors: DataFrame) -> DataFrame:
+    """uid (row), vec_id, dims, v (array<double>) of the vectors that are not null, hold no null or non-finite part, and aren't all zero."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = F.exists("v", lambda x: x != 0.0)
-    return vectors.select(F.col("vec_id").cast("long"), parts.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine & some)
+    rows = vectors.select(row_id(vectors).alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine & some).select("uid", "vec_id", F.size("v").alias("dims"), "v")
 
 
-def _matrix(column, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+def _matrix(lists, dims: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _by_dims(batch: pa.RecordBatch, at: int):
+    """(dims, row numbers, matrix) for each length of the vectors in column ``at``."""
+    sizes = np.diff(batch.column(at).offsets.to_numpy())
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield int(d), rows, _matrix(batch.column(at).take(pa.array(rows)), int(d))
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -85,81 +94,139 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row. Powers of two bring each row near 1 first: no digit changes, and no square over- or underflows."""
+    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(1, keepdims=True))[1]) for z in (x, y))
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` without those that can be nobody's neighbour: of equal vectors, only the k + 1 of smallest ids can.
+
+    The last id that can is found for each vector that is there more often; a hot vector's rows are cut to k + 1 in every
+    task before they are shuffled.
+    """
+    digest = [F.xxhash64("v").alias("_a"), F.xxhash64(F.lit(1), "v").alias("_b")]
+    order = Window.partitionBy("_a", "_b").orderBy("vec_id", "uid")
+    last = rows.select("vec_id", "uid", *digest).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k + 1)
+    last = materialize(last.select("_a", "_b", F.struct("vec_id", "uid").alias("_last")), "last-of-equals")
+    last = F.broadcast(last) if last.count() <= BROADCAST_IDS else last
+    return rows.select("*", *digest).join(last, ["_a", "_b"], "left").where(F.col("_last").isNull() | (F.struct("vec_id", "uid") <= F.col("_last"))).drop("_a", "_b", "_last")
+
+
+def _books(rows: DataFrame, sizes: dict[int, int]) -> dict[int, list[np.ndarray]]:
+    """Codebooks for each length of vectors, learned on about SAMPLE rows, or 64 of each length where there are many lengths."""
+    cap, chosen = max(64, SAMPLE // max(1, len(sizes))), F.lit(False)
+    for d, n in sizes.items():
+        chosen = chosen | ((F.col("dims") == d) & share(cap, n, "uid"))
+    sample = rows.where(chosen).select("uid", "v").toArrow().sort_by("uid").combine_chunks()
+    found = {d: x for b in sample.to_batches() for d, _, x in _by_dims(b, 1)}
+    return {d: learn(_scaled(x)) for d, x in found.items()}
+
+
+def _encoded(rows: DataFrame, books, blocks: dict[int, int]) -> DataFrame:
+    """dims and members (vec_id, uid, codes, norm) of each block. Lengths without a sampled vector have no codes."""
+
+    def tasks(batches):
+        for b in batches:
+            codes, norms = np.empty(b.num_rows, object), np.zeros(b.num_rows, np.float32)
+            for d, at, x in _by_dims(b, 3):
+                own = books.value.get(d, [])
+                found = np.concatenate([encode(part, own) for part in np.array_split(_scaled(x), -(-len(x) // 512))])
+                codes[at] = [c.tobytes() for c in found]
+                norms[at] = np.sqrt((sum((book[found[:, m]] for m, book in enumerate(own)), np.zeros_like(x)) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(codes, pa.binary()), pa.array(norms)], ["uid", "vec_id", "dims", "codes", "norm"])
+
+    coded = rows.select("uid", "vec_id", "dims", "v").mapInArrow(tasks, "uid long, vec_id long, dims int, codes binary, norm float")
+    n = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("dims")) if blocks else F.lit(1)
+    members = F.collect_list(F.struct("vec_id", "uid", "codes", "norm")).alias("members")  # about BLOCK rows, by hash
+    return coded.groupBy("dims", F.pmod(F.xxhash64("uid"), n).alias("block")).agg(members).select("dims", "members")
+
+
+def _best(guess, ids, uids, again):
+    if len(guess) > again:
+        some = np.flatnonzero(guess >= np.partition(guess, -again)[-again])
+        guess, ids, uids = guess[some], ids[some], uids[some]
+    top = np.lexsort((uids, ids, -guess))[:again]
+    return guess[top], ids[top], uids[top]
+
+
+def _scan(base: DataFrame, books, asked: dict[int, tuple[np.ndarray, np.ndarray]], again: int) -> DataFrame:
+    """asker, guess, vec_id, uid: each task's ``again`` best candidates of every query of one round."""
+    shared = base.sparkSession.sparkContext.broadcast(asked)  # about QUERIES vectors
+
+    def tasks(batches):
+        best: dict[int, tuple] = {}
+        for b in batches:
+            for d, members in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if d not in shared.value:
+                    continue
+                found, own = members.values, books.value.get(d, [])
+                ids, uids = found.field("vec_id").to_numpy(), found.field("uid").to_numpy()
+                codes = np.frombuffer(b"".join(found.field("codes").to_pylist()), np.uint8).reshape(len(ids), len(own)).T.copy()
+                norms = np.maximum(found.field("norm").to_numpy().astype(float), 1e-12)
+                for q_uid, q in zip(*shared.value[d], strict=True):
+                    guess = np.zeros(len(ids))
+                    for book, code in zip(own, codes, strict=True):
+                        guess += (book @ q).take(code)
+                    guess /= norms
+                    other = uids != q_uid
+                    old = best.get(q_uid)
+                    if old is not None and len(old[0]) == again:
+                        other &= guess >= old[0][-1]
+                    some = np.flatnonzero(other)
+                    new = (guess[some], ids[some], uids[some])
+                    if old is not None:
+                        new = tuple(np.concatenate(x) for x in zip(old, new, strict=True))
+                    best[q_uid] = _best(*new, again)
+        for q_uid, (guess, ids, uids) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q_uid)), pa.array(guess), pa.array(ids), pa.array(uids)], ["asker", "guess", "vec_id", "uid"])
+
+    return base.mapInArrow(tasks, "asker long, guess double, vec_id long, uid long")
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, again: int = AGAIN) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by cosine of each row whose vec_id is divisible by ``every``.
 
-    Candidates are all other rows. Null, zero and non-finite vectors take no part, nor do those whose length is not the most
-    common one. Ties go to the smaller vec_id; a query with fewer candidates returns them all. Repeated vec_ids are one row
-    (the first by vector). An empty table gives an empty result.
+    Candidates are all other rows, those that repeat a vec_id too; ties go to the smaller vec_id. Null, zero and non-finite
+    vectors take no part; vectors of another length have no cosine with a query, so each length is searched among its own.
+    Very large and very small components are exact as well. A query with fewer candidates returns them all. An empty table
+    gives an empty result; other columns are not read. ``vectors`` is a stored table: it is read several times.
     """
-    rows = unit(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = materialize(rows, "vectors")
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = common["d"] if common else 1
-    rows = rows.where(F.size("v") == dims)
-    total = common["count"] if common else 0
-    sample = rows.where(share(SAMPLE, total, "vec_id")).select("vec_id", "v").toArrow().sort_by("vec_id")
-    books = learn(_scaled(_matrix(sample["v"], dims))) if len(sample) else []
-    shared = vectors.sparkSession.sparkContext.broadcast(books)  # BOOKS x ENTRIES vectors
-    blocks, sets = max(1, -(-total // BLOCK)), max(1, -(-total // (every * QUERIES)))
-
-    def pack(batches):
-        for b in batches:
-            ids, x = b.column(1).to_numpy(), _matrix(b.column(2), dims)
-            if not len(ids):
-                continue
-            found = [encode(part, shared.value) for part in np.array_split(_scaled(x), -(-len(x) // 512))]
-            codes = np.concatenate(found)
-            norms = np.sqrt((sum(book[codes[:, m]] for m, book in enumerate(shared.value)) ** 2).sum(1))
-            made = [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), b.column(2)]
-            yield pa.RecordBatch.from_arrays(made, ["block", "vec_id", "codes", "norm", "v"])
-
-    placed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "v")
-    coded = placed.mapInArrow(pack, "block long, vec_id long, codes binary, norm double, v array<double>")
-    packed = F.sort_array(F.collect_list(F.struct("vec_id", "codes", "norm", "v"))).alias("members")  # about BLOCK rows, by hash
-    base = materialize(coded.groupBy("block").agg(packed), "blocks")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(sets)).alias("set"))
-    asked = materialize(asked.agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("asked")), "queries")
-
-    def meet(batches):
+    spark = vectors.sparkSession
+    rows = taking_part(vectors)
+    candidates = _candidates(rows, k)
+    sizes = {r["dims"]: r["count"] for r in candidates.groupBy("dims").count().collect()}  # one row a length
+    books = spark.sparkContext.broadcast(_books(candidates, sizes))  # BOOKS x ENTRIES vectors of each length
+    base = materialize(_encoded(candidates, books, {d: -(-n // BLOCK) for d, n in sizes.items()}), "codes")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    rounds = max(1, -(-asked.count() // QUERIES))
+    path = scratch(spark, "queries")
+    asked.withColumn("round", F.pmod(F.xxhash64("uid", F.lit(3)), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(path)
+    schema = nullable(asked.schema).add("round", "integer")
+    parts = []
+    for r in range(rounds):
+        part = spark.read.schema(schema).parquet(path).where(F.col("round") == r).select("uid", "v").toArrow().combine_chunks()
+        queries = {d: (b.column(0).to_numpy()[at], _scaled(x)) for b in part.to_batches() for d, at, x in _by_dims(b, 1)}
+        parts.append(materialize(_scan(base, books, queries, again), "found"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    order = Window.partitionBy("asker").orderBy(F.desc("guess"), "vec_id", "uid")
+    found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= again).select("asker", "vec_id", "uid")
+    mine = asked.select(F.col("uid").alias("asker"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    both = found.join(rows.select("uid", "v"), "uid").join(mine, "asker").select("asker", "query_id", "vec_id", "uid", "v", "q")
+
+    def score(batches):
         for b in batches:
-            for r in range(b.num_rows):
-                yield _meeting(b.column(0)[r].values, b.column(1)[r].values, shared.value, dims, k, again)
-
-    # every query set meets every block: the stated queries against all rows
-    met = base.repartition(max(1, min(blocks, 4096)), "block").join(asked.hint("broadcast") if sets <= 8 else asked, how="cross")
-    best = met.select("asked", "members").mapInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _meeting(asked: pa.StructArray, members: pa.StructArray, books: list[np.ndarray], dims: int, k: int, again: int) -> pa.RecordBatch:
-    """The k best of one block for each query of one set."""
-    q_ids, q = asked.field("vec_id").to_numpy(), _matrix(asked.field("v"), dims)
-    ids, x = members.field("vec_id").to_numpy(), _matrix(members.field("v"), dims)
-    # of equal vectors no more than k + 1 can matter, those of smallest id
-    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * dims))).ravel(), return_inverse=True)
-    order = np.lexsort((ids, same.ravel()))
-    first = np.r_[True, same.ravel()[order][1:] != same.ravel()[order][:-1]]
-    place = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
-    keep = np.sort(order[place <= k])
-    ids, x = ids[keep], x[keep]
-    codes = np.frombuffer(b"".join(members.field("codes").to_pylist()), np.uint8).reshape(-1, len(books))[keep]
-    norms = np.maximum(members.field("norm").to_numpy()[keep], 1e-12)
-    unit_q, length_q, length_x = _scaled(q), np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    out: list[tuple] = []
-    for i in range(len(q_ids)):
-        tables = [book @ unit_q[i] for book in books]
-        guess = sum(table[codes[:, m]] for m, table in enumerate(tables)) / norms
-        guess[ids == q_ids[i]] = -np.inf
-        n = min(again, len(ids))
-        near = np.sort(np.argpartition(-guess, n - 1)[:n]) if n else np.zeros(0, np.int64)
-        near = near[ids[near] != q_ids[i]]
-        score = (x[near] * q[i]).sum(1) / (length_x[near] * length_q[i])
-        for j in np.lexsort((ids[near], -score))[:k]:
-            out.append((q_ids[i], ids[near][j], score[j]))
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+            out = np.zeros(b.num_rows)
+            for d, at, x in _by_dims(b, 4):
+                out[at] = cosines(x, _matrix(b.column(5).take(pa.array(at)), d))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out)], ["asker", "query_id", "vec_id", "uid", "score"])
+
+    scored = both.mapInArrow(score, "asker long, query_id long, vec_id long, uid long, score double")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "uid")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
