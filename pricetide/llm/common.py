@@ -21,6 +21,8 @@ _own: list[str] = []
 def _root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pricetide-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -29,7 +31,8 @@ def _root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, a local folder of a
+    session without executors elsewhere (tests), an error on a cluster."""
     return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 

@@ -4,7 +4,8 @@ A source's documents form a stream of blocks of BLOCK_BYTES. Block i (from 0) of
 weights, is released at slot floor(i T / w) and due by slot ceil((i + 1) T / w); one block runs in each slot, the released one
 of earliest deadline. As the weights are whole numbers the schedule repeats every T slots, so one period of it (T entries,
 fixed by a parameter and not by the data) places any number of blocks, and at no time is a source a whole block away from its
-share. When a source ends, the others go on in the proportion of their weights: a new phase, counted from its own first slot.
+share. Weights that are no whole numbers, or too large ones, become whole numbers in proportion first. When a source ends, the
+others go on in the proportion of their weights: a new phase, counted from its own first slot.
 Beyond SOURCES sources the lightest share one pool: it takes part like a source, and its slots go to the blocks of its sources
 by deadline, worked out as a table. No document is left out or repeated.
 """
@@ -12,16 +13,19 @@ by deadline, worked out as a table. No document is left out or repeated.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.llm.common import ROW, materialize, numbered, running_sum
+from pricetide.llm.common import ROW, materialize, numbered, row_id, running_sum
 
 BLOCK_BYTES = 1 << 18
 #: Sources scheduled on the driver (the last one is the pool if there are more), slots of a period (for weights made from sizes), power of a source's size that makes its weight.
 SOURCES, PERIOD, POWER = 256, 1000, 0.7
+#: Slots of a period of given weights at most (about): beyond it they are rounded to that many.
+LONGEST = 100_000
 #: Documents of a source that one window sorts (about).
 SLICE_ROWS = 10_000
 #: Name of the pool among the sources; no source is a tuple.
@@ -39,6 +43,21 @@ def whole_weights(shares: dict, period: int = PERIOD) -> dict:
     return down
 
 
+def scheduled(shares: dict) -> dict:
+    """Given weights as whole numbers in the same proportion: exact where their period is LONGEST slots at most, else rounded to it."""
+    whole = {s: int(x) for s, x in shares.items()}
+    if all(x == shares[s] for s, x in whole.items()):
+        common = math.gcd(*whole.values())
+        if sum(whole.values()) // common <= LONGEST:
+            return {s: x // common for s, x in whole.items()}
+    for slots in (PERIOD // 10, PERIOD):  # decimal shares such as 0.3 and 0.7 come out exact
+        rounded = whole_weights(shares, slots)
+        if all(math.isclose(x * sum(shares.values()), shares[s] * sum(rounded.values()), rel_tol=1e-9) for s, x in rounded.items()):
+            common = math.gcd(*rounded.values())
+            return {s: x // common for s, x in rounded.items()}
+    return whole_weights(shares, LONGEST)
+
+
 def period(weights: dict) -> dict:
     """source -> the slots of one period in which its blocks run: earliest deadline first among released blocks."""
     slots, names = sum(weights.values()), sorted(weights, key=str)
@@ -82,22 +101,25 @@ def phases(weights: dict, blocks: dict) -> dict:
 def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Every row's ``keep`` columns (default doc_id, source) with n_bytes, block, release, deadline and slot.
 
-    ``weights`` are whole numbers by source; without them a source weighs the POWER of its bytes. A source without a given
-    weight weighs 1. Null is a source of its own. Null and empty texts have 0 bytes and fall in the block of the row before.
+    ``weights`` are numbers over 0 by source, whole or not; others are refused with a ValueError. Without them a source weighs
+    the POWER of its bytes. A source without a given weight weighs as the least given one. Null is a source of its own. Null
+    and empty texts have 0 bytes and fall in the block of the row before.
     A text longer than a block fills the blocks it covers and stands in the first. Ties and repeated rows each have their own
     place. With more than SOURCES sources,
     release, deadline and slot of those in the pool are the pool's. An empty table gives an empty result.
     """
+    if weights is not None and (not weights or not all(w is not None and math.isfinite(w) and w > 0 for w in weights.values())):
+        raise ValueError(f"target weights are finite numbers over 0, one source at least: {weights}")
     keep = keep or ["doc_id", "source"]
-    sized = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("source").alias("_source"), F.xxhash64("doc_id").alias("_h"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    sized = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("source").alias("_source"), F.xxhash64(row_id(docs)).alias("_h"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     sized = materialize(sized, "sized")
     spark = docs.sparkSession
     sizes = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.greatest(F.lit(1), "bytes"), F.lit(POWER)))
     else:
-        given = spark.createDataFrame([(s, int(w)) for s, w in weights.items()], "_g string, weight long")
-        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_g string, weight double")
+        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
     sizes = materialize(sizes.withColumn("blocks", F.greatest(F.lit(1), F.expr(f"(bytes + {block_bytes - 1}) div {block_bytes}"))), "sources")
     head = sizes.orderBy(F.desc("weight"), "_source").limit(SOURCES + 1).collect()
     pooled = len(head) > SOURCES
@@ -107,8 +129,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     if pooled:
         tail = materialize(sizes.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_s")), "left_anti"), "tail")
         blocks[POOL], shares[POOL] = tail.agg(F.sum("blocks"), F.sum("weight")).first()
-    if weights is None:
-        shares = whole_weights(shares) if shares else {}
+    if shares:
+        shares = whole_weights(shares) if weights is None else scheduled(shares)
     plan = phases(shares, blocks)
     entry = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "slot", "weight", "period")] + [T.StructField("slots", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_last", T.LongType()), T.StructField("_phases", T.ArrayType(entry))])
