@@ -2,15 +2,14 @@
 
 The space: all words, and beginnings of longer words, that stand in LEAST_DOCS labelled texts. A term weighs its idf times the
 strength of its tie to the label, either way (the root of its chi-square, LEAST_TIE at least), so none is left out and all
-examples are in the index. Posting lists are cut in blocks of BLOCK examples with the largest weight of each block; a search
-adds up the terms of highest bound first, and where the block bounds of the other terms leave few examples that can reach the
-k-th best, it works these out in full, else it adds up the other terms as well: the neighbours are exact. Votes are weighted by distance and calibrated by an isotonic fit on
-leave-one-out votes of the examples.
+examples are in the index. Examples are cut in blocks of BLOCK, and each frequent term has the largest weight of each block.
+A search adds up the lists of the other terms; what the frequent ones can add to a block at most follows from the block
+maxima, so their lists are only added up in blocks that can still reach the k-th best: the neighbours are exact. Votes are
+weighted by distance and calibrated by an isotonic fit on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -22,11 +21,11 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import fold, share
 
 #: Labelled rows learned from (about), examples to a block, neighbours, letters of a beginning.
-SAMPLE, BLOCK, NEIGHBOURS, BEGINNING = 20_000, 64, 15, 5
+SAMPLE, BLOCK, NEIGHBOURS, BEGINNING = 6_000, 64, 15, 5
 #: Labelled texts in which a term of the space stands at least; least weight of a term by its tie to the label.
 LEAST_DOCS, LEAST_TIE = 2, 0.1
-#: Part of the bound left when a search looks whether it can stop; examples left that it then works out one by one.
-EARLY, FEW = 0.35, 128
+#: Terms in more than one of so many examples are frequent; texts searched at once; blocks that set the first k-th best.
+FREQUENT, TEXTS, FIRST = 32, 64, 6
 NEAR = 0.05
 _words = re.compile(r"\w+").findall
 
@@ -36,101 +35,116 @@ def terms(text: str | None) -> list[str]:
     return words + [w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING]
 
 
+def vector(counts: Counter, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of the vocabulary, rising, and how often each stands in the text."""
+    found = sorted((vocabulary[w], n) for w, n in counts.items() if w in vocabulary)
+    return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
 class Index:
-    """Unit TF-IDF vectors of the examples, by term and block. The lists are made where they are used; ``counts`` travel for the weights."""
+    """Unit vectors of the examples, by term and block. The lists are made where they are used; term numbers and counts travel."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, rate: float, counts: np.ndarray | None = None):
-        self.idf, self.ids, self.labels, self.rate = idf, ids, labels.astype(float), rate
-        self.size = len(rows)
+    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, rate: float):
+        self.idf, self.rate, self.size = idf, rate, len(rows)
+        self.ids, self.labels = np.asarray(ids, np.int64), np.asarray(labels, float)
         self.ends = np.cumsum([0, *[len(at) for at, _ in rows]])
         self.terms = np.concatenate([at for at, _ in rows] or [np.zeros(0)]).astype(np.int32)
-        self.values = np.concatenate([w for _, w in rows] or [np.zeros(0)])
-        self.counts = counts
+        counts = np.concatenate([n for _, n in rows] or [np.zeros(0, np.int64)])
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
         self.steps = (np.array([0.0]), np.array([rate]))
         self._lists()
 
-    def _lists(self):
-        n, blocks = len(self.idf), -(-self.size // BLOCK)
-        order = np.argsort(self.terms, kind="stable")
-        self.where, self.weights = np.repeat(np.arange(self.size), np.diff(self.ends))[order], self.values[order]
-        self.cut = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=n))]).astype(np.int64)
-        runs = self.terms[order].astype(np.int64) * max(1, blocks) + self.where // BLOCK
-        first = np.flatnonzero(np.diff(runs, prepend=-1))
-        self.block, self.largest = runs[first] % max(1, blocks), np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.block_cut = np.searchsorted(first, self.cut)
-        self.top = np.zeros(n)
-        np.maximum.at(self.top, runs[first] // max(1, blocks), self.largest)
-        self.query = np.zeros(n)
+    _travels = ("idf", "rate", "size", "ids", "labels", "ends", "terms", "counts", "steps")
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if (k != "values" or self.counts is None) and k not in ("where", "weights", "cut", "block", "largest", "block_cut", "top", "query")}
+        return {k: self.__dict__[k] for k in self._travels}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        if self.counts is not None:
-            w = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
-            self.values = w / np.repeat(np.sqrt(np.add.reduceat(w * w, self.ends[:-1])), np.diff(self.ends))
         self._lists()
 
-    @staticmethod
-    def _added(cut, where, values, at, weights, size):
-        """Sum of weight times value over the lists of the terms ``at``, by place."""
-        spans = [slice(a, b) for a, b in zip(cut[at].tolist(), cut[at + 1].tolist(), strict=True)]
-        each = np.repeat(weights, cut[at + 1] - cut[at]) * np.concatenate([values[x] for x in spans])
-        return np.bincount(np.concatenate([where[x] for x in spans]), each, size)
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1):
-        """(example, cosine) of the k nearest with cosine over 0, ties to the earlier example."""
-        if not len(at) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights * self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-        sums, few = np.zeros(self.size), None
-        until = int(np.searchsorted(-left, -EARLY * left[0]))
-        for part, rest in ((order[:until], order[until:]), (order[until:], order[:0])):
-            if not len(part):
-                break
-            sums += self._added(self.cut, self.where, self.weights, at[part], weights[part], self.size)
-            if but >= 0:
-                sums[but] = 0
-            if len(rest) and self.size > k and left[until] < (kth := np.partition(sums, -k)[-k]):
-                more = self._added(self.block_cut, self.block, self.largest, at[rest], weights[rest], -(-self.size // BLOCK))
-                may = np.flatnonzero(sums + np.minimum(np.repeat(more, BLOCK)[: self.size], left[until]) >= kth - 1e-9)
-                if len(may) <= FEW:
-                    few = may
-                    break
-        if few is None:
-            kth = np.partition(sums, -k)[-k] if self.size > k else 0.0
-            few = np.flatnonzero((sums > 0) & (sums >= kth - 1e-9))
-            best = sums[few]
-        else:
-            few = few[few != but]
-            self.query[at] = weights
-            spans = [slice(a, b) for a, b in zip(self.ends[few].tolist(), self.ends[few + 1].tolist(), strict=True)]
-            best = np.array([self.query[self.terms[x]] @ self.values[x] for x in spans])
-            self.query[at] = 0
-            few, best = few[best > 0], best[best > 0]
-        top = np.lexsort((few, -np.round(best, 12)))[:k]
-        return few[top], np.minimum(best[top], 1.0)
+    def _lists(self):
+        n, t, w = self.size, self.terms, (1 + np.log(np.maximum(self.counts, 1).astype(float))) * self.idf[self.terms]
+        own = np.repeat(np.arange(n), np.diff(self.ends))
+        w = w / np.sqrt(np.bincount(own, w * w, n))[own]
+        often = np.bincount(t, minlength=len(self.idf)) > max(1, n / FREQUENT)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)  # of a frequent term in ``whole``
+        mass = np.bincount(own, np.where(often[t], w * w, 0.0), n)
+        self.order = np.argsort(-mass, kind="stable")  # alike in frequent terms, so that block maxima say something
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.named, self.marked = self.ids[self.order], self.labels[self.order]
+        self.place = place
+        self.whole = np.zeros((int(often.sum()), n))
+        self.whole[self.row[t[often[t]]], place[own[often[t]]]] = w[often[t]]
+        self.starts = np.arange(0, n, BLOCK)
+        self.largest = np.maximum.reduceat(self.whole, self.starts, axis=1) if n else self.whole
+        rare = np.flatnonzero(~often[t])
+        rare = rare[np.argsort(t[rare], kind="stable")]
+        self.where, self.weights = place[own[rare]], w[rare]
+        self.cut = np.concatenate([[0], np.cumsum(np.bincount(t[rare], minlength=len(self.idf)))])
+
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts.astype(float))) * self.idf[at]
+        norm = float(np.sqrt(w @ w))
+        return w / norm if norm else w
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        span = slice(self.ends[i], self.ends[i + 1])
+        return self.terms[span].astype(np.int64), self.counts[span].astype(np.int64)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None):
+        """(places, cosines) of each text's k nearest examples with a cosine over 0, ties to the smaller id; ``but``: an example to leave out for each."""
+        m, n = len(texts), self.size
+        if not n or not m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        at = np.concatenate([t for t, _ in texts]).astype(np.int64)
+        w = np.concatenate([self.unit(t, c) for t, c in texts])
+        text = np.repeat(np.arange(m), [len(t) for t, _ in texts])
+        row = self.row[at]
+        asked = np.zeros((m, len(self.whole)))
+        asked[text[row >= 0], row[row >= 0]] = w[row >= 0]
+        at, w, text = at[row < 0], w[row < 0], text[row < 0]
+        long = self.cut[at + 1] - self.cut[at]
+        entry = np.repeat(self.cut[at] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        sums = np.bincount(np.repeat(text * n, long) + self.where[entry], np.repeat(w, long) * self.weights[entry], m * n).astype(float, copy=False).reshape(m, n)
+        out = None if but is None else (np.arange(m), self.place[np.array(but)])
+        if out:
+            sums[out] = 0.0
+        bound = asked @ self.largest + np.maximum.reduceat(sums, self.starts, axis=1)
+        still = np.ones(bound.shape, bool)
+        first = np.argsort(-bound, axis=1)[:, :FIRST]
+        due = np.zeros(bound.shape, bool)
+        due[np.arange(m)[:, None], first] = True
+        kth = np.zeros(m)
+        for last in (False, True):
+            if last:
+                if n > k:
+                    kth = np.partition(sums, n - k, axis=1)[:, n - k]
+                due = still & (bound >= kth[:, None] - 1e-9)
+            for b in np.flatnonzero(due.any(0)):
+                rows, span = np.flatnonzero(due[:, b]), slice(self.starts[b], self.starts[b] + BLOCK)
+                sums[rows, span] += asked[rows] @ self.whole[:, span]
+            still &= ~due
+            if out:
+                sums[out] = 0.0
+        found = []
+        kth = np.partition(sums, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
+        for one, least in zip(sums, kth, strict=True):
+            few = np.flatnonzero((one > 0) & (one >= least - 1e-11))
+            top = few[np.lexsort((self.named[few], -np.round(one[few], 12)))[:k]]
+            found.append((top, np.minimum(one[top], 1.0)))
+        return found
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Places without a neighbour vote as the examples without any term do."""
         w, none = 1 / (NEAR + 1 - cosine), (NEIGHBOURS - len(found)) / (NEAR + 1)
-        return float((w @ self.labels[found] + none * self.rate) / (w.sum() + none))
+        return float((w @ self.marked[found] + none * self.rate) / (w.sum() + none))
 
     def calibrated(self, vote) -> np.ndarray:
         return np.clip(np.interp(vote, *self.steps), 0.0, 1.0)
 
 
-def vector(counts: Counter, vocabulary: dict[str, int], idf: np.ndarray):
-    found = sorted((vocabulary[w], n) for w, n in counts.items())
-    at = np.array([t for t, _ in found], np.int64)
-    w = (1 + np.log(np.array([n for _, n in found], float))) * idf[at] if found else np.zeros(0)
-    norm = math.sqrt(float(w @ w))
-    return at, w / norm if norm else w
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray):
     """Rising steps closest to y by weight, as points to interpolate between."""
     order = np.argsort(x, kind="stable")
@@ -195,22 +209,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     zero = [r[2] for r in rows if not r[0]]
     rows = [r for r in rows if r[0]]
     rate = (sum(zero) + 0.02) / (len(zero) + 1) if zero or rows else 0.02
-    counts = np.concatenate([np.frombuffer(r[3], "<i4") for r in rows] or [np.zeros(0, np.int32)])
-    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-    vectors_of = ((np.frombuffer(r[0], ">i4").astype(np.int64), np.frombuffer(r[3], "<i4")) for r in rows)
-    weighed = ((at, (1 + np.log(n.astype(float))) * idf[at]) for at, n in vectors_of)
-    index = Index(idf, [(at, w / math.sqrt(float(w @ w))) for at, w in weighed], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), rate, counts)
+    index = Index(idf, [(np.frombuffer(r[0], ">i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows], [r[2] for r in rows], rate)
     if rows:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def alone(batches):
             own = shared.value
             for b in batches:
-                found = []
-                for i in b.column(0).to_pylist():
-                    span = slice(own.ends[i], own.ends[i + 1])
-                    found.append(own.vote(*own.nearest(own.terms[span].astype(np.int64), own.values[span], but=i)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+                ids, votes = b.column(0).to_pylist(), []
+                for a in range(0, len(ids), TEXTS):
+                    part = ids[a : a + TEXTS]
+                    votes += [own.vote(*found) for found in own.nearest([own.example(i) for i in part], but=part)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
 
         voted = docs.sparkSession.range(0, len(rows), 1, -(-len(rows) // 500)).mapInArrow(alone, "id long, vote double").toArrow()
         shared.destroy()
@@ -236,12 +246,12 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep:
         vocabulary, index = shared.value
         known = vocabulary.__contains__
         for b in batches:
-            votes, evidence = [], []
-            for text in b.column(b.num_columns - 1):
-                at, w = vector(Counter(filter(known, terms(text.as_py()))), vocabulary, index.idf)
-                found, cosine = index.nearest(at, w)
-                votes.append(index.vote(found, cosine))
-                evidence.append(index.ids[found].tolist())
+            texts, votes, evidence = b.column(b.num_columns - 1), [], []
+            for a in range(0, len(texts), TEXTS):
+                part = [vector(Counter(filter(known, terms(text.as_py()))), vocabulary) for text in texts[a : a + TEXTS]]
+                found = index.nearest(part)
+                votes += [index.vote(*f) for f in found]
+                evidence += [index.named[places].tolist() for places, _ in found]
             scores = index.calibrated(np.array(votes))
             made = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "score", "predicted", "evidence"])
