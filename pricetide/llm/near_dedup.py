@@ -1,16 +1,17 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Each document is posted under its (coordinate, value) pairs. Pairs at the similarity asked for agree in at least MATCHES of
+Each document is posted under its (coordinate, value) pairs. Pairs at the similarity asked for collide in at least MATCHES of
 COORDINATES coordinates (all but 2 in 10^8 of them at a similarity of exactly 0.8), so a document with fewer than MATCHES
 postings that any other document shares has no partner, and of the s it shares, only the s - MATCHES + 1 rarest are needed:
-two documents that agree often enough meet under one of those (prefix filter over a global order of rarity). Candidates are
-confirmed on the full shingle sets.
+two documents that collide often enough meet under one of those (prefix filter over a global order of rarity). For documents
+that meet, the collisions of the whole signatures are counted, a stretch of coordinates at a time; a pair that can no longer
+reach MATCHES is skipped. Pairs that reach it are confirmed on the full shingle sets.
 
 Documents with one word sequence are represented by one of them. Within a list, every member is first compared with the list's
-most typical one of about its size (the one whose postings most documents share). Then only members that are still in
-different components are compared: pair by pair in lists of up to SMALL members, and, where lists are longer, block against
-block over whatever such lists connect, by a product of incidence matrices inside the task, of which only links that join two
-components are returned. A group of thousands of near copies so costs rows in proportion to its members, not to its pairs.
+most typical one of about its size (the one whose postings most documents share). Then only members of lists that are still
+in different components are compared, inside tasks: a list's members are packed in blocks with their signatures, and only
+pairs that reach MATCHES leave the task. Of these, one for each two components comes first and the others follow if it fails.
+A group of thousands of near copies so costs rows in proportion to its members, not to its pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pricetide.llm.common import ROW, keep_rows, materialize, row_id, without
 from pricetide.llm.shingles import _odd, distinct, groups, sequence_key
 
 COORDINATES, MATCHES = 64, 32
-#: Members of a list whose pairs are made as rows; members of a block; shingles multiplied at once.
-SMALL, BLOCK, COLUMNS = 32, 256, 8192
+#: Members of a block, coordinates compared before pairs are skipped, pairs compared at once.
+BLOCK, STRIDE, AT_ONCE = 256, 16, 1 << 18
 _TURNS = _odd(COORDINATES)
 
 
@@ -120,72 +121,111 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("root")).union(roots)
 
 
-def _links(left: pa.StructArray, right: pa.StructArray, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links between two blocks, as few as join the same components."""
-    ids, roots, sets = [], [], []
-    for part in (left, right):
-        ids.append(part.field("uid").to_numpy())
-        roots.append(part.field("root").to_numpy())
-        lists = part.field("hashes")
-        sets.append((lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())))
-    n, m = len(ids[0]), len(ids[1])
-    tokens, where = np.unique(np.concatenate([sets[0][0], sets[1][0]]), return_inverse=True)
-    cut = len(sets[0][0])
-    a, b = where[:cut], where[cut:]
-    both = np.flatnonzero((np.bincount(a, minlength=len(tokens)) > 0) & (np.bincount(b, minlength=len(tokens)) > 0))
-    place = np.full(len(tokens), -1)
-    place[both] = np.arange(len(both))
-    rows_a, rows_b = np.repeat(np.arange(n), sets[0][1]), np.repeat(np.arange(m), sets[1][1])
-    common = np.zeros((n, m), np.float32)  # counts below 2^24: exact
-    for at in range(0, len(both), COLUMNS):
-        x, y = np.zeros((n, COLUMNS), np.float32), np.zeros((m, COLUMNS), np.float32)
-        for grid, rows, tok in ((x, rows_a, place[a]), (y, rows_b, place[b])):
-            inside = (tok >= at) & (tok < at + COLUMNS)
-            grid[rows[inside], tok[inside] - at] = 1
-        common += x @ y.T
-    common = np.rint(common).astype(np.int64)
-    union = sets[0][1][:, None] + sets[1][1][None, :] - common
-    hit = (100 * common >= percent * union) & (roots[0][:, None] != roots[1][None, :])
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while (p := parent.get(x, x)) != x:
-            x = p
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        p, q = find(int(roots[0][i])), find(int(roots[1][j]))
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((int(ids[0][i]), int(ids[1][j])))
+def collisions(left: np.ndarray, right: np.ndarray, matches: int) -> np.ndarray:
+    """How many coordinates collide, row by row; -1 where it is less than ``matches``.
+
+    After each stretch of coordinates the rows that can't reach ``matches`` with all that are left are skipped.
+    """
+    out, alive, counts = np.full(len(left), -1), np.arange(len(left)), np.zeros(len(left), np.int64)
+    for at in range(0, COORDINATES, STRIDE):
+        counts = counts + (left[alive, at : at + STRIDE] == right[alive, at : at + STRIDE]).sum(1)
+        may = counts + COORDINATES - min(at + STRIDE, COORDINATES) >= matches
+        alive, counts = alive[may], counts[may]
+    out[alive] = counts
     return out
 
 
-def block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components in lists of more than SMALL members; ``placed``: key, uid, root.
+def collided(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) with ``matches`` collisions or more."""
+    left, right = (reps.select(F.col("uid").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(same >= matches).select("a", "b")
+
+
+class _Members:
+    """The columns of packed members."""
+
+    def __init__(self, packed: pa.StructArray):
+        self.uid, self.root, self.n, self.open = (packed.field(c).to_numpy(zero_copy_only=False) for c in ("uid", "root", "n", "open"))
+        self.sig = packed.field("sig").flatten().to_numpy().reshape(-1, COORDINATES)
+
+
+def _reach(left: _Members, right: _Members, i: np.ndarray, j: np.ndarray, percent: int, matches: int):
+    """(a, b, root of a, root of b, collisions) of the pairs of rows i, j that are in two components, near in size, and collide often enough."""
+    n, m = left.n[i], right.n[j]
+    fine = (left.root[i] != right.root[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j = i[fine], j[fine]
+    count = collisions(left.sig[i], right.sig[j], matches)
+    i, j, count = i[count >= 0], j[count >= 0], count[count >= 0]
+    turn = left.root[i] > right.root[j]
+    ends = [np.where(turn, y, x) for x, y in ((left.uid[i], right.uid[j]), (right.uid[j], left.uid[i]), (left.root[i], right.root[j]), (right.root[j], left.root[i]))]
+    return [*ends, count]
+
+
+def _one_for_two(found: list[np.ndarray]) -> list[np.ndarray]:
+    """For each two components the pair that collides most."""
+    order = np.lexsort((found[1], found[0], -found[4], found[3], found[2]))
+    found = [x[order] for x in found]
+    first = np.r_[True, (found[2][1:] != found[2][:-1]) | (found[3][1:] != found[3][:-1])][: len(order)]
+    return [x[first] for x in found]
 
-    Lists that share members form a cluster. In each, the members outside its largest component meet all members, in blocks.
+
+def met(lists: DataFrame, roots: DataFrame, reps: DataFrame, percent: int, matches: int, one_for_two: bool) -> DataFrame:
+    """a, b, ra, rb, c: pairs under one key in two components that collide ``matches`` times or more; with ``one_for_two`` at least one for each two components of a task.
+
+    Lists inside one component are left alone. Of a list of more than BLOCK members, those outside its largest component
+    meet all of them, block by block.
     """
-    hubs = placed.groupBy("key").agg(F.min("uid").alias("a"))
-    clusters = components(placed.join(hubs, "key").where("uid <> a").select("a", F.col("uid").alias("b")))
-    members = placed.select("uid", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "uid")
-    by_root = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
-    sizes = by_root.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"))
-    members = members.join(sizes, "cluster").withColumn("blocks", F.expr(f"(total + {BLOCK - 1}) div {BLOCK}"))
-    members = members.withColumn("block", F.expr("pmod(xxhash64(uid), blocks)")).withColumn("open", F.col("root") != F.col("top.root"))
-    members = materialize(members.join(sets, "uid").select("cluster", "block", "blocks", "open", F.struct("uid", "root", "hashes").alias("m")), "members")
-    packed = members.groupBy("cluster", "block").agg(F.collect_list("m").alias("right"))  # about BLOCK members, by hash
-    asked = members.where("open").groupBy("cluster", F.col("block").alias("own"), "blocks").agg(F.collect_list("m").alias("left"))
+    placed = lists.select("key", "uid", "n").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    placed = materialize(placed, "placed")
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("roots"))
+    sizes = sizes.where("roots > 1").select("key", F.col("top.root").alias("top"), F.expr(f"(total + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    sizes = materialize(sizes, "mixed")  # a table of its own, so that the join can split a hot list's rows
+    members = placed.join(sizes, "key").withColumn("block", F.expr("pmod(xxhash64(uid), blocks)")).withColumn("open", F.col("root") != F.col("top"))
+    members = members.join(reps.select("uid", "sig"), "uid").select("key", "block", "blocks", "open", F.struct("uid", "root", "n", "open", "sig").alias("m"))
+    members = materialize(members, "members")
+    packed = members.groupBy("key", "block", "blocks").agg(F.collect_list("m").alias("right"))  # about BLOCK members, by hash
+    asked = members.where("open and blocks > 1").groupBy("key", F.col("block").alias("own"), "blocks").agg(F.collect_list("m").alias("left"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    names = ["a", "b", "ra", "rb", "c"]
+
+    def said(found: list[np.ndarray]) -> pa.RecordBatch:
+        found = _one_for_two(found) if one_for_two else found
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
 
-    def meet(batches):
+    def within(batches):
+        for b in batches:
+            own, ends = _Members(b.column(0).flatten()), b.column(0).offsets.to_numpy() - b.column(0).offsets[0].as_py()
+            size = np.diff(ends)
+            later = np.repeat(ends[1:], size) - np.arange(len(own.uid)) - 1  # members after each in its list
+            until, at = np.cumsum(later), 0
+            while at < len(later):
+                to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + AT_ONCE, "right")))
+                i = np.repeat(np.arange(at, to), later[at:to])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+                yield said(_reach(own, own, i, j, percent, matches))
+                at = to
+
+    def across(batches):
         for b in batches:
             for r in range(b.num_rows):
-                found = _links(b.column(0)[r].values, b.column(1)[r].values, percent)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                left, right = _Members(b.column(0)[r].values), _Members(b.column(1)[r].values)
+                i, j = (x.ravel() for x in np.indices((len(left.uid), len(right.uid))))
+                once = ~right.open[j] | (left.uid[i] < right.uid[j])
+                yield said(_reach(left, right, i[once], j[once], percent, matches))
+
+    schema = ", ".join(f"{c} long" for c in names)
+    short = packed.where("blocks = 1").select("right").mapInArrow(within, schema)
+    return short.unionByName(asked.join(packed, ["key", "block", "blocks"]).select("left", "right").mapInArrow(across, schema))
 
-    return asked.join(packed, ["cluster", "block"]).select("left", "right").mapInArrow(meet, "a long, b long")
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (uid, root) after ``links`` (ra, rb) between roots; a document alone is its own root."""
+    found = materialize(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "joined")
+    moved = found.select(F.col("uid").alias("_old"), F.col("root").alias("_new"))
+    old = roots.join(moved, F.col("root") == F.col("_old"), "left").select("uid", F.coalesce("_new", "root").alias("root"))
+    return materialize(old.unionByName(found.join(roots.select("uid"), "uid", "left_anti")), "roots")
 
 
 def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
@@ -196,27 +236,23 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches:
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     first = lists.withColumn("size", size)
     pivots = first.groupBy("key", "size").agg(F.max(F.struct("pop", "uid")).alias("p")).select("key", "size", F.col("p.uid").alias("a"))
-    stars = first.join(materialize(pivots, "pivots"), ["key", "size"]).where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    roots = components(confirmed(stars, sets, percent))
-    placed = lists.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    mixed = materialize(mixed.where("lo < hi").select("key", "members"), "mixed")  # tables of their own: hot lists can be split
-    placed = materialize(placed.join(mixed, "key"), "members")
-    small = placed.where(F.col("members") <= SMALL)
-    other = small.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "root")])
-    close = F.expr(f"root <> root2 and uid < uid2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    pairs = small.join(other, "key").where(close).select(F.col("uid").alias("a"), F.col("uid2").alias("b")).distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(pairs.join(known, ["a", "b"], "left_anti"), sets, percent)
-    large = placed.where(F.col("members") > SMALL)
-    if not large.isEmpty():
-        more = more.union(block_links(large.select("key", "uid", "root"), sets, percent))
-    more = materialize(more, "links")
-    if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
+    stars = first.join(materialize(pivots, "pivots"), ["key", "size"]).where("uid <> a").select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
+    tested = materialize(collided(stars, reps, matches), "stars")
+    roots = materialize(components(confirmed(tested, sets, percent)), "roots")
+    for one_for_two in (True, False):
+        pairs = met(lists, roots, reps, percent, matches, one_for_two)
+        if one_for_two:
+            pairs = pairs.groupBy("ra", "rb").agg(F.max(F.struct("c", "a", "b")).alias("m")).select("ra", "rb", "m.a", "m.b")
+        else:
+            pairs = pairs.select("ra", "rb", "a", "b").distinct()
+        pairs = pairs.select("ra", "rb", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select("ra", "rb").distinct()
+        roots = joined(roots, links)
+        tested = tested.unionByName(pairs.select("a", "b"))
+    return roots
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES, with_uid: bool = False) -> DataFrame:

@@ -174,6 +174,24 @@ def test_mixing_follows_given_weights(spark):
         assert abs(first[:t].count("a") - t / 4) < 1
 
 
+def test_weights_may_be_any_numbers_over_0(spark):
+    from pricetide.llm.mixing import mix, scheduled
+
+    assert scheduled({"a": 0.3, "b": 0.7}) == {"a": 3, "b": 7} and scheduled({"a": 2_000_000_000, "b": 1_000_000_000}) == {"a": 2, "b": 1}
+    assert scheduled({"a": 6, "b": 4}) == {"a": 3, "b": 2} and sum(scheduled({"a": 100_000, "b": 100_001}).values()) == 100_000
+    third = scheduled({"a": 1 / 3, "b": 1.0})
+    assert third["b"] / third["a"] == pytest.approx(3, rel=1e-4)
+    rows = spark.range(300).selectExpr("null as doc_id", "repeat('x', 100) as text", "if(id % 3 = 0, 'a', 'b') as source")
+    placed = mix(rows, {"a": 0.3, "b": 0.7}, block_bytes=1000).collect()
+    first = [s for s, _ in sorted({(r["source"], r["slot"]) for r in placed}, key=lambda r: r[1])]
+    assert len(first) == 30 and len(placed) == 300
+    for t in range(1, 28):
+        assert abs(first[:t].count("a") - 0.3 * t) < 1
+    for bad in ({"a": 0}, {"a": -1, "b": 2}, {"a": float("nan")}, {}):
+        with pytest.raises(ValueError):
+            mix(rows, bad)
+
+
 def test_any_number_of_sources(spark):
     from pricetide.llm.mixing import mix
 
@@ -250,24 +268,83 @@ def test_without_languages_texts_with_letters_stay(spark):
 # ---- 4 toxicity
 
 
-def test_block_max_search_is_exact():
-    from pricetide.llm.toxicity import Index, vector
+def tfidf(counts, idf):
+    """Unit vectors as rows of a dense matrix."""
+    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * idf
+    return w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-300)
+
+
+@pytest.mark.parametrize("power, words", [(1, 9), (4, 30), (9, 60)])
+def test_block_max_search_is_exact(power, words, monkeypatch):
+    from pricetide.llm import toxicity as tx
 
+    monkeypatch.setattr(tx, "FIRST", 1)
     rng = np.random.default_rng(5)
-    idf, rows = rng.random(40) + 0.5, []
-    vocabulary = {f"t{i}": i for i in range(40)}
-    for _ in range(500):
-        rows.append(vector(Counter(rng.choice(list(vocabulary), rng.integers(1, 9)).tolist()), vocabulary, idf))
-    index = Index(idf, rows, np.arange(500), rng.integers(0, 2, 500), 0.1)
-    dense = np.zeros((500, 40))
-    for i, (at, w) in enumerate(rows):
-        dense[i, at] = w
-    for i in range(60):
-        found, cosine = index.nearest(*rows[i])
-        all_cosines = dense @ dense[i]
-        want = np.lexsort((np.arange(500), -np.round(all_cosines, 12)))[:15]
-        want = want[all_cosines[want] > 0]
-        assert list(found) == list(want) and np.allclose(cosine, all_cosines[want])
+    idf, counts = rng.random(400) ** power * 9 + 0.1, np.zeros((900, 400), np.int64)
+    often = rng.permutation(400) ** 2.0 + 1
+    for row in counts:
+        np.add.at(row, rng.choice(400, rng.integers(1, words), p=often / often.sum()), 1)
+    counts[700:720] = counts[3]  # ties
+    rows = [(np.flatnonzero(c), c[c > 0]) for c in counts]
+    index = tx.Index(idf, rows, rng.permutation(900), rng.integers(0, 2, 900), 0.1)
+    assert 0 < len(index.whole) < 400
+    dense = tfidf(counts, idf)
+    for but in (None, list(range(64))):
+        for i, (found, cosine) in enumerate(index.nearest(rows[:64], but=but)):
+            cosines = dense @ dense[i]
+            if but:
+                cosines[i] = 0
+            want = np.lexsort((index.ids, -np.round(cosines, 12)))[:15]
+            want = want[cosines[want] > 0]
+            assert index.named[found].tolist() == index.ids[want].tolist() and np.allclose(cosine, cosines[want])
+
+
+def test_whole_toxicity_query_against_brute_force(spark, tmp_path):
+    """Fold, space, weights, neighbours, leave-one-out votes, calibration and score, each worked out plainly; labels repeat or are null."""
+    from pricetide.llm import toxicity as tx
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40)] + ["idiot", "scheusal"]
+    texts = {i: " ".join(rng.choice(words[:40], 12)) + (f" {rng.choice(words[40:])}" if i % 4 == 0 else "") for i in range(160)}
+    texts |= {160: "", 161: None, 162: "unseen nothing"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 == 0)) for i in range(100)] + [(8, 0), (None, 1), (9, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    learned = {i: y for i, y in labels[:100] if crc(i) % 5 != 0 and texts[i]}
+    seen = {i: set(tx.terms(texts[i])) for i in learned}
+    space = sorted({t for ts in seen.values() for t in ts if sum(t in o for o in seen.values()) > 1})
+    n, n1 = len(learned), sum(learned.values())
+    idf = []
+    for t in space:
+        a = sum(t in seen[i] for i in learned if not learned[i])
+        b = sum(t in seen[i] for i in learned if learned[i])
+        chi2 = n * (b * (n - n1 - a) - a * (n1 - b)) ** 2 / ((n - n1) * n1 * (a + b) * max(n - a - b, 1))
+        idf.append(math.log((1 + n) / (a + b)) * max(math.sqrt(chi2), tx.LEAST_TIE))
+    counts = {i: np.array([tx.terms(t).count(w) for w in space]) for i, t in texts.items()}
+    ids = sorted(learned)
+    examples = tfidf(np.array([counts[i] for i in ids]), np.array(idf))
+
+    def vote(i):
+        cosines = examples @ tfidf(counts[i][None], np.array(idf))[0]
+        near = [(-round(c, 12), j, c) for j, c in zip(ids, cosines, strict=True) if c > 0]
+        return sorted(near)
+
+    def voted(near):
+        near = near[: tx.NEIGHBOURS]
+        w = [1 / (1.05 - min(c, 1)) for _, _, c in near]
+        none = (tx.NEIGHBOURS - len(near)) / 1.05
+        return (sum(x * learned[j] for x, (_, j, _) in zip(w, near, strict=True)) + none * 0.02) / (sum(w) + none)
+
+    alone = [voted([r for r in vote(i) if r[1] != i]) for i in ids]
+    steps = tx.isotonic(np.array([*alone, 0.02]), np.array([*[learned[i] for i in ids], 0.02]), np.ones(len(ids) + 1))
+    rows = {r["doc_id"]: r for r in tx.op4_toxicity(spark, str(tmp_path)).collect()}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        near = vote(i)
+        assert r["held_out"] == (crc(i) % 5 == 0) and r["evidence"] == [j for _, j, _ in near[: tx.NEIGHBOURS]]
+        assert r["score"] == pytest.approx(float(np.interp(voted(near), *steps)), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
+    held = [i for i in range(160) if crc(i) % 5 == 0]
+    assert sum(rows[i]["predicted"] == int(i % 4 == 0) for i in held) >= 0.9 * len(held)
 
 
 def test_toxicity(spark, docs, odd, none):
@@ -303,25 +380,6 @@ def test_toxicity_of_words_that_clean_texts_have_too(spark):
     assert all(r["predicted"] == int(r["doc_id"] % 25 == 0) for r in rows)
 
 
-def test_block_max_search_prunes_exactly(monkeypatch):
-    from pricetide.llm import toxicity as tx
-
-    monkeypatch.setattr(tx, "FEW", 40)
-    rng = np.random.default_rng(6)
-    vocabulary, idf = {f"t{i}": i for i in range(400)}, rng.random(400) ** 4 * 9 + 0.1
-    rows = [tx.vector(Counter(rng.choice(list(vocabulary), 30).tolist()), vocabulary, idf) for _ in range(900)]
-    index = tx.Index(idf, rows, np.arange(900), rng.integers(0, 2, 900), 0.1)
-    dense = np.zeros((900, 400))
-    for i, (at, w) in enumerate(rows):
-        dense[i, at] = w
-    for i in range(100):
-        cosines = dense @ dense[i]
-        cosines[i] = 0
-        want = np.lexsort((np.arange(900), -np.round(cosines, 12)))[:15]
-        found, cosine = index.nearest(*rows[i], but=i)
-        assert list(found) == list(want) and np.allclose(cosine, cosines[want])
-
-
 # ---- 5 exact copies
 
 
@@ -403,6 +461,36 @@ def test_near_groups(spark, docs, odd, none, tmp_path):
     assert near_groups(none).count() == 0
 
 
+def test_collisions_skip_only_what_cannot_reach():
+    from pricetide.llm.near_dedup import COORDINATES, collisions
+
+    rng = np.random.default_rng(7)
+    left, right = rng.integers(0, 3, (500, COORDINATES)), rng.integers(0, 3, (500, COORDINATES))
+    right[::5] = left[::5]
+    right[::5, 20:40] = -1
+    count = (left == right).sum(1)
+    assert collisions(left, right, 24).tolist() == np.where(count >= 24, count, -1).tolist()
+
+
+def test_tiny_sets_are_linked(spark, tmp_path):
+    """Texts of 1 to 20 shingles, each with a copy that lacks or adds up to a fifth of them: none of the links is lost."""
+    from pricetide.llm.near_dedup import near_groups
+
+    rng, rows = np.random.default_rng(12), []
+    for i in range(1200):
+        n = int(rng.integers(1, 21))
+        words = [f"w{i}_{k}" for k in range(n + 3)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *[f"x{i}_{k}" for k in range(int(rng.integers(0, n // 4 + 2)))]]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_groups(spark.read.parquet(str(tmp_path / "d")), width=4).collect())
+    want = []
+    for (i, x), (j, y) in zip(rows[::2], rows[1::2], strict=True):
+        sets = shingles(x, 4), shingles(y, 4)
+        alike = 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+        want += [(i, len(sets[0]), i), (j, len(sets[1]), i if alike else j)]
+    assert found == want and sum(c != d for d, _, c in want) > 500
+
+
 def test_components(spark):
     from pricetide.llm.near_dedup import components
 
@@ -620,13 +708,13 @@ def test_pipeline_by_stage(spark, tmp_path):
         kept = [r for r in kept if r["doc_id"] in ids]
 
 
-def test_blocks_find_what_pairs_find(spark, docs, monkeypatch):
-    """Lists of any length go block against block: the same components."""
+def test_blocks_find_what_stars_find(spark, docs, monkeypatch):
+    """Without stars, all links come from the lists, block against block, one for two components first: the same components."""
     from pricetide.llm import near_dedup as nd
 
-    monkeypatch.setattr(nd, "SMALL", 1)
     monkeypatch.setattr(nd, "BLOCK", 4)
-    monkeypatch.setattr(nd, "confirmed", lambda pairs, sets, percent: pairs.where("false").select("a", "b"))
+    monkeypatch.setattr(nd, "AT_ONCE", 5)
+    monkeypatch.setattr(nd, "collided", lambda pairs, reps, matches: pairs.where("false").select("a", "b"))
     plain = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_groups(docs, width=4).collect()) == near(plain, 4)
 
