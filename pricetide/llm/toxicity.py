@@ -25,7 +25,7 @@ SAMPLE, BLOCK, NEIGHBOURS, BEGINNING = 6_000, 64, 15, 5
 #: Labelled texts in which a term of the space stands at least; least weight of a term by its tie to the label.
 LEAST_DOCS, LEAST_TIE = 2, 0.1
 #: Terms in more than one of so many examples are frequent; texts searched at once; blocks that set the first k-th best.
-FREQUENT, TEXTS, FIRST = 32, 64, 6
+FREQUENT, TEXTS, FIRST = 12, 64, 6
 NEAR = 0.05
 _words = re.compile(r"\w+").findall
 
