@@ -15,6 +15,8 @@ FRESH_SECONDS = (
     ("seekingalpha", 1800), ("wsj.com", 600), ("reuters.com", 600),
 )
 FRESH_DEFAULT = 600
+#: Characters of a chunk and of the overlap with the chunk before.
+CHUNK, OVERLAP = 12_000, 800
 #: Words that mark a price window as worth keeping.
 EXCERPT_WORDS = ("walmart", "amazon", "ebay", "best buy", "target", "osmo", "pocket", "dji")
 
@@ -73,6 +75,35 @@ def sanitize_text(text: Column) -> Column:
     return F.when(styled, F.left(F.array_join(kept, "\n"), F.lit(350_000))).otherwise(text_or_empty(text))
 
 
+def chunks(text: Column) -> Column:
+    """Overlapping chunks of a text, an array: a short text whole; else blocks between blank lines, put together up to CHUNK.
+
+    A chunk that is full closes, and its last OVERLAP characters begin the next one; blocks over CHUNK are cut in windows.
+    """
+    whole = text_or_empty(text)
+    filled = lambda chunk: F.filter(F.array(strip(chunk)), lambda c: c != "")
+    state = lambda closed, growing: F.struct(closed.alias("closed"), growing.alias("growing"))
+
+    def windows(block: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(block), F.lit(CHUNK - OVERLAP))
+        return F.transform(starts, lambda i: F.substring(block, i, F.lit(CHUNK)))
+
+    def take(s: Column, block: Column) -> Column:
+        growing, closed = s["growing"], F.concat(s["closed"], filled(s["growing"]))
+        with_it = F.concat(growing, F.lit("\n\n"), block)
+        blank = F.when(strip(growing) == "", growing).otherwise(F.lit(""))
+        return (
+            F.when(F.length(block) > CHUNK, state(F.concat(closed, windows(block)), blank))
+            .when(growing == "", state(s["closed"], block))
+            .when(F.length(with_it) <= CHUNK, state(s["closed"], with_it))
+            .otherwise(state(closed, F.concat(F.right(growing, F.lit(OVERLAP)), F.lit("\n\n"), block)))
+        )
+
+    none = state(F.array().cast("array<string>"), F.lit(""))
+    folded = F.aggregate(F.split(whole, r"\n{2,}", -1), none, take, lambda s: F.concat(s["closed"], filled(s["growing"])))
+    return F.when(F.length(whole) <= CHUNK, F.array(whole)).otherwise(folded)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"(?U)\w+"), F.lit(0))
 

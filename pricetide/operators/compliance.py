@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pricetide.functions.helpers import admit, robots_allow
+from pricetide.functions.helpers import admit
 from pricetide.functions.text import text_or_empty
 
 #: Source types and statuses that may not be used.
@@ -198,10 +199,40 @@ def admit_requests(requests: DataFrame) -> DataFrame:
     return done.withColumn("started_at", F.when(F.col("admitted"), F.col("started_at")))
 
 
+def robots_rules(texts: DataFrame, agent: str) -> DataFrame:
+    """host_key, rules (text) -> host_key, for_agent: the rules (pos, allow, path) of the group that speaks to ``agent``, in order.
+
+    The first group that names the agent counts, else the first for all agents; a host without either has none.
+    """
+    found = texts.select("host_key", F.posexplode(F.split("rules", r"\r\n|[\r\n]")).alias("pos", "line"))
+    said = F.regexp_extract_all(F.regexp_replace("line", "#.*", ""), F.lit(r"^\s*([A-Za-z-]+)\s*:\s*(.*?)\s*$"), F.lit(1))
+    told = F.regexp_extract(F.regexp_replace("line", "#.*", ""), r"^\s*[A-Za-z-]+\s*:\s*(.*?)\s*$", 1)
+    found = found.select("host_key", "pos", F.lower(F.get(said, 0)).alias("field"), told.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("host_key").orderBy("pos")
+    begins = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
+    found = found.withColumn("_begins", begins.cast("int")).withColumn("_group", F.sum("_begins").over(order))
+    is_agent = F.col("field") == "user-agent"
+    rule = F.struct("pos", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path"))
+    groups = found.where("_group > 0").groupBy("host_key", "_group").agg(
+        F.collect_set(F.when(is_agent, F.lower("value"))).alias("_agents"), F.array_sort(F.collect_list(F.when(~is_agent, rule))).alias("rules")
+    )
+    me = F.lit(agent.split("/")[0].lower())
+    named = F.exists("_agents", lambda a: (a != "*") & (a != "") & me.contains(a))
+    fit = groups.withColumn("_far", F.when(named, 0).when(F.array_contains("_agents", "*"), 1)).where("_far is not null")
+    return fit.groupBy("host_key").agg(F.min_by("rules", F.struct("_far", "_group")).alias("for_agent"))
+
+
 def robots_gate(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """url -> allowed, reason, by the rules text (host_key, rules) of its scheme and host; a missing text allows nothing."""
+    """url -> allowed, reason, by the rules text (host_key, rules) of its scheme and host; a missing text allows nothing.
+
+    The first rule whose path begins the url's path decides; without one the url is allowed.
+    """
     host = F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("AUTHORITY")))
-    rows = urls.withColumn("host_key", host).join(rules, "host_key", "left")
-    rows = rows.withColumn("_ok", robots_allow("rules", F.lit(agent), "url"))
-    reason = F.when(F.col("rules").isNull(), "robots_unavailable").when(F.col("_ok"), "allowed_by_robots").otherwise("disallowed_by_robots")
-    return rows.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "allowed_by_robots").drop("_ok", "rules")
+    rules = rules.where("rules is not null")
+    known = rules.select("host_key", F.lit(True).alias("_known")).join(robots_rules(rules, agent), "host_key", "left")
+    rows = urls.withColumn("host_key", host).join(known, "host_key", "left")
+    path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*(.*)$", 1)
+    rows = rows.withColumn("_path", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    hit = F.get(F.filter("for_agent", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])), 0)
+    reason = F.when(F.col("_known").isNull(), "robots_unavailable").when(F.coalesce(hit["allow"], F.lit(True)), "allowed_by_robots").otherwise("disallowed_by_robots")
+    return rows.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "allowed_by_robots").drop("_known", "_path", "for_agent")

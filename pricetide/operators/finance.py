@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.functions.helpers import flatten_batches
-from pricetide.functions.text import SPACE, strip, text_or_empty
+from pricetide.functions.text import SPACE, let, strip, text_or_empty
 
 #: Fields of an embedded quote.
 QUOTE_FIELDS = (
@@ -34,6 +33,10 @@ SMART = {
     "shortName": ("price.shortName", "asp.shortName", "html.shortName"),
 }
 PUBLISHER, NEWS_LIMIT, SUMMARY = "Yahoo Finance", 15, 500
+#: Fields of a wrapped value.
+WRAPPED = ("raw", "fmt", "longFmt")
+#: Objects within each other that are opened, and lists of objects within each other.
+OPENED_LEVELS, OPENED_LISTS = 12, 2
 
 
 def quote_ticker(url: Column) -> Column:
@@ -42,9 +45,63 @@ def quote_ticker(url: Column) -> Column:
     return F.upper(F.nullif(found, F.lit("")))
 
 
+def _map(v: Column) -> Column:
+    """The fields of an object; null for all else."""
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _is_wrapped(m: Column) -> Column:
+    named = F.map_keys(m)
+    return (F.size(F.array_except(named, F.array(*[F.lit(w) for w in WRAPPED]))) == 0) & (F.array_contains(named, "raw") | F.array_contains(named, "fmt"))
+
+
+def _opened(entries: Column, lists: int) -> Column:
+    """(path, v) entries of a row -> (path, JSON) of their leaves: objects opened level by level, value wrappers replaced by their value."""
+    entry = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    none = F.array().cast("array<struct<path: string, v: variant>>")
+
+    def open_one(e: Column) -> Column:
+        def of_map(m: Column) -> Column:
+            inner = F.filter(F.map_entries(m), lambda x: ~F.coalesce(F.is_variant_null(x["value"]), F.lit(True)))
+            fields = F.transform(inner, lambda x: entry(F.concat(e["path"], F.when(e["path"] == "", "").otherwise("."), x["key"]), x["value"]))
+            value = F.when(F.map_contains_key(m, "raw"), F.element_at(m, "raw")).otherwise(F.element_at(m, "fmt"))
+            return F.when(m.isNull(), F.array(e)).when(_is_wrapped(m), F.array(entry(e["path"], value))).otherwise(fields)
+
+        return let(_map(e["v"]), of_map)
+
+    levels = F.sequence(F.lit(1), F.lit(OPENED_LEVELS))
+    leaves = F.aggregate(levels, F.coalesce(entries, none), lambda acc, _: F.when(F.exists(acc, lambda e: _map(e["v"]).isNotNull()), F.flatten(F.transform(acc, open_one))).otherwise(acc))
+    return F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), _leaf(e["v"], lists).alias("json")))
+
+
+def _leaf(v: Column, lists: int) -> Column:
+    """JSON of a value. In a list of objects, an object with objects in it becomes their dot paths; its plain fields go."""
+    if not lists:
+        return F.to_json(v)
+
+    def item(x: Column) -> Column:
+        def of_map(m: Column) -> Column:
+            objects = F.filter(F.map_entries(m), lambda y: _map(y["value"]).isNotNull())
+            pairs = _opened(F.transform(objects, lambda y: F.struct(y["key"].alias("path"), y["value"].alias("v"))), lists - 1)
+            said = F.transform(pairs, lambda q: let(F.to_json(F.array(q["path"])), lambda j: F.concat(F.substring(j, F.lit(2), F.length(j) - 2), F.lit(":"), q["json"])))
+            return F.when(F.size(objects) == 0, F.to_json(x)).otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}")))
+
+        return let(_map(x), of_map)
+
+    items = F.try_variant_get(v, "$", "array<variant>")
+    of_objects = lambda a: (F.size(a) > 0) & F.forall(a, lambda x: _map(x).isNotNull())
+    return let(items, lambda a: F.when(a.isNotNull() & of_objects(a), F.concat(F.lit("["), F.array_join(F.transform(a, item), ","), F.lit("]"))).otherwise(F.to_json(v)))
+
+
 def flatten_modules(modules: DataFrame) -> DataFrame:
-    """ticker, modules (JSON) -> ticker, key, value_json for every dot path."""
-    return modules.select("ticker", "modules").mapInPandas(flatten_batches, "ticker string, key string, value_json string")
+    """ticker, modules (JSON) -> ticker, key, value_json for every dot path below the modules that are objects.
+
+    Nulls and empty objects are dropped, value wrappers give their value, lists stay one value. Objects are opened down to
+    OPENED_LEVELS within each other, lists of objects down to OPENED_LISTS; what is deeper stays JSON.
+    """
+    named = F.filter(F.map_entries(_map(F.try_parse_json("modules"))), lambda x: _map(x["value"]).isNotNull())
+    entries = F.transform(named, lambda x: F.struct(x["key"].alias("path"), x["value"].alias("v")))
+    return modules.select("ticker", F.explode(_opened(entries, OPENED_LISTS)).alias("e")).select("ticker", F.col("e.path").alias("key"), F.col("e.json").alias("value_json"))
 
 
 def _quoted(symbol: Column) -> Column:

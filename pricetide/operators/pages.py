@@ -6,33 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.functions.helpers import chunk_text
 from pricetide.functions.prices import html_price_candidates, merge_candidates, text_price_candidates
-from pricetide.functions.text import fetch_key, fresh_seconds, sanitize_text, score_words, text_or_empty
+from pricetide.functions.text import chunks, fetch_key, fresh_seconds, sanitize_text, score_words
 
 #: Chunks kept, characters of a context, candidates named in it.
 TOP_CHUNKS, CONTEXT_LIMIT, NAMED = 4, 52_000, 8
-#: What a model is told about a retailer's pages.
-PROMPT_HINTS = {
-    "walmart": "Walmart search page: find the main product listing (not accessories). Price often appears as 'Now $X.XX', in data-automation-id product-price, or embedded JSON currentPrice. Return the current selling price in USD.",
-    "ebay": "eBay search results: use Buy It Now or fixed price (s-item__price or s-card__price). Ignore auction starting bids under $5 and accessory listings. Pick the best-matching listing for the exact product. Price must be a number.",
-    "amazon": "Amazon search: use the main search result price (not sponsored accessories). Look for price whole/fraction or 'priceToPay' patterns.",
-    "bestbuy": "Best Buy search: use priceView-hero-price or current sale price for the device.",
-    "target": "Target search: use current price on the primary product card, not add-ons.",
-}
-
-
-def prompt_hint(retailer):
-    return text_or_empty(F.element_at(F.create_map(*[F.lit(x) for kv in PROMPT_HINTS.items() for x in kv]), retailer))
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, chunk_no (from 0), chunk."""
-    return docs.select(key, F.posexplode(chunk_text(F.col(text))).alias("chunk_no", "chunk"))
+    return docs.select(key, F.posexplode(chunks(F.col(text))).alias("chunk_no", "chunk"))
 
 
-def score_chunks(chunks: DataFrame, query) -> DataFrame:
-    return chunks.withColumn("score", score_words(F.col("chunk"), query))
+def score_chunks(rows: DataFrame, query) -> DataFrame:
+    return rows.withColumn("score", score_words(F.col("chunk"), query))
 
 
 def top_chunks(scored: DataFrame, key: str = "doc_id", k: int = TOP_CHUNKS) -> DataFrame:
@@ -49,7 +36,7 @@ def build_llm_context(pages: DataFrame) -> DataFrame:
     clean = sanitize_text(F.col("page_text"))
     rows = pages.withColumn("_text", clean).withColumn("candidates", merge_candidates(html_price_candidates(F.col("html"), F.col("retailer_key")), text_price_candidates(F.col("_text"))))
     asked = F.concat("query", F.lit(" price USD current now buy product "), "retailer_key", F.lit(" dollars sale discount"))
-    rows = rows.withColumn("_asked", asked).withColumn("_chunks", chunk_text(F.col("_text")))
+    rows = rows.withColumn("_asked", asked).withColumn("_chunks", chunks(F.col("_text")))
     scored = F.transform("_chunks", lambda c, i: F.struct((-score_words(c, F.col("_asked"))).alias("s"), i.alias("i"), c.alias("c")))
     best = F.slice(F.array_sort(scored), 1, TOP_CHUNKS)
     kept = F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))), lambda x: x["c"])
@@ -61,8 +48,11 @@ def build_llm_context(pages: DataFrame) -> DataFrame:
 
 
 def fresh_fetches(fetches: DataFrame, as_of: str) -> DataFrame:
-    """The newest fetch of each url (url, fetched_at, ...) that is still within its time to live at ``as_of``."""
+    """The newest fetch of each url (url, fetched_at, ...) that is still within its time to live at ``as_of``.
+
+    Of fetches of one url at one moment the one whose row is largest counts, column by column.
+    """
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("fetched_at")
     live = fetches.withColumn("fetch_key", fetch_key(F.col("url"))).where((age >= 0) & (age < fresh_seconds(F.col("url"))))
-    newest = Window.partitionBy("fetch_key").orderBy(F.desc("fetched_at"))
+    newest = Window.partitionBy("fetch_key").orderBy(F.desc("fetched_at"), *[F.desc(c) for c in fetches.columns if c not in ("url", "fetched_at")])
     return live.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")

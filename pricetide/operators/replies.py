@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions.helpers import merge_json
 from pricetide.functions.text import let, strip, text_or_empty
 
 #: Fields that a broken reply can still give.
 SALVAGED_TEXTS = ("product_name", "title", "availability", "seller")
 SALVAGED_NUMBERS = ("price", "original_price", "rating", "review_count")
+#: Objects within each other that are merged.
+MERGED_LEVELS = 5
 
 
 def salvage_reply(text: Column) -> Column:
@@ -48,10 +49,59 @@ def _outcome(clean: Column) -> Column:
     return let(tried(clean), lambda v: F.when(is_object(v), said(F.to_json(v), "direct")).when(v.isNotNull(), said(wrapped(v), "wrapped")).otherwise(inner(v)))
 
 
-def merge_partials(parts: DataFrame, key: str = "page_id") -> DataFrame:
-    """page, panel, parsed -> one merged JSON text for each page, panels in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("panel", "parsed")))
-    return parts.groupBy(key).agg(F.transform(ordered, lambda p: p["parsed"]).alias("parts")).select(key, merge_json("parts").alias("merged"))
+def _kind(v: Column) -> Column:
+    shape = F.schema_of_variant(v)
+    return F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("plain")
+
+
+def _fields(objects: DataFrame) -> DataFrame:
+    """_k, _o, _p, _v of objects -> the same of their fields. Nulls, marked fields, and objects that tell of an error are left out."""
+    failed = F.coalesce(~F.try_variant_get("_v", "$._error", "string").isin("", "0", "false"), F.lit(False))
+    told = objects.where((_kind(F.col("_v")) == "object") & ~failed)
+    found = objects.sparkSession.sql("SELECT _k, _o, concat(_p, array(t.key)) AS _p, t.key AS _n, t.value AS _v FROM {rows}, LATERAL variant_explode(_v) AS t", rows=told)
+    return found.where(~F.col("_n").startswith("_") & ~F.coalesce(F.is_variant_null("_v"), F.lit(True))).drop("_n")
+
+
+def _union(lists: Column) -> Column:
+    """JSON lists in order -> one JSON list without repeats; plain items that read the same count as repeats."""
+    items = F.flatten(F.transform(lists, lambda j: F.try_parse_json(j).try_cast("array<variant>")))
+    said = F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    first = let(said, lambda s: F.filter(F.transform(items, lambda v, i: F.when(F.array_position(s, F.get(s, i)) == i + 1, F.to_json(v))), lambda j: j.isNotNull()))
+    return F.concat(F.lit("["), F.array_join(first, ","), F.lit("]"))
+
+
+def _as_object(fields: DataFrame) -> DataFrame:
+    """_k, _p, _j of fields -> _k, _p, _j of the objects they make up, fields by name."""
+    quoted = F.to_json(F.array(F.element_at("_p", -1)))
+    pair = F.struct(F.element_at("_p", -1).alias("n"), F.concat(F.substring(quoted, 2, F.length(quoted) - 2), F.lit(":"), "_j").alias("j"))
+    rows = fields.select("_k", F.slice("_p", F.lit(1), F.size("_p") - 1).alias("_p"), pair.alias("f")).groupBy("_k", "_p").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    return rows.select("_k", "_p", F.concat(F.lit("{"), F.array_join(F.transform("f", lambda x: x["j"]), ","), F.lit("}")).alias("_j"))
+
+
+def merge_partials(parts: DataFrame, key: str = "page_id", levels: int = MERGED_LEVELS) -> DataFrame:
+    """page, panel, parsed -> one merged JSON text for each page, panels in order.
+
+    Of each field the first part that has it tells; lists of several parts unite without repeats, objects of several parts
+    merge field by field, down to ``levels`` objects within each other, below which the first part tells. Parts that aren't
+    objects or tell of an error don't count. Fields go by (page, path), so a page with many parts is no one task's work.
+    """
+    objects = parts.select(F.col(key).alias("_k"), F.struct("panel", "parsed").alias("_o"), F.array().cast("array<string>").alias("_p"), F.try_parse_json("parsed").alias("_v"))
+    told, opened = [], []
+    for level in range(levels):
+        fields = _fields(objects).withColumn("_c", _kind(F.col("_v")))
+        lists = F.array_sort(F.collect_list(F.when(F.col("_c") == "array", F.struct("_o", F.to_json("_v").alias("j")))))
+        summed = fields.groupBy("_k", "_p").agg(F.min_by("_c", "_o").alias("_c"), F.min_by(F.to_json("_v"), "_o").alias("_j"), F.count_if(F.col("_c") == "object").alias("_n"), lists.alias("_l"))
+        deeper = (F.col("_c") == "object") & (F.col("_n") > 1) & F.lit(level + 1 < levels)
+        united = F.when((F.col("_c") == "array") & (F.size("_l") > 1), _union(F.transform("_l", lambda x: x["j"]))).otherwise(F.col("_j"))
+        told.append(summed.where(~deeper).select("_k", "_p", united.alias("_j")))
+        opened.append(summed.where(deeper).select("_k", "_p"))
+        objects = fields.where(F.col("_c") == "object").join(opened[-1], ["_k", "_p"], "left_semi").drop("_c")
+    whole = told[-1]
+    for level in reversed(range(levels - 1)):
+        inner = opened[level].join(_as_object(whole), ["_k", "_p"], "left").select("_k", "_p", F.coalesce("_j", F.lit("{}")).alias("_j"))
+        whole = told[level].unionByName(inner)
+    pages = parts.select(F.col(key).alias("_k")).distinct()
+    return pages.join(_as_object(whole).drop("_p"), "_k", "left").select(F.col("_k").alias(key), F.coalesce("_j", F.lit("{}")).alias("merged"))
 
 
 def flatten_reply(replies: DataFrame, key: str = "page_id", parsed: str = "parsed", prefix: str = "vision", skip: tuple[str, ...] = ("news",)) -> DataFrame:
@@ -70,7 +120,7 @@ def flatten_reply(replies: DataFrame, key: str = "page_id", parsed: str = "parse
 def promote_aliases(flat: DataFrame, aliases: DataFrame, key: str = "page_id") -> DataFrame:
     """Rows for alias targets (src, dst, pos) that have no value yet, from the first source that has one, beside all rows."""
     have = flat.where("value is not null").select(F.col(key).alias("_k"), F.col("name").alias("_n"))
-    offered = flat.where("value is not null").join(F.broadcast(aliases), flat["name"] == aliases["src"])
+    offered = flat.where("value is not null").join(aliases, flat["name"] == aliases["src"])
     best = offered.groupBy(key, "dst").agg(F.min(F.struct("pos", "value")).alias("b"))
     fresh = best.join(have, (best[key] == have["_k"]) & (best["dst"] == have["_n"]), "left_anti").select(key, F.col("dst").alias("name"), F.col("b.value").alias("value"))
     filled = fresh.select(F.col(key).alias("_k"), F.col("name").alias("_n"))

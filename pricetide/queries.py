@@ -87,7 +87,7 @@ STRIPPED = "regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script[^>]*
 
 
 def _all(column: str, pattern: str) -> str:
-    return "regexp_extract_all({0}, '{1}', 1)".format(column, pattern.replace("'", "''").replace("\\x27", "''"))
+    return "regexp_extract_all({0}, '{1}', 1)".format(column, pattern.replace("'", "''"))
 
 
 def _concat(column: str, patterns) -> str:

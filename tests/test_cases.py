@@ -139,18 +139,25 @@ def test_excerpt(spark):
     assert one(spark, text.price_excerpt(F.col("t"), F.col("h")), t="nothing here", h=None) == "nothing here"
 
 
-def test_chunks():
+def test_chunks(spark):
+    def chunks_of(*texts):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        return [r[0] for r in rows.select(text.chunks(F.col("t")), "i").orderBy("i").collect()]
+
     rng = random.Random(1)
-    assert helpers.chunks_of("short") == ["short"] and helpers.chunks_of(None) == [""]
-    paragraphs = ["".join(rng.choice("ab ") for _ in range(rng.choice([10, 3000, 9000, 30_000]))) for _ in range(20)]
-    chunks = helpers.chunks_of("\n\n".join(paragraphs))
-    assert all(len(c) <= helpers.CHUNK + helpers.OVERLAP + 2 for c in chunks)
-    whole = "".join(chunks)
-    assert all(p.strip()[:50] in whole for p in paragraphs if p.strip())
-    long = "x" * 25_000
-    assert [len(c) for c in helpers.chunks_of(long)] == [12_000, 12_000, 2600]
-    two = "a" * 8000 + "\n\n" + "b" * 8000
-    assert helpers.chunks_of(two) == ["a" * 8000, "a" * 800 + "\n\n" + "b" * 8000]
+    assert chunks_of("short", None, "") == [["short"], [""], [""]]
+    many = ["\n\n".join("".join(rng.choice("ab ") for _ in range(rng.choice([10, 3000, 9000, 30_000]))) for _ in range(n)) for n in range(2, 20)]
+    for whole, found in zip(many, chunks_of(*many), strict=True):
+        assert all(len(c) <= text.CHUNK + text.OVERLAP + 2 for c in found)
+        joined = "".join(found)
+        assert all(p.strip()[:50] in joined for p in whole.split("\n\n") if p.strip())
+    long, two = "x" * 25_000, "a" * 8000 + "\n\n" + "b" * 8000
+    three = "a" * 7000 + "\n\n\n" + "b" * 4998 + "\n\nc"
+    found = chunks_of(long, two, three, " \n\n" + long + "\n\n \n\nend")
+    assert [len(c) for c in found[0]] == [12_000, 12_000, 2600]
+    assert found[1] == ["a" * 8000, "a" * 800 + "\n\n" + "b" * 8000]
+    assert found[2] == ["a" * 7000 + "\n\n" + "b" * 4998, "b" * 800 + "\n\nc"]
+    assert [len(c) for c in found[3]] == [12_000, 12_000, 2600, 3]
 
 
 def test_context(spark):
@@ -171,9 +178,16 @@ def test_parse_replies(spark):
     assert json.loads(out[1][1]) == {"result": [1, 2]} and json.loads(out[3][1])["product_name"] == 'x"y'
 
 
-def test_merge_replies():
+def test_merge_replies(spark):
+    def merged(*parts):
+        rows = spark.createDataFrame([(1, i, json.dumps(p) if not isinstance(p, str) else p) for i, p in enumerate(parts)], "page_id int, panel int, parsed string")
+        return json.loads(replies.merge_partials(rows).first()["merged"])
+
     parts = [{"price": None, "_raw": 1, "tags": [1], "h": {"a": 1, "b": None}}, {"_error": "x", "price": 1}, {"price": 47.41, "tags": [1, 2], "h": {"a": 2, "b": 3}}]
-    assert helpers.merge_replies(parts) == {"price": 47.41, "tags": [1, 2], "h": {"a": 1, "b": 3}}
+    assert merged(*parts) == {"price": 47.41, "tags": [1, 2], "h": {"a": 1, "b": 3}}
+    assert merged({"a": {"b": {"c": 1, "d": [1]}}}, {"a": {"b": {"c": 2, "d": [2, 1], "e": "x\"y"}}}, {"a": 5}) == {"a": {"b": {"c": 1, "d": [1, 2], "e": 'x"y'}}}
+    assert merged({"a": 1, "l": [{"x": 1, "y": 2}, "1"]}, {"a": {"b": 1}, "l": [1, {"y": 2, "x": 1}]}, "[1]", "broken {") == {"a": 1, "l": [{"x": 1, "y": 2}, "1"]}
+    assert merged({"a": {"_x": 1, "n": None}}) == {"a": {"_x": 1, "n": None}} and merged({"_error": "x"}) == {} and merged({"a": {"_x": 1}}, {"a": {"_y": 2}}) == {"a": {}}
 
 
 def test_merge_partials_takes_panels_in_order(spark):
@@ -323,9 +337,18 @@ def test_robots(spark):
     table = spark.createDataFrame([("https://a.com", rules)], "host_key string, rules string")
     out = {r["url"]: r["reason"] for r in compliance.robots_gate(urls, table, "bot").collect()}
     assert out == {"https://a.com/search?q=1": "disallowed_by_robots", "https://a.com/p": "allowed_by_robots", "https://b.com/p": "robots_unavailable"}
-    parser = RobotFileParser()
-    parser.parse(rules.splitlines())
-    assert not parser.can_fetch("bot", "https://a.com/search?q=1")
+    texts = [
+        rules, "# all\nUser-agent: other\nUser-agent: BOT\nAllow: /a/b\nDisallow: /a # no\n\nUser-agent: *\nDisallow: /\n", "Disallow: /x\nUser-agent: *\nDisallow:\n",
+        "User-agent: nobody\nDisallow: /\n", "User-agent: *\nAllow: /p\nDisallow: /\n", "",
+    ]
+    paths = ["", "/", "/search?q=1", "/a/b/c", "/a/c", "/p", "/x"]
+    urls = spark.createDataFrame([(f"https://h{i}.com{p}",) for i in range(len(texts)) for p in paths], "url string")
+    table = spark.createDataFrame([(f"https://h{i}.com", t) for i, t in enumerate(texts)], "host_key string, rules string")
+    out = {r["url"]: r["allowed"] for r in compliance.robots_gate(urls, table, "bot/1.0").collect()}
+    for i, t in enumerate(texts):
+        parser = RobotFileParser()
+        parser.parse(t.splitlines())
+        assert [out[f"https://h{i}.com{p}"] for p in paths] == [parser.can_fetch("bot/1.0", f"https://h{i}.com{p}") for p in paths], t
 
 
 # ---- metrics
