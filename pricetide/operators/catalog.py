@@ -31,8 +31,9 @@ def _filled(c: Column) -> Column:
 
 
 def normalize_products(raw: DataFrame) -> DataFrame:
-    """title, brand, mpn, sku, model_number, gtin -> canonical_title, brand, model_number, normalized_key, mpn, gtin."""
-    title = strip(F.regexp_replace(F.regexp_replace(strip(text_or_empty(F.col("title"))), f"{SPACE}+", " "), PROMO, ""))
+    """title (or product_name), brand, mpn, sku, model_number, gtin -> canonical_title, brand, model_number, normalized_key, mpn, gtin."""
+    named = F.coalesce(*[_filled(F.col(c)) for c in ("title", "product_name") if c in raw.columns], F.lit(""))
+    title = strip(F.regexp_replace(F.regexp_replace(strip(named), f"{SPACE}+", " "), PROMO, ""))
     brand = title_case(F.regexp_replace(strip(F.col("brand")), f"{SPACE}+", " "))
     model = F.coalesce(*[_filled(F.col(c)) for c in ("mpn", "sku", "model_number") if c in raw.columns])
     out = raw.withColumns({"canonical_title": title, "brand": F.when(F.col("brand") != "", brand).otherwise(F.col("brand")), "model_number": model})
@@ -110,9 +111,11 @@ def new_products(unmatched: DataFrame) -> DataFrame:
 
 
 def upsert_offers(offers: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
-    """offers after ``incoming`` (newest by observed_at, then seq, of each source_id and title).
+    """offers, with all their columns, after ``incoming`` (newest by observed_at, then seq, of each source_id and title).
 
-    A new offer takes the whole row; a known one keeps availability, rating and review_count, and takes price and url where given.
+    A new offer takes the row's values for the columns it has, a rating of 0 as none, USD where no currency is said, and a
+    digest of source and title as offer_id; its url is the page's (page_url) where the row has none. A known one keeps all but its price and url, which change where given, and
+    last_seen_at.
     """
     newest = Window.partitionBy("source_id", "title").orderBy(F.desc("observed_at"), F.desc("seq"))
     fresh = incoming.withColumn("title", F.coalesce(_filled(F.col("title")), F.lit("Unknown")))
@@ -120,12 +123,28 @@ def upsert_offers(offers: DataFrame, incoming: DataFrame, as_of: str) -> DataFra
     o, n = offers.alias("o"), fresh.alias("n")
     both = o.join(n, (F.col("o.source_id") == F.col("n.source_id")) & (F.col("o.title") == F.col("n.title")), "full_outer")
     known, seen = F.col("o.source_id").isNotNull(), F.col("n.source_id").isNotNull()
-    held = lambda c: F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
-    return both.select(
-        F.coalesce("o.source_id", "n.source_id").alias("source_id"), F.coalesce("o.title", "n.title").alias("title"), held("product_id").alias("product_id"),
-        F.coalesce("n.price", "o.price").alias("price"), held("availability").alias("availability"), held("rating").alias("rating"), held("review_count").alias("review_count"),
-        F.coalesce("n.url", "o.url").alias("url"), F.when(seen, F.lit(as_of).cast("timestamp")).otherwise(F.col("o.last_seen_at")).alias("last_seen_at"),
-    )
+    made = {f.name: F.col(f"n.{f.name}") if f.name in incoming.columns else F.lit(None) for f in offers.schema}
+    if "offer_id" in made:
+        made["offer_id"] = F.sha2(F.concat_ws("|", F.col("n.source_id").cast("string"), "n.title"), 256)
+    if "currency" in made:
+        made["currency"] = F.coalesce(made["currency"], F.lit("USD"))
+    if "rating" in made:
+        made["rating"] = F.when(made["rating"] != 0, made["rating"])
+
+    def value(field) -> Column:
+        name, new = field.name, made[field.name].try_cast(field.dataType)
+        old = F.col(f"o.{name}")
+        if name in ("source_id", "title"):
+            return F.coalesce(old, new)
+        if name == "url" and "page_url" in incoming.columns:
+            return F.coalesce(new, F.when(known, old).otherwise(F.col("n.page_url")))
+        if name in ("price", "url"):
+            return F.coalesce(new, old)
+        if name == "last_seen_at":
+            return F.when(seen, F.lit(as_of).cast(field.dataType)).otherwise(old)
+        return F.when(known, old).otherwise(new)
+
+    return both.select(*[value(f).alias(f.name) for f in offers.schema])
 
 
 def append_price_history(observations: DataFrame) -> DataFrame:
@@ -170,7 +189,7 @@ def seed_sources(existing: DataFrame, seed: DataFrame) -> DataFrame:
     """``existing`` with managed, inactive sources of seeded retailers healed, and seed rows of unknown retailers added."""
     keys = seed.select("retailer_key").distinct().withColumn("_seeded", F.lit(True))
     heal = F.coalesce(F.col("_seeded"), F.lit(False)) & (F.col("source_type") == MANAGED) & (F.col("status") != "active")
-    kept = existing.join(F.broadcast(keys), "retailer_key", "left").withColumn("_h", heal)
+    kept = existing.join(keys, "retailer_key", "left").withColumn("_h", heal)
     kept = kept.withColumns({"status": F.when(F.col("_h"), "active").otherwise(F.col("status")), "allowed": F.col("_h") | F.col("allowed")}).drop("_h", "_seeded")
     fresh = seed.join(existing.select("retailer_key"), "retailer_key", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)

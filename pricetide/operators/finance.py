@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricetide.functions.numbers import rounded
 from pricetide.functions.text import SPACE, let, strip, text_or_empty
 
 #: Fields of an embedded quote.
@@ -226,7 +227,7 @@ def quote_price(flat: DataFrame, page_prices: DataFrame | None = None) -> DataFr
     if page_prices is not None:
         more = page_prices.select(F.col("ticker").alias("_t"), F.col("price").alias("_p"))
         best = best.join(more, F.col("ticker") == F.col("_t"), "full_outer").select(F.coalesce("ticker", "_t").alias("ticker"), F.coalesce("price", "_p").alias("price"))
-    return best.select("ticker", F.round("price", 4).alias("price"))
+    return best.select("ticker", rounded(F.col("price"), 4).alias("price"))
 
 
 def has_quote_price(flat: DataFrame) -> DataFrame:

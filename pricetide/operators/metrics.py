@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.functions.numbers import rounded
+
 #: Cost of a success by provider, and what failures say.
 COSTS = {
     "brightdata_scraping_browser": 0.02, "brightdata_unlocker": 0.015, "external_scrapfly": 0.01, "proxy_http": 0.005,
@@ -35,8 +37,8 @@ def provider_dashboard(log: DataFrame) -> DataFrame:
     cost = cost_of(F.col("provider"))
     return counts.select(
         "provider", "attempts", "success", "blocked", "errors",
-        F.round(100 * F.col("blocked") / F.col("attempts"), 1).alias("block_rate_pct"), F.round(100 * F.col("success") / F.col("attempts"), 1).alias("success_rate_pct"),
-        F.bround(F.col("ms") / F.col("attempts"), 0).cast("long").alias("avg_latency_ms"), cost.alias("cost_per_success_usd"), F.round(F.col("success") * cost, 4).alias("total_cost_usd"),
+        rounded(100 * F.col("blocked") / F.col("attempts"), 1).alias("block_rate_pct"), rounded(100 * F.col("success") / F.col("attempts"), 1).alias("success_rate_pct"),
+        rounded(F.col("ms") / F.col("attempts"), 0).cast("long").alias("avg_latency_ms"), cost.alias("cost_per_success_usd"), rounded(F.col("success") * cost, 4).alias("total_cost_usd"),
     )
 
 
@@ -50,7 +52,7 @@ def daily_spend(log: DataFrame, budget: float = 0.0) -> DataFrame:
     """day, spend, over_budget (only with a budget above 0) from the successes of each UTC day."""
     rows = log.where(F.col("status") == "ok").groupBy(F.window("created_at", "1 day").alias("w")).agg(F.sum(cost_of(F.col("provider"))).alias("spend"))
     over = F.col("spend") > budget if budget > 0 else F.lit(False)
-    return rows.select(F.to_date("w.start").alias("day"), F.round("spend", 4).alias("spend"), over.alias("over_budget"))
+    return rows.select(F.to_date("w.start").alias("day"), rounded(F.col("spend"), 4).alias("spend"), over.alias("over_budget"))
 
 
 def classify_failure(error: Column) -> Column:
@@ -60,19 +62,25 @@ def classify_failure(error: Column) -> Column:
     return F.when(said.rlike(QUEUE), "ignored_queue").when(wall, "ignored_wall").when(said.rlike(SUSPENSION), "suspension").otherwise("other")
 
 
-def circuit_state(log: DataFrame, max_failures: int = MAX_FAILURES, over_budget: bool = False) -> DataFrame:
+def circuit_state(log: DataFrame, max_failures: int = MAX_FAILURES, spend: DataFrame | None = None) -> DataFrame:
     """provider, seq (order), ok, error -> failures since the last success, disabled_reason, is_open.
 
+    ``spend`` (what ``daily_spend`` gives): a last day over its budget disables the paid providers.
+
     Two hash aggregates instead of a sort of each provider: the last success first, then what failed after it.
     """
     last = log.groupBy("provider").agg(F.max(F.when(F.col("ok"), F.col("seq"))).alias("last_ok"))
-    rows = log.join(F.broadcast(last), "provider").withColumn("kind", F.when(~F.col("ok"), classify_failure(F.col("error"))))
+    rows = log.join(last, "provider").withColumn("kind", F.when(~F.col("ok"), classify_failure(F.col("error"))))
     counted = F.coalesce(F.col("kind").isin("suspension", "other"), F.lit(False)) & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))
     out = rows.groupBy("provider").agg(F.count_if(counted).alias("failures"), F.coalesce(F.bool_or(F.col("kind") == "suspension"), F.lit(False)).alias("_s"))
-    budget = F.lit(over_budget) & F.col("provider").isin(*PAID)
+    if spend is None:
+        out = out.withColumn("_over", F.lit(False))
+    else:
+        out = out.crossJoin(spend.agg(F.coalesce(F.max_by("over_budget", "day"), F.lit(False)).alias("_over")))  # one row
+    budget = F.col("_over") & F.col("provider").isin(*PAID)
     reason = F.when(budget, "daily_budget_exceeded").when(F.col("_s"), "suspended_or_billing")
     out = out.withColumn("disabled_reason", reason)
-    return out.withColumn("is_open", F.col("disabled_reason").isNotNull() | (F.col("failures") >= max_failures)).drop("_s")
+    return out.withColumn("is_open", F.col("disabled_reason").isNotNull() | (F.col("failures") >= max_failures)).drop("_s", "_over")
 
 
 def endpoint_health(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +90,7 @@ def endpoint_health(log: DataFrame, keys: list[str]) -> DataFrame:
     failed = ~F.col("ok") & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))
     out = rows.groupBy(*keys).agg(F.count_if("ok").alias("successes"), F.count_if(failed).alias("failures"))
     total = F.col("successes") + F.col("failures")
-    return out.withColumn("health", F.when(total == 0, F.lit(0.5)).otherwise(F.round(F.col("successes") / total, 2)))
+    return out.withColumn("health", F.when(total == 0, F.lit(0.5)).otherwise(rounded(F.col("successes") / total, 2)))
 
 
 def field_groups(flat: DataFrame, key: str = "ticker") -> DataFrame:

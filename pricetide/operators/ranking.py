@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricetide.functions.numbers import rounded
+
 #: Weights of a score, and what each state of availability and age in hours is worth.
 WEIGHTS = {"price": 0.30, "availability": 0.20, "merchant": 0.20, "reviews": 0.15, "freshness": 0.10, "shipping": 0.05}
 AVAILABILITY = {"in_stock": 1.0, "preorder": 0.6, "unknown": 0.4, "out_of_stock": 0.0}
@@ -41,21 +43,26 @@ def offer_score(lo: Column, hi: Column, as_of: Column, status: Column | None = N
     return _unit(total)
 
 
-def score_offers(offers: DataFrame, group_cols: list[str], as_of: str, status: str | None = None) -> DataFrame:
+def score_offers(offers: DataFrame, group_cols: list[str], as_of: str, status: str | None = None, small_groups: bool = False) -> DataFrame:
     """offers with shopping_score against the price range of their group; no group columns: of the whole table.
 
-    The range is a two-phase aggregate joined back, so a huge group is never held or sorted in one task.
+    The range is a two-phase aggregate joined back, so a huge group is never held or sorted in one task. ``small_groups`` (one
+    product's offers) takes it from a window instead: one shuffle, which ranking within the same groups uses again.
     """
     as_of_col = F.lit(as_of).cast("timestamp")
-    ranges = offers.groupBy(*group_cols).agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
-    if group_cols:
-        keys = ranges.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "_lo", "_hi")
-        cond = offers[group_cols[0]].eqNullSafe(keys["_g0"])
-        for i, c in enumerate(group_cols[1:], 1):
-            cond = cond & offers[c].eqNullSafe(keys[f"_g{i}"])
-        rows = offers.join(keys, cond, "left").drop(*[f"_g{i}" for i in range(len(group_cols))])
+    if small_groups and group_cols:
+        own = Window.partitionBy(*group_cols)
+        rows = offers.withColumns({"_lo": F.min("price").over(own), "_hi": F.max("price").over(own)})
     else:
-        rows = offers.crossJoin(F.broadcast(ranges))  # one row
+        ranges = offers.groupBy(*group_cols).agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
+        if group_cols:
+            keys = ranges.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "_lo", "_hi")
+            cond = F.lit(True)
+            for i, c in enumerate(group_cols):
+                cond = cond & offers[c].eqNullSafe(keys[f"_g{i}"])
+            rows = offers.join(keys, cond, "left").drop(*[f"_g{i}" for i in range(len(group_cols))])
+        else:
+            rows = offers.crossJoin(F.broadcast(ranges))  # one row
     score = offer_score(F.col("_lo"), F.col("_hi"), as_of_col, F.col(status) if status else None)
     return rows.withColumn("shopping_score", score).drop("_lo", "_hi")
 
@@ -86,4 +93,4 @@ def recompute_scores(offers: DataFrame, as_of: str) -> DataFrame:
     range_ = offers.agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
     rows = offers.crossJoin(F.broadcast(range_)).withColumns(zero).withColumn("price", F.nullif("price", F.lit(0.0)))
     score = offer_score(F.col("_lo"), F.col("_hi"), F.lit(as_of).cast("timestamp"))
-    return rows.select("offer_id", F.round(score, 4).alias("shopping_score"))
+    return rows.select("offer_id", rounded(score, 4).alias("shopping_score"))

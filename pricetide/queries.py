@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import prices, text
 from pricetide.operators import catalog, compliance, finance, listings, metrics, pages, ranking, replies
+from pricetide.plans import crawl, shopping
 from pricetide.sources import envelopes
 from pricetide.sources.tables import load, with_inputs
 
@@ -50,7 +51,7 @@ WHERE rank <= 5""",
     "offers",
 )
 def top_offers(spark, sf_dir):
-    scored = ranking.score_offers(load(spark, sf_dir, "offers"), ["product_id"], AS_OF)
+    scored = ranking.score_offers(load(spark, sf_dir, "offers"), ["product_id"], AS_OF, small_groups=True)
     return ranking.rank_offers(scored, ["product_id"], 5).select("product_id", "offer_id", F.col("rank").cast("long").alias("rank"), F.round("shopping_score", 6).alias("score"))
 
 
@@ -71,7 +72,7 @@ def ranked_search(spark, sf_dir):
 
 
 @query(
-    f"""SELECT offer_id, round({SCORE}, 4) AS shopping_score FROM (
+    f"""SELECT offer_id, CAST(printf('%.4f', {SCORE}) AS DOUBLE) AS shopping_score FROM (
   SELECT offer_id, nullif(price, 0) AS price, availability, nullif(rating, 0) AS rating, review_count, nullif(shipping_price, 0) AS shipping_price, min(price) OVER () AS lo, max(price) OVER () AS hi, {HOURS} AS hours FROM offers) AS a""",
     "offers",
 )
@@ -82,7 +83,7 @@ def recompute_scores(spark, sf_dir):
 # ---- prices and pages
 
 PLAUSIBLE = "x BETWEEN 25.0 AND 45000.0 AND NOT (x = floor(x) AND x BETWEEN 1990 AND 2035)"
-TIDY = f"list_slice(list_sort(list_distinct(list_transform(list_filter(list_transform({{0}}, lambda r: try_cast(replace(r, ',', '') AS DOUBLE)), lambda x: {PLAUSIBLE}), lambda x: round(x, 2)))), 1, 20)"
+TIDY = f"list_slice(list_sort(list_distinct(list_transform(list_filter(list_transform({{0}}, lambda r: try_cast(replace(r, ',', '') AS DOUBLE)), lambda x: {PLAUSIBLE}), lambda x: CAST(printf('%.2f', x) AS DOUBLE)))), 1, 20)"
 STRIPPED = "regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g')"
 
 
@@ -176,9 +177,21 @@ def clean_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"), 120_000).cast("binary")).alias("clean"))
 
 
-@query()
+_TRIMMED = "regexp_replace({0}, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
+_SHUT = f"s.shut || CASE WHEN {_TRIMMED.format('s.held')} = '' THEN [] ELSE [{_TRIMMED.format('s.held')}] END"
+#: Chunks of ``documents`` as doc_id, chunk_no, chunk: blocks are folded into closed chunks and the one that is held open.
+CHUNKED = f"""SELECT doc_id, CAST(no - 1 AS INT) AS chunk_no, chunk FROM (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS no FROM (
+  SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 12000 THEN [coalesce(text, '')] ELSE {_SHUT} END AS cs FROM (
+    SELECT doc_id, text, list_reduce(list_prepend({{'shut': CAST([] AS VARCHAR[]), 'held': ''}}, list_transform(string_split_regex(coalesce(text, ''), '\\n{{2,}}'), lambda b: {{'shut': CAST([] AS VARCHAR[]), 'held': b}})), lambda s, e:
+      CASE WHEN length(e.held) > 12000 THEN {{'shut': {_SHUT} || list_transform(generate_series(1, length(e.held), 11200), lambda i: substring(e.held, i, 12000)), 'held': CASE WHEN {_TRIMMED.format('s.held')} = '' THEN s.held ELSE '' END}}
+        WHEN s.held = '' THEN {{'shut': s.shut, 'held': e.held}}
+        WHEN length(s.held) + length(e.held) + 2 <= 12000 THEN {{'shut': s.shut, 'held': s.held || chr(10) || chr(10) || e.held}}
+        ELSE {{'shut': {_SHUT}, 'held': right(s.held, 800) || chr(10) || chr(10) || e.held}} END) AS s FROM documents) AS a) AS b) AS c"""
+
+
+@query(f"SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5, length(chunk) AS chars FROM ({CHUNKED}) AS d")
 def document_chunks(spark, sf_dir):
-    return pages.chunk_documents(table(spark, sf_dir, "documents"))
+    return pages.chunk_documents(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.length("chunk").alias("chars"))
 
 
 @query(
@@ -189,22 +202,57 @@ def document_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.score_words(F.col("text"), F.lit("Price of the la und")), 6).alias("score"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id, chunk_no, length(chunk) AS chars, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_no) AS r FROM (
+  SELECT *, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: x IN ('price', 'of', 'the', 'la', 'und'))) / sqrt(len(w)) END AS score
+  FROM (SELECT *, regexp_extract_all(lower(chunk), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM ({CHUNKED}) AS d) AS e) AS f) AS g WHERE r <= 4"""
+)
 def best_chunks(spark, sf_dir):
     scored = pages.score_chunks(pages.chunk_documents(table(spark, sf_dir, "documents")), F.lit("price of the la und"))
-    return pages.top_chunks(scored).select("doc_id", "chunk_no", F.length("chunk").alias("chars"), "score")
+    return pages.top_chunks(scored).select("doc_id", "chunk_no", F.length("chunk").alias("chars"), F.round("score", 6).alias("score"))
 
 
-@query()
+_CANDIDATES = f"list_slice(list_sort(list_distinct({TIDY.format(_HTML_ALL)} || {TIDY.format(_all('page_text', prices.TEXT_PRICE))})), 1, 20)"
+
+
+@query(
+    f"""SELECT page_id, retailer_key, array_to_string(list_transform(cand, lambda v: CAST(v AS VARCHAR)), ',') AS candidates,
+  md5(left(CASE WHEN len(cand) > 0 THEN 'Pre-detected USD price candidates on this page: ' || array_to_string(list_transform(list_slice(cand, 1, 8), lambda p: printf('$%.2f', p)), ', ') || chr(10) || 'Use one of these for the main product if it matches ' || chr(39) || query || chr(39) || '.' || chr(10) || chr(10) ELSE '' END || page_text, 52000)) AS context
+FROM (SELECT *, {_CANDIDATES} AS cand FROM (SELECT *, left({STRIPPED.format('html')}, 500000) AS blob FROM priced) AS a) AS b""",
+    "priced",
+)
 def llm_contexts(spark, sf_dir):
-    return pages.build_llm_context(load(spark, sf_dir, "priced")).select("page_id", "retailer_key", "candidates", "context")
+    out = pages.build_llm_context(load(spark, sf_dir, "priced"))
+    return out.select("page_id", "retailer_key", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"), F.md5(F.col("context").cast("binary")).alias("context"))
 
 
-@query()
+_EXCERPT_WORDS = "|".join(text.EXCERPT_WORDS)
+_ROUND_WORDS = " || ".join(f"CASE WHEN contains(lower(plain), '{w}') THEN regexp_extract_all(plain, '(?i).{{0,80}}{w}.{{0,200}}') ELSE CAST([] AS VARCHAR[]) END" for w in text.EXCERPT_WORDS)
+
+
+@query(
+    f"""SELECT page_id, left(CASE WHEN said = '' THEN page_text ELSE said END, 24000) AS excerpt FROM (
+  SELECT page_id, page_text, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), chr(10)) AS said FROM (
+    SELECT page_id, page_text, list_transform(CASE WHEN len(named) > 0 THEN named ELSE {_ROUND_WORDS} END, lambda x: {_TRIMMED.format('x')}) AS found FROM (
+      SELECT *, list_filter(regexp_extract_all(plain, '.{{0,120}}\\$\\d[\\d,]*(?:\\.\\d{{2}})?.{{0,120}}'), lambda x: regexp_matches(lower(x), '{_EXCERPT_WORDS}')) AS named FROM (
+        SELECT page_id, page_text, regexp_replace(regexp_replace(page_text || chr(10) || html, '<[^>]+>', ' ', 'g'), '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g') AS plain FROM priced) AS a) AS b) AS c) AS d""",
+    "priced",
+)
 def price_excerpts(spark, sf_dir):
     return load(spark, sf_dir, "priced").select("page_id", text.price_excerpt(F.col("page_text"), F.col("html")).alias("excerpt"))
 
 
+_STYLED = "CASE page_id % 3 WHEN 0 THEN ':root (a: b)' || chr(10) WHEN 1 THEN '  @charset x' || chr(10) ELSE '' END || regexp_replace(html, '<[^>]+>', chr(10){0})"
+
+
+@query(
+    f"""SELECT page_id, md5(CASE WHEN regexp_matches(t, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]*(?::root|@charset|\\{{)') THEN left(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: {_TRIMMED.format('s')}),
+    lambda s: length(s) > 3 AND NOT regexp_matches(s, '^(?:[:@{{}}]|--)') AND NOT regexp_matches(s, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}{{}};:@#.\\-0-9%]+$')), chr(10)), 350000) ELSE t END) AS clean FROM (SELECT page_id, {_STYLED.format(", 'g'")} AS t FROM pages) AS a"""
+)
+def sanitized_texts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize_text(F.expr(_STYLED.format(""))).cast("binary")).alias("clean"))
+
+
 @query("SELECT page_id, md5(url) AS fetch_key, 'extract:' || md5(url || '||' || 'get prices') AS extract_key FROM pages")
 def page_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.fetch_key(F.col("url")).alias("fetch_key"), text.extract_key(F.col("url"), F.lit("  Get Prices ")).alias("extract_key"))
@@ -214,7 +262,7 @@ _FETCH_URL = "CASE user_id % 5 WHEN 0 THEN 'https://www.sec.gov/' WHEN 1 THEN 'h
 
 
 @query(
-    f"""SELECT url, seq FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY created_at DESC) AS r FROM (
+    f"""SELECT url, seq FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, seq DESC) AS r FROM (
   SELECT {_FETCH_URL} AS url, seq, created_at, epoch(timestamp '2024-01-30 12:00:00') - epoch(date_trunc('second', created_at)) AS age FROM log) AS a
   WHERE age >= 0 AND age < CASE WHEN contains(url, 'sec.gov') THEN 86400 WHEN contains(url, 'finance.yahoo') THEN 300 WHEN contains(url, 'seekingalpha') THEN 1800 ELSE 600 END) AS b WHERE r = 1""",
     "log",
@@ -227,7 +275,7 @@ def fresh_fetches(spark, sf_dir):
 # ---- listings
 
 _LISTED = """SELECT * FROM (SELECT payload_id, pos, query, trim(product_name) AS product_name,
-  CASE WHEN v BETWEEN 25.0 AND 45000.0 AND NOT (v = floor(v) AND v BETWEEN 1990 AND 2035) THEN round(v, 2) END AS price, CASE WHEN o BETWEEN 25.0 AND 45000.0 AND NOT (o = floor(o) AND o BETWEEN 1990 AND 2035) THEN round(o, 2) END AS before, seller, product_url
+  CASE WHEN v BETWEEN 25.0 AND 45000.0 AND NOT (v = floor(v) AND v BETWEEN 1990 AND 2035) THEN CAST(printf('%.2f', v) AS DOUBLE) END AS price, CASE WHEN o BETWEEN 25.0 AND 45000.0 AND NOT (o = floor(o) AND o BETWEEN 1990 AND 2035) THEN CAST(printf('%.2f', o) AS DOUBLE) END AS before, seller, product_url
   FROM (SELECT *, try_cast(replace(replace(price, '$', ''), ',', '') AS DOUBLE) AS v, try_cast(original_price AS DOUBLE) AS o FROM listings) AS a) AS b
   WHERE product_name <> '' AND NOT regexp_matches(product_name, '^(?::root|@charset|\\{|--)|border-width') AND price >= CASE WHEN contains(lower(query), 'xbox') THEN 120.0 ELSE 25.0 END"""
 
@@ -262,7 +310,7 @@ def product_fields(spark, sf_dir):
 
 
 @query(
-    """SELECT result_id, CASE WHEN error IS NULL AND price % 3 < 1 THEN price WHEN price >= 25 THEN round(price, 2) WHEN original_price >= 25 THEN original_price END AS price,
+    """SELECT result_id, CASE WHEN error IS NULL AND price % 3 < 1 THEN price WHEN price >= 25 THEN CAST(printf('%.2f', price) AS DOUBLE) WHEN original_price >= 25 THEN original_price END AS price,
   CASE WHEN error IS NULL AND price % 3 < 1 THEN 'llm' WHEN price >= 25 THEN 'llm' WHEN original_price >= 25 THEN 'regex' END AS price_source FROM results""",
     "results",
 )
@@ -320,44 +368,57 @@ def parsed_replies(spark, sf_dir):
     return rows.select("page_id", "how", F.get_json_object("parsed", "$.price").cast("double").alias("price"), "error")
 
 
-@query()
-def merged_replies(spark, sf_dir):
-    rows = replies.parse_replies(load(spark, sf_dir, "replies")).where("error is null").select(F.col("payload_id").alias("page_id"), F.expr("panel * 100000 + page_id").alias("panel"), "parsed")
-    return replies.merge_partials(rows)
+_HOW = "CASE WHEN page_id % 11 = 0 THEN 'salvaged' WHEN page_id % 13 = 0 THEN 'failed' WHEN page_id % 17 = 0 THEN 'inner' ELSE 'direct' END"
+_TOLD = f"""SELECT *, {_HOW} AS how, CASE WHEN page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 17 = 0 THEN '51.25' ELSE regexp_extract(reply, '"price": ([0-9.]+)', 1) END AS price, regexp_extract(reply, '"regularMarketPrice": ([0-9.]+)', 1) AS header,
+  panel * 100000 + page_id AS no FROM replies WHERE page_id % 13 <> 0 OR page_id % 11 = 0"""
 
 
 @query(
-    """SELECT page_id, k.name, CASE k.name WHEN 'vision.product_name' THEN query WHEN 'vision.price' THEN regexp_extract(reply, '"price": ([0-9.]+)', 1) ELSE regexp_extract(reply, '"regularMarketPrice": ([0-9.]+)', 1) END AS value
-FROM replies, (SELECT unnest(['vision.product_name', 'vision.price', 'vision.quote_header.regularMarketPrice']) AS name) AS k
-WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 17 <> 0""",
+    f"""SELECT payload_id AS page_id, min_by(query, no) FILTER (WHERE how <> 'inner') AS product_name, CAST(min_by(price, no) AS DOUBLE) AS price, CASE WHEN bool_or(how = 'inner') THEN 'inner' END AS title,
+  CAST(min_by(header, no) FILTER (WHERE how = 'direct') AS DOUBLE) AS header_price, CASE WHEN bool_or(how = 'direct') THEN count(DISTINCT regexp_extract(reply, '"products": \\[(\\{{[^}}]*\\}})', 1)) FILTER (WHERE how = 'direct') + 1 ELSE 0 END AS n_products FROM ({_TOLD}) AS a GROUP BY 1""",
     "replies",
 )
+def merged_replies(spark, sf_dir):
+    rows = replies.parse_replies(load(spark, sf_dir, "replies")).where("error is null").select(F.col("payload_id").alias("page_id"), F.expr("panel * 100000 + page_id").alias("panel"), "parsed")
+    get = lambda path: F.get_json_object("merged", path)
+    products = F.coalesce(F.json_array_length(get("$.products")), F.lit(0)).cast("long")
+    return replies.merge_partials(rows).select("page_id", get("$.product_name").alias("product_name"), get("$.price").cast("double").alias("price"), get("$.title").alias("title"), get("$.quote_header.regularMarketPrice").cast("double").alias("header_price"), products.alias("n_products"))
+
+
+_FLAT = f"""SELECT page_id, k.name, CASE k.name WHEN 'vision.product_name' THEN query WHEN 'vision.title' THEN 'inner' WHEN 'vision.price' THEN price ELSE header END AS value
+FROM ({_TOLD}) AS t, (SELECT unnest(['vision.product_name', 'vision.price', 'vision.title', 'vision.quote_header.regularMarketPrice']) AS name) AS k
+WHERE CASE k.name WHEN 'vision.product_name' THEN how <> 'inner' WHEN 'vision.title' THEN how = 'inner' WHEN 'vision.price' THEN true ELSE how = 'direct' END"""
+
+
+@query(_FLAT, "replies")
 def flat_replies(spark, sf_dir):
-    rows = replies.parse_replies(load(spark, sf_dir, "replies")).where("how = 'direct'")
-    return replies.flatten_reply(rows, skip=("news", "products"))
+    return replies.flatten_reply(replies.parse_replies(load(spark, sf_dir, "replies")), skip=("news", "products"))
 
 
-@query(
-    """SELECT page_id, 'price.regularMarketPrice' AS name, regexp_extract(reply, '"regularMarketPrice": ([0-9.]+)', 1) AS value FROM replies WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 17 <> 0""",
-    "replies",
-)
+@query(f"{_FLAT} UNION ALL SELECT page_id, 'price.regularMarketPrice', header FROM ({_TOLD}) AS b WHERE how = 'direct' UNION ALL SELECT page_id, 'vision.product_name', price FROM ({_TOLD}) AS c WHERE how = 'inner'", "replies")
 def promoted_aliases(spark, sf_dir):
-    rows = replies.parse_replies(load(spark, sf_dir, "replies")).where("how = 'direct'")
     aliases = spark.createDataFrame([("vision.nothing", "price.regularMarketPrice", 0), ("vision.quote_header.regularMarketPrice", "price.regularMarketPrice", 1), ("vision.price", "vision.product_name", 2)], "src string, dst string, pos int")
-    return replies.promote_aliases(replies.flatten_reply(rows), aliases).where("name = 'price.regularMarketPrice'")
+    return replies.promote_aliases(replies.flatten_reply(replies.parse_replies(load(spark, sf_dir, "replies")), skip=("news", "products")), aliases)
 
 
-@query()
+@query(
+    f"""SELECT payload_id, min_by(product_name, (price, pos)) AS product_name, min(price) AS price, min_by(seller, (price, pos)) AS seller, count(*) AS n_products, 'vision' AS price_source, true AS has_signal FROM (
+  SELECT page_id AS payload_id, query, 0 AS pos, CASE how WHEN 'inner' THEN 'inner' ELSE query END AS product_name, CAST(price AS DOUBLE) AS price, CASE how WHEN 'direct' THEN regexp_extract(reply, '"seller": "([^"]*)"', 1) ELSE '' END AS seller FROM ({_TOLD}) AS a
+  UNION ALL SELECT page_id, query, 1, 'other', 77.5, '' FROM ({_TOLD}) AS b WHERE how = 'direct') AS c
+WHERE price BETWEEN 25 AND 45000 AND NOT (price = floor(price) AND price BETWEEN 1990 AND 2035) AND price >= CASE WHEN regexp_matches(lower(query), 'osmo|pocket\\s*[34]|action\\s*cam') THEN 280.0 WHEN regexp_matches(lower(query), '\\b(iphone|macbook|ipad\\s*pro|playstation|xbox|gpu|rtx|drone|gimbal)\\b') THEN 120.0 ELSE 25.0 END
+GROUP BY payload_id""",
+    "replies",
+)
 def reply_shop_payloads(spark, sf_dir):
     rows = replies.parse_replies(load(spark, sf_dir, "replies")).select(F.col("page_id").alias("payload_id"), "query", "parsed").where("parsed is not null")
     signal = rows.select(F.col("payload_id").alias("p"), replies.has_signal(F.col("parsed")).alias("has_signal"))
     shops = replies.reply_to_shop(rows)
-    return shops.join(signal, F.col("p") == F.col("payload_id")).select("payload_id", "product_name", "price", "seller", "n_products", "price_source", "has_signal")
+    return shops.join(signal, F.col("p") == F.col("payload_id")).select("payload_id", "product_name", "price", F.coalesce("seller", F.lit("")).alias("seller"), "n_products", "price_source", "has_signal")
 
 
 @query("SELECT page_id, CAST(i AS INT) AS pos, CASE i WHEN 0 THEN query ELSE 'other' END AS name, 2 AS n_entries FROM (SELECT page_id, query, unnest([0, 1]) AS i FROM replies WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 17 <> 0) AS a", "replies")
 def reply_entries(spark, sf_dir):
-    rows = replies.parse_replies(load(spark, sf_dir, "replies")).where("how = 'direct'").withColumn("parsed", F.replace("parsed", F.lit('"product_name"'), F.lit('"name"')))
+    rows = replies.parse_replies(load(spark, sf_dir, "replies")).withColumn("parsed", F.replace("parsed", F.lit('"product_name"'), F.lit('"name"')))
     return replies.explode_reply_list(rows, "products").select("page_id", "pos", "name", F.col("n_entries").cast("int").alias("n_entries"))
 
 
@@ -403,14 +464,14 @@ _NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, c
 
 
 @query(
-    f"""SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.title, n.title) AS title, coalesce(n.price, o.price) AS price, CASE WHEN o.source_id IS NOT NULL THEN o.availability ELSE n.availability END AS availability,
+    f"""SELECT CASE WHEN o.source_id IS NOT NULL THEN o.offer_id ELSE sha256(CAST(n.source_id AS VARCHAR) || '|' || n.title) END AS offer_id, o.merchant_name AS merchant_name, coalesce(o.currency, 'USD') AS currency, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.title, n.title) AS title, coalesce(n.price, o.price) AS price, CASE WHEN o.source_id IS NOT NULL THEN o.availability ELSE n.availability END AS availability,
   CASE WHEN o.source_id IS NOT NULL THEN o.review_count ELSE n.review_count END AS review_count, coalesce(n.url, o.url) AS url, CASE WHEN n.source_id IS NOT NULL THEN timestamp '{AS_OF}' ELSE o.last_seen_at END AS last_seen_at
 FROM stored AS o FULL OUTER JOIN (SELECT * REPLACE (coalesce(nullif(title, ''), 'Unknown') AS title) FROM ({_NEWEST}) AS b) AS n ON o.source_id = n.source_id AND o.title = n.title""",
     "observed", "stored",
 )
 def upserted_offers(spark, sf_dir):
     out = catalog.upsert_offers(load(spark, sf_dir, "stored"), load(spark, sf_dir, "observed"), AS_OF)
-    return out.select("source_id", "title", "price", "availability", "review_count", "url", "last_seen_at")
+    return out.select("offer_id", "merchant_name", "currency", "source_id", "title", "price", "availability", "review_count", "url", "last_seen_at")
 
 
 @query("SELECT offer_id, price, 'USD' AS currency, availability, captured_at, CAST(CAST(captured_at AS DATE) AS VARCHAR) AS captured_on FROM history WHERE price IS NOT NULL", "history")
@@ -572,11 +633,17 @@ def admitted_requests(spark, sf_dir):
     return compliance.admit_requests(rows)
 
 
-@query()
+_ROBOT_URL = "'/' || CASE page_id % 3 WHEN 0 THEN 'en/x' WHEN 1 THEN 'de/y?q=1' ELSE '' END"
+
+
+@query(
+    f"""SELECT page_id, 'https://h' || page_id || '.example.com' || path AS url, reason = 'allowed_by_robots' AS allowed, reason FROM (SELECT page_id, path, CASE WHEN page_id % 4 = 0 THEN 'robots_unavailable' WHEN page_id % 4 = 1 AND starts_with(path, '/en/') OR page_id % 4 = 2 AND NOT starts_with(path, '/de/') THEN 'disallowed_by_robots' ELSE 'allowed_by_robots' END AS reason
+FROM (SELECT page_id, {_ROBOT_URL} AS path FROM pages) AS a) AS b"""
+)
 def robots_decisions(spark, sf_dir):
-    urls = table(spark, sf_dir, "pages").select("page_id", "url")
-    hosts = urls.select(F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("AUTHORITY"))).alias("host_key")).distinct()
-    rules = hosts.where(F.crc32(F.col("host_key").cast("binary")) % 4 > 0).withColumn("rules", F.lit("User-agent: *\nDisallow: /en/\nAllow: /"))
+    urls = table(spark, sf_dir, "pages").select("page_id", F.expr(f"'https://h' || page_id || '.example.com' || {_ROBOT_URL}").alias("url"))
+    said = F.expr(r"CASE page_id % 4 WHEN 1 THEN 'User-agent: *\nDisallow: /en/ # no\nAllow: /' WHEN 2 THEN 'User-agent: *\nDisallow: /x\n\nUser-agent: PriceBot\nAllow: /de/\nDisallow: /\n' WHEN 3 THEN 'User-agent: other\nDisallow: /' END")
+    rules = urls.select(F.expr("'https://h' || page_id || '.example.com'").alias("host_key"), said.alias("rules"))
     return compliance.robots_gate(urls, rules, "pricebot").select("page_id", "url", "allowed", "reason")
 
 
@@ -587,7 +654,7 @@ _COST = "CASE provider " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in metrics.C
 
 
 @query(
-    f"""SELECT provider, attempts, success, blocked, errors, round(100 * blocked / attempts, 1) AS block_rate_pct, round(100 * success / attempts, 1) AS success_rate_pct, CAST(round_even(ms / attempts, 0) AS BIGINT) AS avg_latency_ms, CAST({_COST} AS DOUBLE) AS cost_per_success_usd, CAST(round(success * {_COST}, 4) AS DOUBLE) AS total_cost_usd
+    f"""SELECT provider, attempts, success, blocked, errors, CAST(printf('%.1f', 100 * blocked / attempts) AS DOUBLE) AS block_rate_pct, CAST(printf('%.1f', 100 * success / attempts) AS DOUBLE) AS success_rate_pct, CAST(round_even(ms / attempts, 0) AS BIGINT) AS avg_latency_ms, CAST({_COST} AS DOUBLE) AS cost_per_success_usd, CAST(printf('%.4f', success * CAST({_COST} AS DOUBLE)) AS DOUBLE) AS total_cost_usd
 FROM (SELECT provider, count(*) AS attempts, count(*) FILTER (WHERE s = 'ok') AS success, count(*) FILTER (WHERE s = 'blocked') AS blocked, count(*) FILTER (WHERE s = 'error') AS errors, sum(ms) AS ms FROM (SELECT provider, {_KNOWN} AS s, CAST(floor(latency_ms) AS BIGINT) AS ms FROM log) AS a GROUP BY provider) AS b""",
     "log",
 )
@@ -600,7 +667,7 @@ def retailer_dashboard(spark, sf_dir):
     return metrics.retailer_dashboard(load(spark, sf_dir, "log"))
 
 
-@query(f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(round(sum(CAST({_COST} AS DOUBLE)), 4) AS DOUBLE) AS spend, sum(CAST({_COST} AS DOUBLE)) > 1.2 AS over_budget FROM log WHERE status = 'ok' GROUP BY 1", "log")
+@query(f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(printf('%.4f', sum(CAST({_COST} AS DOUBLE))) AS DOUBLE) AS spend, sum(CAST({_COST} AS DOUBLE)) > 1.2 AS over_budget FROM log WHERE status = 'ok' GROUP BY 1", "log")
 def daily_spend(spark, sf_dir):
     return metrics.daily_spend(load(spark, sf_dir, "log"), 1.2).withColumn("day", F.col("day").cast("string"))
 
@@ -626,7 +693,7 @@ def circuit_states(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, successes, failures, CASE WHEN successes + failures = 0 THEN 0.5 ELSE round(successes / (successes + failures), 2) END AS health FROM (
+    """SELECT user_id, successes, failures, CASE WHEN successes + failures = 0 THEN 0.5 ELSE CAST(printf('%.2f', successes / (successes + failures)) AS DOUBLE) END AS health FROM (
   SELECT user_id, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS failures FROM (SELECT user_id, seq, status = 'ok' AS ok, max(CASE WHEN status = 'ok' THEN seq END) OVER (PARTITION BY user_id) AS last_ok FROM log) AS a GROUP BY user_id) AS b""",
     "log",
 )
@@ -660,9 +727,12 @@ def quote_tickers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", finance.quote_ticker(url).alias("ticker"))
 
 
-@query()
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS ticker, k.key, CASE k.key WHEN 'price.regularMarketPrice' THEN p_size || '.5' WHEN 'price.shortName' THEN '"' || p_name || '"' WHEN 'price.deep.er' THEN '"y"' WHEN 'trend.list' THEN '[]' WHEN 'trend.rows' THEN '[{"a":1},{"c":3}]' ELSE '["x",1]' END AS value_json
+FROM part, (SELECT unnest(['price.regularMarketPrice', 'price.shortName', 'price.deep.er', 'trend.list', 'trend.rows', 'trend.tags']) AS key) AS k"""
+)
 def flat_modules(spark, sf_dir):
-    made = F.expr("""'{"price": {"regularMarketPrice": {"raw": ' || p_size || '.5, "fmt": "x"}, "shortName": "' || p_name || '", "gone": null, "empty": {}}, "trend": {"list": [], "rows": [{"a": {"raw": 1}, "b": 2}], "tags": ["x", 1]}, "n": 3}'""")
+    made = F.expr("""'{"price": {"regularMarketPrice": {"raw": ' || p_size || '.5, "fmt": "x"}, "shortName": "' || p_name || '", "gone": null, "empty": {}, "deep": {"er": {"fmt": "y"}}}, "trend": {"list": [], "rows": [{"a": {"raw": 1}, "b": 2}, {"c": 3}], "tags": ["x", 1]}, "n": 3}'""")
     return finance.flatten_modules(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ticker"), made.alias("modules")))
 
 
@@ -732,6 +802,41 @@ def html_articles(spark, sf_dir):
     return finance.html_articles(load(spark, sf_dir, "priced"))
 
 
+# ---- whole workloads
+
+
+def _shopped(spark, sf_dir):
+    fetched = load(spark, sf_dir, "priced").withColumns({
+        "source_id": F.expr("page_id % 97 + 1"), "status": F.expr("CASE WHEN page_id % 8 = 5 THEN 'error' ELSE 'ok' END"), "http_status": F.expr("CASE page_id % 10 WHEN 3 THEN 403 ELSE 200 END"),
+        "tier": F.expr("CAST(page_id % 4 + 1 AS INT)"), "page_text": F.concat("page_text", F.expr("repeat(' filler', 400)")),
+    })
+    said = load(spark, sf_dir, "replies").where("page_id % 3 <> 1").select("page_id", "query", "panel", "reply")
+    said = said.unionByName(said.where("page_id % 3 = 2").withColumns({"panel": F.col("panel") + 1, "reply": F.lit('{"price": null, "seller": "second", "rating": 4.5}')}))
+    stored = load(spark, sf_dir, "stored").withColumn("product_id", F.col("product_id").cast("string"))
+    return shopping.pages_to_offers(fetched, said, load(spark, sf_dir, "sources"), load(spark, sf_dir, "products"), stored, AS_OF)
+
+
+@query()
+def pages_to_offers(spark, sf_dir):
+    """Every offer after one batch of pages, and how often and how high the batch priced it."""
+    made = _shopped(spark, sf_dir)
+    seen = made.history.groupBy("offer_id").agg(F.count(F.lit(1)).alias("n_prices"), F.max("price").alias("highest"))
+    return made.offers.join(seen, "offer_id", "left").select("offer_id", "source_id", "title", "product_id", "price", "availability", "url", F.coalesce("n_prices", F.lit(0)).alias("n_prices"), "highest")
+
+
+@query(
+    f"""SELECT r.provider, r.attempts, r.success, f.failures, CASE WHEN d.over AND r.provider IN ('brightdata_scraping_browser', 'brightdata_unlocker', 'external_scrapfly') THEN 'daily_budget_exceeded' WHEN f.s THEN 'suspended_or_billing' END AS disabled_reason
+FROM (SELECT provider, count(*) AS attempts, count(*) FILTER (WHERE status = 'ok') AS success FROM log GROUP BY 1) AS r
+JOIN (SELECT provider, count(*) FILTER (WHERE failed AND (last_ok IS NULL OR seq > last_ok)) AS failures, coalesce(bool_or(broke), false) AS s
+  FROM (SELECT provider, seq, status <> 'ok' AND class IN ('suspension', 'other') AS failed, status <> 'ok' AND class = 'suspension' AS broke, max(CASE WHEN status = 'ok' THEN seq END) OVER (PARTITION BY provider) AS last_ok FROM (SELECT *, {_CLASS} AS class FROM log) AS a) AS b GROUP BY 1) AS f ON f.provider = r.provider
+CROSS JOIN (SELECT max_by(over, day) AS over FROM (SELECT CAST(created_at AS DATE) AS day, sum(CAST({_COST} AS DOUBLE)) > 1.2 AS over FROM log WHERE status = 'ok' GROUP BY 1) AS c) AS d""",
+    "log",
+)
+def log_to_dashboards(spark, sf_dir):
+    made = crawl.log_to_dashboards(load(spark, sf_dir, "fetches"), load(spark, sf_dir, "sources"), load(spark, sf_dir, "log"), 1.2)
+    return made.providers.join(made.circuits, "provider").select("provider", "attempts", "success", "failures", "disabled_reason")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

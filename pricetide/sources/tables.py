@@ -108,7 +108,7 @@ SELECT l_suppkey AS source_id, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE 'Part '
        CAST(l_quantity AS INT) AS review_count, CASE WHEN l_linenumber % 2 = 0 THEN 'u' || CAST(l_orderkey AS STRING) END AS url, l_shipdate AS observed_at, l_orderkey * 10 + l_linenumber AS seq
 FROM {lineitem}""",
     "stored": """
-SELECT l_suppkey AS source_id, 'Part ' || CAST(l_partkey % 400 AS STRING) AS title, min(l_partkey) AS product_id, max(floor(l_extendedprice / l_quantity * 100) / 100) AS price,
+SELECT 'o' || CAST(l_suppkey AS STRING) || '-' || CAST(l_partkey % 400 AS STRING) AS offer_id, l_suppkey AS source_id, 'Part ' || CAST(l_partkey % 400 AS STRING) AS title, 'Shop ' || CAST(l_suppkey AS STRING) AS merchant_name, 'EUR' AS currency, min(l_partkey) AS product_id, max(floor(l_extendedprice / l_quantity * 100) / 100) AS price,
        min(l_returnflag) AS availability, max(l_discount * 50) AS rating, CAST(max(l_quantity) AS INT) AS review_count, 'old' AS url, min(l_shipdate) AS last_seen_at
 FROM {lineitem} WHERE l_partkey % 3 = 0 GROUP BY l_suppkey, l_partkey % 400""",
 }

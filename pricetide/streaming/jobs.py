@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricetide.functions.helpers import admit
+from pricetide.functions.numbers import rounded
 from pricetide.functions.text import fetch_key
 from pricetide.operators.compliance import DELAY, PER_MINUTE
 from pricetide.operators.metrics import MAX_FAILURES, QUEUE, SUSPENSION, WALL, cost_of, known_status
@@ -30,7 +31,7 @@ def stream_daily_spend(log: DataFrame, budget: float = 0.0) -> DataFrame:
     rows = log.where(F.col("status") == "ok").withWatermark("created_at", "2 days")
     spent = rows.groupBy(F.window("created_at", "1 day").alias("w")).agg(F.sum(cost_of(F.col("provider"))).alias("spend"))
     over = F.col("spend") > budget if budget > 0 else F.lit(False)
-    return spent.select(F.to_date("w.start").alias("day"), F.round("spend", 4).alias("spend"), over.alias("over_budget"))
+    return spent.select(F.to_date("w.start").alias("day"), rounded(F.col("spend"), 4).alias("spend"), over.alias("over_budget"))
 
 
 def stream_fresh_fetches(fetches: DataFrame, ttl: str = "10 minutes") -> DataFrame:

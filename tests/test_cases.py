@@ -408,3 +408,53 @@ def test_headlines(spark):
     rows = spark.createDataFrame([(1, '<a href="/news/1"><h3>Apple beats estimates on services growth</h3></a><h3>Another headline here</h3>'), (2, "<h3>Only bare headline</h3><h3>short</h3><h3>Only bare headline</h3>")], "page_id int, html string")
     out = {(r["page_id"], r["pos"], r["title"], r["link"]) for r in finance.html_articles(rows).collect()}
     assert out == {(1, 0, "Apple beats estimates on services growth", "/news/1"), (2, 0, "Only bare headline", "")}
+
+
+# ---- values that a text-based rounding, or a missing column, gets wrong
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_rounding_goes_by_the_exact_value(spark, digits):
+    from pricetide.functions.numbers import rounded
+
+    rng = random.Random(5)
+    values = [32.675, 2.675, 1.005, 0.125, 6.25, 100 / 16, 1 / 8, 0.0, -32.675, -0.125, 1e15 + 0.5, 1e300, 44999.995]
+    values += [round(rng.uniform(0, 50_000), digits) + 5 * 10.0 ** -(digits + 1) for _ in range(3000)] + [rng.uniform(-1e6, 1e6) for _ in range(1000)]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["x"] for r in table.select(rounded(F.col("v"), digits).alias("x")).collect()] == [round(v, digits) for v in values]
+
+
+def test_listing_aliases(spark):
+    rows = [("p", 0, "lamp", None, "Desk lamp", None, "49.99", None, "$60", None, "u1"), ("p", 1, "lamp", "", None, "Floor lamp", "30", "20", None, "u2", None), ("p", 2, "lamp", None, None, None, "30", None, None, None, None)]
+    table = spark.createDataFrame(rows, "payload_id string, pos int, query string, product_name string, title string, name string, price string, original_price string, list_price string, product_url string, url string")
+    out = [(r["product_name"], r["price"], r["original_price"], r["product_url"]) for r in listings.normalize_listings(table).orderBy("pos").collect()]
+    assert out == [("Desk lamp", 49.99, 60.0, "u1"), ("Floor lamp", 30.0, None, "u2")]
+    named = catalog.normalize_products(spark.createDataFrame([(None, "Sale Lamp", None, None)], "title string, product_name string, brand string, mpn string"))
+    assert named.first()["canonical_title"] == "Lamp"
+
+
+def test_upsert_keeps_all_columns(spark):
+    stored = spark.createDataFrame([("o1", "s", "Lamp", "Shop", "EUR", 5.0, "img", "u", 4.0, "in_stock", datetime(2024, 1, 1))], "offer_id string, source_id string, title string, merchant_name string, currency string, price double, image_url string, url string, rating double, availability string, last_seen_at timestamp")
+    rows = [("s", "Lamp", 7.0, None, "u9", 1.0, "out_of_stock"), ("s", "", None, None, "u2", 0.0, "unknown"), ("t", "Lamp", 3.0, "v", "u3", 2.5, None)]
+    incoming = spark.createDataFrame(rows, "source_id string, title string, price double, url string, page_url string, rating double, availability string").withColumns({"observed_at": F.lit("2024-02-01").cast("timestamp"), "seq": F.lit(1)})
+    out = catalog.upsert_offers(stored, incoming, "2024-02-02")
+    assert out.columns == stored.columns
+    found = {(r["source_id"], r["title"]): r for r in out.collect()}
+    old, blank, new = found["s", "Lamp"], found["s", "Unknown"], found["t", "Lamp"]
+    assert (old["offer_id"], old["merchant_name"], old["currency"], old["price"], old["url"], old["rating"], old["availability"], old["image_url"]) == ("o1", "Shop", "EUR", 7.0, "u", 4.0, "in_stock", "img")
+    assert (blank["price"], blank["url"], blank["rating"], blank["currency"]) == (None, "u2", None, "USD") and len(blank["offer_id"]) == 64
+    assert (new["price"], new["url"], new["rating"], str(new["last_seen_at"])) == (3.0, "v", 2.5, "2024-02-02 00:00:00") and new["offer_id"] != blank["offer_id"]
+
+
+def test_fresh_fetches_break_ties(spark):
+    at = datetime(2024, 1, 1, 12)
+    rows = spark.createDataFrame([("u", at, i) for i in (3, 9, 4)], "url string, fetched_at timestamp, seq int")
+    assert [r["seq"] for r in pages.fresh_fetches(rows, "2024-01-01 12:00:30").collect()] == [9]
+
+
+def test_spend_over_budget_opens_paid_circuits(spark):
+    log = spark.createDataFrame([("brightdata_unlocker", i, True, None) for i in range(3)] + [("js_browser", 9, True, None)], "provider string, seq int, ok boolean, error string")
+    for last, want in ((True, "daily_budget_exceeded"), (False, None)):
+        spend = spark.createDataFrame([("2024-01-01", not last), ("2024-01-02", last)], "day string, over_budget boolean")
+        out = {r["provider"]: r["disabled_reason"] for r in metrics.circuit_state(log, spend=spend).collect()}
+        assert out == {"brightdata_unlocker": want, "js_browser": None}

@@ -58,3 +58,36 @@ def test_snapshots_of_long_pages_hash_the_whole_page(spark, tmp_path):
     rows = {r["url"]: r for r in QUERIES["snapshots"](spark, str(tmp_path)).collect()}
     for url, text in html.items():
         assert (rows[url]["content_hash"], rows[url]["kept"], rows[url]["content_chars"]) == (sha256(text.encode()).hexdigest(), min(len(text), 500_000), len(text))
+
+
+def test_pages_to_offers(spark):
+    """Gated, walled and failed pages drop out; replies of a page merge; a page prices itself where nothing else does; offers and history follow."""
+    filler = "plain text of the page " * 200
+    tag = '<div data-automation-id="product-price">$419.00</div>'
+    own = '<script type="application/ld+json">{"@type":"Product","name":"Own lamp","offers":{"price":"55.50","availability":"InStock"}}</script>'
+    rows = [
+        (1, "u1", tag, "camera", "walmart", 1, "ok", 200, 1), (2, "u2", own, "lamp", "target", 1, "ok", 200, 1), (3, "u3", tag, "camera", "walmart", 2, "ok", 200, 1),
+        (4, "u4", tag, "camera", "walmart", 1, "ok", 403, 4), (5, "u5", tag, "camera", "walmart", 1, "error", 200, 1), (6, "u6", "<p>", "camera", "walmart", 1, "ok", 200, 1),
+    ]
+    schema = "page_id int, url string, html string, query string, retailer_key string, source_id int, status string, http_status int, tier int"
+    pages = spark.createDataFrame([(*r,) for r in rows], schema).selectExpr("*", f"if(page_id = 2, '', '{filler}') as page_text")
+    said = spark.createDataFrame(
+        [(1, "camera", 1, '{"product_name": null, "price": null, "rating": 4.0}'), (1, "camera", 2, '{"product_name": "Osmo", "price": 399, "rating": 5.0}'), (2, "lamp", 1, '{"_error": "product_not_found"}'), (6, "camera", 1, "broken")],
+        "page_id int, query string, panel int, reply string",
+    )
+    sources = spark.createDataFrame([(1, "api", "active"), (2, "api", "paused")], "source_id int, source_type string, status string")
+    products = spark.createDataFrame([("p1", "Osmo", None, None, None, "osmo")], "product_id string, canonical_title string, brand string, mpn string, gtin string, normalized_key string")
+    offers = spark.createDataFrame([("o1", 1, "Osmo", "p1", 450.0, "in_stock", None, 3, "old", "2024-01-01", "USD")], "offer_id string, source_id int, title string, product_id string, price double, availability string, rating double, review_count int, url string, last_seen_at string, currency string")
+    offers = offers.withColumn("last_seen_at", offers["last_seen_at"].cast("timestamp"))
+    made = shopping.pages_to_offers(pages, said, sources, products, offers, "2024-02-02")
+    results = {r["page_id"]: (r["product_name"], r["price"], r["price_source"], r["error"]) for r in made.results.collect()}
+    assert results == {
+        1: ("Osmo", 399.0, "llm", None), 2: ("Own lamp", 55.5, "html_extract", None), 3: (None, None, None, "source_status_paused"), 4: (None, None, None, "access_denied"),
+        5: (None, None, None, "fetch_failed"), 6: (None, None, None, "json_parse_failed"),
+    }
+    stored = {r["title"]: r for r in made.offers.collect()}
+    assert (stored["Osmo"]["offer_id"], stored["Osmo"]["price"], stored["Osmo"]["url"]) == ("o1", 399.0, "old")
+    assert (stored["Own lamp"]["price"], stored["Own lamp"]["availability"], stored["Own lamp"]["url"]) == (55.5, "in_stock", "u2")
+    assert {r["canonical_title"] for r in made.products.collect()} == {"Own lamp"} and stored["Own lamp"]["product_id"] == made.products.first()["product_id"]
+    assert sorted((r["offer_id"] == "o1", r["price"]) for r in made.history.collect()) == [(False, 55.5), (True, 399.0)]
+    assert "Unknown" in stored and stored["Unknown"]["price"] is None
