@@ -10,7 +10,9 @@ reach MATCHES is skipped. Pairs that reach it are confirmed on the full shingle
 Documents with one word sequence are represented by one of them. Within a list, every member is first compared with the list's
 most typical one of about its size (the one whose postings most documents share). Then only members of lists that are still
 in different components are compared, inside tasks: a list's members are packed in blocks with their signatures, and only
-pairs that reach MATCHES leave the task. Of these, one for each two components comes first and the others follow if it fails.
+pairs that reach MATCHES and whose sets can be similar enough leave the task: a bitmap of each set tells how many shingles at
+least the other one lacks, so this bound loses nothing. Of these, one for each two components comes first and the others
+follow if it fails.
 A group of thousands of near copies so costs rows in proportion to its members, not to its pairs.
 """
 
@@ -26,8 +28,8 @@ from pricetide.llm.common import ROW, keep_rows, materialize, row_id, without
 from pricetide.llm.shingles import _odd, distinct, groups, sequence_key
 
 COORDINATES, MATCHES = 64, 32
-#: Members of a block, coordinates compared before pairs are skipped, pairs compared at once.
-BLOCK, STRIDE, AT_ONCE = 256, 16, 1 << 18
+#: Members of a block, coordinates compared before pairs are skipped, pairs compared at once, bits of a set's bitmap.
+BLOCK, STRIDE, AT_ONCE, BITS = 256, 16, 1 << 16, 2048
 _TURNS = _odd(COORDINATES)
 
 
@@ -57,17 +59,20 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
-    """uid and the distinct shingle hashes of the wanted documents' whole texts."""
+    """uid, the distinct shingle hashes of the wanted documents' whole texts, and bits: which of BITS places they fall on."""
 
     def tasks(batches):
         for b in batches:
             for row, words, counts in groups(b.column(1)):
                 hashes, sizes = distinct(words, counts, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(counts)), lists], ["uid", "hashes"])
+                places = np.zeros((len(counts), BITS), bool)
+                places[np.repeat(np.arange(len(counts)), sizes), (hashes >> np.uint64(20)) % np.uint64(BITS)] = True
+                bits = pa.array([row_.tobytes() for row_ in np.packbits(places, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(counts)), lists, bits], ["uid", "hashes", "bits"])
 
     rows = docs.select(row_id(docs).alias("uid"), "text")
-    return keep_rows(rows, wanted, "left_semi", n_wanted, "uid").select("uid", "text").mapInArrow(tasks, "uid long, hashes array<long>")
+    return keep_rows(rows, wanted, "left_semi", n_wanted, "uid").select("uid", "text").mapInArrow(tasks, "uid long, hashes array<long>, bits binary")
 
 
 def prefixes(reps: DataFrame, matches: int) -> DataFrame:
@@ -148,15 +153,20 @@ class _Members:
     def __init__(self, packed: pa.StructArray):
         self.uid, self.root, self.n, self.open = (packed.field(c).to_numpy(zero_copy_only=False) for c in ("uid", "root", "n", "open"))
         self.sig = packed.field("sig").flatten().to_numpy().reshape(-1, COORDINATES)
+        self.bits = np.frombuffer(b"".join(packed.field("bits").to_pylist()), np.uint64).reshape(len(self.uid), BITS // 64)
 
 
 def _reach(left: _Members, right: _Members, i: np.ndarray, j: np.ndarray, percent: int, matches: int):
-    """(a, b, root of a, root of b, collisions) of the pairs of rows i, j that are in two components, near in size, and collide often enough."""
+    """(a, b, root of a, root of b, collisions) of the pairs of rows i, j that are in two components, near in size, collide often enough, and can be similar enough."""
     n, m = left.n[i], right.n[j]
     fine = (left.root[i] != right.root[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     i, j = i[fine], j[fine]
     count = collisions(left.sig[i], right.sig[j], matches)
     i, j, count = i[count >= 0], j[count >= 0], count[count >= 0]
+    lack = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((left.bits[i], right.bits[j]), (right.bits[j], left.bits[i]))]
+    common = np.minimum(left.n[i] - lack[0], right.n[j] - lack[1])  # at most
+    may = 100 * common >= percent * (left.n[i] + right.n[j] - common)
+    i, j, count = i[may], j[may], count[may]
     turn = left.root[i] > right.root[j]
     ends = [np.where(turn, y, x) for x, y in ((left.uid[i], right.uid[j]), (right.uid[j], left.uid[i]), (left.root[i], right.root[j]), (right.root[j], left.root[i]))]
     return [*ends, count]
@@ -170,8 +180,8 @@ def _one_for_two(found: list[np.ndarray]) -> list[np.ndarray]:
     return [x[first] for x in found]
 
 
-def met(lists: DataFrame, roots: DataFrame, reps: DataFrame, percent: int, matches: int, one_for_two: bool) -> DataFrame:
-    """a, b, ra, rb, c: pairs under one key in two components that collide ``matches`` times or more; with ``one_for_two`` at least one for each two components of a task.
+def met(lists: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, matches: int, one_for_two: bool) -> DataFrame:
+    """a, b, ra, rb, c: pairs under one key in two components that collide ``matches`` times or more and can be linked; with ``one_for_two`` at least one for each two components of a task.
 
     Lists inside one component are left alone. Of a list of more than BLOCK members, those outside its largest component
     meet all of them, block by block.
@@ -183,7 +193,8 @@ def met(lists: DataFrame, roots: DataFrame, reps: DataFrame, percent: int, match
     sizes = sizes.where("roots > 1").select("key", F.col("top.root").alias("top"), F.expr(f"(total + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     sizes = materialize(sizes, "mixed")  # a table of its own, so that the join can split a hot list's rows
     members = placed.join(sizes, "key").withColumn("block", F.expr("pmod(xxhash64(uid), blocks)")).withColumn("open", F.col("root") != F.col("top"))
-    members = members.join(reps.select("uid", "sig"), "uid").select("key", "block", "blocks", "open", F.struct("uid", "root", "n", "open", "sig").alias("m"))
+    members = members.join(reps.select("uid", "sig"), "uid").join(sets.select("uid", "bits"), "uid")
+    members = members.select("key", "block", "blocks", "open", F.struct("uid", "root", "n", "open", "sig", "bits").alias("m"))
     members = materialize(members, "members")
     packed = members.groupBy("key", "block", "blocks").agg(F.collect_list("m").alias("right"))  # about BLOCK members, by hash
     asked = members.where("open and blocks > 1").groupBy("key", F.col("block").alias("own"), "blocks").agg(F.collect_list("m").alias("left"))
@@ -240,7 +251,7 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, matches:
     tested = materialize(collided(stars, reps, matches), "stars")
     roots = materialize(components(confirmed(tested, sets, percent)), "roots")
     for one_for_two in (True, False):
-        pairs = met(lists, roots, reps, percent, matches, one_for_two)
+        pairs = met(lists, roots, reps, sets, percent, matches, one_for_two)
         if one_for_two:
             pairs = pairs.groupBy("ra", "rb").agg(F.max(F.struct("c", "a", "b")).alias("m")).select("ra", "rb", "m.a", "m.b")
         else:
