@@ -246,6 +246,49 @@ def test_language_scores_are_those_of_one_pass(monkeypatch):
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
 
 
+def plain_bayes(rows):
+    """doc -> (language, score): n-grams counted one by one, with the bucket of each worked out in whole numbers."""
+    from pricetide.llm.language_id import ALPHA, BUCKETS, ENOUGH
+
+    def buckets(text):
+        points = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+        for i in range(len(points) - 2):
+            h = points[i] * 0x9E3779B1 % 2**32
+            for n in (2, 3):
+                h = (h ^ h >> 15 ^ points[i + n - 1]) * (0x85EBCA77 + 2 * n) % 2**32
+                yield h >> 17 & BUCKETS - 1
+
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and text and crc(i) % 4 != 2:
+            counts[lang].update(buckets(text))
+    sums = {lang: sum(c.values()) + ALPHA * BUCKETS for lang, c in counts.items()}
+    out = {}
+    for i, text, _ in rows:
+        found = list(buckets(text)) if text else []
+        if not any(c.isalpha() for c in text or "") or not counts:
+            out[i] = ("und", 0.0)
+            continue
+        odds = {lang: sum(math.log((c[h] + ALPHA) / sums[lang]) for h in found) * min(1, ENOUGH / len(found)) for lang, c in counts.items()}
+        best = min(odds, key=lambda lang: (-odds[lang], lang))
+        out[i] = (best, 1 / sum(math.exp(o - odds[best]) for o in odds.values()))
+    return out
+
+
+def test_language_query_against_plain_bayes(spark, tmp_path):
+    from pricetide.llm.language_id import op3_language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").limit(70)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    rows += [(9001, None, "en"), (9002, "", "en"), (9003, "12 !?", None), (9004, "Ünïcode ß text", None), (9005, "a", "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = plain_bayes(rows)
+    found = op3_language_id(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["held_out"] == (crc(r["doc_id"]) % 4 == 2) and r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-9)
+
+
 def test_more_languages_than_a_group(spark):
     from pricetide.llm import language_id as li
 
@@ -671,6 +714,49 @@ def test_nearest(spark):
     assert nearest(few.where("false")).count() == 0
 
 
+def test_nearest_keeps_every_row(spark, tmp_path):
+    """Vectors of other lengths search among their own, rows that repeat a vec_id are candidates, and huge and tiny components are exact."""
+    from pricetide.llm.nearest import op10_nearest
+
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(7, rows[50][1]), (50, rows[9][1]), (2000, [2.0**-660 * x for x in rows[0][1]]), (2001, [2.0**660 * x for x in rows[0][1]]), (2002, [5e-324] + [0.0] * 7), (2003, [1.7e308] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def unit(v):
+        v = np.array(v) / np.abs(v).max()
+        return v / np.sqrt(v @ v)
+
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-round(float(unit(v) @ unit(w)), 12), i, b) for b, (i, w) in enumerate(rows) if b != a and len(w) == len(v))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i, _) in enumerate(near)]
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in op10_nearest(spark, str(tmp_path)).collect())
+    assert found == sorted((q, r, i, round(s, 9)) for q, r, i, s in want)
+
+
+def test_recall_without_reranking_the_whole_table(spark):
+    """At 5,000 vectors and 16, 32 and 64 of them scored again."""
+    from pricetide.llm.nearest import nearest
+
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 5000)] + rng.normal(size=(5000, 32)) * 0.6
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    recall = {}
+    for again in (16, 32, 64):
+        hits = 0
+        for r in nearest(table, again=again).groupBy("query_id").agg({"vec_id": "collect_list"}).collect():
+            cosines = unit @ unit[r[0]]
+            cosines[r[0]] = -2
+            hits += len(set(r[1]) & set(np.argsort(-cosines)[:5].tolist()))
+        recall[again] = hits / 500
+    print("recall", recall)
+    assert recall[64] >= 0.9
+
+
 def test_beam_search_does_not_lose_to_greedy():
     from pricetide.llm.nearest import encode, learn
 
@@ -708,6 +794,23 @@ def test_pipeline_by_stage(spark, tmp_path):
         kept = [r for r in kept if r["doc_id"] in ids]
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Nulls, empty, long and repeated texts, ids that repeat or are null, no rows at all, through all stages together."""
+    import corpus_pipeline as cp
+
+    for name, table in (("odd", odd), ("none", none)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = cp.run(spark, str(tmp_path / name)).collect()
+        assert len({(r["bucket"], r["batch"], r["place"]) for r in rows}) == len(rows)
+        lettered = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")]
+        last = {}
+        for i, t in sorted(lettered, key=lambda r: -1 if r[0] is None else r[0]):
+            last[t] = i
+        groups = near([(i, t) for t, i in last.items()], 5)
+        alone = {r[0] for r in groups if r[0] == r[2]}
+        assert {-1 if r["doc_id"] is None else r["doc_id"] for r in rows} == alone and len(rows) == len(alone)
+
+
 def test_blocks_find_what_stars_find(spark, docs, monkeypatch):
     """Without stars, all links come from the lists, block against block, one for two components first: the same components."""
     from pricetide.llm import near_dedup as nd
