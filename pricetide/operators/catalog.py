@@ -71,33 +71,37 @@ def match_exact(incoming: DataFrame, products: DataFrame) -> DataFrame:
     return out.withColumns({"product_id": F.coalesce(*[F.col(f"_{n}") for n in names]), "match_type": kind, "confidence": sure}).drop(*[f"_{n}" for n in names])
 
 
-def _blocks(rows: DataFrame, key: str, common: DataFrame) -> DataFrame:
-    """(key, block): the title's tokens; a common token only together with each other token of the title, so that no block
-    holds all titles with a frequent word. Titles made of common tokens alone also get their sorted tokens as a block."""
-    tokens = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("canonical_title"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("t"))
+def _tokens(title: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(title, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def _blocks(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """``rows`` (id, title, brand) once for each block: the title's tokens; a common token only together with each other token
+    of the title, so that no block holds all titles with a frequent word. The sorted tokens of a title are a block as well."""
+    tokens = rows.select("id", "title", "brand", F.explode(_tokens(F.col("title"))).alias("t"))
     marked = tokens.join(common.select("t", F.lit(True).alias("c")), "t", "left")
-    grouped = marked.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("c"), F.col("t")))).alias("often"))
+    grouped = marked.groupBy("id", "title", "brand").agg(F.array_sort(F.collect_list("t")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("c"), F.col("t")))).alias("often"))
     rare = F.array_except("all", "often")
     pairs = F.flatten(F.transform("often", lambda a: F.transform(F.filter("all", lambda b: b != a), lambda b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))))
-    return grouped.select(key, F.explode(F.array_distinct(F.concat(rare, pairs, F.array(F.concat(F.lit("="), F.array_join("all", " ")))))).alias("block"))
+    return grouped.select("id", "title", "brand", F.explode(F.array_distinct(F.concat(rare, pairs, F.array(F.concat(F.lit("="), F.array_join("all", " ")))))).alias("block"))
 
 
 def match_fuzzy(incoming: DataFrame, products: DataFrame, common: int = COMMON_TOKEN) -> DataFrame:
     """in_id with the product of most similar title among those that share a block: product_id, confidence, needs_review.
 
     Products whose brand differs from a set brand take no part; ratios below LIKELY_RATIO match nothing; ties go to the
-    smaller product_id. A pair whose lengths alone keep the ratio below LIKELY_RATIO is not compared. Titles that share no
-    token, or only one token that stands in more than ``common`` products, share no block.
+    smaller product_id. A pair whose brands differ, or whose lengths alone keep the ratio below LIKELY_RATIO, is dropped where
+    its blocks meet. Titles that share no token, or only one token that stands in more than ``common`` products, share no block.
     """
-    mine = incoming.where(F.col("canonical_title") != "").select("in_id", F.lower("canonical_title").alias("title"), F.lower("brand").alias("brand"), "canonical_title")
-    theirs = products.where(F.col("canonical_title") != "").select("product_id", F.lower("canonical_title").alias("p_title"), F.lower("brand").alias("p_brand"), "canonical_title")
-    counts = theirs.select(F.explode(F.array_distinct(F.regexp_extract_all("p_title", F.lit(r"(?U)\w+"), F.lit(0)))).alias("t")).groupBy("t").count()
-    often = counts.where(F.col("count") > common).select("t")
-    pairs = _blocks(mine, "in_id", often).join(_blocks(theirs, "product_id", often), "block").select("in_id", "product_id").distinct()
-    pairs = pairs.join(mine.drop("canonical_title"), "in_id").join(theirs.drop("canonical_title"), "product_id")
-    same = (text_or_empty(F.col("brand")) == "") | (text_or_empty(F.col("p_brand")) == "") | (F.col("brand") == F.col("p_brand"))
+    shape = lambda d, key: d.where(F.col("canonical_title") != "").select(F.col(key).alias("id"), F.lower("canonical_title").alias("title"), text_or_empty(F.lower("brand")).alias("brand"))
+    mine, theirs = shape(incoming, "in_id"), shape(products, "product_id")
+    often = theirs.select(F.explode(_tokens(F.col("title"))).alias("t")).groupBy("t").count().where(F.col("count") > common).select("t")
+    left = _blocks(mine, often).select("block", F.col("id").alias("in_id"), "title", "brand")
+    right = _blocks(theirs, often).select("block", F.col("id").alias("product_id"), F.col("title").alias("p_title"), F.col("brand").alias("p_brand"))
+    same = (F.col("brand") == "") | (F.col("p_brand") == "") | (F.col("brand") == F.col("p_brand"))
     a, b = F.length("title"), F.length("p_title")
-    pairs = pairs.where(same & (2.0 * F.least(a, b) / (a + b) >= LIKELY_RATIO)).withColumn("ratio", title_ratio("title", "p_title")).where(F.col("ratio") >= LIKELY_RATIO)
+    pairs = left.join(right, "block").where(same & (2.0 * F.least(a, b) / (a + b) >= LIKELY_RATIO)).select("in_id", "product_id", "title", "p_title").dropDuplicates(["in_id", "product_id"])
+    pairs = pairs.withColumn("ratio", title_ratio("title", "p_title")).where(F.col("ratio") >= LIKELY_RATIO)
     best = pairs.groupBy("in_id").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "product_id")).alias("b"))
     ratio = -F.col("b.less")
     return best.select("in_id", "b.product_id", F.lit("fuzzy_title").alias("match_type"), ratio.alias("confidence"), (ratio < SURE_RATIO).alias("needs_review"))

@@ -188,7 +188,7 @@ def admit_requests(requests: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["requested_at", "request_id"])
         delays = [float(d) if d and d == d else DELAY for d in pdf["delay"]]
         limits = [int(m) if m and m == m else PER_MINUTE for m in pdf["max_rpm"]]
-        starts, _, _ = admit(pdf["requested_at"].tolist(), delays, limits)
+        starts, *_ = admit(pdf["requested_at"].tolist(), delays, limits)
         out = pdf[["domain", "request_id", "requested_at"]].copy()
         out["admitted"] = [s is not None for s in starts]
         out["started_at"] = [float("nan") if s is None else s for s in starts]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricetide.functions.numbers import rounded
+from pricetide.sources.work import materialize
 
 #: Weights of a score, and what each state of availability and age in hours is worth.
 WEIGHTS = {"price": 0.30, "availability": 0.20, "merchant": 0.20, "reviews": 0.15, "freshness": 0.10, "shipping": 0.05}
@@ -74,17 +75,36 @@ def rank_offers(scored: DataFrame, group_cols: list[str], k: int | None = None)
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
-def ranked_search(offers: DataFrame, products: DataFrame, queries: DataFrame, as_of: str, price_max: float | None = None) -> DataFrame:
-    """query x offers whose product title holds it: scored within the query's surviving rows and ranked.
-
-    A rating of 0 counts as none and shipping is not known. ``queries`` is a short list: it is broadcast.
+def rank_all(scored: DataFrame, group_cols: list[str]) -> DataFrame:
+    """``rank_offers`` for groups of any size: rows are dealt by ranges of (group, score), numbered within each range, and each
+    range counts on from the ranges of its group before it, so no group is sorted in one task."""
+    order = [F.desc("shopping_score"), F.col("offer_id")]
+    dealt = materialize(scored.repartitionByRange(*group_cols, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*group_cols, "_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a group and range
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    keys = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col("_part").alias("_p"), "_base")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    rows = dealt.join(keys, same)
+    inside = F.row_number().over(Window.partitionBy(*group_cols, "_part").orderBy(*order))
+    return rows.withColumn("rank", F.col("_base") + inside).drop("_part", "_p", "_base", *[f"_g{i}" for i in range(len(group_cols))])
+
+
+def ranked_search(offers: DataFrame, products: DataFrame, queries: DataFrame, as_of: str, price_max: float | None = None, k: int | None = None) -> DataFrame:
+    """query x offers whose product title holds it: scored within the query's surviving rows and ranked, the first ``k`` if given.
+
+    A rating of 0 counts as none and shipping is not known. ``queries`` is a short list: it is broadcast. The hits are a work
+    table, found once for the price ranges and the scores.
     """
     hits = products.join(F.broadcast(queries), F.expr("canonical_title ILIKE concat('%', lower(query), '%')")).select("product_id", "query")
-    rows = offers.join(hits, "product_id")
     if price_max is not None:
-        rows = rows.where(F.col("price").isNull() | (F.col("price") <= price_max))
+        offers = offers.where(F.col("price").isNull() | (F.col("price") <= price_max))
+    rows = offers.join(hits, "product_id")
     rows = rows.withColumns({"rating": F.nullif("rating", F.lit(0.0)), "shipping_price": F.lit(None).cast("double")})
-    return rank_offers(score_offers(rows, ["query"], as_of), ["query"])
+    scored = score_offers(materialize(rows, "hits"), ["query"], as_of)
+    return rank_offers(scored, ["query"], k) if k else rank_all(scored, ["query"])
 
 
 def recompute_scores(offers: DataFrame, as_of: str) -> DataFrame:

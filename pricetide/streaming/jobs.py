@@ -14,16 +14,12 @@ from pricetide.functions.helpers import admit
 from pricetide.functions.numbers import rounded
 from pricetide.functions.text import fetch_key
 from pricetide.operators.compliance import DELAY, PER_MINUTE
-from pricetide.operators.metrics import MAX_FAILURES, QUEUE, SUSPENSION, WALL, cost_of, known_status
+from pricetide.operators.metrics import MAX_FAILURES, QUEUE, SUSPENSION, WALL, cost_of, provider_dashboard
 
 
 def stream_dashboard(log: DataFrame) -> DataFrame:
-    """Running counts of each provider; output mode update or complete. State is one row a provider."""
-    status = known_status(F.col("status"))
-    return log.groupBy("provider").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(status == "ok").alias("success"), F.count_if(status == "blocked").alias("blocked"),
-        F.count_if(status == "error").alias("errors"), F.sum(F.coalesce(F.col("latency_ms").cast("long"), F.lit(0))).alias("total_ms"),
-    )
+    """The running dashboard of each provider, with its rates and costs; output mode update or complete. State is one row a provider."""
+    return provider_dashboard(log)
 
 
 def stream_daily_spend(log: DataFrame, budget: float = 0.0) -> DataFrame:
@@ -60,22 +56,25 @@ def stream_circuits(log: DataFrame, max_failures: int = MAX_FAILURES) -> DataFra
 
 
 def stream_admission(requests: DataFrame) -> DataFrame:
-    """domain, request_id, requested_at (seconds), delay, max_rpm -> admitted, started_at; the window of a minute is the state."""
+    """domain, request_id, requested_at (seconds), delay, max_rpm -> admitted, started_at.
+
+    The state is the last start, the starts of a minute, and the time up to which requests, refused ones too, have waited.
+    """
 
     def step(key, batches, state: GroupState):
-        last, recent = state.get if state.exists else (None, [])
+        last, recent, clock = state.get if state.exists else (None, [], None)
         rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"])
         delays = [float(d) if d and d == d else DELAY for d in rows["delay"]]
         limits = [int(m) if m and m == m else PER_MINUTE for m in rows["max_rpm"]]
-        starts, last, recent = admit(rows["requested_at"].tolist(), delays, limits, last, list(recent))
-        state.update((last, recent))
+        starts, last, recent, clock = admit(rows["requested_at"].tolist(), delays, limits, last, list(recent), clock)
+        state.update((last, recent, clock))
         out = rows[["domain", "request_id", "requested_at"]].copy()
         out["admitted"] = [s is not None for s in starts]
         out["started_at"] = [s if s is not None else float("nan") for s in starts]
         yield out
 
     out = "domain string, request_id long, requested_at double, admitted boolean, started_at double"
-    return requests.groupBy("domain").applyInPandasWithState(step, out, "last double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("domain").applyInPandasWithState(step, out, "last double, recent array<double>, clock double", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_result_lines(results: DataFrame, path: str, checkpoint: str):

@@ -324,8 +324,9 @@ def test_admission(spark):
     for delay, limit in ((10.0, 6), (1.0, 3), (30.0, 6)):
         times = sorted(rng.uniform(0, 300) for _ in range(60))
         assert helpers.admit(times, [delay] * 60, [limit] * 60)[0] == plain_admission(times, delay, limit)
-        first, last, recent = helpers.admit(times[:30], [delay] * 30, [limit] * 30)
+        first, *state = helpers.admit(times[:30], [delay] * 30, [limit] * 30)
         assert first == plain_admission(times, delay, limit)[:30]
+        assert helpers.admit(times[30:], [delay] * 30, [limit] * 30, *state)[0] == plain_admission(times, delay, limit)[30:]
     rows = [("h", i, float(t), 1.0, 3) for i, t in enumerate(times)]
     out = compliance.admit_requests(spark.createDataFrame(rows, "domain string, request_id long, requested_at double, delay double, max_rpm int")).orderBy("request_id").collect()
     assert [r["started_at"] for r in out] == plain_admission(times, 1.0, 3)

@@ -38,8 +38,7 @@ def run(df, name, mode, folder):
 def test_dashboard(spark, log, tmp_path):
     found = run(jobs.stream_dashboard(stream(spark, log)), "dash", "complete", tmp_path)
     want = metrics.provider_dashboard(spark.read.parquet(log))
-    cols = ["provider", "attempts", "success", "blocked", "errors"]
-    assert sorted(map(tuple, found.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_daily_spend(spark, log, tmp_path):
