@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 from pricetide.llm.common import BROADCAST_IDS, materialize, nullable, row_id, scratch, share
 
 #: Vectors learned from (about), codebooks, entries of each (at most 256), kept beams.
-SAMPLE, BOOKS, ENTRIES, BEAM = 8192, 8, 256, 8
+SAMPLE, BOOKS, ENTRIES, BEAM = 8192, 20, 256, 4
 #: Vectors of a block, queries of a round (about), candidates of a query that are scored again.
-BLOCK, QUERIES, AGAIN = 16_384, 8192, 64
+BLOCK, QUERIES, AGAIN = 16_384, 8192, 128
 
 
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:

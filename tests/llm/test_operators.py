@@ -736,25 +736,18 @@ def test_nearest_keeps_every_row(spark, tmp_path):
     assert found == sorted((q, r, i, round(s, 9)) for q, r, i, s in want)
 
 
-def test_recall_without_reranking_the_whole_table(spark):
-    """At 5,000 vectors and 16, 32 and 64 of them scored again."""
+def test_recall_on_vectors_without_clusters(spark):
+    """The hardest case: random directions of 48 dimensions, where the nearest of 4,000 are hardly nearer than the rest."""
     from pricetide.llm.nearest import nearest
 
-    rng = np.random.default_rng(14)
-    centres = rng.normal(size=(60, 32))
-    x = centres[rng.integers(0, 60, 5000)] + rng.normal(size=(5000, 32)) * 0.6
+    x = np.random.default_rng(14).normal(size=(4000, 48))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    recall = {}
-    for again in (16, 32, 64):
-        hits = 0
-        for r in nearest(table, again=again).groupBy("query_id").agg({"vec_id": "collect_list"}).collect():
-            cosines = unit @ unit[r[0]]
-            cosines[r[0]] = -2
-            hits += len(set(r[1]) & set(np.argsort(-cosines)[:5].tolist()))
-        recall[again] = hits / 500
-    print("recall", recall)
-    assert recall[64] >= 0.9
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for r in nearest(table, again=40).groupBy("query_id").agg({"vec_id": "collect_list"}).collect():  # a hundredth of the rows
+        cosines = unit @ unit[r[0]]
+        cosines[r[0]] = -2
+        hits += len(set(r[1]) & set(np.argsort(-cosines)[:5].tolist()))
+    assert hits >= 0.9 * 400
 
 
 def test_beam_search_does_not_lose_to_greedy():
