@@ -117,14 +117,21 @@ def pages_to_offers(pages: DataFrame, raw_replies: DataFrame, sources: DataFrame
 
 
 def match_products(incoming: DataFrame, products: DataFrame) -> DataFrame:
-    """in_id, product_id (text), match_type, confidence, needs_review: exact keys, then similar titles, then new products."""
+    """in_id, product_id (text), match_type, confidence, needs_review: exact keys, then similar titles, then new products.
+
+    Of rows that make one new product the first is it, and the others match it by their key.
+    """
     exact = catalog.match_exact(incoming, products)
     rest = exact.where("product_id is null").drop("product_id", "match_type", "confidence")
     fuzzy = catalog.match_fuzzy(rest, products)
-    fresh = catalog.new_products(rest.join(fuzzy.select("in_id"), "in_id", "left_anti"))
+    left = rest.join(fuzzy.select("in_id"), "in_id", "left_anti").where("normalized_key is not null")
+    first = catalog.new_products(left)
+    again = left.join(first.select("in_id"), "in_id", "left_anti").select(
+        "in_id", F.sha2("normalized_key", 256).alias("product_id"), F.lit("normalized_key").alias("match_type"), F.lit(catalog.CONFIDENCE["normalized_key"]).alias("confidence")
+    )
     shape = lambda d, review: d.select("in_id", F.col("product_id").cast("string").alias("product_id"), "match_type", "confidence", review.alias("needs_review"))
     found = shape(exact.where("product_id is not null"), F.lit(False)).unionByName(shape(fuzzy, F.col("needs_review")))
-    return found.unionByName(shape(fresh, F.lit(False)))
+    return found.unionByName(shape(first, F.lit(False))).unionByName(shape(again, F.lit(False)))
 
 
 def ranked_offers(offers: DataFrame, as_of: str, k: int = 5) -> DataFrame:

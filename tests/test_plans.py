@@ -25,6 +25,14 @@ def test_every_incoming_row_has_at_most_one_match(spark):
     assert {"gtin_exact", "mpn_brand", "normalized_key"} <= kinds <= {"gtin_exact", "mpn_brand", "normalized_key", "fuzzy_title", "new_product"}
 
 
+def test_rows_of_one_new_product_share_it(spark):
+    incoming = spark.createDataFrame([(i, "Quite new thing", None, None, None, None, "new|thing") for i in (4, 2, 9)], "in_id int, canonical_title string, brand string, mpn string, model_number string, gtin string, normalized_key string")
+    products = spark.createDataFrame([("p1", "Osmo", None, None, None, "osmo")], "product_id string, canonical_title string, brand string, mpn string, gtin string, normalized_key string")
+    found = {r["in_id"]: r for r in shopping.match_products(incoming, products).collect()}
+    assert {i: r["match_type"] for i, r in found.items()} == {2: "new_product", 4: "normalized_key", 9: "normalized_key"}
+    assert len({r["product_id"] for r in found.values()}) == 1
+
+
 def test_best_offers(spark):
     out = shopping.ranked_offers(load(spark, SF, "offers"), "2001-12-01", 2)
     assert out.groupBy("product_id").count().where("count > 2").isEmpty() and not out.isEmpty()
