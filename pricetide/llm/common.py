@@ -1,58 +1,19 @@
-"""What the operators of this subpackage share: scratch tables, hashing expressions and cheap whole-table orders."""
+"""What the operators of this subpackage share: work tables, hashing expressions and cheap whole-table orders."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Ids (8 bytes each) that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_IDS = 1_000_000
-
-_own: list[str] = []
-
-
-def _root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="pricetide-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = _own[0]
-    return f"{base.rstrip('/')}/pricetide/{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, a local folder of a
-    session without executors elsewhere (tests), an error on a cluster."""
-    return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
+from pricetide.sources.work import clean_work as clean_scratch
+from pricetide.sources.work import materialize, nullable
+from pricetide.sources.work import new_path as scratch
 
+__all__ = ["BROADCAST_IDS", "ROW", "clean_scratch", "fold", "id_text", "keep_rows", "materialize", "nullable", "numbered", "row_id", "running_sum", "scratch", "share", "without"]
 
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it once the results that read them are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table on shared storage and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
-
+#: Ids (8 bytes each) that may be broadcast; beyond it the same join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 #: Name of the row number that joins decisions back to rows; no table is expected to have it.
 ROW = "__pricetide_row"

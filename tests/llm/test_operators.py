@@ -820,6 +820,6 @@ def test_scratch_is_deleted(spark):
 
     path = common.scratch(spark, "x")
     kept = common.materialize(spark.range(3), "y")
-    assert kept.count() == 3 and path.startswith(common._root(spark))
+    assert kept.count() == 3 and path.startswith(spark.conf.get('spark.checkpoint.dir'))
     common.clean_scratch(spark)
     assert common.materialize(spark.range(3), "y").count() == 3
