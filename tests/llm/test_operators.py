@@ -322,6 +322,7 @@ def test_block_max_search_is_exact(power, words, monkeypatch):
     from pricetide.llm import toxicity as tx
 
     monkeypatch.setattr(tx, "FIRST", 1)
+    monkeypatch.setattr(tx, "FREQUENT", 40)
     rng = np.random.default_rng(5)
     idf, counts = rng.random(400) ** power * 9 + 0.1, np.zeros((900, 400), np.int64)
     often = rng.permutation(400) ** 2.0 + 1
