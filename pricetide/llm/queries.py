@@ -16,6 +16,7 @@ MODULES = {
     "op8_sharding": "sharding",
     "op9_token_counts": "token_counts",
     "op10_nearest": "nearest",
+    "op11_quality": "quality",
     "op12_whitening": "whitening",
     "op13_ranked_search": "lexical",
 }
