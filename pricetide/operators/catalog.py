@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from pricetide.functions.helpers import title_ratio
 from pricetide.functions.text import SPACE, strip, text_or_empty
+from pricetide.functions.titles import best_partners
+from pricetide.sources.work import materialize
 
 #: Words taken out of titles, length of a key, confidences, and ratios that accept and that ask for review.
 PROMO = r"(?i)\b(?:sale|deal|free shipping|limited time|clearance|new lower price)\b"
@@ -16,8 +21,8 @@ CONFIDENCE = {"gtin_exact": 0.99, "mpn_brand": 0.95, "normalized_key": 0.93}
 SURE_RATIO, LIKELY_RATIO = 0.92, 0.80
 MANAGED = "managed_retailer_search"
 HISTORY_ROWS, SEARCH_ROWS = 200, 50
-#: Rows in which a title token may stand before it is paired with a second token of the title (see ``match_fuzzy``).
-COMMON_TOKEN = 500
+#: Titles of a block, about, and the ratio of lengths that one band of lengths spans (see ``match_fuzzy``).
+TITLE_BLOCK, LENGTH_STEP = 1024, 1.1
 
 
 def title_case(c: Column) -> Column:
@@ -71,40 +76,55 @@ def match_exact(incoming: DataFrame, products: DataFrame) -> DataFrame:
     return out.withColumns({"product_id": F.coalesce(*[F.col(f"_{n}") for n in names]), "match_type": kind, "confidence": sure}).drop(*[f"_{n}" for n in names])
 
 
-def _tokens(title: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(title, F.lit(r"(?U)\w+"), F.lit(0)))
+def _slices(rows: DataFrame, size: int) -> DataFrame:
+    """part, band and the number of slices of about ``size`` rows that they are cut in."""
+    return rows.groupBy("part", "band").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("slices"))
 
 
-def _blocks(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """``rows`` (id, title, brand) once for each block: the title's tokens; a common token only together with each other token
-    of the title, so that no block holds all titles with a frequent word. The sorted tokens of a title are a block as well."""
-    tokens = rows.select("id", "title", "brand", F.explode(_tokens(F.col("title"))).alias("t"))
-    marked = tokens.join(common.select("t", F.lit(True).alias("c")), "t", "left")
-    grouped = marked.groupBy("id", "title", "brand").agg(F.array_sort(F.collect_list("t")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("c"), F.col("t")))).alias("often"))
-    rare = F.array_except("all", "often")
-    pairs = F.flatten(F.transform("often", lambda a: F.transform(F.filter("all", lambda b: b != a), lambda b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))))
-    return grouped.select("id", "title", "brand", F.explode(F.array_distinct(F.concat(rare, pairs, F.array(F.concat(F.lit("="), F.array_join("all", " ")))))).alias("block"))
+def _title_blocks(rows: DataFrame, slices: DataFrame) -> DataFrame:
+    """part, band, slice and the members (title, id) of each slice."""
+    dealt = rows.join(slices, ["part", "band"]).withColumn("slice", F.pmod(F.xxhash64("title"), F.col("slices")).cast("int"))
+    return dealt.groupBy("part", "band", "slice").agg(F.collect_list(F.struct("title", "id")).alias("members"))
 
 
-def match_fuzzy(incoming: DataFrame, products: DataFrame, common: int = COMMON_TOKEN) -> DataFrame:
-    """in_id with the product of most similar title among those that share a block: product_id, confidence, needs_review.
+def match_fuzzy(incoming: DataFrame, products: DataFrame, block: int = TITLE_BLOCK) -> DataFrame:
+    """in_id with the product of most similar title: product_id, confidence, needs_review.
 
     Products whose brand differs from a set brand take no part; ratios below LIKELY_RATIO match nothing; ties go to the
-    smaller product_id. A pair whose brands differ, or whose lengths alone keep the ratio below LIKELY_RATIO, is dropped where
-    its blocks meet. Titles that share no token, or only one token that stands in more than ``common`` products, share no block.
+    smaller product_id. The join is complete: equal titles of a brand are compared once, titles go in blocks by brand and
+    length, and every pair of blocks of similar length meets in some task, where the bounds of ``functions.titles`` leave few
+    pairs to compare in full. A brand of any size is many blocks; what moves is blocks, not pairs.
     """
     shape = lambda d, key: d.where(F.col("canonical_title") != "").select(F.col(key).alias("id"), F.lower("canonical_title").alias("title"), text_or_empty(F.lower("brand")).alias("brand"))
-    mine, theirs = shape(incoming, "in_id"), shape(products, "product_id")
-    often = theirs.select(F.explode(_tokens(F.col("title"))).alias("t")).groupBy("t").count().where(F.col("count") > common).select("t")
-    left = _blocks(mine, often).select("block", F.col("id").alias("in_id"), "title", "brand")
-    right = _blocks(theirs, often).select("block", F.col("id").alias("product_id"), F.col("title").alias("p_title"), F.col("brand").alias("p_brand"))
-    same = (F.col("brand") == "") | (F.col("p_brand") == "") | (F.col("brand") == F.col("p_brand"))
-    a, b = F.length("title"), F.length("p_title")
-    pairs = left.join(right, "block").where(same & (2.0 * F.least(a, b) / (a + b) >= LIKELY_RATIO)).select("in_id", "product_id", "title", "p_title").dropDuplicates(["in_id", "product_id"])
-    pairs = pairs.withColumn("ratio", title_ratio("title", "p_title")).where(F.col("ratio") >= LIKELY_RATIO)
-    best = pairs.groupBy("in_id").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "product_id")).alias("b"))
+    mine, theirs = materialize(shape(incoming, "in_id"), "titles"), shape(products, "product_id")
+    band = F.floor(F.log(F.length("title")) / math.log(LENGTH_STEP)).cast("int").alias("band")
+    #: a title with a brand meets that brand and products without one; a title without a brand meets all
+    asked = mine.select("title", "brand").distinct()
+    asked = asked.withColumn("part", F.explode(F.when(F.col("brand") == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), "brand"), F.lit("="))))).select("title", F.col("brand").alias("id"), "part", band)
+    offered = theirs.groupBy("title", F.concat(F.lit("="), "brand").alias("part")).agg(F.min("id").alias("id"))
+    offered = offered.unionByName(theirs.groupBy("title").agg(F.min("id").alias("id")).withColumn("part", F.lit("*")))
+    offered = materialize(offered.select("title", "id", "part", band), "offered")
+    near = math.ceil(math.log((2 - LIKELY_RATIO) / LIKELY_RATIO) / math.log(LENGTH_STEP))
+    slices = _slices(offered, block)
+    met = _title_blocks(asked, _slices(asked, block)).select("part", F.col("slice").alias("own"), F.col("band").alias("of"), F.explode(F.sequence(F.col("band") - near, F.col("band") + near)).alias("band"), F.col("members").alias("mine"))
+    met = met.join(slices, ["part", "band"]).select("part", "own", "of", "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "mine")
+    met = met.join(_title_blocks(offered, slices), ["part", "band", "slice"])
+    met = met.repartition(4 * incoming.sparkSession.sparkContext.defaultParallelism, "part", "own", "of", "band", "slice")  # comparing costs more than moving
+    kind = theirs.schema["id"].dataType.simpleString()
+
+    def tasks(batches):
+        for b in batches:
+            for one, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = best_partners([m["title"] for m in one], [m["title"] for m in other], [m["id"] for m in other], LIKELY_RATIO)
+                rows = [{"title": one[i]["title"], "brand": one[i]["id"], "ratio": ratio, "product_id": key} for i, ratio, key in found]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("title", pa.string()), ("brand", pa.string()), ("ratio", pa.float64()), ("product_id", to_arrow_type(theirs_type))]))
+
+    theirs_type = theirs.schema["id"].dataType
+    pairs = met.select("mine", "members").mapInArrow(tasks, f"title string, brand string, ratio double, product_id {kind}")
+    best = pairs.groupBy("title", "brand").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "product_id")).alias("b"))
     ratio = -F.col("b.less")
-    return best.select("in_id", "b.product_id", F.lit("fuzzy_title").alias("match_type"), ratio.alias("confidence"), (ratio < SURE_RATIO).alias("needs_review"))
+    rows = mine.withColumnRenamed("id", "in_id").join(best, ["title", "brand"])
+    return rows.select("in_id", "b.product_id", F.lit("fuzzy_title").alias("match_type"), ratio.alias("confidence"), (ratio < SURE_RATIO).alias("needs_review"))
 
 
 def new_products(unmatched: DataFrame) -> DataFrame:

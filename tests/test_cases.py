@@ -229,22 +229,64 @@ def test_match_cascade(spark):
     assert out == {1: (1, "gtin_exact"), 2: (2, "mpn_brand"), 3: (2, "normalized_key"), 4: (None, None)}
 
 
-@pytest.mark.parametrize("common", [0, 500])
-def test_fuzzy_titles(spark, common):
+def similar(a, b):
+    """The ratio, or 0 where one of difflib's own upper bounds shows that it is under 0.8."""
     from difflib import SequenceMatcher
 
-    names = ["blue widget large", "blue widget large x", "red gadget", "red gadgets set", "tiny ring", "blue gadget"]
-    products = spark.createDataFrame([(i, n, "b" if i % 2 else None) for i, n in enumerate(names)], "product_id int, canonical_title string, brand string")
-    asked = [(10, "Blue Widget large", None), (11, "red gadgets", "c"), (12, "nothing alike", None), (13, "tiny ring", "b")]
-    out = {r["in_id"]: r for r in catalog.match_fuzzy(spark.createDataFrame(asked, "in_id int, canonical_title string, brand string"), products, common).collect()}
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 else 0.0
+
+
+def plain_fuzzy(asked, products):
+    """in_id -> (product_id, ratio) by comparing every title with every other."""
     want = {}
     for i, title, brand in asked:
-        ratios = [(SequenceMatcher(None, title.lower(), n).ratio(), -k) for k, n in enumerate(names) if not (brand and k % 2 and brand != "b")]
-        best = max(ratios)
-        if best[0] >= 0.80:
-            want[i] = (-best[1], best[0] < 0.92)
-    found = {i: (r["product_id"], r["needs_review"]) for i, r in out.items()}
-    assert found == want if common else found.items() <= want.items() and 10 in found
+        best = (0.0, None)
+        for k, name, theirs in products:
+            if not title or not name or (brand and theirs and brand.lower() != theirs.lower()):
+                continue
+            ratio = similar(title.lower(), name.lower())
+            if ratio >= 0.8 and (ratio > best[0] or ratio == best[0] and k < best[1]):
+                best = (ratio, k)
+        if best[0]:
+            want[i] = best[::-1]
+    return want
+
+
+def found_fuzzy(spark, asked, products, block):
+    rows = spark.createDataFrame(asked, "in_id int, canonical_title string, brand string"), spark.createDataFrame(products, "product_id string, canonical_title string, brand string")
+    out = catalog.match_fuzzy(*rows, block).collect()
+    assert all(r["needs_review"] == (r["confidence"] < 0.92) and r["match_type"] == "fuzzy_title" for r in out) and len({r["in_id"] for r in out}) == len(out)
+    return {r["in_id"]: (r["product_id"], r["confidence"]) for r in out}
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_fuzzy_titles(spark, block):
+    """Joined words, long titles, other alphabets, ties, missing brands and titles."""
+    names = ["blue widget large", "blue widget large x", "red gadget", "red gadgets set", "tiny ring", "blue gadget", "iphone15promax256gb", "", None, "Ünïcode lämp 😀", "x" * 90 + " wide banner of the shop " * 4, "tiny ring"]
+    products = [(f"p{i:02}", n, "b" if i % 2 else None) for i, n in enumerate(names)]
+    asked = [
+        (10, "Blue Widget large", None), (11, "red gadgets", "c"), (12, "nothing alike", None), (13, "tiny ring", "B"), (14, "iphone15 promax 256gb", ""), (15, None, "b"), (16, "", None),
+        (17, "ünicode lämp 😀", "b"), (18, "x" * 88 + " wide banner of a shop " * 4, None), (19, "tiny rings", None), (13, "tiny ring", "B"),
+    ]
+    found = found_fuzzy(spark, asked[:-1], products, block)
+    assert found == plain_fuzzy(asked, products) and {10, 13, 14, 17, 18, 19} <= set(found)
+    assert found_fuzzy(spark, [], products, block) == found_fuzzy(spark, asked, [], block) == {}
+
+
+def test_fuzzy_titles_of_a_whole_catalog(spark):
+    """2,000 titles of few, frequent words, some joined, some with typing errors: all pairs compared."""
+    import random
+
+    rng = random.Random(4)
+    words = "pro max ultra phone case cover black white silver 64gb 128gb 256gb wireless charger usb cable red lamp desk osmo pocket".split()
+    title = lambda: rng.choice([" ", " ", ""]).join(rng.choice(words) for _ in range(rng.randint(2, 9)))
+    brand = lambda: rng.choice(["acme", "Acme", "bolt", "", None])
+    products = [(f"p{rng.randint(0, 9999):04}-{i}", title(), brand()) for i in range(1600)]
+    spoilt = lambda t: t[: (k := rng.randrange(len(t)))] + rng.choice(["", "x", " "]) + t[k + rng.choice([0, 1]) :]
+    asked = [(i, title() if i % 4 == 0 else spoilt(spoilt(rng.choice(products)[1])), brand()) for i in range(400)]
+    found = found_fuzzy(spark, asked, products, 100)
+    assert found == plain_fuzzy(asked, products) and len(found) > 200
 
 
 def test_upsert_keeps_what_it_must(spark):
