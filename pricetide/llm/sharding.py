@@ -3,13 +3,17 @@
 Arrivals are appended as small immutable shards. Shards of one size tier (sizes within a factor of FANOUT) are merged, as soon
 as there are FANOUT of them, into files of about the target size; larger shards are left alone. What is live is said by a
 manifest: each commit writes a whole new one aside and then claims the next version number with a small pointer file that only
-one writer can make, so that readers see the old version or the new one and never a part. Manifests stay tables: names of
+one writer can make, so that readers see the old version or the new one and never a part. The pointer is written aside as well
+and linked or renamed to its place whole; that needs a file system that does so at once and never over another file, as local
+and network disks and HDFS do (an object store without it allows one writer at a time). A number whose pointer is broken all
+the same is passed over once it is STALE seconds old, so that no dead writer stops the others. Manifests stay tables: names of
 shards are joined to rows, not collected. Replaced shards can be deleted once no reader needs the version that named them.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -22,6 +26,8 @@ from pricetide.llm.common import BROADCAST_IDS, materialize, nullable, running_s
 FANOUT, TARGET_BYTES, FLOOR_BYTES = 4, 64 << 20, 64 << 10
 #: Rows of a manifest that one window sorts and one manifest file holds (about); attempts at a contested version.
 SLICE_ROWS, FILE_ROWS, ATTEMPTS = 10_000, 100_000, 20
+#: Seconds after which a pointer without its whole content counts as left behind by a dead writer; characters of a whole one.
+STALE, NAME_CHARS = 600, 32
 MANIFEST = "shard string, bytes long, rows long, tier int, since int"
 
 
@@ -44,15 +50,19 @@ class ShardStore:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _pointers(self) -> dict[int, int]:
-        """version -> length of its pointer file, which is 0 while a commit is under way."""
+    def _pointers(self) -> dict[int, tuple[bool, float]]:
+        """version -> whether its pointer is whole, and the pointer's age in seconds."""
         fs, at = self._fs(f"{self.path}/versions")
         listed = fs.listStatus(at) if fs.exists(at) else []
-        return {int(s.getPath().getName()[1:]): s.getLen() for s in listed if s.getPath().getName()[:1] == "v"}
+        return {int(s.getPath().getName()[1:]): (s.getLen() == NAME_CHARS, time.time() - s.getModificationTime() / 1000) for s in listed if s.getPath().getName()[:1] == "v"}
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        return max([0, *(v for v, size in self._pointers().items() if size)])
+        return max([0, *(v for v, (whole, _) in self._pointers().items() if whole)])
+
+    def _next(self) -> int:
+        """The number after all versions, those that dead writers left broken included."""
+        return 1 + max([0, *(v for v, (whole, age) in self._pointers().items() if whole or age >= STALE)])
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """shard (path below the store), bytes, rows, tier and since (version that brought it) of every live shard."""
@@ -63,9 +73,10 @@ class ShardStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")
 
     def _claim(self, version: int, name: str) -> None:
+        """Make the pointer of ``version``, whole at once, or fail if it is there."""
         fs, at = self._fs(f"{self.path}/versions/v{version:09d}")
         fs.mkdirs(at.getParent())
-        if fs.getScheme() == "file":  # a link appears at once, with its content, or fails
+        if fs.getScheme() == "file":
             to = at.toUri().getPath()
             aside = os.path.join(os.path.dirname(to), f".{name}")
             with open(aside, "w") as f:
@@ -76,15 +87,25 @@ class ShardStore:
                 raise CommitConflict(f"version {version} was committed by another writer") from None
             finally:
                 os.remove(aside)
-            return
+        else:
+            self._rename(fs, at, name)
+
+    def _rename(self, fs, at, name: str) -> None:
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        aside = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{name}")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        never_over = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            stream = fs.create(at, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(aside, at, never_over)
         except Py4JJavaError as e:
             if fs.exists(at):
-                raise CommitConflict(f"version {version} was committed by another writer") from e
+                raise CommitConflict(f"{at.getName()} was committed by another writer") from e
             raise
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        finally:
+            fs.delete(aside, False)
 
     def _commit(self, rows: DataFrame, version: int) -> None:
         """Publish ``rows`` as ``version``; CommitConflict if another writer was first or is about to finish."""
@@ -94,7 +115,15 @@ class ShardStore:
         rows = rows.select("shard", "bytes", "rows", "tier", "since")
         n = rows.count()
         rows.repartition(max(1, -(-n // FILE_ROWS))).write.parquet(f"{self.path}/manifests/{name}")
-        self._claim(version, name)
+        try:
+            self._claim(version, name)
+        except CommitConflict:
+            self._remove(f"{self.path}/manifests/{name}")
+            raise
+
+    def _remove(self, folder: str) -> bool:
+        fs, at = self._fs(folder)
+        return fs.delete(at, True)
 
     def _tail(self, path: Column) -> Column:
         """A file's path below the store. These names hold no sign that any side of Spark would encode."""
@@ -129,13 +158,14 @@ class ShardStore:
             arrivals.select(*columns, digest.alias(own)).write.option("compression", "zstd").partitionBy(own).parquet(folder)
         made = materialize(self._files(folder, 0).drop("since"), "arrived")
         for _ in range(ATTEMPTS):
-            version = self.version()
+            version, following = self.version(), self._next()
             try:
-                self._commit(self.manifest(version).unionByName(made.withColumn("since", F.lit(version + 1))), version + 1)
+                self._commit(self.manifest(version).unionByName(made.withColumn("since", F.lit(following))), following)
             except CommitConflict:
                 continue
-            return version + 1
-        raise CommitConflict(f"gave up after {ATTEMPTS} attempts; the shards in {folder} aren't part of any version")
+            return following
+        self._remove(folder)
+        raise CommitConflict(f"gave up after {ATTEMPTS} attempts; none of the rows is stored")
 
     def _due(self, live: DataFrame) -> tuple[int, DataFrame] | None:
         """The lowest tier with FANOUT shards below the target size, and its shards with the merge group of each."""
@@ -151,7 +181,7 @@ class ShardStore:
     def compact(self) -> int:
         """Merge every tier that has FANOUT shards below the target size; returns the newest version."""
         for _ in range(64 * ATTEMPTS):
-            version = self.version()
+            version, following = self.version(), self._next()
             live = self.manifest(version)
             due = self._due(live)
             if due is None:
@@ -162,15 +192,14 @@ class ShardStore:
             dealt = plan.select("shard", F.col("grp").cast("int").alias(group))
             rows = self._rows(plan, dealt, told[0])
             rows.repartitionById(told[2] + 1, F.col(group)).write.option("compression", "zstd").partitionBy(group).parquet(folder)
-            made = materialize(self._files(folder, version + 1), "merged")
+            made = materialize(self._files(folder, following), "merged")
             made = made.withColumn("tier", F.greatest("tier", F.lit(tier + 1)))  # merged runs climb, so this ends
             if made.agg(F.sum("rows")).first()[0] != told[1]:
                 raise RuntimeError(f"merging {told[1]} rows of version {version} gave another number; nothing was committed")
             try:
-                self._commit(live.join(dealt.select("shard"), "shard", "left_anti").unionByName(made), version + 1)
+                self._commit(live.join(dealt.select("shard"), "shard", "left_anti").unionByName(made), following)
             except CommitConflict:
-                fs, at = self._fs(folder)
-                fs.delete(at, True)
+                self._remove(folder)
         raise CommitConflict("other writers were always first")
 
     def _rows(self, shards: DataFrame, named: DataFrame, n: int) -> DataFrame:
@@ -192,15 +221,20 @@ class ShardStore:
     def vacuum(self, older_than: int = 86_400) -> int:
         """Delete files that the newest version does not name and that are ``older_than`` seconds old; returns how many.
 
+        Shards that a dead writer left without a version go as well.
         The age spares shards that a writer has yet to commit; 0 is safe for a single writer.
         """
         listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.path}/shards")
         age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("modificationTime")
-        gone = listed.where(age >= older_than).select(self._tail(F.col("path")).alias("shard")).join(self.manifest().select("shard"), "shard", "left_anti")
+        files = listed.select(self._tail(F.col("path")).alias("shard"), (age >= older_than).alias("old"))
+        files = files.join(self.manifest().select("shard", F.lit(True).alias("live")), "shard", "left").withColumn("gone", F.col("old") & F.col("live").isNull())
+        folders = materialize(files.groupBy(F.substring("shard", 1, 39).alias("folder")).agg(F.every("gone").alias("whole"), F.count_if("gone").alias("n")), "folders")
         n = 0
-        for r in gone.toLocalIterator():
-            fs, at = self._fs(f"{self.path}/{r[0]}")
-            n += fs.delete(at, False)
+        for r in folders.where("whole").toLocalIterator():  # a folder is what one job wrote: merged and failed ones go whole
+            n += r["n"] * self._remove(f"{self.path}/{r['folder']}")
+        parted = folders.where("n > 0 and not whole").select("folder")
+        for r in files.where("gone").join(parted, F.substring("shard", 1, 39) == F.col("folder")).select("shard").toLocalIterator():
+            n += self._remove(f"{self.path}/{r[0]}")
         return n
 
 

@@ -658,12 +658,79 @@ def test_writers_that_race_lose_nothing(spark, tmp_path):
         return 1
 
     with ThreadPoolExecutor(6) as pool:
-        assert sum(pool.map(claim, "abcdef")) == 1
+        assert sum(pool.map(claim, [c * 32 for c in "abcdef"])) == 1
         (tmp_path / "s/versions/v000000009").unlink()
         list(pool.map(lambda k: store.append(spark.range(5 * k, 5 * k + 5)), range(1, 5)))
     assert store.version() == 5 and sorted(r[0] for r in store.read().collect()) == list(range(25))
 
 
+@pytest.mark.parametrize("content", ["", "0123"])
+def test_dead_writers_stop_nobody(spark, tmp_path, monkeypatch, content):
+    """A pointer that a writer left empty, or in part, holds the others up until it is stale, and is passed over then."""
+    import os
+
+    from pricetide.llm import sharding
+
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), spark.range(1).schema)
+    store.append(spark.range(5))
+    dead = tmp_path / "s/versions/v000000002"
+    dead.write_text(content)
+    monkeypatch.setattr(sharding, "ATTEMPTS", 2)
+    before = sorted(p.name for p in (tmp_path / "s/shards").iterdir())
+    with pytest.raises(sharding.CommitConflict):
+        store.append(spark.range(5, 10))
+    assert sorted(p.name for p in (tmp_path / "s/shards").iterdir()) == before and store.version() == 1
+    os.utime(dead, (0, 0))
+    assert store.append(spark.range(5, 10).coalesce(1)) == 3
+    for k in range(2, 6):
+        store.append(spark.range(5 * k, 5 * k + 5).coalesce(1))
+    assert store.compact() == store.version() == 8 and sorted(r[0] for r in store.read().collect()) == list(range(30))
+    assert sorted(r[0] for r in store.read(3).collect()) == list(range(10))
+
+
+def test_killed_writer_leaves_shards_that_vacuum_removes(spark, tmp_path, monkeypatch):
+    from pricetide.llm.sharding import ShardStore
+
+    store = ShardStore(spark, str(tmp_path / "s"), spark.range(1).schema)
+    store.append(spark.range(5))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(ShardStore, "_claim", die)
+        with pytest.raises(KeyboardInterrupt):
+            store.append(spark.range(5, 10))
+    assert len(list((tmp_path / "s/shards").iterdir())) == 2
+    assert store.vacuum() == 0 and store.vacuum(0) > 0
+    assert len(list((tmp_path / "s/shards").iterdir())) == 1
+    store.append(spark.range(5, 10))
+    assert sorted(r[0] for r in store.read().collect()) == list(range(10))
+
+
+def test_pointers_by_rename(spark, tmp_path):
+    """The way of file systems other than local disks: whole at once, never over another, nothing left beside it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pricetide.llm.sharding import CommitConflict, ShardStore
+
+    store = ShardStore(spark, str(tmp_path / "s"), spark.range(1).schema)
+    fs, at = store._fs(f"{store.path}/versions/v000000001")
+
+    def claim(name):
+        try:
+            store._rename(fs, at, name)
+        except CommitConflict:
+            return None
+        return name
+
+    assert claim("a" * 32) and not claim("b" * 32) and store.version() == 1
+    assert (tmp_path / "s/versions/v000000001").read_text() == "a" * 32
+    with ThreadPoolExecutor(4) as pool:
+        assert not any(pool.map(claim, [c * 32 for c in "cdef"]))
+    assert [p.name for p in (tmp_path / "s/versions").iterdir() if not p.name.endswith(".crc")] == ["v000000001"]
+
+
 # ---- 9 tokens
 
 
