@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricetide.functions.numbers import rounded
-from pricetide.sources.work import materialize
+from pricetide.operators.title_index import TitleIndex, build_title_index, search_titles
+from pricetide.sources.work import materialize, new_path
 
 #: Weights of a score, and what each state of availability and age in hours is worth.
 WEIGHTS = {"price": 0.30, "availability": 0.20, "merchant": 0.20, "reviews": 0.15, "freshness": 0.10, "shipping": 0.05}
@@ -92,16 +93,16 @@ def rank_all(scored: DataFrame, group_cols: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.col("_base") + inside).drop("_part", "_p", "_base", *[f"_g{i}" for i in range(len(group_cols))])
 
 
-def ranked_search(offers: DataFrame, products: DataFrame, queries: DataFrame, as_of: str, price_max: float | None = None, k: int | None = None) -> DataFrame:
+def ranked_search(offers: DataFrame, products: DataFrame, queries: DataFrame, as_of: str, price_max: float | None = None, k: int | None = None, index: TitleIndex | None = None) -> DataFrame:
     """query x offers whose product title holds it: scored within the query's surviving rows and ranked, the first ``k`` if given.
 
-    A rating of 0 counts as none and shipping is not known. ``queries`` is a short list: it is broadcast. The hits are a work
-    table, found once for the price ranges and the scores.
+    A rating of 0 counts as none and shipping is not known. Any number of queries is answered at once, by ``index`` or one that
+    is built for the call. The hits are a work table, found once for the price ranges and the scores.
     """
-    hits = products.join(F.broadcast(queries), F.expr("canonical_title ILIKE concat('%', lower(query), '%')")).select("product_id", "query")
+    index = index or build_title_index(products, new_path(products.sparkSession, "titles"))
     if price_max is not None:
         offers = offers.where(F.col("price").isNull() | (F.col("price") <= price_max))
-    rows = offers.join(hits, "product_id")
+    rows = offers.join(search_titles(index, queries), "product_id")
     rows = rows.withColumns({"rating": F.nullif("rating", F.lit(0.0)), "shipping_price": F.lit(None).cast("double")})
     scored = score_offers(materialize(rows, "hits"), ["query"], as_of)
     return rank_offers(scored, ["query"], k) if k else rank_all(scored, ["query"])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import prices, text
 from pricetide.operators import catalog, compliance, finance, listings, metrics, pages, ranking, replies
+from pricetide.operators.title_index import build_title_index
 from pricetide.plans import crawl, shopping
 from pricetide.sources import envelopes
 from pricetide.sources.tables import load, with_inputs
+from pricetide.sources.work import new_path
 
 AS_OF, LOG_AS_OF = "2001-12-01 00:00:00", "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -490,10 +492,21 @@ def product_history(spark, sf_dir):
 
 @query("SELECT o.offer_id, o.product_id FROM offers AS o WHERE o.product_id IN (SELECT product_id FROM products WHERE canonical_title ILIKE '%red_w%' ORDER BY product_id LIMIT 50)", "offers", "products")
 def searched_offers(spark, sf_dir):
-    found = catalog.search_products(load(spark, sf_dir, "products"), "red_w")
+    index = build_title_index(load(spark, sf_dir, "products"), new_path(spark, "titles"))
+    found = catalog.search_products(index, spark.createDataFrame([("red_w",)], "query string"))
     return catalog.product_offers(found, load(spark, sf_dir, "offers")).select("offer_id", "product_id")
 
 
+@query(
+    """SELECT query, product_id, rank FROM (SELECT s.query, p.product_id, row_number() OVER (PARTITION BY s.query ORDER BY p.product_id) AS rank
+  FROM searches AS s JOIN products AS p ON p.canonical_title ILIKE '%' || lower(s.query) || '%') AS a WHERE rank <= 50""",
+    "searches", "products",
+)
+def title_searches(spark, sf_dir):
+    index = build_title_index(load(spark, sf_dir, "products"), new_path(spark, "titles"))
+    return catalog.search_products(index, load(spark, sf_dir, "searches")).select("query", "product_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     """SELECT retailer_key, source_id, 'active' AS status, CASE WHEN status <> 'active' THEN true ELSE allowed END AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY retailer_key ORDER BY CASE WHEN status = 'active' THEN 0 ELSE 1 END, source_id) AS r FROM sources WHERE status = 'active' OR source_type = 'managed_retailer_search') AS a WHERE r = 1""",
     "sources",

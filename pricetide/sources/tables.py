@@ -27,6 +27,10 @@ FROM {lineitem}""",
 SELECT p_partkey AS product_id, p_name || ' ' || p_type AS canonical_title, p_brand AS brand, 'M' || CAST(p_partkey AS STRING) AS mpn,
        CASE WHEN p_partkey % 3 = 0 THEN '00' || CAST(p_partkey AS STRING) END AS gtin,
        lower(p_brand) || '|' || lower(p_name) || '|' || CAST(p_partkey AS STRING) AS normalized_key
+FROM {part}""",
+    "searches": """
+SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN substring(p_type, 1, 1 + CAST(p_size AS INT) % 4) WHEN 1 THEN upper(p_name) WHEN 2 THEN substring(p_name, 2, 5) || '_' || substring(p_type, 1, 3)
+  WHEN 3 THEN substring(p_name, 1, 3) || '%' || substring(p_type, 2, 4) WHEN 4 THEN substring(p_type, 2, 5) || CAST(p_size AS STRING) ELSE substring(p_name || ' ' || p_type, 1 + CAST(p_size AS INT) % 9, 7) END AS query
 FROM {part}""",
     "raw_products": """
 SELECT p_partkey AS in_id,
