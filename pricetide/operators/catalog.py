@@ -135,6 +135,24 @@ def new_products(unmatched: DataFrame) -> DataFrame:
     return once.withColumn("product_id", F.sha2(F.col("normalized_key"), 256)).withColumn("match_type", F.lit("new_product")).withColumn("confidence", F.lit(0.0))
 
 
+def newest_offers(incoming: DataFrame) -> DataFrame:
+    """The newest row by observed_at, then seq, of each source_id and title; a missing title is Unknown."""
+    newest = Window.partitionBy("source_id", "title").orderBy(F.desc("observed_at"), F.desc("seq"))
+    fresh = incoming.withColumn("title", F.coalesce(_filled(F.col("title")), F.lit("Unknown")))
+    return fresh.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+
+
+def _met(offers: DataFrame, fresh: DataFrame, small: bool) -> DataFrame:
+    """o and n: each offer with its fresh row, and fresh rows without an offer. A ``small`` batch is sent to the offers, which then stay where they are."""
+    o, n = offers.select(F.struct(*[F.col(f"`{c}`") for c in offers.columns]).alias("o")), fresh.select(F.struct(*[F.col(f"`{c}`") for c in fresh.columns]).alias("n"))
+    same = (F.col("o.source_id") == F.col("n.source_id")) & (F.col("o.title") == F.col("n.title"))
+    if not small:
+        return o.join(n, same, "full_outer")
+    known = offers.select("source_id", "title").join(F.broadcast(fresh.select("source_id", "title")), ["source_id", "title"], "left_semi")
+    added = fresh.join(known, ["source_id", "title"], "left_anti").select(F.struct(*[F.col(f"`{c}`") for c in fresh.columns]).alias("n"))
+    return o.join(F.broadcast(n), same, "left").unionByName(added, allowMissingColumns=True)
+
+
 def upsert_offers(offers: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     """offers, with all their columns, after ``incoming`` (newest by observed_at, then seq, of each source_id and title).
 
@@ -142,13 +160,14 @@ def upsert_offers(offers: DataFrame, incoming: DataFrame, as_of: str) -> DataFra
     digest of source and title as offer_id; its url is the page's (page_url) where the row has none. A known one keeps all but its price and url, which change where given, and
     last_seen_at.
     """
-    newest = Window.partitionBy("source_id", "title").orderBy(F.desc("observed_at"), F.desc("seq"))
-    fresh = incoming.withColumn("title", F.coalesce(_filled(F.col("title")), F.lit("Unknown")))
-    fresh = fresh.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
-    o, n = offers.alias("o"), fresh.alias("n")
-    both = o.join(n, (F.col("o.source_id") == F.col("n.source_id")) & (F.col("o.title") == F.col("n.title")), "full_outer")
+    return merge_offers(offers, newest_offers(incoming), as_of)
+
+
+def merge_offers(offers: DataFrame, fresh: DataFrame, as_of: str, small: bool = False) -> DataFrame:
+    """``upsert_offers`` for rows that are one to each source_id and title; ``small`` ones may be broadcast."""
+    both = _met(offers, fresh, small)
     known, seen = F.col("o.source_id").isNotNull(), F.col("n.source_id").isNotNull()
-    made = {f.name: F.col(f"n.{f.name}") if f.name in incoming.columns else F.lit(None) for f in offers.schema}
+    made = {f.name: F.col(f"n.{f.name}") if f.name in fresh.columns else F.lit(None) for f in offers.schema}
     if "offer_id" in made:
         made["offer_id"] = F.sha2(F.concat_ws("|", F.col("n.source_id").cast("string"), "n.title"), 256)
     if "currency" in made:
@@ -161,7 +180,7 @@ def upsert_offers(offers: DataFrame, incoming: DataFrame, as_of: str) -> DataFra
         old = F.col(f"o.{name}")
         if name in ("source_id", "title"):
             return F.coalesce(old, new)
-        if name == "url" and "page_url" in incoming.columns:
+        if name == "url" and "page_url" in fresh.columns:
             return F.coalesce(new, F.when(known, old).otherwise(F.col("n.page_url")))
         if name in ("price", "url"):
             return F.coalesce(new, old)

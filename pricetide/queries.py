@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pricetide.functions import prices, text
 from pricetide.operators import catalog, compliance, finance, listings, metrics, pages, ranking, replies
 from pricetide.operators.title_index import build_title_index
-from pricetide.plans import crawl, shopping
+from pricetide.plans import crawl, shopping, stores
 from pricetide.sources import envelopes
 from pricetide.sources.tables import load, with_inputs
-from pricetide.sources.work import new_path
+from pricetide.sources.work import materialize, new_path
 
 AS_OF, LOG_AS_OF = "2001-12-01 00:00:00", "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -465,31 +465,54 @@ def new_products(spark, sf_dir):
 _NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, coalesce(nullif(title, ''), 'Unknown') ORDER BY observed_at DESC, seq DESC) AS r FROM observed) AS a WHERE r = 1"
 
 
-@query(
-    f"""SELECT CASE WHEN o.source_id IS NOT NULL THEN o.offer_id ELSE sha256(CAST(n.source_id AS VARCHAR) || '|' || n.title) END AS offer_id, o.merchant_name AS merchant_name, coalesce(o.currency, 'USD') AS currency, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.title, n.title) AS title, coalesce(n.price, o.price) AS price, CASE WHEN o.source_id IS NOT NULL THEN o.availability ELSE n.availability END AS availability,
+_UPSERTED = f"""SELECT CASE WHEN o.source_id IS NOT NULL THEN o.offer_id ELSE sha256(CAST(n.source_id AS VARCHAR) || '|' || n.title) END AS offer_id, o.merchant_name AS merchant_name, coalesce(o.currency, 'USD') AS currency, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.title, n.title) AS title, coalesce(n.price, o.price) AS price, CASE WHEN o.source_id IS NOT NULL THEN o.availability ELSE n.availability END AS availability,
   CASE WHEN o.source_id IS NOT NULL THEN o.review_count ELSE n.review_count END AS review_count, coalesce(n.url, o.url) AS url, CASE WHEN n.source_id IS NOT NULL THEN timestamp '{AS_OF}' ELSE o.last_seen_at END AS last_seen_at
-FROM stored AS o FULL OUTER JOIN (SELECT * REPLACE (coalesce(nullif(title, ''), 'Unknown') AS title) FROM ({_NEWEST}) AS b) AS n ON o.source_id = n.source_id AND o.title = n.title""",
-    "observed", "stored",
-)
+FROM stored AS o FULL OUTER JOIN (SELECT * REPLACE (coalesce(nullif(title, ''), 'Unknown') AS title) FROM ({_NEWEST}) AS b) AS n ON o.source_id = n.source_id AND o.title = n.title"""
+
+
+@query(_UPSERTED, "observed", "stored")
 def upserted_offers(spark, sf_dir):
     out = catalog.upsert_offers(load(spark, sf_dir, "stored"), load(spark, sf_dir, "observed"), AS_OF)
     return out.select("offer_id", "merchant_name", "currency", "source_id", "title", "price", "availability", "review_count", "url", "last_seen_at")
 
 
+@query(_UPSERTED, "observed", "stored")
+def stored_offers(spark, sf_dir):
+    """The same from an offer store that takes the batch twice."""
+    known, seen = load(spark, sf_dir, "stored"), load(spark, sf_dir, "observed")
+    store = stores.offer_store(spark, new_path(spark, "offers"), known.schema, 16, 2)
+    stores.store_rows(store, known)
+    version = stores.store_offers(store, seen, AS_OF)
+    if stores.store_offers(store, seen, AS_OF) != version:
+        raise RuntimeError("the same batch changed the store")
+    return store.read().select("offer_id", "merchant_name", "currency", "source_id", "title", "price", "availability", "review_count", "url", "last_seen_at")
+
+
 @query("SELECT offer_id, price, 'USD' AS currency, availability, captured_at, CAST(CAST(captured_at AS DATE) AS VARCHAR) AS captured_on FROM history WHERE price IS NOT NULL", "history")
 def price_history_rows(spark, sf_dir):
     return catalog.append_price_history(load(spark, sf_dir, "history")).withColumn("captured_on", F.col("captured_on").cast("string"))
 
 
-@query(
-    """SELECT product_id, offer_id, seq, price, rank FROM (SELECT o.product_id, h.*, row_number() OVER (PARTITION BY o.product_id ORDER BY h.captured_at DESC, h.offer_id, h.seq) AS rank FROM history AS h JOIN offers AS o ON o.offer_id = h.offer_id) AS a WHERE rank <= 200""",
-    "offers", "history",
-)
+_NEWEST_HISTORY = """SELECT product_id, offer_id, seq, price, rank FROM (SELECT o.product_id, h.*, row_number() OVER (PARTITION BY o.product_id ORDER BY h.captured_at DESC, h.offer_id, h.seq) AS rank FROM history AS h JOIN offers AS o ON o.offer_id = h.offer_id) AS a WHERE rank <= 200"""
+
+
+@query(_NEWEST_HISTORY, "offers", "history")
 def product_history(spark, sf_dir):
     out = catalog.product_price_history(load(spark, sf_dir, "offers"), load(spark, sf_dir, "history"))
     return out.select("product_id", "offer_id", "seq", "price", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_NEWEST_HISTORY, "offers", "history")
+def kept_history(spark, sf_dir):
+    """The same from a history store that takes a batch for each year, none of them in order."""
+    rows = load(spark, sf_dir, "history").join(load(spark, sf_dir, "offers").select("offer_id", "product_id"), "offer_id")
+    rows = materialize(rows.withColumn("part", F.pmod(F.year("captured_at") * 5, F.lit(3))), "history")
+    store = stores.history_store(spark, new_path(spark, "history"), buckets=16)
+    for part in (0, 1, 2, 1):
+        stores.keep_history(store, rows.where(F.col("part") == part))
+    return stores.stored_history(store).select("product_id", "offer_id", "seq", "price", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT o.offer_id, o.product_id FROM offers AS o WHERE o.product_id IN (SELECT product_id FROM products WHERE canonical_title ILIKE '%red_w%' ORDER BY product_id LIMIT 50)", "offers", "products")
 def searched_offers(spark, sf_dir):
     index = build_title_index(load(spark, sf_dir, "products"), new_path(spark, "titles"))
