@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,12 +47,23 @@ def build_llm_context(pages: DataFrame) -> DataFrame:
     return rows.withColumn("context", said).drop("_text", "_asked", "_chunks")
 
 
+def row_digest(rows: DataFrame) -> Column:
+    """Names a row by all its columns, of any type that JSON can show, for an order among rows that are otherwise equal."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)])), 256)
+
+
+def fetch_seq(fetches: DataFrame) -> Column:
+    """The fetches' seq, where they have one: of fetches at one moment the larger seq is the newer."""
+    return F.coalesce(F.col("seq").cast("long"), F.lit(-1)) if "seq" in fetches.columns else F.lit(-1).cast("long")
+
+
 def fresh_fetches(fetches: DataFrame, as_of: str) -> DataFrame:
     """The newest fetch of each url (url, fetched_at, ...) that is still within its time to live at ``as_of``.
 
-    Of fetches of one url at one moment the one whose row is largest counts, column by column.
+    Of fetches of one url at one moment the one of largest seq counts, if there is such a column, then the one whose digest is
+    largest.
     """
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("fetched_at")
-    live = fetches.withColumn("fetch_key", fetch_key(F.col("url"))).where((age >= 0) & (age < fresh_seconds(F.col("url"))))
-    newest = Window.partitionBy("fetch_key").orderBy(F.desc("fetched_at"), *[F.desc(c) for c in fetches.columns if c not in ("url", "fetched_at")])
-    return live.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    live = fetches.withColumns({"_seq": fetch_seq(fetches), "_digest": row_digest(fetches), "fetch_key": fetch_key(F.col("url"))}).where((age >= 0) & (age < fresh_seconds(F.col("url"))))
+    newest = Window.partitionBy("fetch_key").orderBy(F.desc("fetched_at"), F.desc("_seq"), F.desc("_digest"))
+    return live.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r", "_seq", "_digest")

@@ -8,13 +8,21 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import compliance, metrics
+from pricetide.operators import compliance, metrics, pages
 from pricetide.sources.tables import load
 from pricetide.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("log") / "rows")
@@ -48,11 +56,49 @@ def test_daily_spend(spark, log, tmp_path):
     assert last == want
 
 
-def test_circuits(spark, log, tmp_path):
-    found = run(jobs.stream_circuits(stream(spark, log).select("provider", "seq", "ok", "error")), "circuits", "update", tmp_path)
-    rows = found.withColumn("n", F.monotonically_increasing_id())
-    last = {r["provider"]: r["is_open"] for r in rows.groupBy("provider").agg(F.max_by("is_open", "n").alias("is_open")).collect()}
-    assert last == {r["provider"]: r["is_open"] for r in metrics.circuit_state(spark.read.parquet(log)).collect()}
+def cut(spark, rows, path, parts, seed):
+    """The rows as a stream of ``parts`` files in a shuffled order."""
+    order = rows.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns])).collect()
+    for k in range(parts):
+        spark.createDataFrame(order[k::parts], rows.schema).coalesce(2).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    return stream(spark, path)
+
+
+def last_circuits(found):
+    rows = found.withColumn("n", F.monotonically_increasing_id()).groupBy("provider").agg(F.max_by(F.struct("failures", "disabled_reason", "is_open"), "n").alias("c"))
+    return {r["provider"]: tuple(r["c"]) for r in rows.collect()}
+
+
+@pytest.mark.parametrize(("parts", "seed"), [(1, 0), (4, 1), (9, 2)])
+def test_circuits_in_any_cut_and_order(spark, log, tmp_path, parts, seed):
+    """Late successes clear what came before them only; the last day's spend disables paid providers."""
+    rows = spark.read.parquet(log).select("provider", "created_at", "seq", F.expr("ok AND (seq % 7 < 3 OR provider LIKE 'brightdata%') AS ok"), "error")
+    rows = rows.where("provider <> 'external_scrapfly' OR coalesce(error, '') NOT IN ('customer_suspended', 'insufficient balance')")
+    ordered = rows.withColumn("seq", F.struct("created_at", "seq"))
+    for budget in (0.0, 0.05):
+        name = f"circuits{parts}{int(budget * 100)}"
+        streamed = cut(spark, rows, str(tmp_path / name / "in"), parts, seed)
+        found = run(jobs.stream_circuits(streamed, budget=budget, lateness_seconds=40 * 86_400), name, "update", tmp_path)
+        spend = metrics.daily_spend(rows.withColumn("status", F.when(F.col("ok"), "ok")), budget) if budget else None
+        want = {r["provider"]: (r["failures"], r["disabled_reason"], r["is_open"]) for r in metrics.circuit_state(ordered, spend=spend).collect()}
+        assert last_circuits(found) == want and len({x[0] for x in want.values()}) > 3
+        assert not budget or "daily_budget_exceeded" in {x[1] for x in want.values()}
+
+
+def test_circuits_settle_what_is_old(spark, log, tmp_path):
+    """In order of time a short lateness changes nothing, though old failures are numbers only; what comes too late doesn't count."""
+    rows = spark.read.parquet(log).select("provider", "created_at", "seq", F.expr("ok AND seq % 9 < 2 AS ok"), "error").orderBy("created_at", "seq").collect()
+    schema = "provider string, created_at timestamp, seq long, ok boolean, error string"
+    path = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame(rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    late = [(r["provider"], rows[0]["created_at"], -5, True, None) for r in rows[:40]]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+    found = run(jobs.stream_circuits(stream(spark, path), lateness_seconds=3600), "settled", "update", tmp_path)
+    ordered = spark.createDataFrame(rows, schema).withColumn("seq", F.struct("created_at", "seq"))
+    assert last_circuits(found) == {r["provider"]: (r["failures"], r["disabled_reason"], r["is_open"]) for r in metrics.circuit_state(ordered).collect()}
 
 
 def test_admission(spark, log, tmp_path):
@@ -62,10 +108,36 @@ def test_admission(spark, log, tmp_path):
     assert sorted(map(tuple, found.select("request_id", "admitted").collect())) == sorted(map(tuple, want.select("request_id", "admitted").collect()))
 
 
-def test_fresh_fetches(spark, log, tmp_path):
-    rows = stream(spark, log).select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("created_at").alias("fetched_at"))
-    found = run(jobs.stream_fresh_fetches(rows, "60 days"), "fresh", "append", tmp_path)
-    assert found.count() == spark.read.parquet(log).select("user_id").distinct().count()
+@pytest.mark.parametrize(("parts", "seed"), [(1, 0), (6, 3)])
+def test_fresh_fetches(spark, log, tmp_path, parts, seed):
+    """Newest wins, each domain has its own life, and order of arrival doesn't matter."""
+    url = "concat(CASE user_id % 3 WHEN 0 THEN 'https://www.sec.gov/' WHEN 1 THEN 'https://finance.yahoo.com/quote/' ELSE 'https://x.example.com/' END, user_id % 20)"
+    day = "timestampadd(SECOND, cast(seq * 7919 % 80000 AS int), timestamp '2024-01-05 00:00:00.25')"
+    rows = spark.read.parquet(log).select(F.expr(url).alias("url"), F.expr(day).alias("fetched_at"), "seq", F.array(F.col("error")).alias("said"))
+    streamed = cut(spark, rows, str(tmp_path / "in"), parts, seed)
+    found = run(jobs.stream_fresh_fetches(streamed), f"fresh{parts}", "update", tmp_path)
+    assert found.columns == ["fetch_key", "url", "fetched_at", "seq", "said", "expires_at", "live"]
+    newest = found.where("live").groupBy("fetch_key").agg(F.max_by(F.struct("*"), F.struct("fetched_at", "seq")).alias("r")).select("r.*")
+    last = rows.agg(F.max("fetched_at")).first()[0]
+    for as_of in (str(last), "2024-01-06 00:00:00", "2024-01-06 12:00:00"):
+        want = pages.fresh_fetches(rows, as_of)
+        alive = newest.where(F.col("expires_at") > F.lit(as_of).cast("timestamp"))
+        assert sorted(map(str, alive.select(*rows.columns, "fetch_key").collect())) == sorted(map(str, want.select(*rows.columns, "fetch_key").collect()))
+    assert pages.fresh_fetches(rows, str(last)).count() > 0
+
+
+def test_fetches_expire(spark, tmp_path):
+    """When the watermark passes the life of a fetch it is handed on as no longer live, once."""
+    schema, path = "url string, fetched_at timestamp", str(tmp_path / "in")
+    for moments in ([("https://a.example.com", "2024-01-01 00:00:00"), ("https://sec.gov/x", "2024-01-01 00:00:00")], [("https://a.example.com", "2024-01-01 00:05:00")], [("https://b.example.com", "2024-01-03 00:00:00")], [("https://b.example.com", "2024-01-03 00:00:01")]):
+        spark.createDataFrame(moments, "url string, t string").selectExpr("url", "cast(t as timestamp) fetched_at").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    found = run(jobs.stream_fresh_fetches(stream(spark, path), "1 hour"), "expire", "update", tmp_path)
+    rows = sorted((r["url"], str(r["fetched_at"])[11:], r["live"]) for r in found.collect())
+    assert rows == [
+        ("https://a.example.com", "00:00:00", True), ("https://a.example.com", "00:05:00", False), ("https://a.example.com", "00:05:00", True),
+        ("https://b.example.com", "00:00:00", True), ("https://b.example.com", "00:00:01", True), ("https://sec.gov/x", "00:00:00", False), ("https://sec.gov/x", "00:00:00", True),
+    ]
 
 
 def test_result_lines(spark, tmp_path):
