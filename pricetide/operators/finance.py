@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from pricetide.functions.numbers import rounded
 from pricetide.functions.text import SPACE, let, strip, text_or_empty
+from pricetide.functions.trees import fields_of, nesting
+from pricetide.sources.work import materialize
 
 #: Fields of an embedded quote.
 QUOTE_FIELDS = (
@@ -36,8 +38,8 @@ SMART = {
 PUBLISHER, NEWS_LIMIT, SUMMARY = "Yahoo Finance", 15, 500
 #: Fields of a wrapped value.
 WRAPPED = ("raw", "fmt", "longFmt")
-#: Objects within each other that are opened, and lists of objects within each other.
-OPENED_LEVELS, OPENED_LISTS = 12, 2
+#: Lists within each other that a row opens in place; rows with more go through ``_deep_lists``.
+LISTS_IN_PLACE = 2
 
 
 def quote_ticker(url: Column) -> Column:
@@ -46,18 +48,18 @@ def quote_ticker(url: Column) -> Column:
     return F.upper(F.nullif(found, F.lit("")))
 
 
-def _map(v: Column) -> Column:
-    """The fields of an object; null for all else."""
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
-
-
 def _is_wrapped(m: Column) -> Column:
     named = F.map_keys(m)
     return (F.size(F.array_except(named, F.array(*[F.lit(w) for w in WRAPPED]))) == 0) & (F.array_contains(named, "raw") | F.array_contains(named, "fmt"))
 
 
-def _opened(entries: Column, lists: int) -> Column:
-    """(path, v) entries of a row -> (path, JSON) of their leaves: objects opened level by level, value wrappers replaced by their value."""
+def _entries(fields: Column) -> Column:
+    """The fields that are objects, as (path, v)."""
+    return F.transform(F.filter(F.map_entries(fields), lambda x: fields_of(x["value"]).isNotNull()), lambda x: F.struct(x["key"].alias("path"), x["value"].alias("v")))
+
+
+def _opened(entries: Column, depth: Column) -> Column:
+    """(path, v) entries of a row -> those of their leaves: objects opened ``depth`` levels down, value wrappers replaced by their value."""
     entry = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
     none = F.array().cast("array<struct<path: string, v: variant>>")
 
@@ -68,41 +70,81 @@ def _opened(entries: Column, lists: int) -> Column:
             value = F.when(F.map_contains_key(m, "raw"), F.element_at(m, "raw")).otherwise(F.element_at(m, "fmt"))
             return F.when(m.isNull(), F.array(e)).when(_is_wrapped(m), F.array(entry(e["path"], value))).otherwise(fields)
 
-        return let(_map(e["v"]), of_map)
+        return let(fields_of(e["v"]), of_map)
+
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), depth))
+    return F.aggregate(levels, F.coalesce(entries, none), lambda acc, _: F.when(F.exists(acc, lambda e: fields_of(e["v"]).isNotNull()), F.flatten(F.transform(acc, open_one))).otherwise(acc))
 
-    levels = F.sequence(F.lit(1), F.lit(OPENED_LEVELS))
-    leaves = F.aggregate(levels, F.coalesce(entries, none), lambda acc, _: F.when(F.exists(acc, lambda e: _map(e["v"]).isNotNull()), F.flatten(F.transform(acc, open_one))).otherwise(acc))
-    return F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), _leaf(e["v"], lists).alias("json")))
 
+def _items(v: Column) -> Column:
+    """The items of a list of objects; null for all else."""
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    return let(listed, lambda a: F.when((F.size(a) > 0) & F.forall(a, lambda x: fields_of(x).isNotNull()), a))
 
-def _leaf(v: Column, lists: int) -> Column:
+
+def _named(path: Column, json: Column) -> Column:
+    return let(F.to_json(F.array(path)), lambda j: F.concat(F.substring(j, F.lit(2), F.length(j) - 2), F.lit(":"), json))
+
+
+def _leaf(v: Column, depth: Column, lists: int) -> Column:
     """JSON of a value. In a list of objects, an object with objects in it becomes their dot paths; its plain fields go."""
     if not lists:
         return F.to_json(v)
 
     def item(x: Column) -> Column:
-        def of_map(m: Column) -> Column:
-            objects = F.filter(F.map_entries(m), lambda y: _map(y["value"]).isNotNull())
-            pairs = _opened(F.transform(objects, lambda y: F.struct(y["key"].alias("path"), y["value"].alias("v"))), lists - 1)
-            said = F.transform(pairs, lambda q: let(F.to_json(F.array(q["path"])), lambda j: F.concat(F.substring(j, F.lit(2), F.length(j) - 2), F.lit(":"), q["json"])))
-            return F.when(F.size(objects) == 0, F.to_json(x)).otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}")))
+        def of_objects(entries: Column) -> Column:
+            said = F.transform(_opened(entries, depth), lambda e: _named(e["path"], _leaf(e["v"], depth, lists - 1)))
+            return F.when(F.size(entries) == 0, F.to_json(x)).otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}")))
 
-        return let(_map(x), of_map)
+        return let(_entries(fields_of(x)), of_objects)
 
-    items = F.try_variant_get(v, "$", "array<variant>")
-    of_objects = lambda a: (F.size(a) > 0) & F.forall(a, lambda x: _map(x).isNotNull())
-    return let(items, lambda a: F.when(a.isNotNull() & of_objects(a), F.concat(F.lit("["), F.array_join(F.transform(a, item), ","), F.lit("]"))).otherwise(F.to_json(v)))
+    return let(_items(v), lambda a: F.when(a.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(a, item), ","), F.lit("]"))).otherwise(F.to_json(v)))
 
 
 def flatten_modules(modules: DataFrame) -> DataFrame:
-    """ticker, modules (JSON) -> ticker, key, value_json for every dot path below the modules that are objects.
+    """ticker, modules (JSON) -> ticker, key, value_json for every dot path below the modules that are objects, at any depth.
 
-    Nulls and empty objects are dropped, value wrappers give their value, lists stay one value. Objects are opened down to
-    OPENED_LEVELS within each other, lists of objects down to OPENED_LISTS; what is deeper stays JSON.
+    Nulls and empty objects are dropped, value wrappers give their value, lists stay one value. Rows are opened in place; those
+    with more than LISTS_IN_PLACE lists within each other, if there are any, list by list.
     """
-    named = F.filter(F.map_entries(_map(F.try_parse_json("modules"))), lambda x: _map(x["value"]).isNotNull())
-    entries = F.transform(named, lambda x: F.struct(x["key"].alias("path"), x["value"].alias("v")))
-    return modules.select("ticker", F.explode(_opened(entries, OPENED_LISTS)).alias("e")).select("ticker", F.col("e.path").alias("key"), F.col("e.json").alias("value_json"))
+    rows = modules.select("ticker", "modules", nesting(F.col("modules"), "{").alias("_depth"), nesting(F.col("modules"), "[").alias("_lists"))
+    rows = rows.withColumn("_entries", _entries(fields_of(F.try_parse_json("modules"))))
+    plain = rows.where(F.col("_lists") <= LISTS_IN_PLACE)
+    leaves = F.transform(_opened(F.col("_entries"), F.col("_depth")), lambda e: F.struct(e["path"].alias("path"), _leaf(e["v"], F.col("_depth"), LISTS_IN_PLACE).alias("json")))
+    found = plain.select("ticker", F.explode(leaves).alias("e")).select("ticker", F.col("e.path").alias("key"), F.col("e.json").alias("value_json"))
+    deep = rows.where(F.col("_lists") > LISTS_IN_PLACE)
+    return found if deep.isEmpty() else found.unionByName(_deep_lists(deep))
+
+
+def _deep_lists(rows: DataFrame) -> DataFrame:
+    """ticker, key, value_json of rows with lists in lists: each round opens one level of lists as rows of their own, then they are put together again."""
+    docs = materialize(rows.select("ticker", "_depth", "_entries"), "modules").withColumn("_d", F.monotonically_increasing_id().cast("string"))
+    docs = materialize(docs, "docs")
+    owners, rounds = docs.select("_d", "ticker"), []
+    while True:
+        leaves = docs.select("_d", "_depth", F.posexplode(_opened(F.col("_entries"), F.col("_depth"))).alias("pos", "e")).select("_d", "_depth", "pos", F.col("e.path").alias("path"), F.col("e.v").alias("v"))
+        leaves = materialize(leaves, "leaves")
+        listed = leaves.where(_items(F.col("v")).isNotNull()).select("_d", "_depth", "pos", F.posexplode(_items(F.col("v"))).alias("i", "x"))
+        listed = listed.withColumns({"_entries": _entries(fields_of(F.col("x"))), "child": F.concat_ws("/", "_d", "pos", "i")})
+        listed = materialize(listed.withColumn("opens", F.size("_entries") > 0), "items")
+        rounds.append((leaves, listed))
+        docs = listed.where("opens").select(F.col("child").alias("_d"), "_depth", "_entries")
+        if docs.isEmpty():
+            break
+    told = None  # _d and the JSON of the items that became documents of the round below
+    for leaves, listed in reversed(rounds):
+        whole = listed.select("_d", "pos", "i", "child", "opens", F.to_json("x").alias("own"))
+        if told is not None:
+            whole = whole.join(told.withColumnRenamed("_d", "child"), "child", "left")
+        else:
+            whole = whole.withColumn("json", F.lit(None).cast("string"))
+        whole = whole.withColumn("json", F.when(F.col("opens"), F.coalesce("json", F.lit("{}"))).otherwise(F.col("own")))
+        lists = whole.groupBy("_d", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "json"))).alias("l"))
+        lists = lists.select("_d", "pos", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["json"]), ","), F.lit("]")).alias("list"))
+        flat = leaves.join(lists, ["_d", "pos"], "left").select("_d", "pos", "path", F.coalesce("list", F.to_json("v")).alias("json"))
+        fields = F.transform(F.array_sort(F.collect_list(F.struct("pos", "path", "json"))), lambda x: _named(x["path"], x["json"]))
+        told = materialize(flat, "flat") if leaves is rounds[0][0] else materialize(flat.groupBy("_d").agg(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("json")), "told")
+    return told.join(owners, "_d").select("ticker", F.col("path").alias("key"), F.col("json").alias("value_json"))
 
 
 def _quoted(symbol: Column) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricetide.functions.text import let, strip, text_or_empty
+from pricetide.functions.trees import fields_of, nesting
+from pricetide.sources.work import materialize
 
 #: Fields that a broken reply can still give.
 SALVAGED_TEXTS = ("product_name", "title", "availability", "seller")
 SALVAGED_NUMBERS = ("price", "original_price", "rating", "review_count")
-#: Objects within each other that are merged.
-MERGED_LEVELS = 5
 
 
 def salvage_reply(text: Column) -> Column:
@@ -54,12 +55,26 @@ def _kind(v: Column) -> Column:
     return F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("plain")
 
 
-def _fields(objects: DataFrame) -> DataFrame:
-    """_k, _o, _p, _v of objects -> the same of their fields. Nulls, marked fields, and objects that tell of an error are left out."""
-    failed = F.coalesce(~F.try_variant_get("_v", "$._error", "string").isin("", "0", "false"), F.lit(False))
-    told = objects.where((_kind(F.col("_v")) == "object") & ~failed)
-    found = objects.sparkSession.sql("SELECT _k, _o, concat(_p, array(t.key)) AS _p, t.key AS _n, t.value AS _v FROM {rows}, LATERAL variant_explode(_v) AS t", rows=told)
-    return found.where(~F.col("_n").startswith("_") & ~F.coalesce(F.is_variant_null("_v"), F.lit(True))).drop("_n")
+def _fields(v: Column) -> Column:
+    """The fields of an object but nulls and marked ones; null for all else, and for objects that tell of an error."""
+
+    def told(m: Column) -> Column:
+        failed = F.coalesce(~F.try_variant_get(F.try_element_at(m, F.lit("_error")), "$", "string").isin("", "0", "false"), F.lit(False))
+        return F.when(~failed, F.filter(F.map_entries(m), lambda x: ~x["key"].startswith("_") & ~F.coalesce(F.is_variant_null(x["value"]), F.lit(True))))
+
+    return let(fields_of(v), told)
+
+
+def _nodes(v: Column, depth: Column) -> Column:
+    """(p, v) of everything below an object, at any depth: p is the names that lead to it."""
+    kind = "array<struct<p: array<string>, v: variant>>"
+    below = lambda e: F.transform(F.coalesce(_fields(e["v"]), F.array().cast("array<struct<key: string, value: variant>>")), lambda x: F.struct(F.concat(e["p"], F.array(x["key"])).alias("p"), x["value"].alias("v")))
+    start = F.struct(F.array(F.struct(F.array().cast("array<string>").alias("p"), v.alias("v"))).cast(kind).alias("last"), F.array().cast(kind).alias("all"))
+
+    def step(a: Column, _: Column) -> Column:
+        return let(F.flatten(F.transform(a["last"], below)), lambda n: F.struct(n.alias("last"), F.concat(a["all"], n).alias("all")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), depth)), start, step, lambda a: a["all"])
 
 
 def _union(lists: Column) -> Column:
@@ -70,38 +85,47 @@ def _union(lists: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(first, ","), F.lit("]"))
 
 
-def _as_object(fields: DataFrame) -> DataFrame:
-    """_k, _p, _j of fields -> _k, _p, _j of the objects they make up, fields by name."""
-    quoted = F.to_json(F.array(F.element_at("_p", -1)))
-    pair = F.struct(F.element_at("_p", -1).alias("n"), F.concat(F.substring(quoted, 2, F.length(quoted) - 2), F.lit(":"), "_j").alias("j"))
-    rows = fields.select("_k", F.slice("_p", F.lit(1), F.size("_p") - 1).alias("_p"), pair.alias("f")).groupBy("_k", "_p").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    return rows.select("_k", "_p", F.concat(F.lit("{"), F.array_join(F.transform("f", lambda x: x["j"]), ","), F.lit("}")).alias("_j"))
+def _quoted_name(name: Column) -> Column:
+    return let(F.to_json(F.array(name)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def _written(leaves: DataFrame) -> DataFrame:
+    """_k, _p, _j of the leaves of trees -> _k, merged: one JSON text of each tree. In order of their paths each leaf shuts the objects that
+    it has left since the leaf before, opens those that it is in, and names itself."""
+    order = Window.partitionBy("_k").orderBy("_p")
+    rows = leaves.withColumns({"_b": F.lag("_p").over(order), "_n": F.row_number().over(order)})
+    shared = F.coalesce(F.array_position(F.zip_with(F.col("_p"), F.coalesce("_b", F.array().cast("array<string>")), lambda a, b: F.coalesce(a == b, F.lit(False))), False) - 1, F.size("_p").cast("long")).cast("int")
+    rows = rows.withColumn("_s", F.when(F.col("_b").isNull(), F.lit(0)).otherwise(shared))
+    shut = F.when(F.col("_b").isNull(), F.lit("")).otherwise(F.concat(F.repeat(F.lit("}"), F.size("_b") - 1 - F.col("_s")), F.lit(",")))
+    inner = F.transform(F.slice("_p", F.col("_s") + 1, F.size("_p") - 1 - F.col("_s")), lambda n: F.concat(_quoted_name(n), F.lit(":{")))
+    piece = F.concat(shut, F.array_join(inner, ""), _quoted_name(F.element_at("_p", -1)), F.lit(":"), "_j")
+    rows = rows.select("_k", F.struct("_n", piece.alias("t"), F.size("_p").alias("d")).alias("f")).groupBy("_k").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    return rows.select("_k", F.concat(F.lit("{"), F.array_join(F.transform("f", lambda x: x["t"]), ""), F.repeat(F.lit("}"), F.element_at("f", -1)["d"])).alias("merged"))
 
 
-def merge_partials(parts: DataFrame, key: str = "page_id", levels: int = MERGED_LEVELS) -> DataFrame:
+def merge_partials(parts: DataFrame, key: str = "page_id") -> DataFrame:
     """page, panel, parsed -> one merged JSON text for each page, panels in order.
 
     Of each field the first part that has it tells; lists of several parts unite without repeats, objects of several parts
-    merge field by field, down to ``levels`` objects within each other, below which the first part tells. Parts that aren't
-    objects or tell of an error don't count. Fields go by (page, path), so a page with many parts is no one task's work.
+    merge field by field, however deep. Parts that aren't objects or tell of an error don't count. All paths of all parts
+    are one table: what stands at a path is decided once, and a path counts if everything above it is merged. So the steps are
+    the same few at any depth, and a page with many parts is no one task's work until its text is written.
     """
-    objects = parts.select(F.col(key).alias("_k"), F.struct("panel", "parsed").alias("_o"), F.array().cast("array<string>").alias("_p"), F.try_parse_json("parsed").alias("_v"))
-    told, opened = [], []
-    for level in range(levels):
-        fields = _fields(objects).withColumn("_c", _kind(F.col("_v")))
-        lists = F.array_sort(F.collect_list(F.when(F.col("_c") == "array", F.struct("_o", F.to_json("_v").alias("j")))))
-        summed = fields.groupBy("_k", "_p").agg(F.min_by("_c", "_o").alias("_c"), F.min_by(F.to_json("_v"), "_o").alias("_j"), F.count_if(F.col("_c") == "object").alias("_n"), lists.alias("_l"))
-        deeper = (F.col("_c") == "object") & (F.col("_n") > 1) & F.lit(level + 1 < levels)
-        united = F.when((F.col("_c") == "array") & (F.size("_l") > 1), _union(F.transform("_l", lambda x: x["j"]))).otherwise(F.col("_j"))
-        told.append(summed.where(~deeper).select("_k", "_p", united.alias("_j")))
-        opened.append(summed.where(deeper).select("_k", "_p"))
-        objects = fields.where(F.col("_c") == "object").join(opened[-1], ["_k", "_p"], "left_semi").drop("_c")
-    whole = told[-1]
-    for level in reversed(range(levels - 1)):
-        inner = opened[level].join(_as_object(whole), ["_k", "_p"], "left").select("_k", "_p", F.coalesce("_j", F.lit("{}")).alias("_j"))
-        whole = told[level].unionByName(inner)
+    rows = parts.select(F.col(key).alias("_k"), F.struct("panel", "parsed").alias("_o"), F.explode(_nodes(F.try_parse_json("parsed"), nesting(F.col("parsed"), "{"))).alias("e"))
+    nodes = rows.select("_k", "_o", F.col("e.p").alias("_p"), _kind(F.col("e.v")).alias("_c"), F.to_json("e.v").alias("_v"))
+    lists = F.array_sort(F.collect_list(F.when(F.col("_c") == "array", F.struct("_o", F.col("_v").alias("j")))))
+    paths = nodes.groupBy("_k", "_p").agg(F.min_by("_c", "_o").alias("_c"), F.min_by("_v", "_o").alias("_j"), F.count_if(F.col("_c") == "object").alias("_n"), lists.alias("_l"))
+    united = F.when((F.col("_c") == "array") & (F.size("_l") > 1), _union(F.transform("_l", lambda x: x["j"]))).otherwise(F.col("_j"))
+    paths = materialize(paths.select("_k", "_p", ((F.col("_c") == "object") & (F.col("_n") > 1)).alias("_m"), united.alias("_j")), "paths")
+    above = paths.where(F.size("_p") > 1).select("_k", "_p", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda n: F.slice("_p", F.lit(1), n))).alias("_a"))
+    kept_whole = paths.where("not _m").select("_k", F.col("_p").alias("_a"))
+    dead = above.join(kept_whole, ["_k", "_a"], "left_semi").select("_k", "_p").distinct()
+    live = paths.join(dead, ["_k", "_p"], "left_anti")
+    inside = live.where(F.size("_p") > 1).select("_k", F.slice("_p", F.lit(1), F.size("_p") - 1).alias("_p")).distinct()
+    bare = live.where("_m").join(inside, ["_k", "_p"], "left_anti").select("_k", "_p", F.lit("{}").alias("_j"))
+    leaves = live.where("not _m").select("_k", "_p", "_j").unionByName(bare)
     pages = parts.select(F.col(key).alias("_k")).distinct()
-    return pages.join(_as_object(whole).drop("_p"), "_k", "left").select(F.col("_k").alias(key), F.coalesce("_j", F.lit("{}")).alias("merged"))
+    return pages.join(_written(leaves), "_k", "left").select(F.col("_k").alias(key), F.coalesce("merged", F.lit("{}")).alias("merged"))
 
 
 def flatten_reply(replies: DataFrame, key: str = "page_id", parsed: str = "parsed", prefix: str = "vision", skip: tuple[str, ...] = ("news",)) -> DataFrame:
