@@ -1,103 +1,186 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents form a stream of blocks of BLOCK_BYTES. Block i (from 0) of a source of weight w, with T the sum of the
-weights, is released at slot floor(i T / w) and due by slot ceil((i + 1) T / w); one block runs in each slot, the released one
-of earliest deadline. As the weights are whole numbers the schedule repeats every T slots, so one period of it (T entries,
-fixed by a parameter and not by the data) places any number of blocks, and at no time is a source a whole block away from its
-share. Weights that are no whole numbers, or too large ones, become whole numbers in proportion first. When a source ends, the
-others go on in the proportion of their weights: a new phase, counted from its own first slot.
-Beyond SOURCES sources the lightest share one pool: it takes part like a source, and its slots go to the blocks of its sources
-by deadline, worked out as a table. No document is left out or repeated.
+A source's documents form a stream of blocks of BLOCK_BYTES. In a period of T slots, T the sum of the weights, which are whole
+numbers, a source of weight w runs w blocks: block q of the period is released at its slot floor(q T / w) and due by its slot
+ceil((q + 1) T / w); one block runs in each slot, the released one of earliest deadline. So at no time is a source a whole
+block away from its share. Blocks of sources of one weight have the same windows, so the schedule is worked out for weights,
+of which there are few (their sum over sources is T), and a source takes its own place among those of its weight: any number
+of sources is scheduled, none apart from the others.
+When a source ends, its slots are left out, from the middle of a period on, and the others go on in the proportion of their
+weights. A new phase, with a schedule of the sources that are left, begins with the period after sources of a small part of
+the weight have ended (see ``phases``). Every block has a moment in this order; slots number the moments that have a block.
+No document is left out or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pricetide.llm.common import ROW, materialize, numbered, row_id, running_sum
 
 BLOCK_BYTES = 1 << 18
-#: Sources scheduled on the driver (the last one is the pool if there are more), slots of a period (for weights made from sizes), power of a source's size that makes its weight.
-SOURCES, PERIOD, POWER = 256, 1000, 0.7
+#: Slots of a period, at least, and for each source (for weights made from sizes); power of a source's size that makes its weight.
+PERIOD, SLOTS_EACH, POWER = 1000, 16, 0.7
 #: Slots of a period of given weights at most (about): beyond it they are rounded to that many.
 LONGEST = 100_000
-#: Documents of a source that one window sorts (about).
-SLICE_ROWS = 10_000
-#: Name of the pool among the sources; no source is a tuple.
-POOL = ("pool",)
-
-
-def whole_weights(shares: dict, period: int = PERIOD) -> dict:
-    """Whole numbers of at least 1 in proportion to ``shares``, about ``period`` in all: largest remainders round up."""
-    total = sum(shares.values())
-    exact = {s: x * period / total for s, x in shares.items()}
-    down = {s: max(1, int(x)) for s, x in exact.items()}
-    spare = period - sum(down.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))[: max(0, spare)]:
-        down[s] += 1
+#: The least part of the weight that ends before a new phase is worked out, and the slots (about) worked out for all phases.
+ENDED, STEPS = 1 / 256, 5_000_000
+#: Documents, blocks or sources that one window sorts (about); blocks of a source that are listed at once.
+SLICE_ROWS, LISTED = 10_000, 4096
+
+
+def whole_numbers(shares: np.ndarray, counts: np.ndarray, period: int) -> np.ndarray:
+    """Whole numbers of at least 1 in proportion to ``shares``, each of which ``counts`` sources have: about ``period`` in all, largest remainders round up."""
+    exact = shares * (period / float(shares @ counts))
+    down = np.maximum(1, np.floor(exact)).astype(np.int64)
+    spare = period - int(down @ counts)
+    for k in np.argsort(-(exact - np.floor(exact)), kind="stable"):
+        if counts[k] <= spare and exact[k] >= 1:
+            down[k] += 1
+            spare -= int(counts[k])
     return down
 
 
-def scheduled(shares: dict) -> dict:
+def whole_given(shares: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Given weights as whole numbers in the same proportion: exact where their period is LONGEST slots at most, else rounded to it."""
-    whole = {s: int(x) for s, x in shares.items()}
-    if all(x == shares[s] for s, x in whole.items()):
-        common = math.gcd(*whole.values())
-        if sum(whole.values()) // common <= LONGEST:
-            return {s: x // common for s, x in whole.items()}
+    if (shares == np.floor(shares)).all():
+        whole = [int(x) for x in shares]
+        common = math.gcd(*whole)
+        if sum(w // common * int(c) for w, c in zip(whole, counts, strict=True)) <= LONGEST:
+            return np.array([w // common for w in whole], np.int64)
     for slots in (PERIOD // 10, PERIOD):  # decimal shares such as 0.3 and 0.7 come out exact
-        rounded = whole_weights(shares, slots)
-        if all(math.isclose(x * sum(shares.values()), shares[s] * sum(rounded.values()), rel_tol=1e-9) for s, x in rounded.items()):
-            common = math.gcd(*rounded.values())
-            return {s: x // common for s, x in rounded.items()}
-    return whole_weights(shares, LONGEST)
+        rounded = whole_numbers(shares, counts, slots)
+        if np.allclose(rounded * float(shares @ counts), shares * float(rounded @ counts), rtol=1e-9, atol=0):
+            return rounded // math.gcd(*rounded.tolist())
+    return whole_numbers(shares, counts, max(LONGEST, SLOTS_EACH * int(counts.sum())))
 
 
-def period(weights: dict) -> dict:
-    """source -> the slots of one period in which its blocks run: earliest deadline first among released blocks."""
-    slots, names = sum(weights.values()), sorted(weights, key=str)
-    waiting = [(0, -(-slots // weights[s]), k, 0) for k, s in enumerate(names)]
+def scheduled(shares: dict) -> dict:
+    """``whole_given`` for weights by source."""
+    return dict(zip(shares, whole_given(np.array(list(shares.values()), float), np.ones(len(shares), np.int64)).tolist(), strict=True))
+
+
+def class_slots(sources: dict[int, int]) -> dict[int, list[int]]:
+    """weight -> the slots of one period in which blocks of its sources run, for the number of ``sources`` of each weight.
+
+    Earliest deadline first among released blocks. Of a weight with m sources, entries q m to q m + m - 1 are the slots of their
+    blocks q.
+    """
+    total = sum(w * m for w, m in sources.items())
+    waiting = [(0, -(-total // w), w, 0) for w in sources]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out: dict = {s: [] for s in names}
-    for t in range(slots):
+    ready: list[list[int]] = []
+    out: dict[int, list[int]] = {w: [] for w in sources}
+    for t in range(total):
         while waiting and waiting[0][0] <= t:
-            _, due, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, k, i))
-        due, k, i = heapq.heappop(ready)
-        w = weights[names[k]]
-        out[names[k]].append(t)
-        if i + 1 < w:
-            heapq.heappush(waiting, ((i + 1) * slots // w, -(-(i + 2) * slots // w), k, i + 1))
+            _, due, w, q = heapq.heappop(waiting)
+            heapq.heappush(ready, [due, w, q, sources[w]])
+        first = ready[0]
+        _, w, q, _ = first
+        out[w].append(t)
+        first[3] -= 1
+        if not first[3]:
+            heapq.heappop(ready)
+            if q + 1 < w:
+                heapq.heappush(waiting, ((q + 1) * total // w, -(-(q + 2) * total // w), w, q + 1))
     return out
 
 
-def phases(weights: dict, blocks: dict) -> dict:
-    """source -> [(first block, first slot, weight, period, slots of a period)], one entry for each phase it takes part in."""
-    out: dict = {s: [] for s in weights}
-    done, base = dict.fromkeys(weights, 0), 0
-    active = {s: w for s, w in weights.items() if blocks[s]}
-    while active:
-        slots, total = period(active), sum(active.values())
-        last = {}
-        for s, w in active.items():
-            q, r = divmod(blocks[s] - done[s] - 1, w)
-            last[s] = q * total + slots[s][r]
-        end = min(last.values()) + 1
-        q, r = divmod(end, total)
-        for s, w in active.items():
-            out[s].append((done[s], base, w, total, slots[s]))
-            done[s] += q * w + sum(t < r for t in slots[s])
-        base += end
-        active = {s: w for s, w in active.items() if done[s] < blocks[s]}
+def period(weights: dict) -> dict:
+    """source -> the slots of one period in which its blocks run."""
+    names, found = sorted(weights, key=str), {}
+    by: dict[int, list] = {}
+    for s in names:
+        by.setdefault(weights[s], []).append(s)
+    slots = class_slots({w: len(own) for w, own in by.items()})
+    for w, own in by.items():
+        for r, s in enumerate(own):
+            found[s] = slots[w][r :: len(own)]
+    return found
+
+
+class Phase(NamedTuple):
+    """Periods ``first`` to ``end`` (not in it) of ``slots`` slots each, from moment ``start`` on; how many sources of each weight take part."""
+
+    first: int
+    end: int
+    start: int
+    slots: int
+    sources: dict[int, int]
+
+
+def phases(weights: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> list[Phase]:
+    """The phases of ``counts`` sources of each weight and number of blocks.
+
+    A phase takes in all sources that have blocks left. It ends with the period in which sources of ENDED of its weight have
+    run out, or of more where the slots of all phases would otherwise be more than about STEPS: the work here is bounded.
+    """
+    lasts = -(-blocks // weights)  # periods
+    order = np.argsort(lasts, kind="stable")
+    lasts, weight, sizes, counts = lasts[order], weights[order], (weights * counts)[order], counts[order]
+    ended = np.cumsum(sizes)
+    total = int(ended[-1]) if len(ended) else 0
+    part = max(ENDED, total * math.log(max(total, 2)) / STEPS)
+    out, first, start, at = [], 0, 0, 0
+    while at < len(lasts):
+        gone = int(ended[at - 1]) if at else 0
+        left = total - gone
+        k = min(len(lasts) - 1, int(np.searchsorted(ended, gone + max(1, math.ceil(left * part)))))
+        end = int(lasts[k])
+        own: dict[int, int] = {}
+        for w, c in zip(weight[at:].tolist(), counts[at:].tolist(), strict=True):
+            own[w] = own.get(w, 0) + c
+        out.append(Phase(first, end, start, left, own))
+        start, first, at = start + (end - first) * left, end, int(np.searchsorted(lasts, end, side="right"))
     return out
 
 
+def _before(rows: DataFrame, total: int, group: list[str], order: list, value: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over those before each in its group: by ranges where there are many, so that no group is sorted in one task."""
+    if total <= SLICE_ROWS:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    ranged = rows.repartitionByRange(-(-total // SLICE_ROWS), *group, *order).withColumn("_part", F.spark_partition_id())
+    return running_sum(materialize(ranged, "ranged"), group, "_part", order, value, out).drop("_part")
+
+
+def _moments(sizes: DataFrame, plan: list[Phase], n_sources: int) -> DataFrame:
+    """_source, block, at, from and due: when each block of each source runs, is released and is due, ended sources' moments not left out."""
+    spark = sizes.sparkSession
+    told = [(k, p.first, p.end, p.start, p.slots) for k, p in enumerate(plan)]
+    table = spark.createDataFrame(told, "phase int, first long, end long, start long, slots long")  # few (see phases)
+    entries = materialize(spark.createDataFrame(_entries(plan), "phase int, weight long, m long, slots array<int>"), "entries")
+    own = sizes.select("_source", "weight", "blocks", F.xxhash64("_source").alias("_h"), F.lit(1).alias("_one"))
+    own = _before(own, n_sources, ["weight"], [F.desc("blocks"), "_h", "_source"], "_one", "rank")
+    some = own.select("_source", "weight", "blocks", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {LISTED}"))).alias("_c"))
+    each = some.select("_source", "weight", "rank", F.explode(F.sequence(F.expr(f"_c * {LISTED}"), F.expr(f"least(blocks, (_c + 1) * {LISTED}) - 1"))).alias("block"))
+    each = each.withColumns({"p": F.expr("block div weight"), "q": F.expr("block % weight")})
+    each = each.join(F.broadcast(table), (F.col("p") >= F.col("first")) & (F.col("p") < F.col("end"))).withColumnRenamed("slots", "T")
+    each = each.join(entries.drop("slots"), ["phase", "weight"]).withColumn("j", F.expr("cast(q * m + rank as int)"))
+    each = each.join(entries.select("phase", "weight", F.posexplode("slots").alias("j", "slot")), ["phase", "weight", "j"]).withColumn("base", F.expr("start + (p - first) * T"))
+    return each.selectExpr("_source", "block", "base + slot as at", "base + q * T div weight as from", "base + ((q + 1) * T + weight - 1) div weight as due")
+
+
+def _entries(plan: list[Phase]):
+    return [(k, w, p.sources[w], slots) for k, p in enumerate(plan) for w, slots in class_slots(p.sources).items()]
+
+
+def _slots(moments: DataFrame, total: int) -> DataFrame:
+    """_s, _b, slot, release, deadline: moments as numbers of blocks that run before them."""
+    kinds = F.array(*[F.struct(F.col(c).alias("t"), F.lit(k).alias("kind")) for k, c in enumerate(("from", "due", "at"))])
+    points = moments.select("_source", "block", F.explode(kinds).alias("e")).select("_source", "block", "e.t", "e.kind", (F.col("e.kind") == 2).cast("int").alias("_run"))
+    counted = _before(points, 3 * total, [], ["t", "kind", "_source", "block"], "_run", "_at")
+    one = lambda k, name: F.max(F.when(F.col("kind") == k, F.col("_at"))).alias(name)
+    return counted.groupBy(F.col("_source").alias("_s"), F.col("block").alias("_b")).agg(one(0, "release"), one(1, "deadline"), one(2, "slot"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Every row's ``keep`` columns (default doc_id, source) with n_bytes, block, release, deadline and slot.
 
@@ -105,8 +188,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     the POWER of its bytes. A source without a given weight weighs as the least given one. Null is a source of its own. Null
     and empty texts have 0 bytes and fall in the block of the row before.
     A text longer than a block fills the blocks it covers and stands in the first. Ties and repeated rows each have their own
-    place. With more than SOURCES sources,
-    release, deadline and slot of those in the pool are the pool's. An empty table gives an empty result.
+    place. Of the sources the driver sees how many there are of each weight and number of blocks. An empty table gives an empty
+    result.
     """
     if weights is not None and (not weights or not all(w is not None and math.isfinite(w) and w > 0 for w in weights.values())):
         raise ValueError(f"target weights are finite numbers over 0, one source at least: {weights}")
@@ -116,57 +199,32 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     spark = docs.sparkSession
     sizes = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"))
     if weights is None:
-        sizes = sizes.withColumn("weight", F.pow(F.greatest(F.lit(1), "bytes"), F.lit(POWER)))
+        sizes = sizes.withColumn("share", F.pow(F.greatest(F.lit(1), "bytes"), F.lit(POWER)))
     else:
-        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_g string, weight double")
-        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_g string, share double")
+        sizes = sizes.join(given, F.col("_source").eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("share", F.coalesce("share", F.lit(float(min(weights.values())))))
     sizes = materialize(sizes.withColumn("blocks", F.greatest(F.lit(1), F.expr(f"(bytes + {block_bytes - 1}) div {block_bytes}"))), "sources")
-    head = sizes.orderBy(F.desc("weight"), "_source").limit(SOURCES + 1).collect()
-    pooled = len(head) > SOURCES
-    head = head[: SOURCES - 1] if pooled else head
-    blocks, shares = {r["_source"]: r["blocks"] for r in head}, {r["_source"]: r["weight"] for r in head}
-    names = spark.createDataFrame([(r["_source"],) for r in head], "_s string")
-    if pooled:
-        tail = materialize(sizes.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_s")), "left_anti"), "tail")
-        blocks[POOL], shares[POOL] = tail.agg(F.sum("blocks"), F.sum("weight")).first()
-    if shares:
-        shares = whole_weights(shares) if weights is None else scheduled(shares)
-    plan = phases(shares, blocks)
-    entry = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "slot", "weight", "period")] + [T.StructField("slots", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_last", T.LongType()), T.StructField("_phases", T.ArrayType(entry))])
-    table = spark.createDataFrame([(s, blocks[s] - 1, found) for s, found in plan.items() if s is not POOL], schema)  # SOURCES rows at most
-    total_rows = sizes.agg(F.sum("rows")).first()[0] or 0
-    n = max(1, -(-total_rows // SLICE_ROWS))
+    kinds = sizes.groupBy("share", "blocks").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).orderBy("share", "blocks").toArrow()
+    share, blocks, counts = (kinds[c].to_numpy() for c in ("share", "blocks", "n"))
+    values, at = np.unique(share, return_inverse=True)
+    sources = np.bincount(at, counts, len(values)).astype(np.int64)
+    n_sources, n_blocks, n_rows = int(counts.sum()), int(blocks @ counts), int(kinds["rows"].to_numpy().sum())
+    if not len(values):
+        whole = np.zeros(0, np.int64)
+    elif weights is None:
+        whole = whole_numbers(values, sources, max(PERIOD, SLOTS_EACH * n_sources))
+    else:
+        whole = whole_given(values, sources)
+    known = spark.createDataFrame(list(zip(values.tolist(), whole.tolist(), strict=True)), "share double, weight long")
+    plan = phases(whole[at], blocks, counts)
+    slots = materialize(_slots(_moments(sizes.join(known, "share"), plan, n_sources), n_blocks), "slots")
+    n = max(1, -(-n_rows // SLICE_ROWS))
     sliced = sized.withColumn("_slice", F.pmod("_h", F.lit(n)))
     placed = running_sum(sliced, ["_source"], "_slice", ["_h", *[f"_k{i}" for i in range(len(keep))], "n_bytes"], "n_bytes", "_start")
-    placed = placed.withColumn("block", F.expr(f"_start div {block_bytes}"))
-    found = placed.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s")), "left" if pooled else "inner").drop("_s")
-    if pooled:
-        dealt = _dealt(tail, blocks[POOL]).select(F.col("_source").alias("_t"), F.col("block").alias("_b"), "_at")
-        ends = tail.select(F.col("_source").alias("_e"), (F.col("blocks") - 1).alias("_end"))
-        rest = found.where("_last is null").drop("_last", "_phases").join(ends, F.col("_source").eqNullSafe(F.col("_e")))
-        rest = rest.withColumn("block", F.least("block", "_end")).join(dealt, F.col("_source").eqNullSafe(F.col("_t")) & (F.col("block") == F.col("_b")))
-        shared = spark.createDataFrame([(None, None, plan[POOL])], schema).select("_phases")
-        rest = rest.drop("_e", "_end", "_t", "_b").crossJoin(F.broadcast(shared))
-        found = found.where("_last is not null").withColumn("block", F.least("block", "_last")).withColumn("_at", F.col("block")).drop("_last").unionByName(rest)
-    else:
-        found = found.withColumn("block", F.least("block", "_last")).withColumn("_at", F.col("block"))
-    found = found.withColumn("_p", F.expr("element_at(filter(_phases, p -> p.block <= _at), -1)")).withColumn("_i", F.expr("_at - _p.block"))
-    return found.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "block",
-        F.expr("_p.slot + _i * _p.period div _p.weight").alias("release"),
-        F.expr("_p.slot + ((_i + 1) * _p.period + _p.weight - 1) div _p.weight").alias("deadline"),
-        F.expr("_p.slot + _i div _p.weight * _p.period + _p.slots[cast(_i % _p.weight as int)]").alias("slot"),
-    )
-
-
-def _dealt(tail: DataFrame, total: int) -> DataFrame:
-    """_source, block and _at, the block of the pool it fills: blocks in order of their deadlines (block + 1) / weight."""
-    each = tail.select("_source", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    each = each.select("_source", "block", ((F.col("block") + 1) / F.col("weight")).alias("_due"), F.xxhash64("_source").alias("_h"), F.lit(1).alias("_one"))
-    order = ["_due", "_h", "_source"]
-    ranged = each.repartitionByRange(max(1, -(-total // SLICE_ROWS)), *order).withColumn("_part", F.spark_partition_id())
-    return running_sum(materialize(ranged, "pool"), [], "_part", order, "_one", "_at")
+    ends = sizes.select(F.col("_source").alias("_e"), (F.col("blocks") - 1).alias("_last"))
+    placed = placed.join(ends, F.col("_source").eqNullSafe(F.col("_e"))).withColumn("block", F.least(F.expr(f"_start div {block_bytes}"), "_last"))
+    found = placed.join(slots, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "block", "release", "deadline", "slot")
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

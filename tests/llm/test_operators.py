@@ -207,6 +207,78 @@ def test_any_number_of_sources(spark):
         assert len({r["source"] for r in rows}) == 300
 
 
+def off_by(order, weights):
+    """For each source the most that its blocks are off its share of the slots, at any slot."""
+    total, most = sum(weights.values()), {}
+    names = {s: k for k, s in enumerate(weights)}
+    w = np.array(list(weights.values()), float)
+    ran = np.zeros(len(w))
+    worst = np.zeros(len(w))
+    for t, s in enumerate(order, 1):
+        ran[names[s]] += 1
+        worst = np.maximum(worst, np.abs(ran - w * t / total))
+    most.update(zip(weights, worst.tolist(), strict=True))
+    return most
+
+
+@pytest.mark.parametrize("kind", ["tail", "power", "equal"])
+def test_a_thousand_sources_are_each_under_one_block_off(kind):
+    """As a plain scheduler that takes sources one by one, and within every window."""
+    import heapq
+
+    from pricetide.llm.mixing import period
+
+    weights = {"tail": {**{f"h{i}": 100 for i in range(255)}, "mid": 10, **{f"t{i}": 1 for i in range(744)}}, "power": {f"s{i}": max(1, int(3000 / (i + 1) ** 0.8)) for i in range(1000)}, "equal": {f"s{i}": 3 for i in range(1000)}}[kind]
+    found, total = period(weights), sum(weights.values())
+    order = [None] * total
+    for s, slots in found.items():
+        assert len(slots) == weights[s] == len(set(slots)) and all(q * total // weights[s] <= t < -(-(q + 1) * total // weights[s]) for q, t in enumerate(slots))
+        for t in slots:
+            order[t] = s
+    assert None not in order and max(off_by(order, weights).values()) < 1
+    jobs = sorted((q * total // w, -(-(q + 1) * total // w), w, s) for s, w in weights.items() for q in range(w))
+    ready, plain, at = [], [], 0
+    for t in range(total):
+        while at < len(jobs) and jobs[at][0] <= t:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        plain.append(heapq.heappop(ready)[1])
+    assert [weights[s] for s in order] == plain  # blocks of one weight change places only
+
+
+def test_phases_are_bounded_and_go_on_in_proportion(spark, monkeypatch):
+    from pricetide.llm import mixing
+
+    rng = np.random.default_rng(8)
+    w, b = rng.integers(1, 60, 3000), rng.integers(1, 5000, 3000)
+    plan = mixing.phases(w, b, np.ones(3000, np.int64))
+    assert sum(p.slots for p in plan) <= 2 * mixing.STEPS and plan[-1].end == max(-(-b // w)) and all(x.end == y.first and y.start == x.start + (x.end - x.first) * x.slots for x, y in zip(plan, plan[1:]))
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('x', 100) as text", "concat('s', cast(pow(id % 1000, 2) / 9000 as int)) as source")
+    for steps in (mixing.STEPS, 20_000):
+        monkeypatch.setattr(mixing, "STEPS", steps)
+        rows = mixing.mix(docs, block_bytes=200).collect()
+        at = {(r["source"], r["block"]): (r["release"], r["slot"], r["deadline"]) for r in rows}
+        order = [s for s, _ in sorted(at, key=lambda k: at[k][1])]
+        assert sorted(x[1] for x in at.values()) == list(range(len(at))) and all(a <= b < c for a, b, c in at.values())
+        size = Counter(order)
+        shares = {s: (n * 100.0) ** mixing.POWER for s, n in Counter(r["source"] for r in rows).items()}
+        values, at_value, n = np.unique(list(shares.values()), return_inverse=True, return_counts=True)
+        whole = dict(zip(shares, mixing.whole_numbers(values, n, max(1000, 16 * len(shares)))[at_value].tolist()))
+        last = {s: max(t for t, x in enumerate(order) if x == s) for s in size}
+        first_end = min(last.values())
+        assert max(off_by(order[:first_end], whole).values()) < 1
+        ran, expected = Counter(), dict.fromkeys(size, 0.0)  # afterwards, against the shares of those that are left at each slot
+        worst = 0.0
+        for t, s in enumerate(order):
+            left = [x for x in size if last[x] >= t]
+            total = sum(whole[x] for x in left)
+            for x in left:
+                expected[x] += whole[x] / total
+            ran[s] += 1
+            worst = max(worst, *(abs(ran[x] - expected[x]) for x in left))
+        assert worst < 2
+
+
 def test_mixed_order_keeps_rows(spark, odd):
     from pricetide.llm.mixing import mixed_order
 
