@@ -19,6 +19,7 @@ import math
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,11 +28,11 @@ from pricetide.llm.common import ROW, materialize, numbered, row_id, running_sum
 
 BLOCK_BYTES = 1 << 18
 #: Slots of a period, at least, and for each source (for weights made from sizes); power of a source's size that makes its weight.
-PERIOD, SLOTS_EACH, POWER = 1000, 16, 0.7
+PERIOD, SLOTS_EACH, POWER = 1000, 4, 0.7
 #: Slots of a period of given weights at most (about): beyond it they are rounded to that many.
 LONGEST = 100_000
-#: The least part of the weight that ends before a new phase is worked out, and the slots (about) worked out for all phases.
-ENDED, STEPS = 1 / 256, 5_000_000
+#: The slots (about) worked out for all phases; beyond it, the least part of the weight that ends before a new phase is.
+STEPS, ENDED = 5_000_000, 1 / 256
 #: Documents, blocks or sources that one window sorts (about); blocks of a source that are listed at once.
 SLICE_ROWS, LISTED = 10_000, 4096
 
@@ -67,78 +68,116 @@ def scheduled(shares: dict) -> dict:
     return dict(zip(shares, whole_given(np.array(list(shares.values()), float), np.ones(len(shares), np.int64)).tolist(), strict=True))
 
 
-def class_slots(sources: dict[int, int]) -> dict[int, list[int]]:
-    """weight -> the slots of one period in which blocks of its sources run, for the number of ``sources`` of each weight.
+class Kind(NamedTuple):
+    """``m`` sources of weight w that run c blocks in a period, w but for those that end in it; ``before``: sources of that weight with more blocks."""
 
-    Earliest deadline first among released blocks. Of a weight with m sources, entries q m to q m + m - 1 are the slots of their
-    blocks q.
+    w: int
+    c: int
+    m: int
+    before: int
+
+
+def windows(kinds: list[Kind]) -> list[tuple[list[int], list[int]]]:
+    """For each kind the slots from which and by which its blocks of one period run.
+
+    After the part v of a period a source has done w v of its blocks, c at most. Block q is the work from v = q / w to
+    (q + 1) / w; its window is the slots that all sources' work together takes meanwhile.
     """
-    total = sum(w * m for w, m in sources.items())
-    waiting = [(0, -(-total // w), w, 0) for w in sources]
+    ending = sorted((k for k in kinds if k.c < k.w), key=lambda k: k.c / k.w)
+    out = []
+    for w, c, _, _ in kinds:
+        rate, done, at, low, high = sum(k.w * k.m for k in kinds), 0, 0, [], []
+        for q in range(c + 1):  # all work by v = q / w is (rate q + done w) / w
+            while at < len(ending) and ending[at].c * w <= q * ending[at].w:
+                rate, done, at = rate - ending[at].w * ending[at].m, done + ending[at].c * ending[at].m, at + 1
+            work = rate * q + done * w
+            low.append(work // w)
+            high.append(-(-work // w))
+        out.append((low[:c], high[1:]))
+    return out
+
+
+def kind_slots(kinds: list[Kind]) -> list[tuple[list[int], list[int], list[int]]]:
+    """For each kind its blocks' slots in one period, and the slots from which and by which they run: earliest deadline first.
+
+    With m sources of a kind, entries q m to q m + m - 1 are of their blocks q.
+    """
+    spans = windows(kinds)
+    waiting = [(spans[k][0][0], spans[k][1][0], k, 0) for k in range(len(kinds))]
     heapq.heapify(waiting)
     ready: list[list[int]] = []
-    out: dict[int, list[int]] = {w: [] for w in sources}
-    for t in range(total):
+    out: list[list[int]] = [[] for _ in kinds]
+    for t in range(sum(k.c * k.m for k in kinds)):
         while waiting and waiting[0][0] <= t:
-            _, due, w, q = heapq.heappop(waiting)
-            heapq.heappush(ready, [due, w, q, sources[w]])
-        first = ready[0]
-        _, w, q, _ = first
-        out[w].append(t)
+            _, due, k, q = heapq.heappop(waiting)
+            heapq.heappush(ready, [due, k, q, kinds[k].m])
+        _, k, q, _ = first = ready[0]
+        out[k].append(t)
         first[3] -= 1
         if not first[3]:
             heapq.heappop(ready)
-            if q + 1 < w:
-                heapq.heappush(waiting, ((q + 1) * total // w, -(-(q + 2) * total // w), w, q + 1))
-    return out
+            if q + 1 < kinds[k].c:
+                heapq.heappush(waiting, (spans[k][0][q + 1], spans[k][1][q + 1], k, q + 1))
+    return [(slots, *span) for slots, span in zip(out, spans, strict=True)]
 
 
 def period(weights: dict) -> dict:
     """source -> the slots of one period in which its blocks run."""
-    names, found = sorted(weights, key=str), {}
     by: dict[int, list] = {}
-    for s in names:
+    for s in sorted(weights, key=str):
         by.setdefault(weights[s], []).append(s)
-    slots = class_slots({w: len(own) for w, own in by.items()})
-    for w, own in by.items():
-        for r, s in enumerate(own):
-            found[s] = slots[w][r :: len(own)]
-    return found
+    found = kind_slots([Kind(w, w, len(own), 0) for w, own in by.items()])
+    return {s: slots[r :: len(own)] for own, (slots, _, _) in zip(by.values(), found, strict=True) for r, s in enumerate(own)}
 
 
 class Phase(NamedTuple):
-    """Periods ``first`` to ``end`` (not in it) of ``slots`` slots each, from moment ``start`` on; how many sources of each weight take part."""
+    """Periods ``first`` to ``end`` (not in it) of ``slots`` moments each, from moment ``start`` on, and the kinds of sources in them.
+
+    If it is ``shared``, sources that end in it count as going on; their moments are left out.
+    """
 
     first: int
     end: int
     start: int
     slots: int
-    sources: dict[int, int]
+    shared: bool
+    kinds: list[Kind]
 
 
 def phases(weights: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> list[Phase]:
     """The phases of ``counts`` sources of each weight and number of blocks.
 
-    A phase takes in all sources that have blocks left. It ends with the period in which sources of ENDED of its weight have
-    run out, or of more where the slots of all phases would otherwise be more than about STEPS: the work here is bounded.
+    Each period in which sources end is a phase, and so are the periods between. If the slots of all of them were more than
+    STEPS, a phase goes on until sources of ENDED of its weight have ended, or of twice that and so on: the work is bounded.
     """
-    lasts = -(-blocks // weights)  # periods
+    lasts = -(-blocks // weights)
     order = np.argsort(lasts, kind="stable")
-    lasts, weight, sizes, counts = lasts[order], weights[order], (weights * counts)[order], counts[order]
-    ended = np.cumsum(sizes)
-    total = int(ended[-1]) if len(ended) else 0
-    part = max(ENDED, total * math.log(max(total, 2)) / STEPS)
-    out, first, start, at = [], 0, 0, 0
-    while at < len(lasts):
-        gone = int(ended[at - 1]) if at else 0
-        left = total - gone
-        k = min(len(lasts) - 1, int(np.searchsorted(ended, gone + max(1, math.ceil(left * part)))))
-        end = int(lasts[k])
-        own: dict[int, int] = {}
-        for w, c in zip(weight[at:].tolist(), counts[at:].tolist(), strict=True):
-            own[w] = own.get(w, 0) + c
-        out.append(Phase(first, end, start, left, own))
-        start, first, at = start + (end - first) * left, end, int(np.searchsorted(lasts, end, side="right"))
+    weights, blocks, counts, lasts = weights[order], blocks[order], counts[order], lasts[order]
+    ended = np.concatenate([[0], np.cumsum(weights * counts)])
+    bounds = np.unique(np.concatenate([[0], blocks // weights, lasts])) if len(lasts) else np.zeros(1, np.int64)
+    left = ended[-1] - ended[np.searchsorted(lasts, bounds, side="right")]  # the weight that goes on from each bound
+    chosen, part = list(range(len(bounds))), ENDED
+    while len(chosen) > 2 and left[chosen].sum() > STEPS:
+        chosen, part = [0], part * 2
+        while chosen[-1] < len(bounds) - 1:
+            k = int(np.searchsorted(-left, -left[chosen[-1]] * (1 - min(part, 1.0)), side="left"))
+            chosen.append(min(len(bounds) - 1, max(chosen[-1] + 1, k)))
+    out, start = [], 0
+    for x, y in zip(bounds[chosen].tolist(), bounds[chosen[1:]].tolist(), strict=False):
+        at = int(np.searchsorted(lasts, x, side="right"))
+        w, b, n = weights[at:], blocks[at:], counts[at:]
+        shared = y > x + 1 and bool((b < y * w).any())
+        c = w if shared else np.minimum(w, b - x * w)
+        found: dict[tuple[int, int], int] = {}
+        for one, few, m in zip(w.tolist(), c.tolist(), n.tolist(), strict=True):
+            found[one, few] = found.get((one, few), 0) + m
+        kinds, before = [], {}
+        for one, few in sorted(found, reverse=True):  # of one weight, those that run more blocks have more of them
+            kinds.append(Kind(one, few, found[one, few], before.get(one, 0)))
+            before[one] = before.get(one, 0) + found[one, few]
+        slots = sum(k.c * k.m for k in kinds)
+        out.append(Phase(x, y, start, slots, shared, kinds))
+        start += (y - x) * slots
     return out
 
 
@@ -154,22 +193,32 @@ def _before(rows: DataFrame, total: int, group: list[str], order: list, value: s
 def _moments(sizes: DataFrame, plan: list[Phase], n_sources: int) -> DataFrame:
     """_source, block, at, from and due: when each block of each source runs, is released and is due, ended sources' moments not left out."""
     spark = sizes.sparkSession
-    told = [(k, p.first, p.end, p.start, p.slots) for k, p in enumerate(plan)]
-    table = spark.createDataFrame(told, "phase int, first long, end long, start long, slots long")  # few (see phases)
-    entries = materialize(spark.createDataFrame(_entries(plan), "phase int, weight long, m long, slots array<int>"), "entries")
+    told = [(k, p.first, p.end, p.start, p.slots, p.shared) for k, p in enumerate(plan)]
+    table = spark.createDataFrame(told, "phase int, first long, end long, start long, slots long, shared boolean")  # STEPS rows at most (see phases)
+    entries = materialize(_entries(spark, plan), "entries")
     own = sizes.select("_source", "weight", "blocks", F.xxhash64("_source").alias("_h"), F.lit(1).alias("_one"))
     own = _before(own, n_sources, ["weight"], [F.desc("blocks"), "_h", "_source"], "_one", "rank")
     some = own.select("_source", "weight", "blocks", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {LISTED}"))).alias("_c"))
-    each = some.select("_source", "weight", "rank", F.explode(F.sequence(F.expr(f"_c * {LISTED}"), F.expr(f"least(blocks, (_c + 1) * {LISTED}) - 1"))).alias("block"))
+    each = some.select("_source", "weight", "blocks", "rank", F.explode(F.sequence(F.expr(f"_c * {LISTED}"), F.expr(f"least(blocks, (_c + 1) * {LISTED}) - 1"))).alias("block"))
     each = each.withColumns({"p": F.expr("block div weight"), "q": F.expr("block % weight")})
-    each = each.join(F.broadcast(table), (F.col("p") >= F.col("first")) & (F.col("p") < F.col("end"))).withColumnRenamed("slots", "T")
-    each = each.join(entries.drop("slots"), ["phase", "weight"]).withColumn("j", F.expr("cast(q * m + rank as int)"))
-    each = each.join(entries.select("phase", "weight", F.posexplode("slots").alias("j", "slot")), ["phase", "weight", "j"]).withColumn("base", F.expr("start + (p - first) * T"))
-    return each.selectExpr("_source", "block", "base + slot as at", "base + q * T div weight as from", "base + ((q + 1) * T + weight - 1) div weight as due")
-
-
-def _entries(plan: list[Phase]):
-    return [(k, w, p.sources[w], slots) for k, p in enumerate(plan) for w, slots in class_slots(p.sources).items()]
+    each = each.join(F.broadcast(table), (F.col("p") >= F.col("first")) & (F.col("p") < F.col("end")))
+    each = each.withColumn("c", F.expr("if(shared, weight, least(weight, blocks - p * weight))"))
+    each = each.join(entries.select("phase", "weight", "c", "m", "before"), ["phase", "weight", "c"]).withColumn("j", F.expr("cast(q * m + rank - before as int)"))
+    spread = entries.select("phase", "weight", "c", "m", "low", "high", F.posexplode("at").alias("j", "slot"))
+    spread = spread.select("phase", "weight", "c", "j", "slot", F.expr("low[cast(j div m as int)]").alias("low"), F.expr("high[cast(j div m as int)]").alias("high"))
+    each = each.join(spread, ["phase", "weight", "c", "j"]).withColumn("base", F.expr("start + (p - first) * slots"))
+    return each.selectExpr("_source", "block", "base + slot as at", "base + low as from", "base + high as due")
+
+
+def _entries(spark: SparkSession, plan: list[Phase]) -> DataFrame:
+    """phase, weight, c, m, before and the slots of each kind: about STEPS numbers in all."""
+    rows: dict[str, list] = {name: [] for name in ("phase", "weight", "c", "m", "before", "at", "low", "high")}
+    for n, p in enumerate(plan):
+        for k, found in zip(p.kinds, kind_slots(p.kinds), strict=True):
+            for name, value in zip(rows, (n, *k, *found), strict=True):
+                rows[name].append(value)
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+    return spark.createDataFrame(pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows)))
 
 
 def _slots(moments: DataFrame, total: int) -> DataFrame:
