@@ -241,7 +241,7 @@ def seed_sources(existing: DataFrame, seed: DataFrame) -> DataFrame:
 
 def expand_search_urls(queries: DataFrame, retailers: DataFrame, sources: DataFrame) -> DataFrame:
     """query x retailer -> url from the source's template, or the error source_not_configured. Retailers are a fixed few."""
-    rows = queries.crossJoin(F.broadcast(retailers)).join(sources.select("retailer_key", "search_url_template"), "retailer_key", "left")
+    rows = queries.crossJoin(retailers).join(sources.select("retailer_key", "search_url_template"), "retailer_key", "left")
     url = F.replace(F.col("search_url_template"), F.lit("{query}"), F.replace(F.url_encode("query"), F.lit("%7E"), F.lit("~")))
     missing = text_or_empty(F.col("search_url_template")) == ""
     return rows.select("query", "retailer_key", F.when(~missing, url).alias("url"), F.when(missing, F.lit("source_not_configured")).alias("error"))
@@ -249,4 +249,4 @@ def expand_search_urls(queries: DataFrame, retailers: DataFrame, sources: DataFr
 
 def expand_ticker_urls(tickers: DataFrame, templates: DataFrame, first: int = 50) -> DataFrame:
     """Urls of the first tickers by position for each template; both lists are small by contract."""
-    return tickers.orderBy("pos").limit(first).crossJoin(F.broadcast(templates)).select("ticker", F.replace(F.col("template"), F.lit("{ticker}"), F.col("ticker")).alias("url"))
+    return tickers.orderBy("pos").limit(first).crossJoin(templates).select("ticker", F.replace(F.col("template"), F.lit("{ticker}"), F.col("ticker")).alias("url"))

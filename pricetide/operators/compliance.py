@@ -117,7 +117,7 @@ def profiles(spark) -> DataFrame:
 
 def usable_pages(envelopes: DataFrame, profile_rows: DataFrame) -> DataFrame:
     """envelopes with ``usable``: ok, and trusted, unprofiled, marked as a product page, or large and without an error title."""
-    rows = envelopes.join(F.broadcast(profile_rows), "retailer_key", "left")
+    rows = envelopes.join(profile_rows, "retailer_key", "left")
     marked = lambda c: F.exists("product_markers", lambda m: F.lower(F.left(text_or_empty(c), F.lit(120_000))).contains(F.lower(m)))
     backend = text_or_empty(F.col("fetch_backend"))
     size = F.coalesce(F.nullif("char_count", F.lit(0)), F.nullif(F.length(text_or_empty(F.col("text"))), F.lit(0)), F.length(text_or_empty(F.col("html"))))

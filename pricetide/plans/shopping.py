@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.prices import html_price_candidates, merge_candidates, text_price_candidates, to_price
-from pricetide.functions.text import sanitize_text
+from pricetide.functions.text import page_title, sanitize_text, text_or_empty
 from pricetide.operators import catalog, compliance, listings, ranking, replies
 from pricetide.sources.work import materialize
 
-#: What a page's own product fields are called beside its other columns.
-PAGE_FIELDS = ("title", "price", "availability", "rating", "review_count")
+#: What names a product, and what a page's own product fields are called beside its other columns.
+NAMES = ("brand", "mpn", "sku", "model_number", "gtin")
+PAGE_FIELDS = ("title", "price", "availability", "rating", "review_count", "brand", "mpn", "sku", "gtin")
 
 
 def priced_pages(pages: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def merged_by_page(raw_replies: DataFrame) -> DataFrame:
 def resolve_offers(pages: DataFrame, raw_replies: DataFrame) -> DataFrame:
     """Pages and model replies (page_id, query, reply) -> one resolved price for each page, with where it came from.
 
-    A page that neither its reply nor its candidates price falls back on its own product fields.
+    A page that neither its reply nor its candidates price falls back on its own product fields. Brand, mpn, sku, model_number
+    and gtin are the reply's; the page's own fill in where the product is the one that the page names.
     """
     said = merged_by_page(raw_replies)
     best = replies.reply_to_shop(said.where("parsed is not null").withColumn("payload_id", F.col("page_id")))
@@ -55,6 +57,7 @@ def resolve_offers(pages: DataFrame, raw_replies: DataFrame) -> DataFrame:
     said = said.select(
         F.col("page_id").alias("_p"), get("$.price").try_cast("double").alias("reply_price"), F.coalesce(get("$.product_name"), get("$.title")).alias("_told"), F.col("error").alias("reply_error"),
         get("$.availability").alias("_availability"), get("$.rating").try_cast("double").alias("_rating"), get("$.review_count").try_cast("int").alias("_reviews"),
+        *[F.nullif(get(f"$.{n}"), F.lit("")).alias(f"_{n}") for n in NAMES],
     )
     rows = priced_pages(pages).withColumn("page_price", to_price(F.col("page_price").cast("string")))
     rows = rows.join(said, F.col("page_id") == F.col("_p"), "left").join(best, F.col("page_id") == F.col("payload_id"), "left")
@@ -67,6 +70,9 @@ def resolve_offers(pages: DataFrame, raw_replies: DataFrame) -> DataFrame:
         "review_count": F.when(own, F.col("page_review_count")).otherwise(F.col("_reviews")),
         "product_url": F.when(own, F.col("url")).otherwise(F.col("product_url")),
     }
+    same = own | F.coalesce(F.lower("page_title") == F.lower(out["product_name"]), F.lit(False))
+    for n in NAMES:
+        out[n] = F.coalesce(F.col(f"_{n}"), F.when(same, F.nullif(F.col(f"page_{n}"), F.lit("")))) if n in PAGE_FIELDS else F.col(f"_{n}")
     kept = ("page_id", "url", "query", "retailer_key", "candidates", "price", "price_source", "error", "original_price", "seller")
     return rows.select(*kept, *[c.alias(k) for k, c in out.items()])
 
@@ -80,23 +86,36 @@ class Shopping(NamedTuple):
     history: DataFrame
 
 
+def usable(pages: DataFrame) -> DataFrame:
+    """pages with ``_usable`` (see ``compliance.usable_pages``); a page's title is its html's where it has no column of its own."""
+    have = pages.columns
+    seen = pages.select(
+        "page_id", "retailer_key", "status", "html", F.col("page_text").alias("text"), F.length(text_or_empty(F.col("page_text"))).alias("char_count"),
+        F.col("title") if "title" in have else page_title(F.col("html")).alias("title"), F.col("fetch_backend") if "fetch_backend" in have else F.lit(None).cast("string").alias("fetch_backend"),
+        F.struct(*[F.col(f"`{c}`") for c in have]).alias("_page"),
+    )
+    rows = compliance.usable_pages(seen, compliance.profiles(pages.sparkSession))
+    return rows.select("_page.*", F.col("usable").alias("_usable"))
+
+
 def pages_to_offers(pages: DataFrame, raw_replies: DataFrame, sources: DataFrame, products: DataFrame, offers: DataFrame, as_of: str) -> Shopping:
-    """Fetched pages of sources that may be used and did not stop at a wall, to resolved, matched and stored offers.
+    """Usable fetched pages of sources that may be used and did not stop at a wall, to resolved, matched and stored offers.
 
-    pages: page_id, url, html, page_text, query, retailer_key, source_id, status, http_status, tier; sources: source_id,
-    source_type, status. Pages that drop out have their reason in the results and no offer. Resolved pages and matches are
-    work tables, so that later steps don't scan pages again; the caller stores what is returned.
+    pages: page_id, url, html, page_text, query, retailer_key, source_id, status, http_status, tier, and fetch_backend and title
+    where they are known; sources: source_id, source_type, status. Pages that drop out have their reason in the results and no
+    offer. Resolved pages and matches are work tables, so that later steps don't scan pages again; the caller stores what is
+    returned.
     """
     allowed, why = compliance.source_gate(F.col("source_type"), F.col("_source_status"))
     gated = pages.join(sources.select("source_id", "source_type", F.col("status").alias("_source_status")), "source_id", "left")
     wall = compliance.classify_block(F.col("page_text"), F.col("http_status"), F.col("url"))
     _, stop = compliance.escalation_decision(F.col("_wall"), F.col("tier"))
-    gated = gated.withColumn("_wall", wall)
-    gone = F.when(~allowed, why).when(stop, F.col("_wall")).when(F.coalesce(F.col("status"), F.lit("")) != "ok", "fetch_failed")
+    gated = usable(gated.withColumn("_wall", wall))
+    gone = F.when(~allowed, why).when(stop, F.col("_wall")).when(F.coalesce(F.col("status"), F.lit("")) != "ok", "fetch_failed").when(~F.col("_usable"), "no_product_markers")
     gated = gated.withColumn("_gone", gone)
     resolved = materialize(resolve_offers(gated.where("_gone is null"), raw_replies), "resolved")
     seen = resolved.join(gated.select(F.col("page_id").alias("_p"), "source_id"), F.col("page_id") == F.col("_p")).drop("_p")
-    known = catalog.normalize_products(seen.select(F.col("page_id").alias("in_id"), F.col("product_name").alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("brand", "mpn", "sku", "model_number", "gtin")]))
+    known = catalog.normalize_products(seen.select(F.col("page_id").alias("in_id"), F.col("product_name").alias("title"), *NAMES))
     known = materialize(known, "known")
     matched = materialize(match_products(known, products), "matched")
     seen = seen.join(matched.select(F.col("in_id").alias("page_id"), "product_id", "match_type", "confidence", "needs_review"), "page_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricetide.functions import prices, text
 from pricetide.operators import catalog, compliance, finance, listings, metrics, pages, ranking, replies
@@ -557,6 +558,18 @@ def seeded_sources(spark, sf_dir):
     return catalog.seed_sources(existing, seed).select("source_id", "retailer_key", "status", "allowed")
 
 
+@query(
+    """SELECT 'T' || p_partkey AS ticker, CASE t.n WHEN 0 THEN 'https://finance.example.com/quote/T' || p_partkey ELSE 'https://other.example.com/T' || p_partkey || '/news?s=T' || p_partkey END AS url
+FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS pos FROM part) AS p, (SELECT unnest([0, 1]) AS n) AS t WHERE pos <= 50"""
+)
+def ticker_urls(spark, sf_dir):
+    order = Window.orderBy(F.desc("p_size"), "p_partkey")
+    best = table(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(50)
+    tickers = best.select(F.concat(F.lit("T"), "p_partkey").alias("ticker"), F.row_number().over(order).alias("pos"))
+    templates = spark.createDataFrame([("https://finance.example.com/quote/{ticker}",), ("https://other.example.com/{ticker}/news?s={ticker}",)], "template string")
+    return catalog.expand_ticker_urls(tickers, templates)
+
+
 @query(
     """SELECT q.query, r.retailer_key, CASE WHEN t.search_url_template IS NOT NULL THEN replace(t.search_url_template, '{query}', replace(q.query, ' ', '+')) END AS url, CASE WHEN t.search_url_template IS NULL THEN 'source_not_configured' END AS error
 FROM (SELECT DISTINCT p_name AS query FROM part) AS q CROSS JOIN (SELECT unnest(['walmart', 'ebay', 'newegg']) AS retailer_key) AS r LEFT JOIN (SELECT retailer_key, max(search_url_template) AS search_url_template FROM sources GROUP BY 1) AS t ON t.retailer_key = r.retailer_key""",
@@ -833,7 +846,7 @@ def rss_articles(spark, sf_dir):
     return finance.rss_articles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feed_id"), made.alias("rss")))
 
 
-@query("SELECT page_id, CAST(i AS INT) AS pos, CASE i WHEN 0 THEN 'Headline about ' || query ELSE 'Second headline here' END AS title, CASE i WHEN 0 THEN '/news/' || page_id ELSE '/news/two' END AS link, 'Yahoo Finance' AS publisher FROM (SELECT *, unnest([0, 1]) AS i FROM priced) AS a", "priced")
+@query("SELECT page_id, CAST(i AS INT) AS pos, CASE i WHEN 0 THEN 'Headline about ' || query ELSE 'Second headline here' END AS title, CASE i WHEN 0 THEN '/news/' || page_id ELSE '/news/two' END AS link, 'Yahoo Finance' AS publisher FROM (SELECT *, unnest([0, 1]) AS i FROM priced WHERE contains(html, '<h3>Headline about')) AS a", "priced")
 def html_articles(spark, sf_dir):
     return finance.html_articles(load(spark, sf_dir, "priced"))
 
@@ -841,23 +854,45 @@ def html_articles(spark, sf_dir):
 # ---- whole workloads
 
 
-def _shopped(spark, sf_dir):
+def shop_inputs(spark, sf_dir):
+    """Pages, replies (some in two parts, with the product's mpn in the second), sources, products and offers of one batch."""
     fetched = load(spark, sf_dir, "priced").withColumns({
         "source_id": F.expr("page_id % 97 + 1"), "status": F.expr("CASE WHEN page_id % 8 = 5 THEN 'error' ELSE 'ok' END"), "http_status": F.expr("CASE page_id % 10 WHEN 3 THEN 403 ELSE 200 END"),
-        "tier": F.expr("CAST(page_id % 4 + 1 AS INT)"), "page_text": F.concat("page_text", F.expr("repeat(' filler', 400)")),
+        "tier": F.expr("CAST(page_id % 4 + 1 AS INT)"), "page_text": F.concat("page_text", F.expr("repeat(' filler', 400)")), "fetch_backend": F.expr("CASE WHEN page_id % 4 = 2 THEN 'browser_grid' ELSE 'curl' END"),
     })
     said = load(spark, sf_dir, "replies").where("page_id % 3 <> 1").select("page_id", "query", "panel", "reply")
-    said = said.unionByName(said.where("page_id % 3 = 2").withColumns({"panel": F.col("panel") + 1, "reply": F.lit('{"price": null, "seller": "second", "rating": 4.5}')}))
+    more = F.concat(F.lit('{"price": null, "seller": "second", "rating": 4.5, "mpn": "M'), "page_id", F.lit('"}'))
+    said = said.unionByName(said.where("page_id % 3 = 2").withColumns({"panel": F.col("panel") + 1, "reply": more}))
     stored = load(spark, sf_dir, "stored").withColumn("product_id", F.col("product_id").cast("string"))
-    return shopping.pages_to_offers(fetched, said, load(spark, sf_dir, "sources"), load(spark, sf_dir, "products"), stored, AS_OF)
+    return fetched, said, load(spark, sf_dir, "sources"), load(spark, sf_dir, "products"), stored
+
+
+def _shopped(spark, sf_dir):
+    return shopping.pages_to_offers(*shop_inputs(spark, sf_dir), AS_OF)
+
+
+@query()
+def shop_results(spark, sf_dir):
+    """Every page with its price and where it came from, its product, or why it dropped out."""
+    return _shopped(spark, sf_dir).results.select("page_id", "product_name", "price", "price_source", "brand", "mpn", "gtin", "error", "product_id", "match_type", "confidence", "needs_review")
+
+
+@query()
+def shop_products(spark, sf_dir):
+    """The products that the batch adds to the catalog."""
+    return _shopped(spark, sf_dir).products.select("product_id", "canonical_title", "brand", "model_number", "mpn", "gtin", "normalized_key")
+
+
+@query()
+def shop_history(spark, sf_dir):
+    """The price history rows that the batch adds."""
+    return _shopped(spark, sf_dir).history.select("offer_id", "price", "currency", "availability", "captured_at")
 
 
 @query()
 def pages_to_offers(spark, sf_dir):
-    """Every offer after one batch of pages, and how often and how high the batch priced it."""
-    made = _shopped(spark, sf_dir)
-    seen = made.history.groupBy("offer_id").agg(F.count(F.lit(1)).alias("n_prices"), F.max("price").alias("highest"))
-    return made.offers.join(seen, "offer_id", "left").select("offer_id", "source_id", "title", "product_id", "price", "availability", "url", F.coalesce("n_prices", F.lit(0)).alias("n_prices"), "highest")
+    """Every offer after the batch."""
+    return _shopped(spark, sf_dir).offers.select("offer_id", "source_id", "title", "product_id", "price", "availability", "url", "last_seen_at")
 
 
 @query(

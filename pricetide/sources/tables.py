@@ -73,15 +73,15 @@ SELECT p.page_id AS fetch_id, p.page_id % 97 AS source_id, p.page_id, CASE WHEN
        p.page_id % 11 <> 0 AS robots_ok, p.page_id % 3 <> 0 AS escalate_on_block, timestamp '2024-01-30 00:00:00' AS created_at
 FROM {{pages}} AS p""",
     "priced": f"""
-SELECT g.page_id, g.url, {_KEY.format("g.page_id")} AS retailer_key, p.p_name AS query,
-       g.html || '<script type="application/ld+json">{{{{"@type":"Product","name":"' || p.p_name || '","brand":{{{{"name":"' || p.p_brand || '"}}}},"sku":"S' || CAST(p.p_partkey AS STRING) || '","offers":{{{{"price":"' || CAST(p.p_size * 10 AS STRING) || '.50","availability":"https://schema.org/' || CASE WHEN p.p_size % 2 = 0 THEN 'InStock' ELSE 'OutOfStock' END || '"}}}},"aggregateRating":{{{{"ratingValue":"4.5","reviewCount":"' || CAST(p.p_size AS STRING) || '"}}}}}}}}</script>'
+SELECT g.page_id, g.url, {_KEY.format("g.page_id")} AS retailer_key, coalesce(p.p_name, 'page ' || CAST(g.page_id AS STRING)) AS query,
+       g.html || coalesce('<script type="application/ld+json">{{{{"@type":"Product","name":"' || p.p_name || '","brand":{{{{"name":"' || p.p_brand || '"}}}},"sku":"S' || CAST(p.p_partkey AS STRING) || '","offers":{{{{"price":"' || CAST(p.p_size * 10 AS STRING) || '.50","availability":"https://schema.org/' || CASE WHEN p.p_size % 2 = 0 THEN 'InStock' ELSE 'OutOfStock' END || '"}}}},"aggregateRating":{{{{"ratingValue":"4.5","reviewCount":"' || CAST(p.p_size AS STRING) || '"}}}}}}}}</script>'
          || '<meta property="og:image" content="https://img.example.com/' || CAST(p.p_partkey AS STRING) || '.jpg">'
          || '<div data-automation-id="product-price">$' || CAST(p.p_size * 7 AS STRING) || '.99</div><span class="s-item__price">$1,' || lpad(CAST(p.p_size AS STRING), 3, '0') || '.25</span>'
          || '<span itemprop="price" content="' || CAST(p.p_size * 10 AS STRING) || '.50"></span><p class="amount">$ 1999</p><b aria-label="Now $' || CAST(p.p_size + 20 AS STRING) || '.5">x</b>'
          || '{{{{"currentPrice": ' || CAST(p.p_size * 9 AS STRING) || '.75, "customerPrice": 45.5}}}}'
-         || '<a href="/news/' || CAST(p.p_partkey AS STRING) || '"><h3>Headline about ' || p.p_name || '</h3></a><a href="/news/two"><h3>Second   headline here</h3></a>' AS html,
-       'Now $' || CAST(p.p_size * 7 AS STRING) || '.99 and current price $ 1,' || lpad(CAST(p.p_size AS STRING), 3, '0') || ' or $49.5 case $14.99' AS page_text
-FROM {{pages}} AS g JOIN {{part}} AS p ON p.p_partkey = g.page_id""",
+         || '<a href="/news/' || CAST(p.p_partkey AS STRING) || '"><h3>Headline about ' || p.p_name || '</h3></a><a href="/news/two"><h3>Second   headline here</h3></a>', '') AS html,
+       coalesce('Now $' || CAST(p.p_size * 7 AS STRING) || '.99 and current price $ 1,' || lpad(CAST(p.p_size AS STRING), 3, '0') || ' or $49.5 case $14.99', 'nothing here') AS page_text
+FROM {{pages}} AS g LEFT JOIN {{part}} AS p ON p.p_partkey = g.page_id""",
     "listings": """
 SELECT p_partkey % 200 AS payload_id, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN 'xbox ' ELSE '' END || 'query' AS query,
        CASE p_partkey % 17 WHEN 0 THEN ':root{{}}' WHEN 1 THEN '' ELSE '  ' || p_name || ' ' END AS product_name,

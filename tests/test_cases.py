@@ -289,6 +289,15 @@ def test_fuzzy_titles_of_a_whole_catalog(spark):
     assert found == plain_fuzzy(asked, products) and len(found) > 200
 
 
+def test_ticker_urls(spark):
+    tickers = spark.createDataFrame([(f"T{i}", 60 - i) for i in range(60)] + [("A.B", -1)], "ticker string, pos int")
+    templates = spark.createDataFrame([("x/{ticker}?q={ticker}",), ("y",)], "template string")
+    found = [tuple(r) for r in catalog.expand_ticker_urls(tickers, templates).collect()]
+    first = ["A.B", *[f"T{i}" for i in range(59, 10, -1)]]
+    assert sorted(found) == sorted([(t, f"x/{t}?q={t}") for t in first] + [(t, "y") for t in first])
+    assert {r[0] for r in catalog.expand_ticker_urls(tickers, templates, 2).collect()} == {"A.B", "T59"}
+
+
 def test_upsert_keeps_what_it_must(spark):
     offers = spark.createDataFrame([(1, "T", 5, 10.0, "in_stock", 4.0, 3, "u", datetime(2024, 1, 1)), (1, "Old", 6, 1.0, "x", None, None, None, datetime(2024, 1, 1))], "source_id int, title string, product_id int, price double, availability string, rating double, review_count int, url string, last_seen_at timestamp")
     seen = [(1, "T", 5, 12.0, "gone", 1.0, 9, None, datetime(2024, 2, 2), 2), (1, "T", 5, 11.0, "gone", 1.0, 9, "v", datetime(2024, 2, 1), 1), (2, None, 7, None, "new", 2.0, 1, "w", datetime(2024, 2, 1), 1)]
