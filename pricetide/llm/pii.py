@@ -15,6 +15,7 @@ by chance. Candidates that pass and reach the threshold of their kind are added
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,15 +37,15 @@ BASE = {
 }
 #: Wider forms: spelt-out signs, other separators, numbers without the plus.
 WIDE = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}\p{N}-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[\p{L}\p{N}-]{1,63}+){1,8}+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}\p{N}-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[\p{L}\p{N}-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?[.,]\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}[\x20./_-]?[0-9]{4}[\x20./_-]?[0-9]{4}[\x20./_-]?[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+|00)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,256}+={0,2}(?![A-Za-z0-9_=-])",
+    "phone": r"(?<![\p{L}\p{N}]|[0-9][.,/:-])(?:\+|00)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9]|[.,/:-][0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+={0,2}(?![A-Za-z0-9_=-])",
 }
-#: What a text must hold before a pattern is tried.
-NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\x20?[.,]\x20?[0-9]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": r"[+0-9][0-9(]", "secret": r"[A-Za-z0-9_-]{16}"}
-BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: What a text must hold before a pattern is tried: one of some strings, or what a quicker pattern finds.
+NEEDS = {"email": ("@", "(at)", "[at]"), "ip": r"[0-9]\x20?[.,]\x20?[0-9]", "card": "[0-9]{4}", "phone": r"[0-9]\)?[\x20./-]\(?[0-9]", "secret": None}
+BASE_NEEDS = {"email": ("@",), "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": ("+",)}
 CONTEXT = {
     "email": r"(?i)mail|contact|write|kontakt|correo|courriel",
     "ip": r"(?i)\bip\b|host|server|addr|login",
@@ -52,6 +53,10 @@ CONTEXT = {
     "phone": r"(?i)phone|tel|call|fax|mobil|whatsapp|sms",
     "secret": r"(?i)token|secret|passw|pwd|bearer|auth|credential|(?:api|access|private)[_ -]?key",
 }
+#: What stands before a number that counts, dates or names a thing: no phone has it.
+NUMBERING = r"(?i)(?:\b(?:v|ver|version|versions|build|release|revision|rev|no|nr|number|order|invoice|isbn|issn|iban|article|item|sku|serial|part|page|pages|chapter|date|born|since|until)[.:#]?|[#§$€£])\s{0,2}$"
+#: Groups of digits that make a date or a time, and parts of a whole, not a phone.
+DATED = r"^(?:[0-9]{4}([./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./-])[01]?[0-9]\2[0-9]{4})(?![0-9])"
 #: What stands before a value that is given to a name.
 GIVEN = r"""[\p{L}\p{N}_-]['"]?\s{0,2}[:=]\s{0,2}['"]?$"""
 FEATURES = ("kind", "left", "right", "quoted", "separators", "context", "foreign", "parts", "size")
@@ -61,24 +66,30 @@ CHANCE = {"email": 0.5, "ip": 0.02, "card": 0.1, "phone": 0.5, "secret": 0.2}
 PRECISION = 0.9
 
 
-def _found(text: Column, kind: str, pattern: str, needs: str, wide: bool) -> tuple[Column, Column]:
-    """The text between the matches, and the matches."""
-    some = text.rlike(needs)
-    return F.when(some, F.split(text, pattern, -1)), F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+#: Marks round the matches of a pattern; where a text has such characters itself, another control character stands for them.
+OPEN, SHUT, OTHER = "\u0001", "\u0002", "\u0003"
+
+
+def _parts(text: Column, pattern: str, needs: str | tuple[str, ...] | None) -> Column:
+    """The text before the first match, then each match, a SHUT and the text after it: one pass of the pattern."""
+    some = reduce(Column.__or__, [text.contains(n) for n in needs]) if isinstance(needs, tuple) else text.rlike(needs) if needs else text.isNotNull()
+    return F.when(some, F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{SHUT}"), OPEN))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """uid, learn (for fitting, not held out), wide, kind, start, end, hit, before, after for every match of every pattern."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.when(text.contains(OPEN) | text.contains(SHUT), F.translate(text, OPEN + SHUT, OTHER + OTHER)).otherwise(text)
     rows = docs.select(row_id(docs).alias("uid"), (fold(5) != 0).alias("learn"), text.alias("text"))
     sets, names = [], []
     for wide, patterns, needs in ((False, BASE, BASE_NEEDS), (True, WIDE, NEEDS)):
         for k, kind in enumerate(patterns):
-            gaps, hits = _found(F.col("text"), kind, patterns[kind], needs[kind], wide)
-            names += [gaps.alias(f"g{len(sets)}"), hits.alias(f"h{len(sets)}")]
             i = len(sets)
-            sets.append(f"transform(h{i}, (m, j) -> struct({str(wide).lower()} as wide, {k} as kind, j as j, length(g{i}[j]) as gap, m as hit, right(if(j = 0, g{i}[0], concat(g{i}[j - 1], h{i}[j - 1], g{i}[j])), 32) as before, left(g{i}[j + 1], 8) as after))")
-    rows = rows.where(F.col("text").rlike(r"[0-9@]|[(\[]at[)\]]|[A-Za-z0-9_-]{16}")).select("uid", "learn", *names)
+            names.append(_parts(F.col("text"), patterns[kind], needs[kind]).alias(f"p{i}"))
+            hit, gap = f"substring_index(m, '{SHUT}', 1)", lambda p: f"substring_index({p}, '{SHUT}', -1)"
+            before = f"right(if(j = 0, p{i}[0], concat({gap(f'p{i}[greatest(j - 1, 0)]')}, if(j = 0, '', substring_index(p{i}[j], '{SHUT}', 1)), {gap(f'p{i}[j]')})), 32)"
+            sets.append(f"transform(slice(p{i}, 2, size(p{i})), (m, j) -> struct({str(wide).lower()} as wide, {k} as kind, j as j, length({gap(f'p{i}[j]')}) as gap, {hit} as hit, {before} as before, left({gap('m')}, 8) as after))")
+    rows = rows.select("uid", "learn", *names)
     empty = "cast(array() as array<struct<wide: boolean, kind: int, j: int, gap: int, hit: string, before: string, after: string>>)"
     every = F.expr("concat(" + ", ".join(f"coalesce({s}, {empty})" for s in sets) + ")")
     rows = rows.select("uid", "learn", F.explode(every).alias("c")).select("uid", "learn", "c.*")
@@ -99,7 +110,7 @@ def _features(rows: DataFrame) -> DataFrame:
         F.when(kind == 0, hit.rlike(r"(?i)[.\])]\s?[a-z]{2,24}$"))
         .when(kind == 1, hit.rlike(rf"^{octet}(?:\s?[.,]\s?{octet}){{3}}$"))
         .when(kind == 2, F.when(F.col("n").between(13, 19), luhn).otherwise(F.lit(False)))
-        .when(kind == 3, F.col("n").between(9, 15))
+        .when(kind == 3, F.col("n").between(9, 15) & (hit.startswith("+") | ~(before.rlike(NUMBERING) | hit.rlike(DATED))))
         .otherwise(mixed)
     )
     own, foreign = F, F.lit(False)
