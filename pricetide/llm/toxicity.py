@@ -5,7 +5,8 @@ strength of its tie to the label, either way (the root of its chi-square, LEAST_
 examples are in the index. Examples are cut in blocks of BLOCK, and each frequent term has the largest weight of each block.
 A search adds up the lists of the other terms; what the frequent ones can add to a block at most follows from the block
 maxima, so their lists are only added up in blocks that can still reach the k-th best: the neighbours are exact. Votes are
-weighted by distance and calibrated by an isotonic fit on leave-one-out votes of the examples.
+weighted by distance and calibrated by an isotonic fit on votes of the examples, each without itself and in a space whose
+weights come from the other half of the examples, so that its label has no part in them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_DOCS, LEAST_TIE = 2, 0.1
 #: Terms in more than one of so many examples are frequent; texts searched at once; blocks that set the first k-th best.
 FREQUENT, TEXTS, FIRST = 12, 64, 6
 NEAR = 0.05
+#: Texts of either half (a, b) and label (0, 1).
+COUNTS = ("a0", "a1", "b0", "b1")
 _words = re.compile(r"\w+").findall
 
 
@@ -164,34 +167,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     Labels that are null are left out; a document labelled twice counts as toxic if any label says so.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = usable.where(share(sample, usable.count(), "doc_id"))
+    chosen = usable.where(share(sample, usable.count(), "doc_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about SAMPLE rows
 
     def document_counts(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        sizes = [0, 0]
+        """How many texts of each half and label hold a term; the empty term stands in all."""
+        seen = [Counter() for _ in range(4)]
         for b in batches:
-            for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                sizes[y] += 1
-                seen[y].update(set(terms(text.as_py())))
-        words = list(seen[0].keys() | seen[1].keys())
+            for text, y, h in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
+                seen[2 * h + y].update({"", *terms(text.as_py())})
+        words = list(set().union(*seen))
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[0][w] for w in part], pa.int64()), pa.array([seen[1][w] for w in part], pa.int64())], ["term", "n0", "n1"])
-        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array(sizes[:1], pa.int64()), pa.array(sizes[1:], pa.int64())], ["term", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[w] for w in part], pa.int64()) for c in seen]], ["term", *COUNTS])
 
-    counts = texts.mapInArrow(document_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.where(F.expr(f"n0 + n1 >= {LEAST_DOCS}") | (F.col("term") == "")).toArrow()  # terms of about SAMPLE texts
-    n0, n1 = (counts[c].to_numpy().astype(float) for c in ("n0", "n1"))
+    counts = texts.mapInArrow(document_counts, "term string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counts = counts.where(F.expr(f"{' + '.join(COUNTS)} >= {LEAST_DOCS}") | (F.col("term") == "")).toArrow()  # terms of about SAMPLE texts
     names = np.array(counts["term"].to_pylist(), object)
     order = np.argsort(names, kind="stable")
-    names, n0, n1 = names[order], n0[order], n1[order]
-    all0, all1 = (n0[0], n1[0]) if len(names) and names[0] == "" else (0.0, 0.0)
-    names, n0, n1 = names[1:].tolist(), n0[1:], n1[1:]
-    idf = np.log((1 + all0 + all1) / (n0 + n1))
-    if all0 and all1:
-        chi2 = (all0 + all1) * (n1 * (all0 - n0) - n0 * (all1 - n1)) ** 2 / (all0 * all1 * (n0 + n1) * np.maximum(all0 + all1 - n0 - n1, 1))
-        idf = idf * np.maximum(np.sqrt(chi2), LEAST_TIE)
+    names, held_in = names[order], np.array([counts[c].to_numpy() for c in COUNTS], float).reshape(4, -1)[:, order]
+    totals = held_in[:, 0] if len(names) and names[0] == "" else np.zeros(4)
+    names, held_in = names[1:].tolist(), held_in[:, 1:]
+    idf = term_weights(held_in[0::2].sum(0), held_in[1::2].sum(0), totals[0::2].sum(), totals[1::2].sum())
     space = docs.sparkSession.sparkContext.broadcast(names)
     held: dict[str, int] = {}
 
@@ -201,37 +198,59 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
         for b in batches:
             found = [sorted((held[w], n) for w, n in Counter(filter(held.__contains__, terms(text.as_py()))).items()) for text in b.column("text")]
             made = [pa.array([np.array([x[i] for x in row], kind).tobytes() for row in found], pa.binary()) for i, kind in ((0, ">i4"), (1, "<i4"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *made], ["doc_id", "toxic", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("half"), *made], ["doc_id", "toxic", "half", "at", "n"])
 
-    made = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, at binary, n binary").toArrow()
+    made = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic", "half").mapInArrow(vectors, "doc_id long, toxic int, half int, at binary, n binary").toArrow()
     space.destroy()
-    rows = sorted(zip(*[made[c].to_pylist() for c in ("at", "doc_id", "toxic", "n")], strict=True), key=lambda r: r[:2])
+    rows = sorted(zip(*[made[c].to_pylist() for c in ("at", "doc_id", "toxic", "n", "half")], strict=True), key=lambda r: r[:2])
     zero = [r[2] for r in rows if not r[0]]
     rows = [r for r in rows if r[0]]
     rate = (sum(zero) + 0.02) / (len(zero) + 1) if zero or rows else 0.02
-    index = Index(idf, [(np.frombuffer(r[0], ">i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows], [r[2] for r in rows], rate)
+    index_of = lambda weights: Index(weights, [(np.frombuffer(r[0], ">i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows], [r[2] for r in rows], rate)
+    index = index_of(idf)
+    votes = np.zeros(len(rows))
+    for h in (0, 1):
+        mine, other = [i for i, r in enumerate(rows) if r[4] == h], 2 * (1 - h)
+        if mine:
+            weights = term_weights(held_in[other], held_in[other + 1], totals[other], totals[other + 1])
+            votes[mine] = _votes(docs.sparkSession, index_of(weights), mine)
     if rows:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def alone(batches):
-            own = shared.value
-            for b in batches:
-                ids, votes = b.column(0).to_pylist(), []
-                for a in range(0, len(ids), TEXTS):
-                    part = ids[a : a + TEXTS]
-                    votes += [own.vote(*found) for found in own.nearest([own.example(i) for i in part], but=part)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
-
-        voted = docs.sparkSession.range(0, len(rows), 1, -(-len(rows) // 500)).mapInArrow(alone, "id long, vote double").toArrow()
-        shared.destroy()
-        votes = np.zeros(len(rows))
-        votes[voted["id"].to_numpy()] = voted["vote"].to_numpy()
         x = np.array([*votes, index.vote(np.zeros(0, np.int64), np.zeros(0))])
         y = np.array([*[r[2] for r in rows], rate], float)
         index.steps = isotonic(x, y, np.array([*[1.0] * len(rows), max(1.0, len(zero))]))
     return {w: i for i, w in enumerate(names)}, index
 
 
+def term_weights(n0: np.ndarray, n1: np.ndarray, all0: float, all1: float) -> np.ndarray:
+    """idf times the strength of each term's tie to the label, from how many texts of either label hold it; a term of none counts as one of one."""
+    n = np.maximum(n0 + n1, 1)
+    idf = np.log((1 + all0 + all1) / n)
+    if all0 and all1:
+        chi2 = (all0 + all1) * (n1 * (all0 - n0) - n0 * (all1 - n1)) ** 2 / (all0 * all1 * n * np.maximum(all0 + all1 - n, 1))
+        idf = idf * np.maximum(np.sqrt(chi2), LEAST_TIE)
+    return np.maximum(idf, 1e-9)
+
+
+def _votes(spark: SparkSession, index: Index, chosen: list[int]) -> np.ndarray:
+    """The vote on each of the ``chosen`` examples by the others."""
+    shared = spark.sparkContext.broadcast((index, np.array(chosen, np.int64)))
+
+    def alone(batches):
+        own, at = shared.value
+        for b in batches:
+            ids, votes = at[b.column(0).to_numpy()].tolist(), []
+            for a in range(0, len(ids), TEXTS):
+                part = ids[a : a + TEXTS]
+                votes += [own.vote(*found) for found in own.nearest([own.example(i) for i in part], but=part)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
+
+    voted = spark.range(0, len(chosen), 1, -(-len(chosen) // 500)).mapInArrow(alone, "id long, vote double").toArrow()
+    shared.destroy()
+    votes = np.zeros(len(chosen))
+    votes[voted["id"].to_numpy()] = voted["vote"].to_numpy()
+    return votes
+
+
 def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default doc_id) of every row with score, predicted and the evidence: nearest examples' doc_ids.
 

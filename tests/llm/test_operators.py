@@ -430,19 +430,25 @@ def test_whole_toxicity_query_against_brute_force(spark, tmp_path):
     learned = {i: y for i, y in labels[:100] if crc(i) % 5 != 0 and texts[i]}
     seen = {i: set(tx.terms(texts[i])) for i in learned}
     space = sorted({t for ts in seen.values() for t in ts if sum(t in o for o in seen.values()) > 1})
-    n, n1 = len(learned), sum(learned.values())
-    idf = []
-    for t in space:
-        a = sum(t in seen[i] for i in learned if not learned[i])
-        b = sum(t in seen[i] for i in learned if learned[i])
-        chi2 = n * (b * (n - n1 - a) - a * (n1 - b)) ** 2 / ((n - n1) * n1 * (a + b) * max(n - a - b, 1))
-        idf.append(math.log((1 + n) / (a + b)) * max(math.sqrt(chi2), tx.LEAST_TIE))
+    half = {r[0]: r[1] for r in spark.range(200).selectExpr("id", "pmod(xxhash64(id, 11), 2)").collect()}
+
+    def weights(of):
+        """Of each term, from the labels of some documents."""
+        n, n1, out = len(of), sum(learned[i] for i in of), []
+        for t in space:
+            a, b = (sum(t in seen[i] for i in of if learned[i] == y) for y in (0, 1))
+            some = max(a + b, 1)
+            chi2 = n * (b * (n - n1 - a) - a * (n1 - b)) ** 2 / ((n - n1) * n1 * some * max(n - some, 1))
+            out.append(math.log((1 + n) / some) * max(math.sqrt(chi2), tx.LEAST_TIE))
+        return np.array(out)
+
     counts = {i: np.array([tx.terms(t).count(w) for w in space]) for i, t in texts.items()}
     ids = sorted(learned)
-    examples = tfidf(np.array([counts[i] for i in ids]), np.array(idf))
+    spaces = {h: weights([i for i in ids if h is None or half[i] != h]) for h in (0, 1, None)}
+    examples = {h: tfidf(np.array([counts[i] for i in ids]), w) for h, w in spaces.items()}
 
-    def vote(i):
-        cosines = examples @ tfidf(counts[i][None], np.array(idf))[0]
+    def vote(i, h=None):
+        cosines = examples[h] @ tfidf(counts[i][None], spaces[h])[0]
         near = [(-round(c, 12), j, c) for j, c in zip(ids, cosines, strict=True) if c > 0]
         return sorted(near)
 
@@ -452,7 +458,7 @@ def test_whole_toxicity_query_against_brute_force(spark, tmp_path):
         none = (tx.NEIGHBOURS - len(near)) / 1.05
         return (sum(x * learned[j] for x, (_, j, _) in zip(w, near, strict=True)) + none * 0.02) / (sum(w) + none)
 
-    alone = [voted([r for r in vote(i) if r[1] != i]) for i in ids]
+    alone = [voted([r for r in vote(i, half[i]) if r[1] != i]) for i in ids]  # weights of the other half
     steps = tx.isotonic(np.array([*alone, 0.02]), np.array([*[learned[i] for i in ids], 0.02]), np.ones(len(ids) + 1))
     rows = {r["doc_id"]: r for r in tx.op4_toxicity(spark, str(tmp_path)).collect()}
     assert set(rows) == set(texts)
