@@ -18,6 +18,7 @@ from pricetide.functions.text import fetch_key
 from pricetide.operators import pages
 from pricetide.operators.compliance import DELAY, PER_MINUTE
 from pricetide.operators.metrics import MAX_FAILURES, PAID, classify_failure, cost_of, provider_dashboard
+from pricetide.sources import formats
 from pricetide.streaming.state import Circuits, NewestFetch
 
 #: The longest time to live of a fetch.
@@ -127,11 +128,6 @@ def stream_admission(requests: DataFrame) -> DataFrame:
 
 
 def stream_result_lines(results: DataFrame, path: str, checkpoint: str):
-    """Write each micro-batch's retailer lines and summaries as text files; exactly once by batch folder."""
-    from pricetide.sources.envelopes import shop_results_ndjson
-
-    def write(batch: DataFrame, number: int) -> None:
-        lines = shop_results_ndjson(batch)
-        lines.orderBy("query", "part", "retailer_key").select("value").write.mode("overwrite").text(f"{path}/batch={number}")
-
-    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    """Each micro-batch's retailer lines and summaries as text files in a folder of its own, once (see ``sources.formats``)."""
+    formats.register(results.sparkSession)
+    return formats.result_rows(results).writeStream.format("result_lines").option("path", path).option("checkpointLocation", checkpoint)
