@@ -3,7 +3,8 @@
 Documents are split by successive byte strings of their UTF-8 text: first by a short digit, then each group that still has
 more than one member by the next, wider digit. A group leaves as soon as it has one member or its texts have ended; equality
 is equality of bytes and no digest decides it. Group counts are pre-aggregated before the shuffle, so a text that a third of
-the rows share costs one counter per task, and the join that hands the count back is one that Spark can split by skew.
+the rows share costs one counter per task. The groups with more than one member go back to the rows: as a broadcast while their
+digits are counted to fit BROADCAST_BYTES, so that texts don't move, else by a shuffled join that Spark can split by skew.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pricetide.llm.common import ROW, materialize, nullable, row_id, scratch, wi
 
 #: Bytes of the first digit, and how much wider each next one is.
 FIRST, WIDER = 64, 16
+#: Bytes of the digits of all groups with more than one member (and of what is known of each) that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
@@ -23,7 +26,8 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     keys = [c for c in ("grp", "digit") if c in rows.columns]
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "uid")).alias("top")).where("n > 1")
     groups = materialize(groups, "groups")  # a table of its own, so that the join can split a hot group's rows
-    found = rows.join(groups.hint("shuffle_hash"), keys, "left")
+    size = groups.agg(F.sum(F.octet_length("digit") + 64)).first()[0] or 0
+    found = rows.join(F.broadcast(groups) if size <= BROADCAST_BYTES else groups.hint("shuffle_hash"), keys, "left")
     ended = F.octet_length("rest") < F.lit(width)
     done = F.col("n").isNull() | ended
     return found.select(

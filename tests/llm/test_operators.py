@@ -506,9 +506,13 @@ def test_toxicity_of_words_that_clean_texts_have_too(spark):
 # ---- 5 exact copies
 
 
-def test_exact_groups(spark, docs, odd, none):
+@pytest.mark.parametrize("most", [-1, 16 << 20])
+def test_exact_groups(spark, docs, odd, none, monkeypatch, most):
+    from pricetide.llm import exact_dedup
     from pricetide.llm.exact_dedup import drop_copies, exact_groups
 
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+
     for table in (docs, odd):
         rows = table.select("doc_id", "text").collect()
         groups = defaultdict(list)
