@@ -132,7 +132,8 @@ class Index:
             if out:
                 sums[out] = 0.0
         found = []
-        kth = np.partition(sums, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
+        if n > k and (more := np.flatnonzero(due.any(1))).size:  # of the other texts the k-th best is known
+            kth[more] = np.partition(sums[more], n - k, axis=1)[:, n - k]
         for one, least in zip(sums, kth, strict=True):
             few = np.flatnonzero((one > 0) & (one >= least - 1e-11))
             top = few[np.lexsort((self.named[few], -np.round(one[few], 12)))[:k]]
