@@ -61,14 +61,15 @@ def keep_history(table: KeyedTable, rows: DataFrame, limit: int = catalog.HISTOR
     """Add new history ``rows`` (product_id, offer_id, seq, price, captured_at, ...) to a history store.
 
     Each product keeps its newest ``limit`` rows, which is all that later batches need to know of it: old history isn't read.
-    A row is named by its offer_id and seq; one that comes again is the same row.
+    A row is named by its offer_id, seq and captured_at; one that comes again is the same row.
     """
     newest = Window.partitionBy("product_id").orderBy(F.desc("captured_at"), "offer_id", "seq")
     first = lambda d: d.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= limit).drop("_r")
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        fresh = batch.select(*[F.col(f"`{c}`") for c in current.columns]).dropDuplicates(["offer_id", "seq"])
-        return first(current.unionByName(first(fresh.join(current.select("product_id", "offer_id", "seq"), ["product_id", "offer_id", "seq"], "left_anti"))))
+        name = ["product_id", "offer_id", "seq", "captured_at"]
+        fresh = batch.select(*[F.col(f"`{c}`") for c in current.columns]).dropDuplicates(name)
+        return first(current.unionByName(first(fresh.join(current.select(*name), name, "left_anti"))))
 
     return table.update(rows, merge)
 
