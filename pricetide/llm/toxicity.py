@@ -38,10 +38,10 @@ def terms(text: str | None) -> list[str]:
     return words + [w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING]
 
 
-def vector(counts: Counter, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of the vocabulary, rising, and how often each stands in the text."""
-    found = sorted((vocabulary[w], n) for w, n in counts.items() if w in vocabulary)
-    return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+def vector(text: str | None, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of the vocabulary that stand in the text, rising, and how often each does."""
+    found = [i for i in map(vocabulary.get, terms(text)) if i is not None]
+    return np.unique(np.array(found, np.int64), return_counts=True)
 
 
 class Index:
@@ -264,11 +264,10 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep:
 
     def tasks(batches):
         vocabulary, index = shared.value
-        known = vocabulary.__contains__
         for b in batches:
             texts, votes, evidence = b.column(b.num_columns - 1), [], []
             for a in range(0, len(texts), TEXTS):
-                part = [vector(Counter(filter(known, terms(text.as_py()))), vocabulary) for text in texts[a : a + TEXTS]]
+                part = [vector(text.as_py(), vocabulary) for text in texts[a : a + TEXTS]]
                 found = index.nearest(part)
                 votes += [index.vote(*f) for f in found]
                 evidence += [index.named[places].tolist() for places, _ in found]
