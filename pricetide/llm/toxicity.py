@@ -3,7 +3,7 @@
 The space: all words, and beginnings of longer words, that stand in LEAST_DOCS labelled texts. A term weighs its idf times the
 strength of its tie to the label, either way (the root of its chi-square, LEAST_TIE at least), so none is left out and all
 examples are in the index. Examples are cut in blocks of BLOCK, and each frequent term has the largest weight of each block.
-A search adds up the lists of the other terms; what the frequent ones can add to a block at most follows from the block
+A search adds up the lists of the other terms, text by text; what the frequent ones can add to a block at most follows from the block
 maxima, so their lists are only added up in blocks that can still reach the k-th best: the neighbours are exact. Votes are
 weighted by distance and calibrated by an isotonic fit on votes of the examples, each without itself and in a space whose
 weights come from the other half of the examples, so that its label has no part in them.
@@ -38,10 +38,22 @@ def terms(text: str | None) -> list[str]:
     return words + [w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING]
 
 
-def vector(text: str | None, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of the vocabulary that stand in the text, rising, and how often each does."""
-    found = [i for i in map(vocabulary.get, terms(text)) if i is not None]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+def beginnings(vocabulary: dict[str, int]) -> np.ndarray:
+    """For each term number that of the word's beginning; -1 where there is none."""
+    out = np.full(len(vocabulary), -1, np.int32)
+    for word, i in vocabulary.items():
+        if len(word) > BEGINNING and word[-1] != "*":
+            out[i] = vocabulary.get(word[:BEGINNING] + "*", -1)
+    return out
+
+
+def vector(text: str | None, vocabulary: dict[str, int], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of the vocabulary that stand in the text, rising, and how often each does: a word of the vocabulary leads to its beginning by number."""
+    words = _words(text.lower()) if text else []
+    found = np.array([vocabulary.get(w, -1) for w in words], np.int64)
+    rest = [vocabulary.get(words[i][:BEGINNING] + "*", -1) for i in np.flatnonzero(found < 0).tolist() if len(words[i]) > BEGINNING]
+    found = np.concatenate([found, begins[found[found >= 0]], np.array(rest, np.int64)])
+    return np.unique(found[found >= 0], return_counts=True)
 
 
 class Index:
@@ -69,7 +81,8 @@ class Index:
     def _lists(self):
         n, t, w = self.size, self.terms, (1 + np.log(np.maximum(self.counts, 1).astype(float))) * self.idf[self.terms]
         own = np.repeat(np.arange(n), np.diff(self.ends))
-        w = w / np.sqrt(np.bincount(own, w * w, n))[own]
+        norms = np.sqrt(np.bincount(own, w * w, n))
+        w = w / norms[own]
         often = np.bincount(t, minlength=len(self.idf)) > max(1, n / FREQUENT)
         self.row = np.where(often, np.cumsum(often) - 1, -1)  # of a frequent term in ``whole``
         mass = np.bincount(own, np.where(often[t], w * w, 0.0), n)
@@ -78,14 +91,22 @@ class Index:
         place[self.order] = np.arange(n)
         self.named, self.marked = self.ids[self.order], self.labels[self.order]
         self.place = place
-        self.whole = np.zeros((int(often.sum()), n))
-        self.whole[self.row[t[often[t]]], place[own[often[t]]]] = w[often[t]]
         self.starts = np.arange(0, n, BLOCK)
-        self.largest = np.maximum.reduceat(self.whole, self.starts, axis=1) if n else self.whole
+        at = place[own[often[t]]]
+        self.whole = np.zeros((len(self.starts), int(often.sum()), BLOCK)).transpose(1, 0, 2)  # a block's weights lie together
+        self.whole[self.row[t[often[t]]], at // BLOCK, at % BLOCK] = w[often[t]]
+        self.largest = self.whole.max(axis=2, initial=0.0)
         rare = np.flatnonzero(~often[t])
-        rare = rare[np.argsort(t[rare], kind="stable")]
-        self.where, self.weights = place[own[rare]], w[rare]
-        self.cut = np.concatenate([[0], np.cumsum(np.bincount(t[rare], minlength=len(self.idf)))])
+        key = t[rare].astype(np.int64) << 32 | self.counts[rare]
+        rare = rare[np.argsort(key, kind="stable")]
+        # A list is the bytes of the places of its examples, by rising count: its weights are one number for each count.
+        places = place[own[rare]].astype(np.min_scalar_type(n))
+        raw, self.kind, at = places.tobytes(), places.dtype, np.concatenate([[0], np.cumsum(np.bincount(t[rare], minlength=len(self.idf)))]) * places.itemsize
+        self.lists = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        runs, self.long = np.unique(key, return_counts=True)
+        self.by_count = 1 + np.log((runs & 0xFFFFFFFF).astype(float))
+        self.cut = np.searchsorted(runs >> 32, np.arange(len(self.idf) + 1))
+        self.norms = np.where(norms > 0, norms, 1.0)[self.order]
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts.astype(float))) * self.idf[at]
@@ -101,16 +122,11 @@ class Index:
         m, n = len(texts), self.size
         if not n or not m:
             return [(np.zeros(0, np.int64), np.zeros(0))] * m
-        at = np.concatenate([t for t, _ in texts]).astype(np.int64)
-        w = np.concatenate([self.unit(t, c) for t, c in texts])
-        text = np.repeat(np.arange(m), [len(t) for t, _ in texts])
-        row = self.row[at]
-        asked = np.zeros((m, len(self.whole)))
-        asked[text[row >= 0], row[row >= 0]] = w[row >= 0]
-        at, w, text = at[row < 0], w[row < 0], text[row < 0]
-        long = self.cut[at + 1] - self.cut[at]
-        entry = np.repeat(self.cut[at] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-        sums = np.bincount(np.repeat(text * n, long) + self.where[entry], np.repeat(w, long) * self.weights[entry], m * n).astype(float, copy=False).reshape(m, n)
+        asked, sums = np.zeros((m, len(self.whole))), np.empty((m, n))
+        for i, (at, counts) in enumerate(texts):
+            w, row = self.unit(at, counts), self.row[at]
+            asked[i, row[row >= 0]] = w[row >= 0]
+            sums[i] = self._added(at[row < 0], w[row < 0])
         out = None if but is None else (np.arange(m), self.place[np.array(but)])
         if out:
             sums[out] = 0.0
@@ -126,20 +142,31 @@ class Index:
                     kth = np.partition(sums, n - k, axis=1)[:, n - k]
                 due = still & (bound >= kth[:, None] - 1e-9)
             for b in np.flatnonzero(due.any(0)):
-                rows, span = np.flatnonzero(due[:, b]), slice(self.starts[b], self.starts[b] + BLOCK)
-                sums[rows, span] += asked[rows] @ self.whole[:, span]
+                rows, span = np.flatnonzero(due[:, b]), slice(self.starts[b], min(n, self.starts[b] + BLOCK))
+                sums[rows, span] += (asked[rows] @ self.whole[:, b])[:, : span.stop - span.start]
             still &= ~due
             if out:
                 sums[out] = 0.0
         found = []
-        if n > k and (more := np.flatnonzero(due.any(1))).size:  # of the other texts the k-th best is known
-            kth[more] = np.partition(sums[more], n - k, axis=1)[:, n - k]
+        top = np.maximum.reduceat(sums, self.starts, axis=1)
+        if top.shape[1] > k:  # the k-th of the blocks' best is no more than the k-th best
+            kth = np.maximum(kth, np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k])
         for one, least in zip(sums, kth, strict=True):
             few = np.flatnonzero((one > 0) & (one >= least - 1e-11))
             top = few[np.lexsort((self.named[few], -np.round(one[few], 12)))[:k]]
             found.append((top, np.minimum(one[top], 1.0)))
         return found
 
+    def _added(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the lists of a text's terms add to each example: text by text, so that what is worked on stays in the processor's cache."""
+        start, runs = self.cut[at], self.cut[at + 1] - self.cut[at]
+        ends = np.cumsum(runs)
+        run = np.repeat(start - ends + runs, runs)
+        run += np.arange(len(run))
+        weights = np.repeat(np.repeat(w * self.idf[at], runs) * self.by_count[run], self.long[run])
+        places = np.frombuffer(b"".join([self.lists[i] for i in at.tolist()]), self.kind)
+        return np.bincount(places, weights, self.size) / self.norms
+
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Places without a neighbour vote as the examples without any term do."""
         w, none = 1 / (NEAR + 1 - cosine), (NEIGHBOURS - len(found)) / (NEAR + 1)
@@ -188,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     order = np.argsort(names, kind="stable")
     names, held_in = names[order], np.array([counts[c].to_numpy() for c in COUNTS], float).reshape(4, -1)[:, order]
     totals = held_in[:, 0] if len(names) and names[0] == "" else np.zeros(4)
-    names, held_in = names[1:].tolist(), held_in[:, 1:]
+    names, held_in = names[1:], held_in[:, 1:]
+    order = np.argsort(-held_in.sum(0), kind="stable")  # terms looked up most have their entries and lists side by side
+    names, held_in = names[order].tolist(), held_in[:, order]
     idf = term_weights(held_in[0::2].sum(0), held_in[1::2].sum(0), totals[0::2].sum(), totals[1::2].sum())
     space = docs.sparkSession.sparkContext.broadcast(names)
     held: dict[str, int] = {}
@@ -258,16 +287,16 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, int], Index], keep:
     Null, empty and unknown texts have no neighbour and get the calibrated rate of examples without any term. Whole texts are
     read; ties of cosine go to the earlier example.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms and vectors of about SAMPLE examples
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], beginnings(model[0]), model[1]))  # the terms and vectors of about SAMPLE examples
     kept = docs.select(*[F.col(c) for c in (keep or ["doc_id"])], F.col("text").alias("_whole_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double, predicted int, evidence array<long>"
 
     def tasks(batches):
-        vocabulary, index = shared.value
+        vocabulary, begins, index = shared.value
         for b in batches:
             texts, votes, evidence = b.column(b.num_columns - 1), [], []
             for a in range(0, len(texts), TEXTS):
-                part = [vector(text.as_py(), vocabulary) for text in texts[a : a + TEXTS]]
+                part = [vector(text.as_py(), vocabulary, begins) for text in texts[a : a + TEXTS]]
                 found = index.nearest(part)
                 votes += [index.vote(*f) for f in found]
                 evidence += [index.named[places].tolist() for places, _ in found]

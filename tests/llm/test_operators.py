@@ -416,6 +416,36 @@ def test_block_max_search_is_exact(power, words, monkeypatch):
             assert index.named[found].tolist() == index.ids[want].tolist() and np.allclose(cosine, cosines[want])
 
 
+def test_search_holds_the_lists_of_one_text_at_a_time():
+    """What 64 texts' lists add up to is gone through text by text, not as arrays of all of them (which ran out of the cache and cost most of the scoring)."""
+    import tracemalloc
+
+    from pricetide.llm import toxicity as tx
+
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(3000, 150, replace=False)), np.ones(150, np.int64)) for _ in range(1500)]
+    index = tx.Index(rng.random(3000) + 0.1, rows, np.arange(1500), np.zeros(1500), 0.1)
+    assert not len(index.whole)
+    entries = 64 * 150 * 75  # of the lists of all texts, about
+    tracemalloc.start()
+    found = index.nearest(rows[:64])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(places[0] == index.place[i] for i, (places, _) in enumerate(found))
+    assert peak < entries * 8
+
+
+def test_words_lead_to_their_beginnings_by_number():
+    from pricetide.llm import toxicity as tx
+
+    vocabulary = {t: i for i, t in enumerate(["wunderbar", "wunde*", "wunder", "kurz", "haus", "hausb*", "allein_stehend", "élève*"])}
+    begins = tx.beginnings(vocabulary)
+    for text in ("Wunderbar wunder WUNDE kurz kurz hausbau hausboot haus", "allein_stehend élèvent élève unbekannt", "wunderlich " * 5, "!!", "", None):
+        at, counts = tx.vector(text, vocabulary, begins)
+        want = Counter(i for i in map(vocabulary.get, tx.terms(text)) if i is not None)
+        assert list(zip(at.tolist(), counts.tolist(), strict=True)) == sorted(want.items())
+
+
 def test_whole_toxicity_query_against_brute_force(spark, tmp_path):
     """Fold, space, weights, neighbours, leave-one-out votes, calibration and score, each worked out plainly; labels repeat or are null."""
     from pricetide.llm import toxicity as tx
