@@ -1,8 +1,9 @@
 """Ranked lexical search: MaxScore over blocks of documents, with bounds from stored pair lists.
 
 Documents are cut in blocks of at most BLOCK. A block keeps, for each term that the items ask for, the list of its documents
-with their impacts (what the term adds to a score) and the largest impact; for chosen pairs of an item's terms it also keeps
-the list of documents that hold both and the largest joint impact there. A search of a block first sets aside terms whose
+with how often it stands there, from which follow their impacts (what the term adds to a score) and the largest impact; for
+chosen pairs of an item's terms it also keeps the largest joint impact and, where it is short, the list of documents that hold
+both. A search of a block first sets aside terms whose
 bounds together stay below the k-th best score so far. Terms that are set aside as a pair count by their joint maximum, never
 more than the sum of the two and often much less, or, where even that is too much, by the larger of the two while their
 common documents are scored as candidates. Only documents in the lists of the other terms, and those common ones, are scored.
@@ -12,6 +13,7 @@ All bounds are exact integers, so no document that belongs to the result is skip
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -24,8 +26,8 @@ from pricetide.llm.common import materialize, row_id
 
 #: Documents of a block, term occurrences that close a block early, bytes of item texts searched at once (about).
 BLOCK, OCCURRENCES, ROUND_BYTES = 16_384, 8_000_000, 16 << 20
-#: An item's terms, most frequent first, are paired with so many that follow.
-PARTNERS = 4
+#: An item's terms, most frequent first, are paired with so many that follow; a pair's list is short under 1 / SHORT of its terms' lists.
+PARTNERS, SHORT = 4, 4
 #: Weight and impact, fixed values of the score.
 SATURATION, LENGTH_SHARE, TF_SCALE = 20, 50, 1_000_000_000
 
@@ -47,6 +49,24 @@ def _bytes(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    return _bytes(x, np.min_scalar_type(int(x.max(initial=0))).newbyteorder("<"))
+
+
+def _wide(raw, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_narrow``."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else "<u1").astype(np.int64)
+
+
+def _rows(batches):
+    """Rows one after another, their binary values where Arrow has them: no list of a whole batch."""
+    for b in batches:
+        for i in range(b.num_rows):
+            values = [c[i] for c in b.columns]
+            yield {name: v.as_buffer() if pa.types.is_binary(v.type) else v.values.to_numpy() for name, v in zip(b.schema.names, values, strict=True)}
+
+
 BLOCKS = "n_docs long, n_terms long, terms array<int>, counts array<int>, docs binary, nulls binary, lengths binary, at binary, tf binary"
 
 
@@ -55,12 +75,13 @@ def _postings(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of about ROUND_BYTES of texts
 
     def closed(docs_, nulls, lengths, found, sizes, total):
-        term = np.concatenate(found) if found else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        key, tf = np.unique(term * BLOCK + own, return_counts=True)
+        hits = np.concatenate(found) if found else np.zeros((0, 2), np.int32)
+        key = hits[:, 0].astype(np.int64) * BLOCK + np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(key)
+        key, tf = key[order], hits[order, 1]
         names, counts = np.unique(key // BLOCK, return_counts=True)
         row = [*total, names.astype(np.int32), counts.astype(np.int32), _bytes(np.array(docs_, np.int64), "<i8"), bytes(nulls)]
-        row += [_bytes(np.array(lengths, np.int64), "<i8"), _bytes(key % BLOCK, "<i4"), _bytes(tf, "<i4")]
+        row += [_bytes(np.array(lengths, np.int64), "<i8"), _bytes(key % BLOCK, "<u2"), _narrow(tf)]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -73,14 +94,16 @@ def _postings(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
                 words = terms(text.as_py())
                 if not words:
                     continue
-                hits = np.array([i for i in map(number, words) if i is not None], np.int64)
+                often = Counter(words)
+                hits = np.array([[number(t, -1) for t in often], list(often.values())], np.int32).T
+                hits = hits[hits[:, 0] >= 0]
                 block[5][0] += 1
                 block[5][1] += len(words)
                 if len(hits):
                     doc = doc.as_py()
                     for part, value in zip(block, (doc or 0, doc is None, len(words), hits, len(hits)), strict=False):
                         part.append(value)
-                    held += len(hits)
+                    held += int(hits[:, 1].sum())
                 if len(block[0]) == BLOCK or held >= OCCURRENCES:
                     yield closed(*block)
                     block, held = empty(), 0
@@ -98,7 +121,7 @@ class Block:
         self.ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.at, self.impact, self.docs, self.nulls = at, impact, docs, nulls
         self.largest = np.maximum.reduceat(impact, self.ends[:-1]) if len(names) else np.zeros(0, np.int64)
-        self.pairs: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, np.ndarray | None]] = {}
         self.sums = np.zeros(len(docs), np.int64)
         self.read = 0
 
@@ -119,7 +142,9 @@ class Block:
     def add_pairs(self, pairs) -> None:
         for a, b in pairs:
             if a in self.row and b in self.row:
-                self.pairs[a, b] = self.common(a, b)
+                joint, both = self.common(a, b)
+                held = sum(self.ends[self.row[t] + 1] - self.ends[self.row[t]] for t in (a, b))
+                self.pairs[a, b] = joint, both if SHORT * len(both) < held else None  # a longer one saves nothing over the terms' own
 
     def surely(self, present: list[int], k: int) -> int:
         """A score that k documents of the block reach at least: the k-th largest impact of one of the terms."""
@@ -159,7 +184,7 @@ class Block:
             if bound + joint < least:
                 bound += joint
                 aside.append(u)
-            elif both is not None and bound + larger < least and 4 * len(both) < length(u):
+            elif both is not None and bound + larger < least:
                 bound += larger
                 aside.append(u)
                 candidates.append(both)
@@ -195,39 +220,46 @@ class Block:
         return scores[alive], few[alive]
 
 
-INDEX = "terms array<int>, counts array<int>, docs binary, nulls binary, at binary, impact binary, pair binary, joint binary, sizes binary, both binary"
+INDEX = "terms array<int>, counts array<int>, docs binary, nulls binary, lengths binary, at binary, tf binary, pair binary, joint binary, sizes binary, both binary"
+
+
+def _opened(r: dict, weights: np.ndarray, n: int, total: int) -> Block:
+    """The block of a row with its impacts, from the weights by term number, the documents and all their terms."""
+    names, counts, at = r["terms"].astype(np.int64), r["counts"], np.frombuffer(r["at"], "<u2").astype(np.int32)
+    m = LENGTH_SHARE + (LENGTH_SHARE * np.frombuffer(r["lengths"], "<i8") * n) // total
+    tf = _wide(r["tf"], len(at))
+    impact = np.repeat(weights[names], counts) * ((TF_SCALE * tf) // (1000 * tf + SATURATION * m[at]))
+    return Block(names, counts, at, impact, np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["nulls"], bool))
 
 
 def _index(postings: DataFrame, weights: np.ndarray, n: int, total: int, pairs: np.ndarray) -> DataFrame:
-    """Blocks with impacts, and with the documents and the largest joint impact of each pair of terms."""
+    """Blocks with the largest joint impact of each pair of terms, and the documents of both where they are few."""
     shared = postings.sparkSession.sparkContext.broadcast((weights, pairs))
 
     def tasks(batches):
         weights, pairs = shared.value
-        for b in batches:
-            for r in b.to_pylist():
-                names, counts, at, tf = np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<i4").astype(np.int64)
-                m = LENGTH_SHARE + (LENGTH_SHARE * np.frombuffer(r["lengths"], "<i8") * n) // total
-                impact = np.repeat(weights[names], counts) * ((TF_SCALE * tf) // (1000 * tf + SATURATION * m[at]))
-                block = Block(names, counts, at, impact, np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["nulls"], bool))
-                here = np.isin(pairs, names).all(axis=1)
-                block.add_pairs(map(tuple, pairs[here].tolist()))
-                lists = [x[1] for x in block.pairs.values()]
-                made = [_bytes(np.flatnonzero(here), "<i4"), _bytes(np.array([x[0] for x in block.pairs.values()], np.int64), "<i8"), _bytes(np.array([len(x) for x in lists]), "<i4")]
-                made.append(_bytes(np.concatenate(lists or [np.zeros(0)]), "<u2"))
-                values = [r["terms"], r["counts"], r["docs"], r["nulls"], r["at"], _bytes(impact, "<i8"), *made]
-                kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 8]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+        for r in _rows(batches):
+            block = _opened(r, weights, n, total)
+            here = np.isin(pairs, r["terms"]).all(axis=1)
+            block.add_pairs(map(tuple, pairs[here].tolist()))
+            lists = [x for _, x in block.pairs.values() if x is not None]
+            made = [_bytes(np.flatnonzero(here), "<i4"), _bytes(np.array([x[0] for x in block.pairs.values()], np.int64), "<i8")]
+            made.append(_bytes(np.array([-1 if x is None else len(x) for _, x in block.pairs.values()]), "<i4"))
+            made.append(_bytes(np.concatenate(lists or [np.zeros(0)]), "<u2"))
+            values = [pa.array([v], pa.list_(pa.int32())) for v in (r["terms"], r["counts"])]
+            values += [pa.array([v], pa.binary()) for v in [*[r[c].to_pybytes() for c in ("docs", "nulls", "lengths", "at", "tf")], *made]]
+            yield pa.RecordBatch.from_arrays(values, [c.split()[0] for c in INDEX.split(", ")])
 
     kept = postings.where("size(terms) > 0").select("terms", "counts", "docs", "nulls", "lengths", "at", "tf")
     return kept.mapInArrow(tasks, INDEX)
 
 
-def _opened(r: dict, pairs: np.ndarray) -> Block:
-    raw = lambda c, kind: np.frombuffer(r[c], kind)
-    block = Block(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), raw("at", "<i4"), raw("impact", "<i8"), raw("docs", "<i8"), raw("nulls", bool))
-    lists = np.split(raw("both", "<u2").astype(np.int32), np.cumsum(raw("sizes", "<i4"))[:-1]) if len(raw("sizes", "<i4")) else []
-    block.pairs = {(a, b): (j, x) for (a, b), j, x in zip(pairs[raw("pair", "<i4")].tolist(), raw("joint", "<i8").tolist(), lists, strict=True)}
+def _with_pairs(block: Block, r: dict, pairs: np.ndarray) -> Block:
+    """The block with the pair lists of its row."""
+    sizes, both, joint = np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["both"], "<u2").astype(np.int32), np.frombuffer(r["joint"], "<i8").tolist()
+    ends = np.cumsum(np.maximum(sizes, 0)).tolist()
+    for pair, j, size, end in zip(pairs[np.frombuffer(r["pair"], "<i4")].tolist(), joint, sizes.tolist(), ends, strict=True):
+        block.pairs[tuple(pair)] = j, None if size < 0 else both[end - size : end]
     return block
 
 
@@ -241,24 +273,23 @@ def _best(found, k: int):
     return scores[order], nulls[order], docs[order]
 
 
-def _searched(index: DataFrame, asked: list[tuple[int, list[int]]], pairs: np.ndarray, k: int) -> DataFrame:
+def _searched(index: DataFrame, asked: list[tuple[int, list[int]]], weights: np.ndarray, n: int, total: int, pairs: np.ndarray, k: int) -> DataFrame:
     """uid, doc_id, score: each task's k best documents of every item."""
-    shared = index.sparkSession.sparkContext.broadcast((asked, pairs))
+    shared = index.sparkSession.sparkContext.broadcast((asked, weights, pairs))
 
     def tasks(batches):
-        asked, pairs = shared.value
+        asked, weights, pairs = shared.value
         own = [partners(item) for _, item in asked]
         best = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))] * len(asked)
-        for b in batches:
-            for r in b.to_pylist():
-                block = _opened(r, pairs)
-                for i, (_, item) in enumerate(asked):
-                    old = best[i]
-                    least = int(old[0][-1]) if len(old[0]) == k else 1
-                    scores, places = block.search(item, own[i], least, k)
-                    if len(scores):
-                        new = scores, block.nulls[places], block.docs[places]
-                        best[i] = _best([np.concatenate(x) for x in zip(old, new, strict=True)], k)
+        for r in _rows(batches):
+            block = _with_pairs(_opened(r, weights, n, total), r, pairs)
+            for i, (_, item) in enumerate(asked):
+                old = best[i]
+                least = int(old[0][-1]) if len(old[0]) == k else 1
+                scores, places = block.search(item, own[i], least, k)
+                if len(scores):
+                    new = scores, block.nulls[places], block.docs[places]
+                    best[i] = _best([np.concatenate(x) for x in zip(old, new, strict=True)], k)
         for (uid, _), (scores, nulls, docs) in zip(asked, best, strict=True):
             if len(scores):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), uid)), pa.array(docs, mask=nulls), pa.array(scores)], ["uid", "doc_id", "score"])
@@ -312,7 +343,7 @@ def _round(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     pairs = sorted({p for _, item in items for p in partners(item)})
     pairs = np.array(pairs, np.int64).reshape(-1, 2)
     index = materialize(_index(postings, weights, n, max(total, 1), pairs), "index")
-    return materialize(_searched(index, items, pairs, k), "found")
+    return materialize(_searched(index, items, weights, n, max(total, 1), pairs, k), "found")
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,25 @@ def test_search_on_odd_rows_and_in_rounds(spark, tmp_path, monkeypatch):
     assert lexical.ranked_search(docs, items.where("false")).count() == 0
 
 
+def test_stored_rows_are_small_also_where_terms_stand_together(spark, tmp_path, monkeypatch):
+    """Rows of 12 bytes a posting and with the whole lists of pairs took an executor past its memory: a posting takes 3, a pair that saves nothing no list."""
+    from pricetide.llm import lexical
+
+    kept = {}
+    monkeypatch.setattr(lexical, "materialize", lambda df, name, write=lexical.materialize: kept.setdefault(name, write(df, name)))
+    texts = [(i, " ".join([f"all{j}" for j in range(30)] + ["all1"] * (i % 300) + [f"few{i % 40}", f"few{i % 37}"])) for i in range(800)]
+    asked = [(1, " ".join(f"all{j}" for j in range(30))), (2, "few1 few2 few3 all1"), (3, "few0 few1 all3")]
+    docs, items = stored(spark, tmp_path / "d", texts, "doc_id long, text string").coalesce(1), stored(spark, tmp_path / "i", asked, "item_id long, text string")
+    assert listed(lexical.ranked_search(docs, items)) == as_listed(plain_search(texts, asked))
+    index = kept["index"]
+    size = lambda c: f"cast(sum(octet_length({c})) as long)"
+    postings, at, tf, both = index.selectExpr("sum(aggregate(counts, 0, (a, x) -> a + x))", size("at"), size("tf"), size("both")).first()
+    assert postings > 24_000 and at == 2 * postings and tf <= 2 * postings  # one text has a term 300 times
+    assert 0 < both < 0.1 * postings
+    everything = index.selectExpr(*[size(f.name) for f in index.schema if f.dataType.simpleString() == "binary"]).first()
+    assert sum(everything) < 6 * postings
+
+
 def test_pair_bounds_skip_more_than_single_bounds(monkeypatch):
     """Frequent words that stand together in long documents only: their joint maximum is far under the sum of their maxima."""
     from pricetide.llm import lexical
