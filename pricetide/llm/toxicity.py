@@ -168,9 +168,9 @@ class Index:
         return np.bincount(places, weights, self.size) / self.norms
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """Places without a neighbour vote as the examples without any term do."""
+        """Places without a neighbour vote as the examples without any term do. Rounded, so that the calibration takes no last bit for a step."""
         w, none = 1 / (NEAR + 1 - cosine), (NEIGHBOURS - len(found)) / (NEAR + 1)
-        return float((w @ self.marked[found] + none * self.rate) / (w.sum() + none))
+        return round(float((w @ self.marked[found] + none * self.rate) / (w.sum() + none)), 12)
 
     def calibrated(self, vote) -> np.ndarray:
         return np.clip(np.interp(vote, *self.steps), 0.0, 1.0)

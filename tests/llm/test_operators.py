@@ -435,6 +435,15 @@ def test_search_holds_the_lists_of_one_text_at_a_time():
     assert peak < entries * 8
 
 
+def test_votes_of_one_mind_are_one_vote():
+    """However near the neighbours are, all of one label vote the same to the last bit."""
+    from pricetide.llm import toxicity as tx
+
+    index = tx.Index(np.ones(20), [(np.array([i]), np.array([1])) for i in range(20)], np.arange(20), np.ones(20), 0.1)
+    rng = np.random.default_rng(2)
+    assert {index.vote(np.arange(tx.NEIGHBOURS), rng.random(tx.NEIGHBOURS)) for _ in range(500)} == {1.0}
+
+
 def test_words_lead_to_their_beginnings_by_number():
     from pricetide.llm import toxicity as tx
 
