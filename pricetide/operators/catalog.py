@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from pricetide.functions.text import SPACE, strip, text_or_empty
 from pricetide.functions.titles import best_partners
-from pricetide.operators.title_index import TitleIndex, first_products, search_titles
+from pricetide.operators.title_index import TitleIndex, first_products
 from pricetide.sources.work import materialize
 
 #: Words taken out of titles, length of a key, confidences, and ratios that accept and that ask for review.
@@ -205,7 +205,7 @@ def product_price_history(offers: DataFrame, history: DataFrame, limit: int = HI
 
 def search_products(index: TitleIndex, searches: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
     """query, product_id, rank: for each search (query) the first products by id whose title holds it in any case; % and _ are wildcards."""
-    return first_products(search_titles(index, searches), limit)
+    return first_products(index, searches, limit)
 
 
 def product_offers(products: DataFrame, offers: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 A gram is one to three characters in a row of a lower-cased title; the empty gram stands in every title. The index holds, for
 each different title, a row for each of its grams. A search is an ILIKE pattern: between its wildcards stand runs of
 characters that each found title must hold, so their grams of greatest length must be in it. The rarest few of them are looked
-up, titles that have them all are tested by ILIKE itself. Many searches go at once, as joins on equal grams: no title is
-compared with a search that shares none.
+up, titles that have them all are tested by the pattern itself, once for all products of a title. Many searches go at once, as
+joins on equal grams: no title is compared with a search that shares none.
 """
 
 from __future__ import annotations
@@ -84,9 +84,10 @@ def _asked(searches: DataFrame, counts: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit("%"), F.lower("query"), F.lit("%"))
     runs = F.filter(F.split("pattern", r"[%_\\]+"), lambda r: r != "")
     size = F.when(F.size("runs") > 0, F.least(F.lit(GRAM), F.array_max(F.transform(F.col("runs"), lambda r: F.length(r)))))
+    of_runs = lambda n: F.flatten(F.transform("runs", lambda r: _grams(r, n)))  # noqa: E731  a second argument of transform's function would be the place in the array
     cut = F.lit(None).cast("array<string>")
     for n in range(1, GRAM + 1):
-        cut = F.when(F.col("size") == n, F.flatten(F.transform("runs", lambda r, n=n: _grams(r, n)))).otherwise(cut)
+        cut = F.when(F.col("size") == n, of_runs(n)).otherwise(cut)
     once = searches.select("query").where("query is not null").distinct().withColumn("pattern", pattern)
     needed = once.withColumn("runs", runs).withColumn("size", size).select("query", "pattern", F.explode(F.array_distinct(F.coalesce(cut, F.array(F.lit(""))))).alias("gram"))
     rarest = Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "gram")
@@ -94,18 +95,34 @@ def _asked(searches: DataFrame, counts: DataFrame) -> DataFrame:
     return chosen.withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("query"))).select("query", "pattern", "gram", "asked")
 
 
+def _named(index: TitleIndex) -> DataFrame:
+    """title_key, t, product_id: what makes two titles one, in lower case."""
+    return index.titles.select("title_key", F.lower("canonical_title").alias("t"), "product_id")
+
+
+def _found(index: TitleIndex, searches: DataFrame) -> DataFrame:
+    """query, title_key, t: the different titles that each search finds. Both sides are in lower case, so LIKE is ILIKE."""
+    asked = _asked(searches, index.counts)
+    met = asked.join(index.postings, "gram").groupBy("query", "pattern", "title_key", "asked").agg(F.count(F.lit(1)).alias("found"))
+    met = met.where("found >= asked").select("query", "pattern", "title_key")  # more where a writer that died stored postings twice
+    return met.join(_named(index).select("title_key", "t").distinct(), "title_key").where(F.expr("t LIKE pattern")).select("query", "title_key", "t")
+
+
 def search_titles(index: TitleIndex, searches: DataFrame) -> DataFrame:
     """query, product_id of every product whose title holds ``query`` of ``searches``, in any case; % and _ are wildcards.
 
     Each different search is answered once; a null one finds nothing, an empty one everything.
     """
-    asked = _asked(searches, index.counts)
-    met = asked.join(index.postings, "gram").groupBy("query", "pattern", "title_key", "asked").agg(F.count(F.lit(1)).alias("found"))
-    met = met.where("found >= asked").select("query", "pattern", "title_key")  # more where a writer that died stored postings twice
-    return met.join(index.titles, "title_key").where(F.expr("canonical_title ILIKE pattern")).select("query", "product_id")
+    return _found(index, searches).join(_named(index), ["title_key", "t"]).select("query", "product_id")
+
 
+def first_products(index: TitleIndex, searches: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` products of smallest id of what ``search_titles`` finds for each search, with their rank.
 
-def first_products(hits: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` products of smallest id of each search, with their rank."""
+    They are among the first ``limit`` of each title found, so products meet searches by those alone.
+    """
+    own = Window.partitionBy("title_key", "t").orderBy("product_id")
+    first = _named(index).withColumn("r", F.row_number().over(own)).where(F.col("r") <= limit).drop("r")
     order = Window.partitionBy("query").orderBy("product_id")
+    hits = _found(index, searches).join(first, ["title_key", "t"]).select("query", "product_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from pricetide.operators.title_index import build_title_index, extend_title_index, open_title_index, search_titles
+from pricetide.operators.title_index import _asked, build_title_index, extend_title_index, first_products, open_title_index, search_titles
 
 SCHEMA = "product_id long, canonical_title string"
 
@@ -60,3 +60,22 @@ def test_index_of_nothing(spark, tmp_path):
     assert found(index, spark, ["", "x"])[0] == set()
     index = build_title_index(spark.createDataFrame([(1, "x")], SCHEMA), str(tmp_path / "j"))
     assert found(index, spark, [])[0] == set()
+
+
+def test_searches_are_looked_up_by_their_rarest_longest_grams(spark, tmp_path):
+    index = build_title_index(spark.createDataFrame([(i, f"Lamp {i:03d}") for i in range(100)], SCHEMA), str(tmp_path / "i"))
+    searches = ["LAMP 042", "mp", "x_lamp%am", "a%b", "%_", ""]
+    asked = _asked(spark.createDataFrame([(q,) for q in searches], "query string"), index.counts).collect()
+    grams = {q: {r["gram"] for r in asked if r["query"] == q} for q in searches}
+    assert grams == {"LAMP 042": {"042", " 04", "amp"}, "mp": {"mp"}, "x_lamp%am": {"lam", "amp"}, "a%b": {"a", "b"}, "%_": {""}, "": {""}}
+    assert all(r["asked"] == len(grams[r["query"]]) for r in asked)
+
+
+def test_first_products_of_many_with_one_title(spark, tmp_path):
+    rng = random.Random(3)
+    products = [(i, rng.choice(["red lamp", "Red LAMP", "red desk", "Blue lamp", f"lamp {i}"])) for i in rng.sample(range(1000), 200)]
+    searches = ["lamp", "RED", "d%l", "nothing", "", "lamp 7"]
+    index = build_title_index(spark.createDataFrame(products, SCHEMA), str(tmp_path / "i"))
+    rows = first_products(index, spark.createDataFrame([(q,) for q in searches], "query string"), 7).collect()
+    every = {q: sorted(i for s, i in plain(products, searches) if s == q) for q in searches}
+    assert sorted((r["query"], r["rank"], r["product_id"]) for r in rows) == sorted((q, n, i) for q in searches for n, i in enumerate(every[q][:7], 1))
