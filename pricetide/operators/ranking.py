@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,27 +23,32 @@ def _unit(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def _share(part: str, worth: float) -> Column:
+    """Weight times a fixed worth as the decimals that they are (0.2 x 0.7 is 0.14), or equal scores would differ in their last bit and rank by it."""
+    return F.lit(float(Decimal(str(WEIGHTS[part])) * Decimal(str(worth))))
+
+
 def offer_score(lo: Column, hi: Column, as_of: Column, status: Column | None = None) -> Column:
     """0 to 1 from price within lo..hi, availability, merchant, reviews, age at ``as_of`` and shipping."""
     price = F.col("price")
     cheap = F.when(price.isNull() | lo.isNull(), F.lit(NO_PRICE)).when(hi > lo, 1.0 - (price - lo) / (hi - lo)).otherwise(F.lit(1.0))
     stock = F
     for name, worth in AVAILABILITY.items():
-        stock = stock.when(F.lower("availability") == name, F.lit(worth))
-    stock = stock.otherwise(F.lit(AVAILABILITY["unknown"]))
-    merchant = F.lit(ACTIVE_MERCHANT) if status is None else F.when(status == "active", F.lit(ACTIVE_MERCHANT)).otherwise(F.lit(0.0))
+        stock = stock.when(F.lower("availability") == name, _share("availability", worth))
+    stock = stock.otherwise(_share("availability", AVAILABILITY["unknown"]))
+    active = _share("merchant", ACTIVE_MERCHANT)
+    merchant = active if status is None else F.when(status == "active", active).otherwise(F.lit(0.0))
     trust = F.least(F.lit(1.0), F.coalesce(F.col("review_count"), F.lit(0)) / 50.0)
     reviews = F.when(F.col("rating").isNull(), F.lit(NO_RATING)).otherwise(_unit(F.col("rating") / 5.0 * trust))
     hours = (F.unix_timestamp(as_of) - F.unix_timestamp("last_seen_at")) / 3600.0
     fresh = F
     for limit, worth in FRESHNESS:
-        fresh = fresh.when(hours <= limit, F.lit(worth))
-    fresh = fresh.otherwise(F.lit(STALE))
-    shipping = F.when(F.col("shipping_price") == 0, F.lit(1.0)).otherwise(F.lit(0.5))
-    parts = {"price": _unit(cheap), "availability": stock, "merchant": merchant, "reviews": reviews, "freshness": fresh, "shipping": shipping}
+        fresh = fresh.when(hours <= limit, _share("freshness", worth))
+    fresh = fresh.otherwise(_share("freshness", STALE))
+    shipping = F.when(F.col("shipping_price") == 0, _share("shipping", 1.0)).otherwise(_share("shipping", 0.5))
     total = F.lit(0.0)
-    for name, weight in WEIGHTS.items():
-        total = total + F.lit(weight) * parts[name]
+    for part in (F.lit(WEIGHTS["price"]) * _unit(cheap), stock, merchant, F.lit(WEIGHTS["reviews"]) * reviews, fresh, shipping):
+        total = total + part
     return _unit(total)
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
 import pytest
 
-from pricetide.queries import ORACLES, QUERIES
+from pricetide.operators import ranking
+from pricetide.queries import AS_OF, HOURS, ORACLES, QUERIES, SCORE
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,6 +61,21 @@ def test_partitioning_does_not_matter(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_scores_and_ranks_are_those_of_the_sql_to_the_last_bit(spark):
+    """Offers of many equal scores: those that differ in their last bit only would be ranked by it."""
+    now = datetime.fromisoformat(AS_OF)
+    kinds = itertools.product(["in_stock", "preorder", "unknown", "out_of_stock", None], [1, 100, 500, 9000], [None, 2.5, 4.0], [None, 5, 25, 50], [None, 10.0, 15.0, 20.0], [None, 0.0])
+    rows = [(1, i, p, a, r, n, now - timedelta(hours=h), s) for i, (a, h, r, n, p, s) in enumerate(kinds)]
+    schema = "product_id long, offer_id long, price double, availability string, rating double, review_count int, last_seen_at timestamp, shipping_price double"
+    found = ranking.rank_all(ranking.score_offers(spark.createDataFrame(rows, schema), ["product_id"], AS_OF), ["product_id"])
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE offers ({schema.replace('long', 'bigint').replace('string', 'varchar')})")
+    con.executemany("INSERT INTO offers VALUES (?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    want = con.execute(f"""SELECT offer_id, s, row_number() OVER (ORDER BY s DESC, offer_id) FROM (SELECT offer_id, {SCORE} AS s FROM (
+        SELECT *, min(price) OVER () AS lo, max(price) OVER () AS hi, {HOURS} AS hours FROM offers) AS a) AS b""").fetchall()
+    assert sorted(map(tuple, found.select("offer_id", "shopping_score", "rank").collect())) == sorted(want)
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry
 
