@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricetide.functions.numbers import rounded
+from pricetide.functions.numbers import double_text, rounded
 from pricetide.functions.text import SPACE, let, strip, text_or_empty
 from pricetide.functions.trees import fields_of, nesting
 from pricetide.sources.work import materialize
@@ -154,7 +154,7 @@ def _quoted(symbol: Column) -> Column:
 
 def _number(c: Column) -> Column:
     bare = strip(F.regexp_replace(c, ",", ""))
-    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double").cast("string")).otherwise(c)
+    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 
 def _pairs(html: Column, *patterns: Column, field: int = 1, value: int = 2) -> Column:
@@ -182,17 +182,19 @@ def scoped_quote_fields(pages: DataFrame) -> DataFrame:
 
     def field(b: Column, name: str) -> Column:
         whole = F.regexp_extract(b, rf'"{name}"\s*:\s*(?:\{{\s*"raw"\s*:\s*([^,}}]+)|"([^"]+)"|(-?[0-9]+(?:\.[0-9]+)?))', 0)
-        raw = F.coalesce(*[F.nullif(F.regexp_extract(whole, p, 1), F.lit("")) for p in (r'"raw"\s*:\s*([^,}]+)$', rf'^"{name}"\s*:\s*"([^"]+)"$', r":\s*(-?[0-9.]+)$")])
-        text = F.regexp_replace(strip(raw), r'^"+|"+$', "")
-        return F.struct(F.lit(name).alias("name"), F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), text.try_cast("double").cast("string")).otherwise(text).alias("value"))
+        raw = lambda w: F.coalesce(*[F.nullif(F.regexp_extract(w, p, 1), F.lit("")) for p in (r'"raw"\s*:\s*([^,}]+)$', rf'^"{name}"\s*:\s*"([^"]+)"$', r":\s*(-?[0-9.]+)$")])
+        return F.struct(F.lit(name).alias("name"), F.regexp_replace(strip(let(whole, raw)), r'^"+|"+$', "").alias("value"))
 
     blocks = F.flatten(F.transform("_b", lambda b, i: F.transform(F.array(*[field(b, n) for n in QUOTE_FIELDS]), lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), i.alias("prio")))))
     direct, turned, _ = _streamer_patterns()
     html = text_or_empty(F.col("html"))
-    tags = F.transform(_pairs(html, direct), lambda p, i: F.struct(p["name"].alias("name"), _number(p["value"]).alias("value"), (i + 1_000_000).alias("prio")))
-    gaps = F.transform(_pairs(html, turned), lambda p, i: F.struct(p["name"].alias("name"), _number(p["value"]).alias("value"), (-1 - i).alias("prio")))
+    tags = F.transform(_pairs(html, direct), lambda p, i: F.struct(p["name"].alias("name"), p["value"].alias("value"), (i + 1_000_000).alias("prio")))
+    gaps = F.transform(_pairs(html, turned), lambda p, i: F.struct(p["name"].alias("name"), p["value"].alias("value"), (-1 - i).alias("prio")))
     found = rows.select("page_id", F.explode(F.concat(blocks, tags, gaps)).alias("f")).select("page_id", "f.*").where("value is not null")
-    return found.groupBy("page_id", "name").agg(F.max_by("value", "prio").alias("value"))
+    best = found.groupBy("page_id", "name").agg(F.max_by("value", "prio").alias("value"), F.max("prio").alias("prio"))
+    plain = F.when(F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.col("value").try_cast("double"))
+    number = F.when(F.col("prio").between(0, 999_999), plain).otherwise(_number(F.col("value")))
+    return best.select("page_id", "name", F.coalesce(double_text(number), "value").alias("value"))
 
 
 def streamer_fields(pages: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def page_quote_fields(pages: DataFrame) -> DataFrame:
     """page_id, html, symbol, candidates -> asp.* keys: streamer fields, then scoped ones, then the marked price; candidates."""
     qsp = F.regexp_extract(text_or_empty(F.col("html")), r'(?i)data-test="qsp-price"[^>]*>([^<]+)<', 1)
     price = F.regexp_replace(strip(qsp), r"[,$]", "").try_cast("double")
-    marked = pages.select("page_id", F.lit("regularMarketPrice").alias("name"), F.when(price != 0, price.cast("string")).alias("value")).where("value is not null")
+    marked = pages.select("page_id", F.lit("regularMarketPrice").alias("name"), F.when(price != 0, double_text(price)).alias("value")).where("value is not null")
     layers = [(streamer_fields(pages), 1), (scoped_quote_fields(pages), 2), (marked, 3)]
     rows = layers[0][0].withColumn("prio", F.lit(1))
     for layer, prio in layers[1:]:
@@ -230,7 +232,7 @@ def page_quote_fields(pages: DataFrame) -> DataFrame:
     out = rows.groupBy("page_id", "name").agg(F.max_by("value", "prio").alias("value")).withColumn("name", F.concat(F.lit("asp."), "name"))
     if "candidates" in pages.columns:
         listed = pages.select("page_id", F.posexplode("candidates").alias("i", "c"))
-        out = out.unionByName(listed.select("page_id", F.concat(F.lit("asp.price_candidate_"), F.col("i").cast("string")).alias("name"), F.col("c").cast("string").alias("value")))
+        out = out.unionByName(listed.select("page_id", F.concat(F.lit("asp.price_candidate_"), F.col("i").cast("string")).alias("name"), double_text(F.col("c").cast("double")).alias("value")))
     return out
 
 

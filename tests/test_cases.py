@@ -444,6 +444,25 @@ def test_streamers(spark):
     assert {r["name"]: r["value"] for r in finance.scoped_quote_fields(quote_rows(spark, html)).collect()}["regularMarketPrice"] == "1.0"
 
 
+def test_scoped_numbers_are_told_as_python_tells_them(spark):
+    said = {"marketCap": "10000000", "trailingPE": "0.0001234", "forwardPE": "12345678.5", "regularMarketVolume": "123456789012345678901"}
+    html = '{"symbol":"HPE",' + ",".join(f'"{k}":{v}' for k, v in said.items()) + '}<fin-streamer data-symbol="HPE" data-field="regularMarketOpen" value="1,2100000">'
+    out = {r["name"]: r["value"] for r in finance.scoped_quote_fields(quote_rows(spark, html)).collect()}
+    assert out == {k: str(float(v)) for k, v in said.items()} | {"regularMarketOpen": "12100000.0"}
+    pages = quote_rows(spark, '<b data-test="qsp-price">12,345,678.5</b>').withColumn("candidates", F.array(F.lit(1e7)))
+    assert {r["name"]: r["value"] for r in finance.page_quote_fields(pages).collect()} == {"asp.regularMarketPrice": "12345678.5", "asp.price_candidate_0": "10000000.0"}
+
+
+def test_double_text(spark):
+    from pricetide.functions.numbers import double_text
+
+    rng = random.Random(5)
+    values = [0.0, -0.0, 1.0, -12100000.0, 1e7, 9999999.0, 1e15, 1e16, 9999999999999998.0, 0.001, 0.0001, 0.00012345, 1e-5, 2e23, 1.5e100, -1.5e-100, 2.0**-44, 2.0**-25, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None]
+    values += [rng.random() * 10.0 ** rng.randint(-7, 17) for _ in range(500)] + [round(rng.random() * 10.0 ** rng.randint(0, 12), rng.randint(0, 6)) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", double_text(F.col("x"))).collect()
+    assert [t for _, t in sorted(map(tuple, rows), key=lambda r: r[0])] == [None if v is None else repr(v) for v in values]
+
+
 def test_bare_prices(spark):
     assert one(spark, finance.page_price(F.col("h")), h='{"regularMarketPrice":{"raw":198.42}}') == 198.42
     assert one(spark, finance.page_price(F.col("h")), h='"regularMarketPrice":201.5,') == 201.5
