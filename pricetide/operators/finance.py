@@ -203,7 +203,7 @@ def streamer_fields(pages: DataFrame) -> DataFrame:
     rows = pages.where(text_or_empty(F.col("symbol")) != "").select("page_id", F.posexplode(_pairs(text_or_empty(F.col("html")), *_streamer_patterns())).alias("pos", "p"))
     first = rows.groupBy("page_id", F.col("p.name").alias("name")).agg(F.min_by("p.value", "pos").alias("v"))
     number = clean(F.col("v"))
-    return first.select("page_id", "name", F.when(number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number.try_cast("double").cast("string")).otherwise(strip(F.col("v"))).alias("value"))
+    return first.select("page_id", "name", F.when(number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), double_text(number.try_cast("double"))).otherwise(strip(F.col("v"))).alias("value"))
 
 
 def page_price(html: Column) -> Column:

@@ -463,6 +463,13 @@ def test_double_text(spark):
     assert [t for _, t in sorted(map(tuple, rows), key=lambda r: r[0])] == [None if v is None else repr(v) for v in values]
 
 
+def test_large_streamer_numbers_are_told_as_python_tells_them(spark):
+    said = {"regularMarketVolume": "12,100,000", "marketCap": "$1234567890123.5", "ratio": "1e-3", "tiny": "1e-7", "far": "1e16", "name": " 12 parts "}
+    html = "".join(f'<fin-streamer data-symbol="HPE" data-field="{k}" value="{v}">' for k, v in said.items())
+    want = {"regularMarketVolume": "12100000.0", "marketCap": "1234567890123.5", "ratio": "0.001", "tiny": "1e-07", "far": "1e+16", "name": "12 parts"}
+    assert {r["name"]: r["value"] for r in finance.streamer_fields(quote_rows(spark, html)).collect()} == want
+
+
 def test_bare_prices(spark):
     assert one(spark, finance.page_price(F.col("h")), h='{"regularMarketPrice":{"raw":198.42}}') == 198.42
     assert one(spark, finance.page_price(F.col("h")), h='"regularMarketPrice":201.5,') == 201.5
